@@ -12,6 +12,7 @@ from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.sentencepiece_codec import encode_decode
 from panelweave.llm.simhash import near_duplicates
 from panelweave.llm.spans import counted, listed
+from panelweave.llm.suffix_dedup import remove_repeats
 from panelweave.llm.token_counts import token_counts
 
 
@@ -36,6 +37,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = pii.KINDS[:4]
@@ -48,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_secrets, op5_decontamination, op7_pii, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
