@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelweave.llm import pii, secrets
 from panelweave.llm.common import table
 from panelweave.llm.decontaminate import decontaminate
+from panelweave.llm.neighbours import nearest
 from panelweave.llm.sentencepiece_codec import encode_decode
 from panelweave.llm.simhash import near_duplicates
 from panelweave.llm.spans import counted, listed
@@ -49,13 +50,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[counted(k).alias(f"n_{k}") for k in base], F.sha2(listed(base, False), 256).alias("base_sha256"), listed(pii.KINDS, False).alias("spans"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op9_neighbours, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
