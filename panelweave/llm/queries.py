@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import pii, secrets
+from panelweave.llm import pii, secrets, toxicity
 from panelweave.llm.common import table
 from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.neighbours import nearest
+from panelweave.llm.quality import quality
 from panelweave.llm.sentencepiece_codec import encode_decode
 from panelweave.llm.simhash import near_duplicates
 from panelweave.llm.spans import counted, listed
@@ -25,6 +26,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.secret_spans(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -50,6 +55,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[counted(k).alias(f"n_{k}") for k in base], F.sha2(listed(base, False), 256).alias("base_sha256"), listed(pii.KINDS, False).alias("spans"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit_chain(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.col("scores.low_quality").alias("p_low_quality"), F.col("scores.toxic").alias("p_toxic"), (F.col("scores.toxic") >= toxicity.REJECT).alias("toxic"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op9_neighbours, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_quality, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op8_toxicity, op9_neighbours, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
