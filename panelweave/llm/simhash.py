@@ -59,15 +59,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """(doc_id, fp LONG) of each row; fp holds the fingerprint's 64 bits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, text_key, fp) of each row, all LONG; fp holds the fingerprint's 64 bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t) for t in texts_of(batch, "text")], dtype=np.uint64)
-            yield record(schema, [batch.column(0), pa.array(fps.view(np.int64))])
+            yield record(schema, [batch.column(0), batch.column(2), pa.array(fps.view(np.int64))])
 
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    return texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _linked(unit: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,16 +139,18 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable) of every row.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), text_key and component_key of every row.
 
     Null and wordless texts have fingerprint zero and are linked like any other. Repeated rows stay; a null id never is
-    a component's id unless the component has no other. An empty table gives an empty result.
+    a component's id unless the component has no other. An empty table gives an empty result. text_key is XXH64 of the text (with the id it names a
+    row), component_key a number that only rows of the same component share.
     """
     fps = cut(fingerprints(id_and_text(docs, id_col, text_col)))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     rooted = components(links(classes, max_bits))
     linked = classes.join(rooted, F.col("fp") == F.col("node")).select("fp", "first", "root")
     lowest = linked.groupBy("root").agg(F.min("first").alias("low"))
-    moved = linked.join(lowest, "root").select("fp", "low")
-    ids = cut(classes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
-    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    moved = linked.join(lowest, "root").select("fp", "low", "root")
+    # a linked class without an id still belongs to its root's component
+    ids = classes.join(moved, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "fp").alias("component_key"))
+    return fps.join(cut(ids), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key", "component_key")
