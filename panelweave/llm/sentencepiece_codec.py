@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from panelweave.llm.common import id_and_text, record, slices, texts_of
 
 SPACE = "▁"
-CACHE_SIZE = 300_000
+CACHE_SIZE = 500_000
 KEY_CHARS = 48
 
 
@@ -34,16 +34,17 @@ class Codec:
         self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(self.size) if model.is_byte(i)}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
-        self.control = {i for i in range(self.size) if model.is_control(i)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("not a vocabulary whose words are encoded independently")
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.whole: dict[int, bool] = {}
+        self.chars = [len(p) for p in self.pieces]
+        # a byte below 128 is a character of its own; others are None and decoded together
+        self.shown = [(chr(b) if (b := self.bytes_of[i]) < 128 else None) if i in self.bytes_of else "" if model.is_control(i) else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[list[int], str]] = {}
+        self.words: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best-scored neighbours first, then the leftmost."""
@@ -59,73 +60,66 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: int, right: int) -> bool:
-        key = left * self.size + right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 4 * CACHE_SIZE:
-                self.pairs.clear()
-            a, b = self.pieces[left], self.pieces[right]
-            known = self.pairs[key] = self.merged(a + b) == [a, b]
+    def compatible(self, key: int) -> bool:
+        """Whether two tokens (left * size + right; left -1: none) stay as they are when their joined text is merged."""
+        if len(self.pairs) > 4 * CACHE_SIZE:
+            self.pairs.clear()
+        left, right = divmod(key, self.size)
+        parts = [self.pieces[i] for i in (left, right) if i >= 0]
+        known = self.pairs[key] = self.merged("".join(parts)) == parts
         return known
 
-    def reachable(self, token: int) -> bool:
-        if token not in self.whole:
-            self.whole[token] = len(self.merged(self.pieces[token])) == 1
-        return self.whole[token]
-
     def encode_word(self, word: str) -> list[int]:
-        last: list[int | None] = [None] * (len(word) + 1)  # the prefix table; None after an unknown character
-        for end, (token, size) in self.automaton.iter(word):
+        last = [-1] * (len(word) + 1)  # the prefix table; -1 after an unknown character
+        known, size = self.pairs.get, self.size
+        for end, (token, chars) in self.automaton.iter(word):
             end += 1
-            if last[end] is None:
-                before = last[end - size]
-                if self.reachable(token) and (before is None or self.compatible(before, token)):
+            if last[end] < 0:
+                key = last[end - chars] * size + token
+                fits = known(key)
+                if self.compatible(key) if fits is None else fits:
                     last[end] = token
         out: list[int] = []
         at = len(word)
         while at:
             token = last[at]
-            if token is None:
+            if token < 0:
                 at -= 1
                 out += [self.byte_ids[b] for b in reversed(word[at].encode())]
             else:
                 out.append(token)
-                at -= len(self.pieces[token])
-        return out[::-1]
-
-    def decode_word(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.bytes_of:
-                raw.append(self.bytes_of[i])
+                at -= self.chars[token]
+        out.reverse()
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        """The ids' text, without the space that encoding puts first."""
+        parts = list(map(self.shown.__getitem__, ids))
+        for at in [i for i, p in enumerate(parts) if p is None] if None in parts else ():
+            if parts[at] is not None:
                 continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            if i not in self.control:
-                out.append(self.pieces[i].replace(SPACE, " "))
-        return "".join([*out, raw.decode(errors="replace")])
-
-    def both(self, text: str) -> tuple[list[int], str]:
-        """The text's ids, and the text that they decode to."""
+            end = at
+            while end < len(parts) and parts[end] is None:
+                end += 1
+            parts[at] = bytes(map(self.bytes_of.__getitem__, ids[at:end])).decode(errors="replace")
+            parts[at + 1 : end] = [""] * (end - at - 1)
+        return "".join(parts)[1:]
+
+    def encode(self, text: str) -> list[int]:
         if not text:
-            return [], ""
+            return []
         ids: list[int] = []
-        parts: list[str] = []
         known = self.words.get
         for word in _WORD.findall(SPACE + text.replace(" ", SPACE)):
-            found = known(word)
-            if found is None:
+            own = known(word)
+            if own is None:
                 own = self.encode_word(word)
-                found = own, self.decode_word(own)
                 if len(word) <= KEY_CHARS:
                     if len(self.words) > CACHE_SIZE:
                         self.words.clear()
-                    self.words[word] = found
-            ids += found[0]
-            parts.append(found[1])
-        return ids, "".join(parts)[1:]  # without the space that encoding puts first
+                    self.words[word] = own
+            ids += own
+        return ids
 
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -149,7 +143,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in slices(batches, "text"):
-            done = [own.both(t) for t in texts_of(batch, "text")]
-            yield record(schema, [batch.column(0), [d[0] for d in done], [d[1] for d in done]])
+            ids = [own.encode(t) for t in texts_of(batch, "text")]
+            yield record(schema, [batch.column(0), ids, [own.decode(x) for x in ids]])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
