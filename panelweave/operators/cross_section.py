@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import average_rank, corr_from_sums, ratio
 from panelweave.operators.joins import pairs
 
-DATE = Window.partitionBy("date")
+
+def per_date() -> WindowSpec:
+    return Window.partitionBy("date")
 
 
 def quantile_bucket(scores: DataFrame, q: int, score: str = "score") -> DataFrame:
     """bucket 0..q-1 by right-closed, linearly interpolated edges of the rank; ties by ticker; null scores are left out."""
     ok = scores.where(F.col(score).isNotNull())
-    ok = ok.withColumn("_r", F.row_number().over(DATE.orderBy(score, "ticker"))).withColumn("_n", F.count("*").over(DATE))
+    ok = ok.withColumn("_r", F.row_number().over(per_date().orderBy(score, "ticker"))).withColumn("_n", F.count("*").over(per_date()))
     bucket = F.greatest(F.ceil(ratio(((F.col("_r") - 1) * q).cast("double"), (F.col("_n") - 1).cast("double")) - 1e-12), F.lit(1)) - 1
     return ok.withColumn("bucket", F.coalesce(bucket, F.lit(0)).cast("int")).drop("_r")
 
@@ -30,8 +32,8 @@ def neutralize(scores: DataFrame, least: int = 10) -> DataFrame:
     """Residual of score on size and sector dummies per date, exactly, by demeaning within (date, sector); thin dates are left out."""
     ok = scores.where("score is not null and size is not null")
     cell = Window.partitionBy("date", "sector")
-    d = ok.withColumn("_y", F.col("score") - F.avg("score").over(cell)).withColumn("_x", F.col("size") - F.avg("size").over(cell)).withColumn("_n", F.count("*").over(DATE))
-    slope = ratio(F.sum(F.col("_x") * F.col("_y")).over(DATE), F.sum(F.col("_x") * F.col("_x")).over(DATE))
+    d = ok.withColumn("_y", F.col("score") - F.avg("score").over(cell)).withColumn("_x", F.col("size") - F.avg("size").over(cell)).withColumn("_n", F.count("*").over(per_date()))
+    slope = ratio(F.sum(F.col("_x") * F.col("_y")).over(per_date()), F.sum(F.col("_x") * F.col("_x")).over(per_date()))
     return d.where(F.col("_n") >= least).withColumn("resid", F.col("_y") - F.coalesce(slope, F.lit(0.0)) * F.col("_x")).select("date", "ticker", "resid")
 
 
@@ -55,13 +57,13 @@ def pooled_ic(scores: DataFrame) -> DataFrame:
 
 
 def cross_z(scores: DataFrame, score: str = "score") -> DataFrame:
-    return scores.withColumn("z", ratio(F.col(score) - F.avg(score).over(DATE), F.stddev_pop(score).over(DATE)))
+    return scores.withColumn("z", ratio(F.col(score) - F.avg(score).over(per_date()), F.stddev_pop(score).over(per_date())))
 
 
 def topk_inverse_vol(scores: DataFrame, k: int) -> DataFrame:
     """The k best by mom among names with a positive vol, weighted by 1 / vol."""
-    top = scores.where("mom is not null and vol > 0").withColumn("_r", F.row_number().over(DATE.orderBy(F.desc("mom"), "ticker"))).where(F.col("_r") <= k)
-    return top.select("date", "ticker", ((1 / F.col("vol")) / F.sum(1 / F.col("vol")).over(DATE)).alias("w"))
+    top = scores.where("mom is not null and vol > 0").withColumn("_r", F.row_number().over(per_date().orderBy(F.desc("mom"), "ticker"))).where(F.col("_r") <= k)
+    return top.select("date", "ticker", ((1 / F.col("vol")) / F.sum(1 / F.col("vol")).over(per_date())).alias("w"))
 
 
 def argmax_pick(scores: DataFrame, gate: float, otherwise: str) -> DataFrame:
@@ -102,7 +104,7 @@ def effective_rank(corr: DataFrame, names: int) -> DataFrame:
 def tercile_ic(scores: DataFrame) -> DataFrame:
     """Rank IC of score within the lowest and highest third (by literal edges) of `by`, per date."""
     ok = scores.where("score is not null and fwd is not null and by is not null")
-    edge = lambda p: F.percentile("by", F.lit(p)).over(DATE)
+    edge = lambda p: F.percentile("by", F.lit(p)).over(per_date())
     ok = ok.withColumn("cell", F.when(F.col("by") <= edge(1 / 3), "low").when(F.col("by") > edge(2 / 3), "high")).where("cell is not null")
     ok = ok.withColumn("_a", average_rank("score", "date", "cell")).withColumn("_b", average_rank("fwd", "date", "cell"))
     return ok.groupBy("date", "cell").agg(F.count("*").alias("n"), corr_from_sums(F.col("_a"), F.col("_b")).alias("ic"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import by, corr_from_sums, ratio
 from panelweave.operators.cross_section import quantile_bucket
+from panelweave.operators.joins import asof
 
 
 def surprise(events: DataFrame, floor: float = 0.01) -> DataFrame:
@@ -24,11 +25,8 @@ def trailing_sue(events: DataFrame, n: int = 4, least: int = 2) -> DataFrame:
 def reaction_session(events: DataFrame, calendar: DataFrame) -> DataFrame:
     """The first date of the calendar on or after the report ('bmo') or the day after it."""
     e = events.withColumn("_from", F.when(F.col("hour") == "bmo", F.col("report_date")).otherwise(F.date_add("report_date", 1)))
-    marks = calendar.select(F.col("date").alias("_from"), F.lit(None).cast("string").alias("symbol"), F.col("date").alias("session"))
-    both = e.unionByName(marks, allowMissingColumns=True)
-    # one ordered pass by time bucket would do at any size; events are few beside bars
-    w = Window.orderBy("_from", F.col("symbol").isNull()).rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("session", F.first("session", ignorenulls=True).over(w)).where("symbol is not null").drop("_from")
+    marks = events.select("symbol").distinct().crossJoin(calendar.select(F.col("date").alias("session"), F.col("date").alias("_at")))
+    return asof(e, marks, ["symbol"], "_from", "_at", "session", "forward").drop("_from")
 
 
 def car(events: DataFrame, panel: DataFrame, low: int, high: int) -> DataFrame:

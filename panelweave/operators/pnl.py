@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import by, clip, ratio
 
-BOOK = Window.partitionBy("book", "date")
-
 
 def to_weights(positions: DataFrame) -> DataFrame:
     return positions.withColumn("w", F.coalesce(ratio(F.col("position").cast("double"), F.sum(F.abs("position")).over(Window.partitionBy("date")).cast("double")), F.lit(0.0)))
@@ -24,7 +22,7 @@ def name_sector_cap(weights: DataFrame, name: float, sector: float) -> DataFrame
 
 def gross_cap(weights: DataFrame, cap: float) -> DataFrame:
     """Book dates above the gross cap scaled down to it; capped marks them."""
-    gross = F.sum(F.abs("w")).over(BOOK)
+    gross = F.sum(F.abs("w")).over(Window.partitionBy("book", "date"))
     return weights.withColumn("_g", gross).withColumn("capped", F.col("_g") > cap).withColumn("w", F.when(F.col("capped"), F.col("w") * cap / F.col("_g")).otherwise(F.col("w"))).drop("_g")
 
 

@@ -167,9 +167,9 @@ add("self_join_pairs", lambda x: J.pairs(x.returns.where("ret is not null and da
 add("semi_isin", lambda x: x.bars.join(x.sectors.where("sector = 'EUROPE'"), "ticker", "left_semi").select(*DT), "SELECT date, ticker FROM fx_bars WHERE ticker IN (SELECT ticker FROM fx_sectors WHERE sector = 'EUROPE')")
 add("anti_missing", lambda x: x.panel.where("member").join(x.bars, list(DT), "left_anti").select(*DT), "SELECT date, ticker FROM fx_panel WHERE member AND close IS NULL")
 _POS = "SELECT ticker, CAST(sum(CASE WHEN side = 'buy' THEN filled_qty ELSE -filled_qty END) AS DOUBLE) AS qty FROM fx_fills WHERE session {} DATE '2000-01-01' GROUP BY ticker"
-_SIGNED = F.when(F.col("side") == "buy", F.col("filled_qty")).otherwise(-F.col("filled_qty"))
+_SIGNED = lambda: F.when(F.col("side") == "buy", F.col("filled_qty")).otherwise(-F.col("filled_qty"))
 add(
-    "full_outer_delta", lambda x: J.delta(x.fills.where("session >= date'2000-01-01' and ticker > 'N04'").groupBy("ticker").agg(F.sum(_SIGNED).alias("qty")), x.fills.where("session < date'2000-01-01' and ticker < 'N20'").groupBy("ticker").agg(F.sum(_SIGNED).alias("qty"))),
+    "full_outer_delta", lambda x: J.delta(x.fills.where("session >= date'2000-01-01' and ticker > 'N04'").groupBy("ticker").agg(F.sum(_SIGNED()).alias("qty")), x.fills.where("session < date'2000-01-01' and ticker < 'N20'").groupBy("ticker").agg(F.sum(_SIGNED()).alias("qty"))),
     f"WITH t AS ({_POS.format('>=')}), h AS ({_POS.format('<')}), b AS (SELECT ticker, coalesce(t.qty, 0) AS target, coalesce(h.qty, 0) AS held FROM (SELECT * FROM t WHERE ticker > 'N04') t FULL JOIN (SELECT * FROM h WHERE ticker < 'N20') h USING (ticker)) SELECT ticker, target, held, target - held AS delta FROM b WHERE target <> held",
 )
 add(
@@ -352,8 +352,8 @@ _LAGS = lambda n: ", ".join(f"d * lag(d, {k}) OVER (PARTITION BY book ORDER BY d
 _AC = lambda n: f"a0 AS (SELECT book, date, net, net - avg(net) OVER (PARTITION BY book) AS d FROM fx_nets), a1 AS (SELECT *, {_LAGS(n)} FROM a0)"
 add("dsr_autocorr_adjusted", lambda x: M.autocorr_inflation(x.nets, 3), f"WITH {_AC(3)} SELECT book, count(*) AS n, {r(' + '.join(['1.0', *(f'2 * (1 - {k}.0 / count(*)) * sum(c{k}) / nullif(sum(d * d), 0)' for k in (1, 2, 3))]), 'inflation')} FROM a1 GROUP BY book")
 add("nw_mean", lambda x: M.nw_mean(x.nets, 4), f"WITH {_AC(4)} SELECT book, count(*) AS n, {r('avg(net)', 'mean')}, {r('avg(net) * count(*) / nullif(sqrt(greatest(sum(d * d) + ' + ' + '.join(f'2 * (1 - {k} / 5.0) * sum(c{k})' for k in (1, 2, 3, 4)) + ', 0)), 0)', 't')} FROM a1 GROUP BY book")
-_LEVEL = F.when(F.col("ret") < -0.002, "down").when(F.col("ret") > 0.002, "up").otherwise("flat")
-add("regime_table", lambda x: M.regime_table(x.nets, x.market.where("ret is not null").select("date", _LEVEL.alias("regime"))), f"WITH g AS (SELECT date, lag(CASE WHEN ret < -0.002 THEN 'down' WHEN ret > 0.002 THEN 'up' ELSE 'flat' END) OVER (ORDER BY date) AS regime FROM fx_market WHERE ret IS NOT NULL) SELECT book, regime, count(*) AS days, {r('sum(ln(1 + net))', 'log_net')}, {r(_SR('net'), 'sharpe')} FROM fx_nets JOIN g USING (date) WHERE regime IS NOT NULL GROUP BY 1, 2")
+_LEVEL = lambda: F.when(F.col("ret") < -0.002, "down").when(F.col("ret") > 0.002, "up").otherwise("flat")
+add("regime_table", lambda x: M.regime_table(x.nets, x.market.where("ret is not null").select("date", _LEVEL().alias("regime"))), f"WITH g AS (SELECT date, lag(CASE WHEN ret < -0.002 THEN 'down' WHEN ret > 0.002 THEN 'up' ELSE 'flat' END) OVER (ORDER BY date) AS regime FROM fx_market WHERE ret IS NOT NULL) SELECT book, regime, count(*) AS days, {r('sum(ln(1 + net))', 'log_net')}, {r(_SR('net'), 'sharpe')} FROM fx_nets JOIN g USING (date) WHERE regime IS NOT NULL GROUP BY 1, 2")
 add("stress_episodes", lambda x: M.episodes(x.market.where("ret is not null").select("date", F.abs("ret").alias("v")), 0.004, 6), f"WITH a AS (SELECT date, abs(ret) AS v, row_number() OVER (ORDER BY date) AS i FROM fx_market WHERE ret IS NOT NULL), b AS (SELECT *, coalesce(i - lag(i) OVER (ORDER BY date) >= 6, true) AS new FROM a WHERE v >= 0.004), c AS (SELECT *, CAST(sum(CAST(new AS INTEGER)) OVER (ORDER BY date) AS BIGINT) AS episode FROM b) SELECT episode, min(date) AS start, max(date) AS \"end\", count(*) AS n, {r('max(v)', 'peak')} FROM c GROUP BY episode")
 add("crash_windows", lambda x: M.crash_windows(x.nets, [("spring", "1996-02-28", "1996-05-31"), ("late", "2000-01-01", "2001-12-31")]), f"SELECT book, name, {r('exp(sum(ln(1 + net))) - 1', 'ret')}, count(*) AS n FROM fx_nets JOIN (VALUES ('spring', DATE '1996-02-28', DATE '1996-05-31'), ('late', DATE '2000-01-01', DATE '2001-12-31')) w(name, s, e) ON date > s AND date <= e GROUP BY 1, 2")
 add("paired_t", lambda x: M.paired_t(x.nets, "bk_mom", "bk_ew"), f"WITH p AS (SELECT a.net - b.net AS d FROM fx_nets a JOIN fx_nets b USING (date) WHERE a.book = 'bk_mom' AND b.book = 'bk_ew') SELECT count(d) AS n, {r('avg(d)', 'mean')}, {r('avg(d) * sqrt(count(d)) / nullif(stddev_samp(d), 0)', 't')}, {r('avg(CAST(d > 0 AS DOUBLE))', 'share')} FROM p")
@@ -418,5 +418,59 @@ add("whole_shares", lambda x: O.whole_shares(x.weights.join(x.bars.select(*DT, F
 add("foreign_positions", lambda x: O.foreign(O.positions(x.fills).groupBy("ticker").agg(F.max_by("qty", "session").alias("qty")).join(x.bars.groupBy("ticker").agg(F.max_by("close", "date").alias("price")), "ticker"), x.weights.where("book = 'bk_rot' and date >= date'2001-06-01'")), f"WITH p AS (SELECT ticker, sum(CASE WHEN side = 'buy' THEN filled_qty ELSE -filled_qty END) AS qty FROM fx_fills GROUP BY 1), c AS (SELECT ticker, arg_max(close, date) AS price FROM fx_bars GROUP BY 1) SELECT ticker, qty, {r('qty * price', 'value')}, {r('abs(qty * price)', 'gross')} FROM p JOIN c USING (ticker) WHERE qty <> 0 AND ticker NOT IN (SELECT ticker FROM fx_weights WHERE book = 'bk_rot' AND date >= DATE '2001-06-01')")
 add("route_targets", lambda x: O.route(x.weights.where("date >= date'2001-06-01'").select(F.when(F.col("book") == "bk_mom", "margin").otherwise("cash").alias("account"), "ticker", (F.col("w") * 1000).alias("dollars"))), f"WITH g AS (SELECT CASE WHEN book = 'bk_mom' THEN 'margin' ELSE 'cash' END AS account, ticker, sum(w * 1000) AS dollars FROM fx_weights WHERE date >= DATE '2001-06-01' GROUP BY 1, 2) SELECT account, ticker, {r('dollars', 'dollars')}, count(*) OVER (PARTITION BY ticker) > 1 AS shared FROM g")
 add("last_live_rows", lambda x: O.last_by_key(x.fills.select("ticker", "session", "client_order_id", "status"), ["ticker", "session"], "client_order_id"), "SELECT ticker, session, max(client_order_id) AS client_order_id, arg_max(status, client_order_id) AS status FROM fx_fills GROUP BY 1, 2")
-_RUN = lambda x: x.calendar.where("month_first").select(F.col("date").cast("timestamp_ntz").alias("run_at"), F.lit(1).alias("one"), F.col("date").alias("run"))
-add("bucket_orders", lambda x: J.asof(x.fills.select("client_order_id", "submitted_at", F.lit(1).alias("one")), _RUN(x), ["one"], "submitted_at", "run_at", "run").groupBy("run").agg(F.count("*").alias("n")), "SELECT run, count(*) AS n FROM fx_fills f ASOF LEFT JOIN (SELECT CAST(date AS TIMESTAMP) AS run_at, date AS run FROM fx_calendar WHERE month_first) r ON f.submitted_at >= r.run_at GROUP BY run")
+_RUN = lambda x: x.calendar.where("month_first").select(F.col("date").cast("timestamp_ntz").alias("run_at"), F.col("date").alias("run")).crossJoin(x.sectors.select("ticker"))  # noqa: E731  runs for each ticker, so that orders spread by ticker
+add("bucket_orders", lambda x: J.asof(x.fills.select("ticker", "client_order_id", "submitted_at"), _RUN(x), ["ticker"], "submitted_at", "run_at", "run").groupBy("run").agg(F.count("*").alias("n")), "SELECT run, count(*) AS n FROM fx_fills f ASOF LEFT JOIN (SELECT CAST(date AS TIMESTAMP) AS run_at, date AS run FROM fx_calendar WHERE month_first) r ON f.submitted_at >= r.run_at GROUP BY run")
+
+# streams: each settles to its batch twin
+from panelweave.streaming import jobs as T  # noqa: E402
+
+_events = lambda x: T.source(x.spark, x.dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+add("st_dedupe_events", lambda x: T.settle(T.first_arrivals(_events(x), "user_id", "event_type")), "SELECT DISTINCT user_id, event_type FROM events")
+_TUM = "SELECT event_type, date_trunc('day', ts) AS start, first(value ORDER BY ts, event_id) AS o, last(value ORDER BY ts, event_id) AS c, min(value) AS l, max(value) AS h, sum(CAST(round(value * 10000) AS BIGINT)) AS v, count(*) AS n FROM events GROUP BY 1, 2"
+add("st_bars_tumbling", lambda x: T.settle(T.tumbling(_events(x), "event_type", "value", "1 day"), "update", ["event_type", "start"]).withColumn("start", F.to_date("start")), f"SELECT event_type, CAST(start AS DATE) AS start, {r('o', 'open')}, {r('c', 'close')}, {r('l', 'low')}, {r('h', 'high')}, CAST(v AS BIGINT) AS volume, n FROM ({_TUM})")
+add("st_adv_sliding", lambda x: T.settle(T.sliding(_events(x), "event_type", "3 days", "1 day"), "update", ["event_type", "start"]).withColumn("start", F.to_date("start")), "SELECT event_type, CAST(date_trunc('day', ts) AS DATE) - k AS start, count(*) AS n FROM events CROSS JOIN (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS k) GROUP BY 1, 2")
+add("st_episode_sessions", lambda x: T.settle(T.sessions(_events(x), "user_id", "12 hours"), "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")), "WITH a AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS new FROM events) SELECT user_id, count(*) FILTER (new) AS sessions, count(*) AS events FROM a GROUP BY user_id")
+add("st_static_enrich", lambda x: T.settle(T.enrich(T.source(x.spark, x.dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"), "l_quantity"), x.table("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")).groupBy("s_nationkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n")), "SELECT s_nationkey, sum(l_quantity) AS qty, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+_SIGN = lambda: F.when(F.col("event_type") == "purchase", 1).otherwise(-1) * (F.col("event_id") % 5)
+add(
+    "st_positions", lambda x: T.settle(T.running_positions(_events(x).withColumn("q", _SIGN()).select("user_id", "ts", "event_id", "q"), "user_id", "q"), "update", ["user_id"]),
+    "WITH q AS (SELECT user_id, ts, event_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END * (event_id % 5)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS qty FROM events) SELECT user_id, count(*) AS n, CAST(last(qty ORDER BY ts, event_id) AS BIGINT) AS qty, CAST(max(abs(qty)) AS BIGINT) AS peak FROM q GROUP BY user_id",
+)
+
+# covariance windows and learning
+from panelweave.operators import covariance as K  # noqa: E402
+
+_WIN = "kd AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM fx_days), kf AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, min(pos) AS loc FROM kd GROUP BY 1 HAVING min(pos) > 26), kr AS (SELECT kf.month, kd.date, f.ticker, f.ret FROM kf JOIN kd ON kd.pos BETWEEN loc - 26 AND loc - 1 JOIN fx_returns f ON f.date = kd.date AND f.ret IS NOT NULL), kw AS (SELECT month, date, ticker, ret FROM (SELECT *, count(*) OVER (PARTITION BY month, ticker) AS n FROM kr) WHERE n = 26)"
+_rows = lambda x: K.window_rows(x.returns, 26)
+add("window_matrix", lambda x: _rows(x).groupBy("month").agg(F.count_distinct("ticker").alias("names"), F.min("date").alias("first"), F.max("date").alias("last"), F.avg("ret").alias("mean")), f"WITH {_WIN} SELECT month, count(DISTINCT ticker) AS names, min(date) AS first, max(date) AS last, {r('avg(ret)', 'mean')} FROM kw GROUP BY month")
+add("cov_pairs", lambda x: K.cov_pairs(_rows(x)).withColumn("cov", F.col("cov") * 1e4), f"WITH {_WIN} SELECT x.month, x.ticker AS a, y.ticker AS b, {r('covar_samp(x.ret, y.ret) * 10000', 'cov')} FROM kw x JOIN kw y ON x.month = y.month AND x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2, 3")
+for _how in ("sample", "identity", "factor"):
+    add(f"minvar_weights_{_how}", lambda x, how=_how: K.min_variance(_rows(x), how))
+add("minvar_scoreboard", lambda x: K.scoreboard(K.min_variance(_rows(x), "identity"), x.returns, 52))
+add("window_pca", lambda x: K.window_pca(_rows(x), 3))
+_LSIG = "ls AS (SELECT signalname, date, ret / 100 AS ret FROM fx_signals WHERE port = 'LS'), lf AS (SELECT signalname, date, CASE WHEN count(ret) OVER k = 12 THEN sum(ret) OVER k END AS mom, CASE WHEN count(ret) OVER k = 12 THEN stddev_samp(ret) OVER k END AS vol, lead(ret) OVER (PARTITION BY signalname ORDER BY date) AS y FROM ls WINDOW k AS (PARTITION BY signalname ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"
+_feat = lambda x: K.signal_features(U.long_short(x.signals, "1900-01-01"))
+add("signal_features", _feat, f"WITH {_LSIG} SELECT signalname, date, {r('mom', 'mom')}, {r('vol', 'vol')}, {r('y', 'y')} FROM lf")
+_OLS = "om AS (SELECT date, count(*) AS n, sum(mom) AS x, sum(y) AS v, sum(mom * y) AS xv, sum(mom * mom) AS xx FROM lf WHERE mom IS NOT NULL AND y IS NOT NULL GROUP BY date), oc AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, sum(n) OVER k AS n, sum(x) OVER k AS x, sum(v) OVER k AS v, sum(xv) OVER k AS xv, sum(xx) OVER k AS xx FROM om WINDOW k AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), ob AS (SELECT *, (xv * n - x * v) / nullif(xx * n - x * x, 0) AS b FROM oc), oa AS (SELECT *, (v - b * x) / n AS a FROM ob), ok AS (SELECT date, last_value(CASE WHEN i >= 24 AND (i - 24) % 12 = 0 THEN a END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN i >= 24 AND (i - 24) % 12 = 0 THEN b END IGNORE NULLS) OVER w AS b FROM oa WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING))"
+add("expanding_predict", lambda x: K.expanding_ols(_feat(x), 24, 12), f"WITH {_LSIG}, {_OLS} SELECT signalname, lf.date, {r('a + b * mom', 'prediction')} FROM lf JOIN ok USING (date) WHERE mom IS NOT NULL")
+
+# strategy books
+from panelweave.plans.books import BOOKS  # noqa: E402
+
+_MK = "mk AS (SELECT date, 'MKT' AS ticker, ret, 100 * exp(sum(ln(1 + coalesce(ret, 0))) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS close FROM fx_market)"
+_book = lambda name, kind="market": lambda x: BOOKS[name](x.market if kind == "market" else x.returns)
+add("book_bench_buyhold", _book("bench_buyhold"), f"WITH {_MK} SELECT date, ticker, CAST(1 AS DOUBLE) AS w FROM mk")
+_AB = f"ab AS (SELECT *, close / ({mean('close', 40)}) - 1 AS above FROM mk)"
+add("book_bench_sma_2x", _book("bench_sma_2x"), f"WITH {_MK}, {_AB} SELECT date, ticker, CAST(CASE WHEN above > 0 THEN 2 ELSE 0 END AS DOUBLE) AS w FROM ab WHERE above IS NOT NULL")
+add("book_trend_gated_2x", _book("trend_gated_2x"), f"WITH {_MK}, {_AB}, g AS (SELECT *, last_value(CASE WHEN above > 0.01 THEN 1 WHEN above < -0.01 THEN 0 END IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS gate FROM ab) SELECT date, ticker, CAST(coalesce(gate, 0) * 2 AS DOUBLE) AS w FROM g WHERE above IS NOT NULL")
+_TV = f"{_MK}, tv AS (SELECT date, ticker, greatest(0, least(2, 0.01 / nullif(({std('ret', 13)}) * sqrt(52.0), 0))) AS t0, {std('ret', 13)} AS sd FROM mk), tt AS (SELECT date, ticker, CASE WHEN sd IS NOT NULL THEN t0 END AS target FROM tv)"
+_BND = "CASE WHEN o.target IS NOT NULL AND abs(o.target - {z}) > 0.1 THEN o.target ELSE {z} END"
+add_fold("book_vol_managed", _book("vol_managed"), _recursive(_TV, "tt", _BND.format(z="CAST(0 AS DOUBLE)"), _BND.format(z="z.st"), f" SELECT date, ticker, {r('st', 'w')} FROM z"))
+_DM = "dm AS (SELECT date, sector AS ticker, avg(ret) AS ret FROM fx_returns GROUP BY 1, 2), dn AS (SELECT date, ticker, CASE WHEN count(ret) OVER k = 52 THEN round(exp(sum(ln(1 + ret)) OVER k) - 1, 9) END AS mom FROM dm WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))"
+add("book_dual_momentum", _book("dual_momentum", "panel"), f"WITH {_DM} SELECT date, CASE WHEN max(mom) > 0 THEN first(ticker ORDER BY mom DESC, ticker) ELSE 'CASH' END AS ticker, CAST(1 AS DOUBLE) AS w FROM dn WHERE mom IS NOT NULL GROUP BY date")
+add("book_momentum_concentrated", _book("momentum_concentrated", "panel"))
+_ORACLE["book_momentum_concentrated"] = _ORACLE["topk_inverse_vol"]
+_TS = f"ts AS (SELECT date, ticker, close / {lag('close', 26)} - 1 AS mom, {std('ret', 13)} AS sd FROM fx_returns), tr AS (SELECT date, ticker, sign(mom) / (sd * sqrt(52.0)) AS w0 FROM ts WHERE mom IS NOT NULL AND sd > 0)"
+add("book_tsmom_multi_asset", _book("tsmom_multi_asset", "panel"), f"WITH {_TS} SELECT date, ticker, {r('w0 / nullif(sum(abs(w0)) OVER (PARTITION BY date), 0)', 'w')} FROM tr")
+_GD = "gd AS (SELECT date, ticker, ret, avg(ret) OVER k AS mu, stddev_samp(ret) OVER k AS sd, count(ret) OVER k AS n FROM fx_returns WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING)), ge AS (SELECT date, ticker, max(CAST(coalesce(n = 13 AND ret - mu > 1.5 * sd, false) AS INTEGER)) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS active FROM gd)"
+add("book_gap_drift", _book("gap_drift", "panel"), f"WITH {_GD} SELECT date, ticker, {r('1.0 / count(*) OVER (PARTITION BY date)', 'w')} FROM ge WHERE active = 1")
