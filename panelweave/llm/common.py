@@ -12,11 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once (one document at least).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bits of a membership bitmap; 2^25 bits are 4 MB, whatever the input's size.
 BITMAP_BITS = 25
 
 
+#: Rows of an Arrow batch between the JVM and Python, at most; texts are long.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; its session's Arrow batches hold BATCH_ROWS rows at most from now on, so that workers' memory is bounded by few texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,7 +58,7 @@ def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, under fixed names, so that further columns can't clash."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return bounded_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import slices, texts_of
+from panelweave.llm.common import bounded_batches, slices, texts_of
 
 Span = tuple[str, int, int, float]
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -26,7 +26,7 @@ def add_spans(docs: DataFrame, find: Callable[[str], list[Span]], text_col: str
             found = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find(t)] for t in texts_of(batch, text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, f"{schema},{out_col}:{_SPARK}")
+    return bounded_batches(docs).mapInArrow(run, f"{schema},{out_col}:{_SPARK}")
 
 
 def counted(kind: str, spans: str = "spans") -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import slices, texts_of
+from panelweave.llm.common import bounded_batches, slices, texts_of
 from panelweave.llm.linear import Features, fit_logistic, logit, sigmoid, training_set
 
 FOLDS = 4
@@ -80,4 +80,4 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, out_col])
 
     schema = docs.schema.simpleString()[len("struct<") : -1]
-    return docs.mapInArrow(run, f"{schema},{out_col}:struct<{','.join(f'{k}:double' for k in chain.names)}>")
+    return bounded_batches(docs).mapInArrow(run, f"{schema},{out_col}:struct<{','.join(f'{k}:double' for k in chain.names)}>")
