@@ -117,3 +117,29 @@ def route(targets: DataFrame) -> DataFrame:
     """Dollars per account and ticker; shared marks tickers that land in more than one account."""
     g = targets.groupBy("account", "ticker").agg(F.sum("dollars").alias("dollars"))
     return g.withColumn("shared", F.count("*").over(Window.partitionBy("ticker")) > 1)
+
+
+def carry_snapshot(old: DataFrame, new: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """new's rows with the stored values of the kept columns wherever old has them."""
+    o = old.select(*keys, *[F.col(c).alias(f"_{c}") for c in kept])
+    return new.join(o, keys, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in kept else F.col(c) for c in new.columns])
+
+
+def prefer_live(rows: DataFrame) -> DataFrame:
+    """Of a book's rows of one date the live one, else the dry one; rows without a return don't count."""
+    order = Window.partitionBy("book", "date").orderBy((F.col("mode") != "live").cast("int"))
+    return rows.where("ret is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def side_split(fills: DataFrame, tape: DataFrame) -> DataFrame:
+    """Mean slippage by side on sessions whose week's tape rose or fell."""
+    t = tape.where("ret is not null").select(F.col("date").alias("week"), F.when(F.col("ret") > 0, "up").otherwise("down").alias("tape"))
+    return slippage(fills).join(t, "week").groupBy("side", "tape").agg(F.count("*").alias("fills"), F.avg("slip_bps").alias("mean_bps"))
+
+
+def gate(rows: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """PASS if all conditions (name: SQL boolean) hold, FAIL if one doesn't, INCONCLUSIVE if one can't be told; the first that failed is named."""
+    each = [F.expr(c) for c in checks.values()]
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in zip(checks, each, strict=True)]))
+    unknown = sum((c.isNull().cast("int") for c in each), F.lit(0))
+    return rows.withColumn("binding", F.get(failed, F.lit(0))).withColumn("verdict", F.when(F.size(failed) > 0, "FAIL").when(unknown > 0, "INCONCLUSIVE").otherwise("PASS"))

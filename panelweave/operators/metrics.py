@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import by, ratio
+from panelweave.functions.columns import by, corr_from_sums, ratio
 from panelweave.operators.rolling import drawdown
 
 
@@ -122,3 +122,18 @@ def up_down_beta(nets: DataFrame, x: str = "m") -> DataFrame:
     up = F.col(x) > 0
     part = lambda ok: ratio(F.covar_pop(F.when(ok, F.col("net")), F.when(ok, F.col(x))), F.var_pop(F.when(ok, F.col(x))))
     return nets.dropna(subset=["net", x]).groupBy("book").agg(part(F.lit(True)).alias("beta"), part(up).alias("up"), part(~up).alias("down"))
+
+
+def shift_null(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(shift, r2): squared correlation of a with every circular shift of b; both are one series of (pos from 0, v) of the same length."""
+    n = a.agg(F.count("*").alias("n"))
+    x = a.crossJoin(F.broadcast(n)).select("pos", F.col("v").alias("x"), "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1)).alias("shift"))
+    x = x.withColumn("at", (F.col("pos") + F.col("shift")) % F.col("n")).join(b.select(F.col("pos").alias("at"), F.col("v").alias("y")), "at")
+    return x.groupBy("shift").agg(ratio(F.pow(F.covar_pop("x", "y"), F.lit(2)), F.var_pop("x") * F.var_pop("y")).alias("r2"))
+
+
+def vol_clustering(rows: DataFrame, key: str = "ticker") -> DataFrame:
+    """Per key: correlation of squared returns with the ones before, and of returns with the change of squared returns that follows."""
+    w = by(key)
+    x = rows.withColumn("_s", F.col("ret") * F.col("ret")).withColumn("_p", F.lag("_s").over(w)).withColumn("_d", F.lead("_s").over(w) - F.col("_s"))
+    return x.groupBy(key).agg(corr_from_sums(F.col("_s"), F.col("_p")).alias("clustering"), corr_from_sums(F.col("ret"), F.col("_d")).alias("leverage"))

@@ -87,3 +87,38 @@ def compare_books(nets: DataFrame, a: str, b: str, tolerance: float) -> DataFram
 def stale_mark(panel: DataFrame) -> DataFrame:
     last = F.last("close", ignorenulls=True).over(by("ticker").rowsBetween(Window.unboundedPreceding, 0))
     return panel.withColumn("_p", last).withColumn("ret", F.col("_p") / F.lag("_p").over(by("ticker")) - 1).drop("_p")
+
+
+def stress_grid(weights: DataFrame, returns: DataFrame, dates: DataFrame, cost_bps: float, delays: list[int], multiples: list[float]) -> DataFrame:
+    """(book, delay, multiple, total, worst): each book under later execution and dearer trading. The grid is a handful of literals, a key of the result."""
+    runs = [backtest(weights, returns, dates, cost_bps, lag=d).withColumn("delay", F.lit(d)) for d in delays]
+    out = runs[0]
+    for x in runs[1:]:
+        out = out.unionByName(x)
+    grid = F.broadcast(weights.sparkSession.createDataFrame([(float(m),) for m in multiples], "multiple double"))
+    out = out.crossJoin(grid).withColumn("net", F.col("gross") - F.col("cost") * F.col("multiple"))
+    return out.groupBy("book", "delay", "multiple").agg(F.sum("net").alias("total"), F.min("net").alias("worst"))
+
+
+def fill_points(weights: DataFrame, panel: DataFrame, dates: DataFrame) -> DataFrame:
+    """Mean gross of each book filled at the next open (open-to-open returns) and at the close after it (lag two)."""
+    w = by("ticker")
+    oo = panel.select("date", "ticker", (F.lead("open").over(w) / F.col("open") - 1).alias("ret"))
+    cc = panel.select("date", "ticker", "ret")
+    a = backtest(weights, oo, dates, 0.0).groupBy("book").agg(F.avg("gross").alias("at_open"))
+    return a.join(backtest(weights, cc, dates, 0.0, lag=2).groupBy("book").agg(F.avg("gross").alias("at_close")), "book")
+
+
+def target_book(positions: DataFrame) -> DataFrame:
+    """The latest date's nonzero positions, equally weighted by side."""
+    last = positions.agg(F.max("date").alias("date"))
+    x = positions.join(F.broadcast(last), "date").where("position <> 0")  # one row
+    return x.select("date", "ticker", "position", (F.col("position") / F.count("*").over(Window.partitionBy("date"))).alias("w"))
+
+
+def replication(nets: DataFrame, factors: DataFrame, betas: dict[str, dict[str, float]]) -> DataFrame:
+    """Each book's net less the return of its frozen factor exposures (book: factor: beta)."""
+    rows = [(b, f, float(v)) for b, x in betas.items() for f, v in x.items()]
+    table = F.broadcast(nets.sparkSession.createDataFrame(rows, "book string, factor string, beta double"))  # books x factors, literals
+    explained = factors.join(table, "factor").groupBy("book", "date").agg(F.sum(F.col("beta") * F.col("value")).alias("explained"))
+    return nets.join(explained, ["book", "date"]).select("book", "date", "explained", (F.col("net") - F.col("explained")).alias("residual"))

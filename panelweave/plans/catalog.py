@@ -474,3 +474,26 @@ _TS = f"ts AS (SELECT date, ticker, close / {lag('close', 26)} - 1 AS mom, {std(
 add("book_tsmom_multi_asset", _book("tsmom_multi_asset", "panel"), f"WITH {_TS} SELECT date, ticker, {r('w0 / nullif(sum(abs(w0)) OVER (PARTITION BY date), 0)', 'w')} FROM tr")
 _GD = "gd AS (SELECT date, ticker, ret, avg(ret) OVER k AS mu, stddev_samp(ret) OVER k AS sd, count(ret) OVER k AS n FROM fx_returns WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING)), ge AS (SELECT date, ticker, max(CAST(coalesce(n = 13 AND ret - mu > 1.5 * sd, false) AS INTEGER)) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS active FROM gd)"
 add("book_gap_drift", _book("gap_drift", "panel"), f"WITH {_GD} SELECT date, ticker, {r('1.0 / count(*) OVER (PARTITION BY date)', 'w')} FROM ge WHERE active = 1")
+
+# stress, nulls, gates and further ledger rules
+_HELD = lambda n: f"SELECT book, date, ticker, coalesce(lag(w, {n}) OVER k, 0) AS held, abs(coalesce(lag(w, {n}) OVER k, 0) - coalesce(lag(w, {n + 1}) OVER k, 0)) AS traded FROM fx_held0 WINDOW k AS (PARTITION BY book, ticker ORDER BY date)"
+_DAY = lambda n, ret: f"SELECT book, date, coalesce(sum(held * {ret}), 0) AS gross, sum(traded) * 0.001 AS cost FROM ({_HELD(n)}) LEFT JOIN rt USING (date, ticker) GROUP BY 1, 2"
+_RT = "rt AS (SELECT date, ticker, ret, lead(open) OVER (PARTITION BY ticker ORDER BY date) / open - 1 AS oo FROM fx_returns)"
+add("stress_grid", lambda x: L.stress_grid(x.weights, x.returns.select(*DT, "ret"), x.calendar.select("date"), 10.0, [1, 2], [0.5, 2.0, 4.0]), f"WITH {_RT}, d AS (SELECT 1 AS delay, * FROM ({_DAY(1, 'ret')}) UNION ALL SELECT 2, * FROM ({_DAY(2, 'ret')})) SELECT book, delay, multiple, {r('sum(gross - cost * multiple)', 'total')}, {r('min(gross - cost * multiple)', 'worst')} FROM d CROSS JOIN (SELECT CAST(unnest([0.5, 2, 4]) AS DOUBLE) AS multiple) GROUP BY 1, 2, 3")
+add("fill_point_arms", lambda x: L.fill_points(x.weights, x.returns, x.calendar.select("date")), f"WITH {_RT}, a AS (SELECT book, avg(gross) AS p FROM ({_DAY(1, 'oo')}) GROUP BY 1), c AS (SELECT book, avg(gross) AS q FROM ({_DAY(2, 'ret')}) GROUP BY 1) SELECT book, {r('p', 'at_open')}, {r('q', 'at_close')} FROM a JOIN c USING (book)")
+add("target_book", lambda x: L.target_book(_bands(x)), f"WITH {_BANDS} SELECT date, ticker, CAST(position AS INTEGER) AS position, {r('position / CAST(count(*) OVER () AS DOUBLE)', 'w')} FROM p3 WHERE date = (SELECT max(date) FROM p3) AND position <> 0")
+add("frozen_replication", lambda x: L.replication(x.nets, x.returns.groupBy("date").agg(F.avg("ret").alias("mkt"), (F.avg(F.when(F.col("sector") == "ASIA", F.col("ret"))) - F.avg(F.when(F.col("sector") == "EUROPE", F.col("ret")))).alias("hml")).select("date", F.expr("stack(2, 'mkt', mkt, 'hml', hml)").alias("factor", "value")), {"bk_ew": {"mkt": 1.0}, "bk_rot": {"mkt": 0.9, "hml": 0.3}}), f"WITH {_FF}, e AS (SELECT book, date, CASE book WHEN 'bk_ew' THEN mkt ELSE coalesce(0.9 * mkt + 0.3 * hml, 0.9 * mkt, 0.3 * hml) END AS x, net FROM fx_nets JOIN ff USING (date) WHERE book IN ('bk_ew', 'bk_rot')) SELECT book, date, {r('x', 'explained')}, {r('net - x', 'residual')} FROM e")
+_ser = lambda x, b: x.nets.where(F.col("book") == b).select((F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("pos"), F.col("net").alias("v"))
+add("shift_null", lambda x: M.shift_null(_ser(x, "bk_ew"), _ser(x, "bk_rot")), f"WITH a AS (SELECT row_number() OVER (ORDER BY date) - 1 AS pos, net AS x FROM fx_nets WHERE book = 'bk_ew'), b AS (SELECT row_number() OVER (ORDER BY date) - 1 AS pos, net AS y FROM fx_nets WHERE book = 'bk_rot'), n AS (SELECT count(*) AS n FROM a) SELECT shift, {r('pow(covar_pop(x, y), 2) / nullif(var_pop(x) * var_pop(y), 0)', 'r2')} FROM a CROSS JOIN n JOIN range(1, 2000) s(shift) ON shift < n JOIN b ON b.pos = (a.pos + shift) % n GROUP BY shift")
+_CO = lambda p, q: f"CASE WHEN var_pop({p}) FILTER ({q} IS NOT NULL) > 1e-18 AND var_pop({q}) FILTER ({p} IS NOT NULL) > 1e-18 THEN covar_pop({p}, {q}) / sqrt(var_pop({p}) FILTER ({q} IS NOT NULL) * var_pop({q}) FILTER ({p} IS NOT NULL)) END"
+add("vol_clustering_props", lambda x: M.vol_clustering(x.returns.where("ret is not null").withColumn("ret", F.col("ret") * 100)), f"WITH a AS (SELECT ticker, date, ret * 100 AS ret, ret * ret * 10000 AS s FROM fx_returns WHERE ret IS NOT NULL), b AS (SELECT *, lag(s) OVER (PARTITION BY ticker ORDER BY date) AS p, lead(s) OVER (PARTITION BY ticker ORDER BY date) - s AS d FROM a) SELECT ticker, {r(_CO('s', 'p'), 'clustering')}, {r(_CO('ret', 'd'), 'leverage')} FROM b GROUP BY ticker")
+add("carry_snapshot", lambda x: O.carry_snapshot(x.nets.where("date < date'1999-01-01'").select("book", "date", (F.col("net") + 1).alias("net")), x.nets.select("book", "date", "net", "gross"), ["book", "date"], ["net"]), f"SELECT book, date, {r('CASE WHEN date < DATE ' + chr(39) + '1999-01-01' + chr(39) + ' THEN net + 1 ELSE net END', 'net')}, {r('gross', 'gross')} FROM fx_nets")
+_modes = lambda x: x.nets.select("book", "date", F.lit("dry").alias("mode"), F.col("net").alias("ret")).unionByName(x.nets.where("month(date) < 7").select("book", "date", F.lit("live").alias("mode"), F.when(F.month("date") != 3, F.col("gross")).alias("ret")))
+add("book_daily_returns", lambda x: O.prefer_live(_modes(x)), f"SELECT book, date, CASE WHEN month(date) < 7 AND month(date) <> 3 THEN 'live' ELSE 'dry' END AS mode, {r('CASE WHEN month(date) < 7 AND month(date) <> 3 THEN gross ELSE net END', 'ret')} FROM fx_nets")
+add("exec_side_split", lambda x: O.side_split(x.fills, x.market), f"SELECT side, CASE WHEN ret > 0 THEN 'up' ELSE 'down' END AS tape, count(*) AS fills, {r(f'avg({_SLIP})', 'mean_bps')} FROM fx_fills JOIN fx_market m ON m.date = week WHERE filled_qty > 0 AND ret IS NOT NULL GROUP BY 1, 2")
+# exact multiples of five basis points sit on the limit, so the alarm limit of 15 is compared after the same arithmetic on both sides
+_CHECKS = {"rate": "fill_rate >= 0.6", "rejects": "rejected = 0", "slippage": "abs(slip_bps) <= 15"}
+add("flatten_gate", lambda x: O.gate(O.reconcile(x.fills), _CHECKS).select("session", "binding", "verdict"), f"WITH {_REC} SELECT session, CASE WHEN fill_rate < 0.6 THEN 'rate' WHEN rejected > 0 THEN 'rejects' WHEN abs(slip_bps) > 15 THEN 'slippage' END AS binding, CASE WHEN fill_rate < 0.6 OR rejected > 0 OR abs(slip_bps) > 15 THEN 'FAIL' WHEN fill_rate IS NULL OR slip_bps IS NULL THEN 'INCONCLUSIVE' ELSE 'PASS' END AS verdict FROM rd")
+add("weight_leakage", lambda x: V.truncation_audit(C.quantile_weights(_mom(x), 5, "mom"), C.quantile_weights(_mom_cut(x), 5, "mom"), list(DT), "w"), f"WITH {_BUCKET} SELECT count(*) AS cells, CAST(0 AS BIGINT) AS leaks, 'PASS' AS verdict FROM q1 WHERE n >= 5 AND bucket IN (0, 4) AND date < DATE '1999-01-01'")
+add("parity_check", lambda x: J.gaps(C.quantile_weights(_mom(x), 5, "mom").where("date < date'1999-01-01'"), C.quantile_weights(_mom_cut(x), 5, "mom"), list(DT), "w", 1e-9).agg(F.count("*").alias("gaps")), "SELECT CAST(0 AS BIGINT) AS gaps")
+add("st_last_mark", lambda x: T.settle(_events(x).groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")), "update", ["user_id", "event_type"]), f"SELECT user_id, event_type, {r('last(value ORDER BY ts, event_id)', 'value')} FROM events GROUP BY 1, 2")
