@@ -77,13 +77,13 @@ def bitmap(df: DataFrame, hashed: Column, bits: int = BITMAP_BITS) -> np.ndarray
     slot = hashed.bitwiseAND(F.lit((1 << bits) - 1))
     words = (
         df.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
+        .groupBy(F.shiftright("slot", 6).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    if len(words):
-        out[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64)
+    for batch in words.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.view(np.uint64)
 
 

@@ -29,7 +29,6 @@ GRAM = 8
 SPLIT = (LENGTH - GRAM + 1) // 2 + 1
 HOT = 2000
 SLICE = 1 << 20
-BITS = 26
 
 
 def _owners(data: np.ndarray) -> np.ndarray:
@@ -180,7 +179,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(t1, t2, ranges): of each text with repeats, the runs of window starts (at, n) that occur elsewhere."""
     shared = _phrase_rows(texts).groupBy("core").agg(F.count("*").alias("total"), (F.min("full") == F.max("full")).alias("alike")).where("total > 1").select("core", "alike")
     shared = cut(shared)
-    rows = cut(_phrase_rows(texts, bitmap(shared, F.col("core"), BITS)).join(shared, "core"))
+    rows = cut(_phrase_rows(texts, bitmap(shared, F.col("core"))).join(shared, "core"))
     mixed = rows.where("not alike").drop("alike")
     kinds = mixed.groupBy("core", "full").agg((F.count("*") > 1).alias("twice"), F.min(F.struct("t1", "t2", "at")).alias("one"))
     kinds = cut(kinds)
