@@ -248,7 +248,7 @@ _CORR = "CASE WHEN var_pop(a) > 1e-18 AND var_pop(b) > 1e-18 THEN (avg(a * b) -
 _IC = f"{_FWD}, f2 AS (SELECT date, {_RK('score', 'date')} AS a, {_RK('fwd', 'date')} AS b FROM f1), ic AS (SELECT date, count(*) AS n, {_CORR} AS ic FROM f2 GROUP BY date HAVING count(*) >= 20)"
 add("rank_ic", lambda x: C.rank_ic(_fwd(x), 20), f"WITH {_IC} SELECT date, n, {r('ic', 'ic')} FROM ic")
 _ICS = f"count(*) AS n, {r('avg(ic)', 'mean')}, {r('avg(ic) * sqrt(count(*)) / nullif(stddev_samp(ic), 0)', 't')}, {r('avg(CAST(ic > 0 AS DOUBLE))', 'hit')}"
-add("agg_rollup_ic", lambda x: C.ic_summary(C.rank_ic(_fwd(x), 20)), f"WITH {_IC} SELECT CAST(year(date) AS INTEGER) AS year, {_ICS} FROM ic WHERE ic IS NOT NULL GROUP BY ROLLUP (CAST(year(date) AS INTEGER))")
+add("agg_rollup_ic", lambda x: C.ic_summary(C.rank_ic(_fwd(x), 20)), f"WITH {_IC} SELECT CAST(year(date) AS INTEGER) AS year, {_ICS} FROM ic WHERE ic IS NOT NULL GROUP BY ROLLUP (CAST(year(date) AS INTEGER)) HAVING count(*) > 0")
 add("rank_ic_pooled", lambda x: C.pooled_ic(_fwd(x).withColumns({c: F.round(c, 9) for c in ("score", "fwd")})), f"WITH {_FWD.replace('f1 AS (SELECT * FROM', 'f1 AS (SELECT date, ticker, round(score, 9) AS score, round(fwd, 9) AS fwd FROM')}, p AS (SELECT {_RK('score', '')} AS a, {_RK('fwd', '')} AS b FROM f1), c AS (SELECT count(*) AS n, {_CORR} AS ic FROM p) SELECT n, {r('ic', 'ic')}, {r('ic * sqrt(n - 2) / sqrt(1 - ic * ic)', 't')} FROM c")
 add(
     "tercile_conditional_ic", lambda x: C.tercile_ic(_fwd(x).withColumnRenamed("volume", "by")),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,17 @@ from panelweave.operators import bars as B
 from panelweave.operators import universe as U
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 class Fixtures:
-    """Each property is a DataFrame over the tables in sf_dir; nothing is computed before an action."""
+    """Each property is a DataFrame over the tables in sf_dir. The panel with returns, from which most queries start several times, is
+    materialised once; nothing else is computed before an action."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
@@ -67,9 +79,9 @@ class Fixtures:
         grid = B.densify(self.bars, self.calendar.select("date"))
         return U.membership_mask(self.changes, grid)
 
-    @property
+    @cached_property
     def returns(self) -> DataFrame:
-        return B.daily_returns(self.panel).join(self.sectors.select("ticker", "sector"), "ticker")
+        return cut(B.daily_returns(self.panel).join(self.sectors.select("ticker", "sector"), "ticker"))
 
     @property
     def factor(self) -> DataFrame:
@@ -101,7 +113,7 @@ class Fixtures:
         """(book, date, gross, cost, net, turnover)."""
         from panelweave.operators import pnl as L
 
-        return L.backtest(self.weights, self.returns.select("date", "ticker", "ret"), self.calendar.select("date"), cost_bps=10.0)
+        return L.backtest(self.weights, self.returns.select("date", "ticker", "ret"), self.returns.select("date").distinct(), cost_bps=10.0)
 
     @property
     def earnings(self) -> DataFrame:
