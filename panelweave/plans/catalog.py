@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import by, rolling_median, rounded
+from panelweave.functions.columns import by, rolling_median
 from panelweave.operators import bars as B
 from panelweave.operators import cross_section as C
 from panelweave.operators import events as V
@@ -18,28 +16,10 @@ from panelweave.operators import pnl as L
 from panelweave.operators import rolling as W
 from panelweave.operators import state as P
 from panelweave.operators import universe as U
-from panelweave.plans.fixtures import Fixtures
-from panelweave.plans.oracle import lag, mean, r, roll, std, total, wrap
+from panelweave.plans.oracle import lag, mean, r, roll, std, total
+from panelweave.plans.registry import add, add_fold, alias, oracle_sql, queries  # noqa: F401
 from panelweave.sources import readers as S
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
-
-
-def add(name: str, build: Callable[[Fixtures], DataFrame], sql: str | None = None) -> None:
-    _QUERIES[name] = lambda spark, sf_dir: rounded(build(Fixtures(spark, sf_dir)))
-    if sql:
-        _ORACLE[name] = wrap(sql)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
-
-
 DT = ("date", "ticker")
 
 # sources and sinks
@@ -277,15 +257,10 @@ _FOLD = "RECURSIVE {base}, o AS (SELECT *, row_number() OVER (PARTITION BY ticke
 
 
 def _recursive(base: str, src: str, first: str, step: str, out: str) -> str:
-    """A fold as a recursive query; wrap() puts the fixtures in front, so RECURSIVE moves to the front too."""
+    """A fold as a recursive query."""
     return "WITH " + _FOLD.format(base=base, src=src, first=first, step=step).removeprefix("RECURSIVE ") + out
 
 
-def add_fold(name: str, build: Callable[[Fixtures], DataFrame], sql: str) -> None:
-    add(name, build, sql)
-    _ORACLE[name] = _ORACLE[name].replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 _STEP = "CASE WHEN o.s IS NULL THEN {z} WHEN {z} = 0 THEN CASE WHEN o.s >= 1.25 THEN -1 WHEN o.s <= -1.25 AND o.s > -2 THEN 1 ELSE 0 END WHEN abs(o.s) <= 0.5 OR ({z} = 1 AND o.s <= -2) THEN 0 ELSE {z} END"
 add_fold("band_positions_floor", lambda x: P.band_positions_floor(_s(x), 1.25, 0.5, -2.0), _recursive(_S, "s2", _STEP.format(z="0"), _STEP.format(z="z.st"), " SELECT date, ticker, CAST(st AS INTEGER) AS position FROM z"))
 _GATE = f"h0 AS (SELECT *, close / ({mean('close', 8)}) - 1 AS above FROM fx_panel)"
@@ -469,7 +444,7 @@ add_fold("book_vol_managed", _book("vol_managed"), _recursive(_TV, "tt", _BND.fo
 _DM = "dm AS (SELECT date, sector AS ticker, avg(ret) AS ret FROM fx_returns GROUP BY 1, 2), dn AS (SELECT date, ticker, CASE WHEN count(ret) OVER k = 52 THEN round(exp(sum(ln(1 + ret)) OVER k) - 1, 9) END AS mom FROM dm WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))"
 add("book_dual_momentum", _book("dual_momentum", "panel"), f"WITH {_DM} SELECT date, CASE WHEN max(mom) > 0 THEN first(ticker ORDER BY mom DESC, ticker) ELSE 'CASH' END AS ticker, CAST(1 AS DOUBLE) AS w FROM dn WHERE mom IS NOT NULL GROUP BY date")
 add("book_momentum_concentrated", _book("momentum_concentrated", "panel"))
-_ORACLE["book_momentum_concentrated"] = _ORACLE["topk_inverse_vol"]
+alias("book_momentum_concentrated", "topk_inverse_vol")
 _TS = f"ts AS (SELECT date, ticker, close / {lag('close', 26)} - 1 AS mom, {std('ret', 13)} AS sd FROM fx_returns), tr AS (SELECT date, ticker, sign(mom) / (sd * sqrt(52.0)) AS w0 FROM ts WHERE mom IS NOT NULL AND sd > 0)"
 add("book_tsmom_multi_asset", _book("tsmom_multi_asset", "panel"), f"WITH {_TS} SELECT date, ticker, {r('w0 / nullif(sum(abs(w0)) OVER (PARTITION BY date), 0)', 'w')} FROM tr")
 _GD = "gd AS (SELECT date, ticker, ret, avg(ret) OVER k AS mu, stddev_samp(ret) OVER k AS sd, count(ret) OVER k AS n FROM fx_returns WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING)), ge AS (SELECT date, ticker, max(CAST(coalesce(n = 13 AND ret - mu > 1.5 * sd, false) AS INTEGER)) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS active FROM gd)"
@@ -497,3 +472,6 @@ add("flatten_gate", lambda x: O.gate(O.reconcile(x.fills), _CHECKS).select("sess
 add("weight_leakage", lambda x: V.truncation_audit(C.quantile_weights(_mom(x), 5, "mom"), C.quantile_weights(_mom_cut(x), 5, "mom"), list(DT), "w"), f"WITH {_BUCKET} SELECT count(*) AS cells, CAST(0 AS BIGINT) AS leaks, 'PASS' AS verdict FROM q1 WHERE n >= 5 AND bucket IN (0, 4) AND date < DATE '1999-01-01'")
 add("parity_check", lambda x: J.gaps(C.quantile_weights(_mom(x), 5, "mom").where("date < date'1999-01-01'"), C.quantile_weights(_mom_cut(x), 5, "mom"), list(DT), "w", 1e-9).agg(F.count("*").alias("gaps")), "SELECT CAST(0 AS BIGINT) AS gaps")
 add("st_last_mark", lambda x: T.settle(_events(x).groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")), "update", ["user_id", "event_type"]), f"SELECT user_id, event_type, {r('last(value ORDER BY ts, event_id)', 'value')} FROM events GROUP BY 1, 2")
+
+# further queries, which register themselves
+from panelweave.plans import catalog_books, catalog_inference  # noqa: E402, F401

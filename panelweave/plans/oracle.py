@@ -32,6 +32,32 @@ def lag(x: str, n: int = 1, key: str = "ticker") -> str:
     return f"lag({x}, {n}) OVER (PARTITION BY {key} ORDER BY date)"
 
 
+def sharpe(x: str, per_year: int = 52) -> str:
+    return f"CASE WHEN count({x}) < 2 OR coalesce(stddev_samp({x}), 0) <= 1e-18 THEN 0.0 ELSE avg({x}) / stddev_samp({x}) * sqrt({per_year}.0) END"
+
+
+def scramble(a: str, b: str) -> str:
+    h = f"((({a}) * 1009 + ({b}) * 9176 + 12345) * 48271 % 2147483647)"
+    return f"(({h} * {h} + 31 * {h}) % 2147483647 * 69621 % 2147483647)"
+
+
+def bartlett(x: str, lags: int) -> tuple[str, str]:
+    """Products of x with its lags over window w, and their Newey-West sum."""
+    products = ", ".join([f"{x} * {x} AS c_{x}0", *[f"{x} * lag({x}, {k}) OVER w AS c_{x}{k}" for k in range(1, lags + 1)]])
+    return products, f"(sum(c_{x}0)" + "".join(f" + {2 * (1 - k / (lags + 1))!r} * coalesce(sum(c_{x}{k}), 0)" for k in range(1, lags + 1)) + ")"
+
+
+def nw_line(src: str, keys: str, lags: int, term: str) -> str:
+    """CTEs up to `nw`: (keys, n, r2, term, coef, t) of y on a constant and x in src(keys, date, y, x)."""
+    (pa, va), (pb, vb) = bartlett("ga", lags), bartlett("gb", lags)
+    ok = "y IS NOT NULL AND x IS NOT NULL"
+    return f"""o1 AS (SELECT {keys}, count(*) AS n, avg(y) AS my, avg(x) AS mx, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) / nullif(var_pop(x), 0) AS b FROM {src} WHERE {ok} GROUP BY {keys}),
+        o2 AS (SELECT {keys}, date, n, vy, my - b * mx AS a, b, y - (my - b * mx) - b * x AS u, x - mx AS d, mx, vx FROM {src} JOIN o1 USING ({keys}) WHERE {ok}),
+        o3 AS (SELECT *, u * (1.0 / n - mx * d / (n * vx)) AS ga, u * d / (n * vx) AS gb FROM o2), o4 AS (SELECT *, {pa}, {pb} FROM o3 WINDOW w AS (PARTITION BY {keys} ORDER BY date)),
+        o5 AS (SELECT {keys}, first(n) AS n, 1 - sum(u * u) / nullif(first(vy) * first(n), 0) AS r2, first(a) AS a, first(b) AS b, sqrt(greatest({va}, 0)) AS sa, sqrt(greatest({vb}, 0)) AS sb FROM o4 GROUP BY {keys}),
+        nw AS (SELECT {keys}, n, r2, 'const' AS term, a AS coef, a / nullif(sa, 0) AS t FROM o5 UNION ALL SELECT {keys}, n, r2, '{term}', b, b / nullif(sb, 0) FROM o5)"""
+
+
 _TICKER = "'N' || lpad(CAST({} AS VARCHAR), 2, '0')"
 
 VIEWS = {
