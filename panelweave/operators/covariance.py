@@ -27,7 +27,8 @@ def cov_pairs(rows: DataFrame) -> DataFrame:
 
 
 def shrunk(r: np.ndarray, how: str) -> np.ndarray:
-    """sample; identity: linear shrinkage to a scaled identity with the estimated best intensity; factor: first component plus diagonal."""
+    """sample; identity: linear shrinkage to a scaled identity with the estimated best intensity; factor: first component plus diagonal;
+    constant_correlation: half way to equal correlations; clip: correlation eigenvalues under the noise edge replaced by their mean."""
     x = r - r.mean(axis=0)
     t, p = x.shape
     s = x.T @ x / t
@@ -41,6 +42,19 @@ def shrunk(r: np.ndarray, how: str) -> np.ndarray:
         value, vector = np.linalg.eigh(s)
         common = value[-1] * np.outer(vector[:, -1], vector[:, -1])
         return common + np.diag(np.maximum(np.diag(s - common), 1e-12))
+    if how in ("constant_correlation", "clip"):
+        sd = np.sqrt(np.maximum(np.diag(s), 1e-18))
+        c = s / np.outer(sd, sd)
+        if how == "constant_correlation":
+            mean = (c.sum() - p) / max(p * (p - 1), 1)
+            c = 0.5 * c + 0.5 * (mean + (1 - mean) * np.eye(p))
+        else:
+            value, vector = np.linalg.eigh(c)
+            noise = value < (1 + np.sqrt(p / t)) ** 2
+            value = np.where(noise, value[noise].mean() if noise.any() else 0.0, value)
+            c = vector @ np.diag(value) @ vector.T
+            c = c / np.sqrt(np.outer(np.diag(c), np.diag(c)))
+        return c * np.outer(sd, sd) * t / (t - 1)
     return s * t / (t - 1)
 
 

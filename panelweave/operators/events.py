@@ -103,3 +103,21 @@ def panel_quality(panel: DataFrame) -> DataFrame:
         F.count("*").alias("cells"), F.count_if(F.col("close").isNull() & F.col("date").between(F.col("_first"), F.col("_last"))).alias("holes"), F.count_if(F.col("member") & F.col("close").isNull()).alias("member_unpriced"), F.count_if("_same").alias("flat"), F.count_if(F.col("close") <= 0).alias("nonpositive"),
         F.first("_first").alias("first"), F.first("_last").alias("last"),
     )
+
+
+def ic_report(cars: DataFrame, scores: DataFrame, horizons: list[int], least: int) -> DataFrame:
+    """(k, n, ic, t, verdict): Pearson correlation of score and cumulative return per horizon; few events still accumulate."""
+    g = ic_decay(cars, scores, horizons).drop("hit")
+    t = ratio(F.col("ic") * F.sqrt((F.col("n") - 2).cast("double")), F.sqrt(1 - F.col("ic") * F.col("ic")))
+    g = g.withColumn("t", F.when(F.col("n") >= 3, t))
+    return g.withColumn("verdict", F.when(F.col("n") < least, "ACCUMULATING").when(F.col("t") > 2, "PASS").when(F.col("t") < 0, "KILL").otherwise("INDETERMINATE"))
+
+
+def checkpoint(events: DataFrame, cars: DataFrame, k: int, least: int, top: float, missing: float) -> DataFrame:
+    """One row: events, matured ones, share of missing estimates, largest name's share, and whether every arming condition holds."""
+    total = events.agg(F.count("*").alias("events"), F.avg(F.col("estimate").isNull().cast("double")).alias("missing"))
+    largest = events.groupBy("symbol").agg(F.count("*").alias("_n")).agg((F.max("_n") / F.sum("_n")).alias("largest"))
+    ripe = cars.where((F.col("k") == k) & F.col("car").isNotNull()).agg(F.count("*").alias("matured"))
+    out = total.crossJoin(F.broadcast(largest)).crossJoin(F.broadcast(ripe))  # one row each
+    armed = (F.col("matured") >= least) & (F.col("missing") <= missing) & (F.col("largest") <= top)
+    return out.withColumn("armed", F.coalesce(armed, F.lit(False)))

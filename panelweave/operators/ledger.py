@@ -143,3 +143,36 @@ def gate(rows: DataFrame, checks: dict[str, str]) -> DataFrame:
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in zip(checks, each, strict=True)]))
     unknown = sum((c.isNull().cast("int") for c in each), F.lit(0))
     return rows.withColumn("binding", F.get(failed, F.lit(0))).withColumn("verdict", F.when(F.size(failed) > 0, "FAIL").when(unknown > 0, "INCONCLUSIVE").otherwise("PASS"))
+
+
+def slippage_alarms(means: DataFrame, limit: float, least: int, full: int) -> DataFrame:
+    """means: (ticker, n, mean_bps, fresh). untested under `least` fills, stale without a fresh one, provisional under `full`, breach beyond the limit, else ok."""
+    state = F.when(F.col("n") < least, "untested").when(~F.col("fresh"), "stale").when(F.abs("mean_bps") > limit, F.when(F.col("n") < full, "provisional_breach").otherwise("breach")).when(F.col("n") < full, "provisional")
+    return means.withColumn("alarm", F.coalesce(state, F.lit("ok")))
+
+
+def paper_stats(nets: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """(book, nav, ticker, w, place): the level after the last date and the k largest holdings on it."""
+    nav = nets.groupBy("book").agg(F.exp(F.sum(F.log1p("net"))).alias("nav"), F.max("date").alias("date"))
+    x = held.join(nav, ["book", "date"]).where("w <> 0")
+    place = F.row_number().over(Window.partitionBy("book").orderBy(F.desc(F.abs("w")), "ticker"))
+    return x.withColumn("place", place).where(F.col("place") <= k).select("book", "nav", "ticker", "w", "place")
+
+
+def reconcile_exact(fills: DataFrame, n: int, tolerance: float) -> DataFrame:
+    """(ticker, session, gap, drag, settled): shares ordered less shares filled so far, signed cost of the last n sessions, and whether the gap is within tolerance."""
+    sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
+    cost = F.when(F.col("filled_qty") > 0, sign * (F.col("price") - F.col("close")) * F.col("filled_qty")).otherwise(0.0)
+    day = fills.groupBy("ticker", "session").agg(F.sum(sign * (F.col("qty") - F.col("filled_qty"))).alias("_g"), F.sum(cost).alias("_c"))
+    w = by("ticker", order="session")
+    out = day.withColumn("gap", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("drag", F.sum("_c").over(w.rowsBetween(-(n - 1), 0)))
+    return out.select("ticker", "session", "gap", "drag", (F.abs("gap") <= tolerance).alias("settled"))
+
+
+def drift_exec_split(fills: DataFrame, opens: DataFrame, bound: float) -> DataFrame:
+    """Mean slippage per ticker split at the open: drift (close to open) and execution (open to fill), withheld beyond the bound or without an open."""
+    sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
+    x = fills.where("filled_qty > 0").join(opens, ["ticker", "week"], "left")
+    x = x.withColumn("_d", sign * (F.col("open") / F.col("close") - 1) * 1e4).withColumn("_e", sign * (F.col("price") - F.col("open")) / F.col("close") * 1e4)
+    ok = F.col("open").isNotNull() & (F.abs("_d") <= bound)
+    return x.groupBy("ticker").agg(F.count("*").alias("fills"), F.count_if(ok).alias("split"), F.avg(F.when(ok, F.col("_d"))).alias("drift_bps"), F.avg(F.when(ok, F.col("_e"))).alias("exec_bps"))
