@@ -116,7 +116,7 @@ def drift_grid(weights: DataFrame, returns: DataFrame, bands: list[float], level
 
 
 def slot_grid(candidates: DataFrame, slots: list[int], holds: list[int]) -> DataFrame:
-    """(slots, hold, date, ticker, age): the deepest candidates take free slots; a name leaves on its exit signal, at the longest hold, or
+    """(slots, hold, date, ticker, age): the candidates of least depth (the most negative) take free slots first; a name leaves on its exit signal, at the longest hold, or
     without a price. candidates: (date, ticker, depth or null, leave, priced), ranked and filtered beforehand; one cell of the grid is a group."""
     grid = candidates.sparkSession.createDataFrame([(s, h) for s in slots for h in holds], "slots int, hold int")
     x = candidates.crossJoin(F.broadcast(grid))
@@ -124,7 +124,7 @@ def slot_grid(candidates: DataFrame, slots: list[int], holds: list[int]) -> Data
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         most, longest = key
         out, age = [], {}
-        for date, day in pdf.sort_values(["date", "depth", "ticker"], ascending=[True, False, True]).groupby("date", sort=True):
+        for date, day in pdf.sort_values(["date", "depth", "ticker"]).groupby("date", sort=True):
             leave, priced = set(day.loc[day["leave"], "ticker"]), set(day.loc[day["priced"], "ticker"])
             age = {t: a + 1 for t, a in age.items() if t in priced and t not in leave and a < longest}
             for t in day.loc[day["depth"].notna() & day["priced"] & ~day["leave"], "ticker"]:
@@ -165,22 +165,22 @@ def gate_positions(runs: DataFrame, share: float, q: float) -> DataFrame:
 
 
 def walk_forward_logit(features: DataFrame, least: int, folds: int) -> DataFrame:
-    """(fold, date, ticker, y, p): a logistic regression per fold, fitted on all rows before it. features: (date, ticker, y, x array).
+    """(fold, date, ticker, y, p): a logistic regression per fold, fitted on the rows whose label was known before the fold's first date.
 
-    Folds are `folds` equal stretches of the distinct dates; one with fewer than `least` earlier rows or one class is left out. Fits are distributed; the loop is over folds.
+    features: (date, ticker, y, known: the date from which y is known, x: array). Folds are equal stretches of the distinct dates; one with
+    fewer than `least` earlier rows or one class is left out. Fits are distributed; the loop is over folds.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     dates = features.select("date").distinct().withColumn("fold", F.ntile(folds).over(Window.orderBy("date")))  # one row per date
     x = features.join(dates, "date").withColumn("features", array_to_vector("x"))
-    counts = {r["fold"]: (r["n"], r["up"]) for r in x.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("up")).collect()}  # a row per fold
-    out = None
-    for k in range(2, folds + 1):
-        n, up = (sum(v[i] for f, v in counts.items() if f < k) for i in (0, 1))
-        if n < least or up in (0, n) or k not in counts:
+    out = x.where("false").select("fold", "date", "ticker", "y", F.lit(0.0).alias("p"))
+    for fold in dates.groupBy("fold").agg(F.min("date").alias("start")).orderBy("fold").collect():  # a row per fold
+        train = x.where(F.col("known") < F.lit(fold["start"]))
+        n, up = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+        if n < least or up in (0, n):
             continue
-        model = LogisticRegression(labelCol="y", regParam=0.01, maxIter=30).fit(x.where(F.col("fold") < k))
-        p = model.transform(x.where(F.col("fold") == k)).select("fold", "date", "ticker", "y", vector_to_array("probability")[1].alias("p"))
-        out = p if out is None else out.unionByName(p)
-    return out if out is not None else x.where("false").select("fold", "date", "ticker", "y", F.lit(0.0).alias("p"))
+        model = LogisticRegression(labelCol="y", regParam=0.01, maxIter=30).fit(train)
+        out = out.unionByName(model.transform(x.where(F.col("fold") == fold["fold"])).select("fold", "date", "ticker", "y", vector_to_array("probability")[1].alias("p")))
+    return out

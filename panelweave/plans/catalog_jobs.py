@@ -134,19 +134,19 @@ add("slot_allocator", lambda x: N.slot_grid(_candidates(x), [3, 8], [4, 13]))
 
 
 def _entries(x: Fixtures) -> DataFrame:
-    """Trades of the residual book with what was known at entry: (ticker, start, pnl, s, vol, sector)."""
+    """Trades of the residual book with what was known at entry: (ticker, start, end, pnl, s, vol, sector)."""
     t = P.trades(base._bands(x))
     known = W.realized_vol(base._s(x), 8, 52).select("ticker", F.col("date").alias("start"), "s", "vol", "sector")
-    return t.select("ticker", "start", "pnl").join(known, ["ticker", "start"])
+    return t.select("ticker", "start", "end", "pnl").join(known, ["ticker", "start"])
 
 
 _SECTORS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-add("meta_features", lambda x: N.meta_features(_entries(x).drop("pnl"), ["s", "vol"], "sector", _SECTORS))
+add("meta_features", lambda x: N.meta_features(_entries(x).drop("pnl", "end"), ["s", "vol"], "sector", _SECTORS))
 
 
 def _scored(x: Fixtures) -> DataFrame:
     f = N.meta_features(_entries(x), ["s", "vol"], "sector", _SECTORS)
-    f = f.select(F.col("start").alias("date"), "ticker", "pnl", (F.col("pnl") > 0).cast("int").alias("y"), F.array("s", "vol", *[c for c in f.columns if c.startswith("is_")]).alias("x"))
+    f = f.select(F.col("start").alias("date"), "ticker", F.date_add("end", 7).alias("known"), "pnl", (F.col("pnl") > 0).cast("int").alias("y"), F.array("s", "vol", *[c for c in f.columns if c.startswith("is_")]).alias("x"))
     f = cut(f)
     return N.walk_forward_logit(f, 20, 5).join(f.select("date", "ticker", "pnl"), ["date", "ticker"])
 
