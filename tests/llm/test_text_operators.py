@@ -150,6 +150,24 @@ def test_secrets_keep_the_base(spark, edge, texts):
         assert sorted(found) == sorted(slow_secrets(t)), t
 
 
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ("password: Tr0ubad0rx9k2!mZ#41qW ok", "[SECRET] ok"),
+        ("db_password=aB3dE5gH7jK9x!Zq@91 ok", "db_[SECRET] ok"),
+        ("dbpassword=aB3dE5gH7jK9x!Zq@91 ok", "db[SECRET] ok"),
+        ("token: changemechange! ok", "[SECRET] ok"),
+        ("login: zz!0123456789abcdef0!Q ok", "login: [SECRET] ok"),
+        ("pwd:\t\txK#9vQ!2mZ@7 ok", "pwd:\t\t[SECRET] ok"),
+        ("pwd      is      xK#9vQ!2mZ@7 ok", "pwd      is      [SECRET] ok"),
+        ('{"password":"abcdefghijkl9","user":"bob"}', '{"[SECRET]","user":"bob"}'),
+        ('{"login":"bob","password":"xK#9vQ!2mZ@7"}', '{"login":"bob","password":"[SECRET]"}'),
+    ],
+)
+def test_secrets_are_masked_whole(text, masked):
+    assert secrets.redact(text, [s[1:3] for s in secrets.find_secrets(text, secrets.ranks(WORDS))]) == masked
+
+
 def test_guess_cost_orders_values():
     rank = secrets.ranks(WORDS)
     bits = lambda v: secrets.guess_bits(v, rank)
