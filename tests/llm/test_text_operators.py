@@ -204,6 +204,22 @@ def test_pii_keeps_the_base(spark, edge, texts):
         assert sorted(s[:3] for s in pii.find_pii(t) if s[0] in pii.KINDS[:4]) == sorted(slow_pii(t)), repr(t)
 
 
+@pytest.mark.parametrize(
+    ("text", "iban"),
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN DE89370400440532013000 SWIFT", "DE89370400440532013000"),
+        ("bank: pay DE89370400440532013000 50 EUR now", "DE89370400440532013000"),
+        ("IBAN DE89370400440532013000 GB82WEST12345698765432 OK", "DE89370400440532013000 GB82WEST12345698765432"),
+        ("IBAN NO9386011117947 BIC", "NO9386011117947"),
+        ("IBAN DE8937040044053201300050", ""),
+        ("IBAN DE88 3704 0044 0532 0130 00 BIC", ""),
+    ],
+)
+def test_ibans_before_other_words(text, iban):
+    assert " ".join(text[s:e] for k, s, e, _ in pii.find_pii(text) if k == "iban") == iban
+
+
 def test_pii_scores():
     found = {k: x for k, _, _, x in pii.find_pii("IBAN: GB82 WEST 1234 5698 7654 32 and DE00 1234 5678 9012 3456 78; ssn 123-45-6789; call +1 555 010 9999")}
     assert found == {"iban": 1.0, "ssn": 0.7, "phone": 0.7}
