@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from panelweave.llm import queries, suffix_dedup
+from panelweave.llm import queries
 from panelweave.llm.suffix_dedup import remove_repeats
 from tests.llm.conftest import EDGE, SF
 
@@ -31,9 +31,11 @@ def test_whole_table(spark, texts):
     assert sorted((tuple(r) for r in queries.op6_suffix_dedup(spark, SF).collect()), key=repr) == slow(list(texts.items()))
 
 
-@pytest.mark.parametrize("hot", [1, 2000])
-def test_edges_and_shared_passages(spark, edge, none, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("partitions", [1, 8, 97])
+def test_edges_and_shared_passages(spark, edge, none, partitions):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     r = np.random.default_rng(9)
     word = lambda n: "".join(r.choice(list("abcdé \n"), n))
     shared = [word(k) for k in (150, 198, 199, 200, 201, 260, 700)]
@@ -45,3 +47,15 @@ def test_edges_and_shared_passages(spark, edge, none, monkeypatch, hot):
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, t1 int, core string")
     assert digest(remove_repeats(frame)) == slow(rows)
     assert remove_repeats(none).count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_line_in_many_contexts(spark):
+    """A passage a little longer than a window, with different words on both sides, so that its windows meet only by name."""
+    r = np.random.default_rng(4)
+    word = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    line = word(215)
+    rows = [(i, word(int(r.integers(0, 150))) + line[: len(line) - i % 3] + word(int(r.integers(0, 150)))) for i in range(400)] + [(i, line) for i in range(400, 410)]
+    rows += [(500 + i, line[i:] + word(60)) for i in range(12)]
+    assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == slow(rows)
