@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Bits of a membership bitmap; 2^25 bits are 4 MB, whatever the input's size.
 BITMAP_BITS = 25
-
-
-#: Rows of an Arrow batch between the JVM and Python, at most; texts are long.
+#: Rows of an Arrow batch between the JVM and Python in the registered queries; texts are long, so few rows bound a worker's memory.
 BATCH_ROWS = 1000
+#: A key is hot if it holds more than this share of all rows; there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 500
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df; its session's Arrow batches hold BATCH_ROWS rows at most from now on, so that workers' memory is bounded by few texts."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
-    return df
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """For applications, not operators: the session's Arrow batches hold BATCH_ROWS rows at most from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,17 +58,48 @@ def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, under fixed names, so that further columns can't clash."""
-    return bounded_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as it takes to be new to the table."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where the session is local."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return folder
+    if not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def skewed_join(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined with per_key, which has one row for each key; weight: how many of the `total` rows the key has. Evaluates rows twice.
+
+    The rows of a hot key stay where they are: hot keys are fewer than 1 / HOT_SHARE, whatever the input, so their part of per_key is broadcast.
+    """
+    per_key = per_key.withColumn("_hot", F.col(weight) > total * HOT_SHARE)
+    hot = per_key.where("_hot")
+    marked = rows.join(F.broadcast(hot.select(*keys, "_hot")), keys, "left")
+    some = marked.where("_hot").drop("_hot").join(F.broadcast(hot.drop("_hot")), keys)
+    rest = marked.where("_hot is null").drop("_hot").join(per_key.where("not _hot").drop("_hot"), keys)
+    return some.unionByName(rest)
+
+
 def bitmap(df: DataFrame, hashed: Column, bits: int = BITMAP_BITS) -> np.ndarray:
     """A one-hash membership bitmap of a LONG column; at most 2^(bits-6) words of 64 bits reach the driver.
 
@@ -91,3 +122,16 @@ def in_bitmap(words: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Which of the uint64 values may have been put in."""
     slot = hashed & np.uint64(len(words) * 64 - 1)
     return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def maybe_in(held: np.ndarray, key: Column) -> Column:
+    """Whether a LONG column's value may be in the bitmap."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def check(values):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(in_bitmap(shared.value, values.to_numpy(dtype=np.int64).view(np.uint64)))
+
+    return check(key)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import bitmap, cut, id_and_text, in_bitmap, record, slices, texts_of
+from panelweave.llm.common import bitmap, cut, id_and_text, in_bitmap, record, skewed_join, slices, texts_of
 
 GRAM, WINDOW = 5, 6
 RUN = GRAM + WINDOW - 1
@@ -141,13 +141,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held = bitmap(windows, F.col("gram"))
     rows = cut(_candidates(id_and_text(docs, id_col, text_col), held, sizes).withColumn("uid", F.monotonically_increasing_id()))
     seen = rows.select("uid", F.explode("wins").alias("w")).select("uid", "w.*")
-    hit = seen.join(windows.select("win").distinct(), "win")
+    # a window of a very common passage is one key of very many rows; the items that share a window are one list
+    per_window = windows.groupBy("win").agg(F.collect_set("item_id").alias("owners")).join(seen.groupBy("win").agg(F.count("*").alias("rows")), "win")
+    hit = cut(skewed_join(seen, cut(per_window), ["win"], "rows", seen.count()))
     spans = hit.select("uid", "size", F.explode("starts").alias("s")).select("uid", "s", (F.col("s") + F.col("size")).alias("e"))
     order = Window.partitionBy("uid").orderBy("s", "e")
     apart = F.col("s") > F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     runs = spans.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(order)).groupBy("uid", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"))
     hits = runs.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
-    items = seen.select("uid", "win").join(windows.select("win", "item_id"), "win").groupBy("uid").agg(F.collect_set("item_id").alias("items"))
+    items = hit.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_set("owners"))).alias("items"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return (
         rows.select("uid", "doc_id", "text_key", "n_words")

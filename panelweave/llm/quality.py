@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import bounded_batches, cut, record, slices, texts_of
+from panelweave.llm.common import cut, record, skewed_join, slices, texts_of
 from panelweave.llm.linear import fit_logistic, logit, sigmoid, training_set
 
 KEEP = 0.5
@@ -59,7 +59,7 @@ def quality(docs: DataFrame, labels: DataFrame, good: Column | None = None, host
             yield record(schema, [*batch.columns[:3], pa.array(p)])
 
     text = lambda c, name: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name)
-    rows = bounded_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text(host_col, "host"), text(path_col, "path"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text(host_col, "host"), text(path_col, "path"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scored = cut(rows.mapInArrow(run, "doc_id long, host string, path string, p_text double"))
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_text").alias("s")))
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -69,7 +69,7 @@ def quality(docs: DataFrame, labels: DataFrame, good: Column | None = None, host
     hosts = hosts.select("host", ((F.col("s") + k * F.col("m")) / (F.col("n") + k)).alias("p_host"))
     paths = paths.join(hosts, "host")
     k = _strength(paths, "p_host")
-    out = scored.join(paths, ["host", "path"])
+    out = skewed_join(scored, cut(paths), ["host", "path"], "n", total["n"] or 0)
     prior = (F.col("s") - F.col("p_text") + k * F.col("p_host")) / (F.col("n") - 1 + k)
     out = out.withColumn("p_path", F.least(F.greatest(prior, F.lit(0.0)), F.lit(1.0)))
     p = 1 / (1 + F.exp(-(_logit(F.col("p_path")) + _logit(F.col("p_text")) - F.lit(float(logit(np.array(share)))))))

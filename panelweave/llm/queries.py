@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import pii, secrets, toxicity
-from panelweave.llm.common import table
+from panelweave.llm.common import bounded_batches, table
 from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.neighbours import nearest
 from panelweave.llm.quality import quality
@@ -70,8 +72,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _bounded(query):  # noqa: ANN001, ANN202
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(bounded_batches(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_quality, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op8_toxicity, op9_neighbours, op10_sentencepiece)}
+    made = (op1_token_counts, op2_simhash, op3_quality, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op8_toxicity, op9_neighbours, op10_sentencepiece)
+    return {f.__name__: _bounded(f) for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

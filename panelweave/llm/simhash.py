@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import cut, id_and_text, record, slices, texts_of
+from panelweave.llm.common import cut, id_and_text, record, skewed_join, slices, texts_of
 from panelweave.llm.components import components
 
 SHINGLE = 4
@@ -39,6 +39,14 @@ def _mixed(n: int) -> np.ndarray:
 PIVOTS = _mixed(16)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str) -> int:
     """Majority bits of the XXH64 (seed 42) of the text's word shingles; 0 without words."""
     from xxhash import xxh64_intdigest as h
@@ -51,11 +59,7 @@ def fingerprint(text: str) -> int:
         return h(joined, 42)
     ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
     starts = [0, *(e + 1 for e in ends)]
-    hashes = np.array([h(joined[s:e], 42) for s, e in zip(starts, ends[SHINGLE - 1 :])], dtype=np.uint64)  # noqa: B905
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(np.array([h(joined[s:e], 42) for s, e in zip(starts, ends[SHINGLE - 1 :])], dtype=np.uint64))  # noqa: B905
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
@@ -71,7 +75,7 @@ def fingerprints(texts: DataFrame) -> DataFrame:
 
 
 def _linked(unit: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between rows of the same unit."""
+    """A spanning forest (pairs of places) of the links between rows of the same unit."""
     near = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)  # the pivot distance table
     order = np.lexsort((near[:, 0], unit))
     unit, fps, near = unit[order], fps[order], near[order]
@@ -103,39 +107,49 @@ def _linked(unit: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarra
         step += 1
         at = at[at + step < len(fps)]
     child = np.flatnonzero(parent != np.arange(len(fps)))
-    return fps[child], fps[parent[child]]
+    return order[child], order[parent[child]]
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b) fingerprints within max_bits (4 at most) of each other; enough of them to connect what is connected."""
-    if not 0 <= max_bits <= len(BLOCKS) - 2:
-        raise ValueError(f"max_bits must be in 0..{len(BLOCKS) - 2}")
-    starts = [0, *accumulate(BLOCKS)]
-    block = [F.shiftrightunsigned("fp", starts[i]).bitwiseAND(F.lit((1 << n) - 1)) for i, n in enumerate(BLOCKS)]
-    keys = [F.shiftleft(F.lit(k).cast("long"), 22).bitwiseOR(F.shiftleft(block[i], 11)).bitwiseOR(block[j]) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    keyed = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1")
-    chunks = F.ceil(F.col("count") / CHUNK)
-    own = F.pmod(F.xxhash64("fp"), chunks)
-    units = keyed.join(shared, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
-    units = units.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "fp")
+def pairs_of_chunks(rows: DataFrame) -> DataFrame:
+    """rows: (key, chunks, node, ...) become (unit, node, ...): each two nodes of a key share a unit, which holds about two of the key's chunks."""
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    rest = [c for c in rows.columns if c not in ("key", "chunks")]
+    each = rows.select("key", own.alias("_own"), *rest, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("_other"))
+    return each.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("unit"), *rest)
+
+
+def meeting_links(keyed: DataFrame, max_bits: int) -> DataFrame:
+    """keyed: (node, fp, key). Links (a, b) of nodes that share a key and whose fingerprints are within max_bits; enough of them to connect what is connected."""
+    shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / CHUNK).alias("chunks"))
+    units = pairs_of_chunks(keyed.join(shared, "key").select("key", "chunks", "node", "fp"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def solved(unit: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = _linked(unit, fps.view(np.uint64), max_bits)
+        return record(schema, [pa.array(nodes[a]), pa.array(nodes[b])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        unit, nodes, fps = (np.empty(0, np.int64) for _ in range(3))
         for batch in batches:
-            unit = np.concatenate([unit, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy()])
+            unit, nodes, fps = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((unit, nodes, fps)))
             ready = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0  # the last unit may go on
             if ready:
-                a, b = _linked(unit[:ready], fps[:ready].view(np.uint64), max_bits)
-                yield record(schema, [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))])
-                unit, fps = unit[ready:], fps[ready:]
+                yield solved(unit[:ready], nodes[:ready], fps[:ready])
+                unit, nodes, fps = unit[ready:], nodes[ready:], fps[ready:]
         if len(unit):
-            a, b = _linked(unit, fps.view(np.uint64), max_bits)
-            yield record(schema, [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))])
+            yield solved(unit, nodes, fps)
+
+    return units.select("unit", "node", "fp").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b) fingerprints within max_bits (4 at most) of each other; enough of them to connect what is connected."""
+    if not 0 <= max_bits <= len(BLOCKS) - 2:
+        raise ValueError(f"max_bits must be in 0..{len(BLOCKS) - 2}")
+    starts = [0, *accumulate(BLOCKS)]
+    block = [F.shiftrightunsigned("fp", starts[i]).bitwiseAND(F.lit((1 << n) - 1)) for i, n in enumerate(BLOCKS)]
+    keys = [F.shiftleft(F.lit(k).cast("long"), 22).bitwiseOR(F.shiftleft(block[i], 11)).bitwiseOR(block[j]) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
+    return meeting_links(classes.select(F.col("fp").alias("node"), "fp", F.explode(F.array(*keys)).alias("key")), max_bits)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,11 +160,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     row), component_key a number that only rows of the same component share.
     """
     fps = cut(fingerprints(id_and_text(docs, id_col, text_col)))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     rooted = components(links(classes, max_bits))
-    linked = classes.join(rooted, F.col("fp") == F.col("node")).select("fp", "first", "root")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("low"))
-    moved = linked.join(lowest, "root").select("fp", "low", "root")
+    linked = cut(classes.join(rooted, F.col("fp") == F.col("node")).select("fp", "first", "root"))
+    lowest = linked.groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("size"))
+    moved = skewed_join(linked, lowest, ["root"], "size", linked.count()).select("fp", "low", "root")
     # a linked class without an id still belongs to its root's component
-    ids = classes.join(moved, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "fp").alias("component_key"))
-    return fps.join(cut(ids), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key", "component_key")
+    component = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id")
+    ids = cut(classes.join(moved, "fp", "left").select("fp", "rows", component, F.coalesce("root", "fp").alias("component_key")))
+    found = skewed_join(fps, ids, ["fp"], "rows", fps.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key", "component_key")

@@ -7,26 +7,28 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from panelweave.llm.common import bounded_batches, slices, texts_of
+from panelweave.llm.common import free_name, slices
 
 Span = tuple[str, int, int, float]
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-_SPARK = "array<struct<kind:string,start:int,end:int,score:double>>"
+_SPARK = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())]))
 
 
 def add_spans(docs: DataFrame, find: Callable[[str], list[Span]], text_col: str = "text", out_col: str = "spans") -> DataFrame:
-    """docs with out_col: the spans (kind, start, end exclusive, in code points; score) of the whole text, null as empty."""
-    if out_col in docs.columns:
-        raise ValueError(f"the table already has a column {out_col}")
-    schema = docs.schema.simpleString()[len("struct<") : -1]
+    """docs with out_col: the spans (kind, start, end exclusive, in code points; score) of the whole text, null as empty.
+
+    If the table has a column of that name, the new one has underscores behind its name; it is the last.
+    """
+    name, at = free_name(docs, out_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            found = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find(t)] for t in texts_of(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, out_col])
+            found = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find(t or "")] for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, name])
 
-    return bounded_batches(docs).mapInArrow(run, f"{schema},{out_col}:{_SPARK}")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _SPARK)]))
 
 
 def counted(kind: str, spans: str = "spans") -> Column:

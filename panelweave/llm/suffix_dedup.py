@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import bitmap, cut, id_and_text, in_bitmap, record, slices
+from panelweave.llm.common import bitmap, cut, id_and_text, in_bitmap, maybe_in, record, skewed_join, slices
 
 LENGTH = 200
 GRAM = 8
@@ -215,36 +215,21 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     shared = cut(shared)
     rows = cut(_phrase_rows(texts, bitmap(shared, F.col("core"))).join(shared, "core"))
     mixed = rows.where("not alike").drop("alike")
-    kinds = cut(mixed.groupBy("core", "full").agg((F.sum("copies") > 1).alias("twice"), F.min(F.struct("t1", "t2", "at")).alias("one")))
+    kinds = cut(mixed.groupBy("core", "full").agg((F.sum("copies") > 1).alias("twice"), F.count("*").alias("rows"), F.min(F.struct("t1", "t2", "at")).alias("one")))
     needed = cut(kinds.groupBy("one.t1", "one.t2").agg(F.collect_list(F.struct("twice", "one.at")).alias("wanted")))
-    held = texts.where(_maybe(bitmap(needed, F.col("t1")), F.col("t1")))
+    held = texts.where(maybe_in(bitmap(needed, F.col("t1")), F.col("t1")))
     dictionary = _contexts(held.join(needed, ["t1", "t2"]).select("text", "t1", "t2", "wanted"))
     backwards = dictionary.repartitionByRange("late", "before", "after").sortWithinPartitions("late", "before", "after").mapInArrow(_with_reach, f"{_PHRASE}, reach int")
     forwards = backwards.repartitionByRange("late", "after", "before").sortWithinPartitions("late", "after", "before")
     found = cut(forwards.mapInArrow(_neighbouring_repeats, "t1 long, t2 long, at int, n int, win binary, weight int, open boolean"))
-    again = found.where("win is not null").groupBy("win").agg(F.sum("weight").alias("weight")).where("weight > 1").select("win")
-    apart = found.where("open").join(again, "win").select("t1", "t2", "at", "n")
+    again = cut(found.where("win is not null").groupBy("win").agg(F.sum("weight").alias("weight"), F.count("*").alias("rows")).where("weight > 1").drop("weight"))
+    apart = skewed_join(found.where("open").select("t1", "t2", "at", "n", "win"), again, ["win"], "rows", found.count()).select("t1", "t2", "at", "n")
     alike = rows.where("alike").select("t1", "t2", "at", "n")
-    twice = mixed.join(kinds.where("twice").select("core", "full"), ["core", "full"]).select("t1", "t2", "at", "n")
+    twice = skewed_join(mixed, kinds.where("twice").select("core", "full", "rows"), ["core", "full"], "rows", mixed.count()).select("t1", "t2", "at", "n")
     ranges = alike.unionByName(twice).unionByName(found.where("win is null").select("t1", "t2", "at", "n")).unionByName(apart)
     return ranges.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("ranges"))
 
 
-def _maybe(held: np.ndarray, key: Column) -> Column:
-    """Whether a LONG column's value may be in the bitmap."""
-    from pyspark.sql import SparkSession
-
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(held)
-
-    @F.pandas_udf("boolean")
-    def check(values):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(in_bitmap(shared.value, values.to_numpy(dtype=np.int64).view(np.uint64)))
-
-    return check(key)
-
-
 def covered(ranges: list[tuple[int, int]]) -> list[list[int]]:
     """Maximal byte runs that windows starting in the ranges cover."""
     out: list[list[int]] = []
@@ -259,7 +244,7 @@ def covered(ranges: list[tuple[int, int]]) -> list[list[int]]:
 
 def _distinct(texts: DataFrame, copied: DataFrame) -> DataFrame:
     """Each text of LENGTH bytes or more once, with its number of copies; only texts that may have copies are moved."""
-    long_ones = texts.where(F.octet_length("text") >= LENGTH).select("text", "t1", "t2").withColumn("maybe", _maybe(bitmap(copied, F.col("t1")), F.col("t1")))
+    long_ones = texts.where(F.octet_length("text") >= LENGTH).select("text", "t1", "t2").withColumn("maybe", maybe_in(bitmap(copied, F.col("t1")), F.col("t1")))
     once = long_ones.where("not maybe").select("text", "t1", "t2", F.lit(1).cast("long").alias("copies"))
     some = long_ones.where("maybe").groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     return once.unionByName(some.select("text", "t1", "t2", "copies"))
@@ -276,7 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(LENGTH), "text")})
     copied = cut(texts.where(F.octet_length("text") >= LENGTH).groupBy("t1", "t2").agg(F.count("*").alias("copies")).where("copies > 1"))
     found = cut(repeated_ranges(_distinct(texts, copied)))
-    maybe = _maybe(bitmap(found, F.col("t1")), F.col("t1"))
+    maybe = maybe_in(bitmap(found, F.col("t1")), F.col("t1"))
     flagged = texts.withColumn("maybe", maybe)
     kind = found.schema["ranges"].dataType
     # a text with very many copies is one hot key on the left of an outer join, which adaptive execution splits

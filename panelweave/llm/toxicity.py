@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from panelweave.llm.common import bounded_batches, slices, texts_of
+from panelweave.llm.common import free_name, slices
 from panelweave.llm.linear import Features, fit_logistic, logit, sigmoid, training_set
 
 FOLDS = 4
@@ -67,17 +68,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "scores") -> DataFrame:
     """docs with out_col: a struct of the categories' probabilities for the whole text (null as empty); rows and other columns stay."""
-    if out_col in docs.columns:
-        raise ValueError(f"the table already has a column {out_col}")
+    name, at = free_name(docs, out_col), docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most WORDS words and a few hundred weights for each category
     kind = pa.struct([(k, pa.float64()) for k in chain.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in slices(batches, text_col):
-            p = own.predict(texts_of(batch, text_col))
+            p = own.predict([t or "" for t in batch.column(at).to_pylist()])
             scores = pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(p.shape[1])], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    return bounded_batches(docs).mapInArrow(run, f"{schema},{out_col}:struct<{','.join(f'{k}:double' for k in chain.names)}>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StructType([StructField(k, DoubleType()) for k in chain.names]))]))

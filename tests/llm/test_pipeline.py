@@ -1,11 +1,13 @@
 """The pipeline's stages against plain versions of their decisions."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from panelweave.llm import secrets
 from tests.llm.conftest import EDGE, SF
-from tests.llm.test_text_operators import PIECES, WORDS, slow_components, slow_contamination, slow_fingerprint
+from tests.llm.test_similar import slow_kept
+from tests.llm.test_text_operators import PIECES, WORDS, slow_contamination
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +27,7 @@ def test_each_stage_and_the_whole(spark, documents):
         assert out.columns == documents.columns and 0 < out.count() <= docs.count()
         before, after = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in out.collect()}
         if name == "simhash":
-            groups = slow_components([(i, slow_fingerprint(t)) for i, t in before.items()])
-            assert set(after) == {c for _, _, c in groups}
+            assert {(False, i) for i in after} == slow_kept(before.items())
         if name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert set(after) == {r[0] for r in slow_contamination(before.items(), items) if not r[-1]}
@@ -51,6 +52,10 @@ def test_stages_on_edges(spark, edge_docs):
     assert rows(cp.remove_contaminated(spark, edge_docs, SF)) == rows(edge_docs)
     kept = [(r.doc_id, r.text) for r in cp.remove_near_duplicates(spark, edge_docs, SF).collect()]
     assert (None, "far away from all else here") in kept and (None, "lost id") in kept and (3, "another text under a known id") in kept
-    assert sum(i == 3 for i, _ in kept) == 2 and len(kept) == len(set(kept))
+    assert sum(i == 3 for i, _ in kept) == 2 and len(kept) == len(set(kept)) and {i for i, t in kept if not t} == {1}
+    wide = edge_docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("scores", "_row", "_n", "my col", "text_key"))])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns and out.count() == stage(spark, edge_docs, SF).count(), name
     masked = spark.createDataFrame([(1, "a token: abcdefghijkl9, b", "en", "s", 25), (2, None, "en", "s", None)], edge_docs.schema)
     assert rows(cp.mask_secrets(spark, masked, SF)) == sorted([(1, "a [SECRET], b", "en", "s", 13), (2, None, "en", "s", None)], key=repr)

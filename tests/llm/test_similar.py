@@ -1,29 +1,41 @@
-"""Similar texts against brute-force Jaccard similarities."""
+"""Families of similar texts against brute-force Jaccard similarities."""
 
 from random import Random
 
+import pytest
+
 import corpus_pipeline as cp
-from panelweave.llm.similar import similar_families
+from panelweave.llm import similar, simhash
 from tests.llm.conftest import SF
 
 
 def slow_shingles(text):
     words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
 def slow_families(texts):
-    """The sets of distinct texts that similarities of at least 0.8 connect."""
-    texts = sorted({t for t in texts if t and t.split()})
+    """The sets of distinct texts (null as empty) that similarities of at least 0.8 connect; wordless ones are alike."""
+    texts = sorted({t or "" for t in texts})
     sets, family = [slow_shingles(t) for t in texts], list(range(len(texts)))
     for i, x in enumerate(sets):
         for j in range(i):
-            if 5 * min(len(x), len(sets[j])) >= 4 * max(len(x), len(sets[j])) and 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+            y = sets[j]
+            if x == y or (5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)):
                 family = [family[j] if f == family[i] else f for f in family]
     groups = {}
     for t, f in zip(texts, family, strict=True):
         groups.setdefault(f, set()).add(t)
-    return [g for g in groups.values() if len(g) > 1]
+    return list(groups.values())
+
+
+def slow_kept(rows):
+    """Of (id, text) rows those that stay: of each family the smallest id, an absent id last."""
+    place = {}
+    for i, t in rows:
+        key = (i is None, i or 0)
+        place[t or ""] = min(place.get(t or "", key), key)
+    return {min(place[t] for t in g) for g in slow_families(t for _, t in rows)}
 
 
 def near_copies():
@@ -45,31 +57,38 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def kept(texts):
-    ids = {t: i for i, t in reversed(list(enumerate(texts)))}
-    return set(range(len(texts))) - {i for g in slow_families(texts) for i, t in enumerate(texts) if t in g and i != min(ids[x] for x in g)}
-
-
-def test_families_match_brute_force(spark):
+@pytest.mark.parametrize("chunk", [7, 1024])
+def test_families_match_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(similar, "CHUNK_TEXTS", chunk)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     docs = frame(spark, near_copies())
     found = {}
-    for x in docs.selectExpr("text", "xxhash64(text) AS text_key").join(similar_families(docs), "text_key").collect():
+    for x in docs.selectExpr("coalesce(text, '') AS text").selectExpr("text", "xxhash64(text) AS text_key").join(similar.similar_families(docs), "text_key").collect():
         found.setdefault(x.root, set()).add(x.text)
     expected = slow_families(near_copies())
-    assert len(expected) > 20 and sorted(map(sorted, found.values())) == sorted(map(sorted, expected))
-    assert similar_families(docs.where("false")).count() == 0
-
-
-def test_no_similar_documents_are_left_by_the_pipeline(spark, documents):
-    docs = dict(cp.STAGES)["simhash"](spark, documents, SF).collect()
-    before = {x.doc_id: x.text for x in docs}
-    assert slow_families(before.values())  # the fingerprints' radius leaves some
-    out = cp.remove_similar(spark, spark.createDataFrame(docs, documents.schema), SF).collect()
-    groups = slow_families(before.values())
-    gone = {i for g in groups for i, t in before.items() if t in g} - {min(i for i, t in before.items() if t in g) for g in groups}
-    assert {x.doc_id for x in out} == set(before) - gone and not slow_families([x.text for x in out])
+    assert sum(len(g) > 1 for g in expected) > 20 and sorted(map(sorted, found.values())) == sorted(map(sorted, expected))
+    assert similar.similar_families(docs.where("false")).count() == 0
+
+
+def test_one_family_holds_most_rows(spark):
+    """Copies and near copies of one text, most of which are similar only through that text."""
+    r = Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base)] * 300
+    for _ in range(400):
+        words = list(base)
+        for at in r.sample(range(120), r.randrange(1, 9)):
+            words[at] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"o{r.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    kept = cp.remove_near_duplicates(spark, frame(spark, texts), SF).collect()
+    assert sorted((False, x.doc_id) for x in kept) == sorted(slow_kept(list(enumerate(texts))))
 
 
-def test_the_smallest_id_stays(spark):
+def test_the_smallest_id_of_each_family_stays(spark, documents):
     texts = near_copies()
-    assert {x.doc_id for x in cp.remove_similar(spark, frame(spark, texts), SF).collect()} == kept(texts)
+    kept = cp.remove_near_duplicates(spark, frame(spark, texts), SF).collect()
+    assert {(False, x.doc_id) for x in kept} == slow_kept(list(enumerate(texts))) and len(kept) == len(slow_families(texts))
+    rows = [(x.doc_id, x.text) for x in documents.collect()]
+    kept = cp.remove_near_duplicates(spark, documents, SF).collect()
+    assert {(False, x.doc_id) for x in kept} == slow_kept(rows)
