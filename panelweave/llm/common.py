@@ -69,6 +69,11 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The table with its columns named c0, c1, ...: Arrow functions don't take names with dots or the same name twice."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session is local."""
     sc = spark.sparkContext

@@ -28,15 +28,16 @@ IBAN_LENGTHS = {
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-#: Words that speak for a kind when they stand close by.
+#: Words that speak for a kind when they stand close by, as whole words.
 NEARBY = {
-    "email": ("mail", "contact", "reach", "write"),
+    "email": ("mail", "email", "contact", "reach", "write"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "mastercard", "payment", "credit"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "transfer"),
     "ssn": ("ssn", "social security", "taxpayer"),
 }
+_NEARBY = {k: re.compile(rf"(?<![^\W_])(?:{'|'.join(words)})(?![^\W_])", re.I) for k, words in NEARBY.items()}
 AROUND = 40
 #: The score without and with a confirming checksum, what a word nearby adds, and the least score of the added kinds.
 PLAIN, CONFIRMED, NEAR, LEAST = 0.5, 0.8, 0.2, 0.7
@@ -86,8 +87,10 @@ def ibans(text: str) -> list[tuple[int, int]]:
 
 
 def _score(text: str, kind: str, start: int, end: int, confirmed: bool) -> float:
-    around = text[max(0, start - AROUND) : start].lower() + " " + text[end : end + AROUND].lower()
-    return (CONFIRMED if confirmed else PLAIN) + (NEAR if any(w in around for w in NEARBY[kind]) else 0.0)
+    near = _NEARBY[kind]
+    around = [(m.start(), m.end()) for a, b in ((start - AROUND, start), (end, end + AROUND)) for m in near.finditer(text, max(0, a), b + 1)]
+    spoken_for = any(e <= start or s >= end and e <= end + AROUND for s, e in around)
+    return (CONFIRMED if confirmed else PLAIN) + (NEAR if spoken_for else 0.0)
 
 
 def find_pii(text: str) -> list[Span]:
@@ -108,7 +111,8 @@ def find_pii(text: str) -> list[Span]:
 def pii_spans(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
     """docs with the personal data of each whole text: array of (kind, start, end, score), in code points, end exclusive.
 
-    Kinds email, ip, card and phone stay whatever their score; iban needs its checksum, ssn a word nearby. Null and empty texts give an
-    empty array; rows and all other columns stay as they are.
+    Kinds email, ip, card and phone stay whatever their score; iban needs its checksum, ssn a whole word nearby. Null and empty texts give an
+    empty array; texts of any length count whole; repeated rows each get theirs, an empty table stays empty. Spans of different kinds may overlap. Rows and all other columns
+    stay as they are; a column that is named like the new one stays too, and the new one gets underscores.
     """
     return add_spans(docs, find_pii, text_col, out_col)

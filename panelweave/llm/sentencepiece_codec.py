@@ -19,6 +19,8 @@ from panelweave.llm.common import id_and_text, record, slices, texts_of
 SPACE = "▁"
 CACHE_SIZE = 500_000
 KEY_CHARS = 48
+#: Texts that other normalisers or space rules would change.
+PROBES = (" a  b ", "\ta\nb\r", "\uff21\ufb01 \u2460 e\u0301 \u00e9", "\u00a0\u3000x\u200b", "\u2581a \u2581", "ABC abc", "x\x00y")
 
 
 class Codec:
@@ -45,6 +47,8 @@ class Codec:
         self.shown = [(chr(b) if (b := self.bytes_of[i]) < 128 else None) if i in self.bytes_of else "" if model.is_control(i) else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
+        if any(self.encode(t) != model.encode(t) for t in PROBES):
+            raise ValueError("the model normalises texts or marks spaces in another way")
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best-scored neighbours first, then the leftmost."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from panelweave.llm.common import free_name, slices
+from panelweave.llm.common import free_name, numbered, slices
 
 Span = tuple[str, int, int, float]
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -24,11 +24,11 @@ def add_spans(docs: DataFrame, find: Callable[[str], list[Span]], text_col: str
     name, at = free_name(docs, out_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, f"c{at}"):
             found = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find(t or "")] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _SPARK)]))
+    return numbered(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _SPARK)]))
 
 
 def counted(kind: str, spans: str = "spans") -> Column:

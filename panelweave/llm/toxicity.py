@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from panelweave.llm.common import free_name, slices
+from panelweave.llm.common import free_name, numbered, slices
 from panelweave.llm.linear import Features, fit_logistic, logit, sigmoid, training_set
 
 FOLDS = 4
@@ -74,9 +74,9 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, f"c{at}"):
             p = own.predict([t or "" for t in batch.column(at).to_pylist()])
             scores = pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(p.shape[1])], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StructType([StructField(k, DoubleType()) for k in chain.names]))]))
+    return numbered(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StructType([StructField(k, DoubleType()) for k in chain.names]))]))

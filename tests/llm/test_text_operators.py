@@ -265,3 +265,112 @@ def test_decontamination_edges(spark, edge, none):
     assert sorted(got, key=repr) == sorted(slow_contamination(docs, items), key=repr)
     assert decontaminate(none, table).count() == 0
     assert {r.n_hit for r in decontaminate(frame, table.where("false")).collect()} == {0}
+def slow_guess_bits(value, rank):
+    """The cheapest of all segmentations, by trying them all."""
+    from functools import cache
+    from math import log2
+
+    brute = lambda c: log2(10 if c.isdigit() else 26 if c.isalpha() else 33)
+    rows = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+    place = {c: (i, j) for i, row in enumerate(rows) for j, c in enumerate(row)}
+
+    def near(a, b):
+        (i, x), (j, y) = place[a], place[b]
+        return abs(x - y) == 1 if i == j else abs(i - j) == 1 and (x - y if i < j else y - x) in (0, 1)
+
+    def kinds(own):
+        low, n = own.lower(), len(own)
+        yield sum(map(brute, low))
+        plain = low.translate(str.maketrans("4@3105$7!", "aaelossti"))
+        upper = 0 if own == low else 1 if own.isupper() or (own[0].isupper() and own[1:] == own[1:].lower()) else n
+        if low in rank or plain in rank:
+            yield log2(rank[low] + 1) + upper if low in rank else log2(rank[plain] + 1) + 2 + upper
+        if n == 4 and re.fullmatch(r"(?:19|20)[0-9]{2}", own):
+            yield log2(200)
+        if n in (6, 8, 10) and re.fullmatch(r"(?:19|20)[0-9]{2}[-/.]?[0-9]{2}[-/.]?[0-9]{2}|[0-9]{2}[-/.]?[0-9]{2}[-/.]?(?:19|20)[0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2}", own):
+            yield log2(366 * 200)
+        if n >= 3 and len(set(low)) == 1:
+            yield brute(low[0]) + log2(n)
+        if n >= 4 and all(a == b or (a in place and b in place and near(a, b)) for a, b in zip(low, low[1:], strict=False)):
+            yield log2(47) + 1.5 * (n - 1)
+        if n >= 3 and all(ord(b) - ord(a) == 1 for a, b in zip(low, low[1:], strict=False)):
+            yield log2(36) + log2(n)
+        for unit in range(2, n // 2 + 1):
+            if n % unit == 0 and low == low[:unit] * (n // unit):
+                yield sum(map(brute, low[:unit])) + log2(n // unit)
+
+    @cache
+    def least(at):
+        return 0.0 if at == len(value) else min(1 + min(kinds(value[at:end])) + least(end) for end in range(at + 1, len(value) + 1))
+
+    return least(0)
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    r = np.random.default_rng(12)
+    rank = secrets.Ranks(["pass", "word", "password", "let", "mein", "summer", "dragon", "correct", "extraordinarily"])
+    pieces = ["pass", "W0rd", "Summer", "dRagon", "1987", "19870412", "01-02-99", "qwer", "asdf", "aaaa", "abcd", "123", "x", "#", "Q", "7", "!", "xq", "xq", "zz9", "extraordinarily"]
+    for _ in range(1500):
+        value = "".join(r.choice(pieces, r.integers(1, 7)))[: r.integers(1, 40)]
+        assert abs(secrets.guess_bits(value, rank) - slow_guess_bits(value, rank)) < 1e-9, value
+    for _ in range(1500):
+        value = "".join(r.choice(list("abcqwe12!P"), r.integers(1, 11)))
+        assert abs(secrets.guess_bits(value, rank) - slow_guess_bits(value, rank)) < 1e-9, value
+    for unit in ("ab7Qx", "abc7Qx", "xq7z", "x#"):
+        assert all(secrets.guess_bits(unit * k, rank) <= secrets.guess_bits(unit * 2, rank) + 8 for k in (5, 6, 16, 40))
+
+
+def test_values_stand_after_any_spaces_and_in_long_texts():
+    rank = secrets.ranks(WORDS)
+    for gap in ("", " ", "     ", "\t \t", " " * 500):
+        assert [s[0] for s in secrets.find_secrets(f"pwd{gap}={gap}xK#9vQ!2mZ@7 ok", rank)] == ["guess"]
+    text = '{"token":"xK#9vQ!2mZ@7",' * 5000 + "token: xK9vQ2mZ7abcd " * 5000
+    found = secrets.find_secrets(text, rank)
+    assert sum(k == "guess" for k, *_ in found) == 5000 and sum(k == "assign" for k, *_ in found) == 5000
+
+
+def slow_added_pii(t):
+    """Every IBAN of its country's length that stands alone, from the left, and every number that looks like an ssn with a word nearby."""
+    word = lambda c: c.isascii() and c.isalnum()
+    spans, last = [], 0
+    for s in range(len(t)):
+        if s < last or (s and word(t[s - 1])):
+            continue
+        for e in range(len(t), s, -1):
+            own = t[s:e]
+            bare = own.replace(" ", "")
+            shaped = re.fullmatch(r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}", own) and not (e < len(t) and word(t[e]))
+            if shaped and len(bare) == pii.IBAN_LENGTHS.get(bare[:2], len(bare)) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                spans.append(("iban", s, e))
+                last = e
+                break
+    for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t):
+        near = list(re.finditer(r"(?<![^\W_])(ssn|social security|taxpayer)(?![^\W_])", t, re.I))
+        if any(m.start() - 40 <= x.start() and x.end() <= m.start() or m.end() <= x.start() and x.end() <= m.end() + 40 for x in near):
+            spans.append(("ssn", *m.span()))
+    return sorted(spans)
+
+
+def test_added_personal_data_matches_brute_force():
+    r = np.random.default_rng(6)
+    pieces = ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO9386011117947", "QQ", "123-45-6789", "ssn", "social security", "antisocial security", " ", " ", " ", ".", "7", "PLEASE PAY", "x", "é"]
+    for _ in range(2000):
+        t = "".join(r.choice(pieces, r.integers(1, 9)))
+        assert sorted(s[:3] for s in pii.find_pii(t) if s[0] in ("iban", "ssn")) == slow_added_pii(t), t
+
+
+def test_words_nearby_count_as_whole_words():
+    score = lambda t: pii.find_pii(t)[0][3]
+    assert score("worship 10.0.0.1") == score("10.0.0.1") == pii.PLAIN and score("ip 10.0.0.1") == score("10.0.0.1 (server)") == pii.PLAIN + pii.NEAR
+    assert not pii.find_pii("antisocial security 123-45-6789") and pii.find_pii("Social Security: 123-45-6789")
+    assert [s[0] for s in pii.find_pii("IBAN GB82WEST12345698765432 PLEASE PAY")] == ["iban"]
+
+
+def test_clashing_and_odd_column_names(spark):
+    rows = [(1, "token: abcdefghijkl9 ip 10.0.0.1", "a", 5, 2.5), (1, "token: abcdefghijkl9 ip 10.0.0.1", "a", 5, 2.5), (None, None, None, None, None), (2, "", "b", 1, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, `my col` int, `a.b` double")
+    for made in (secrets.secret_spans(docs, WORDS), pii.pii_spans(docs)):
+        assert made.columns == [*docs.columns, "spans_"]
+        assert sorted(len(x["spans_"]) for x in made.collect()) == [0, 0, 1, 1]
+    masked = secrets.mask_secrets(docs, WORDS)
+    assert masked.columns == docs.columns and masked.count() == 4 and masked.where("text like '[SECRET]%'").count() == 2
