@@ -1,7 +1,8 @@
 """Small logistic models of documents: style figures and the presence of telling words.
 
-A model is fitted on a bounded sample of labelled rows (`MAX_LABELLED`, chosen by hash of the id); telling words are found by a grouped count over
-that sample. Scoring runs over whole texts on the executors.
+A model is fitted on a bounded sample of labelled rows (`MAX_LABELLED`, chosen by hash of the id). Telling words are found by a grouped count over
+that sample, all that pass the test; figures are standardised. For out-of-fold predictions both are done once more without each fold, so nothing
+of a fold's labels reaches the model that predicts it. Scoring runs over whole texts on the executors.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import cut, id_and_text, record, slices, texts_of
 from panelweave.llm.decontaminate import words_of
 
-MAX_LABELLED = 20_000
-WORDS = 384
-#: A word is telling from this chi-square on (one degree of freedom), in this many labelled texts.
-LEAST_CHI2, LEAST_TEXTS = 25.0, 5
-STYLE = ("upper", "digit", "symbol", "pipe", "newline", "beyond_ascii", "log_bytes", "word_bytes", "new_words", "repeated_lines", "top_byte")
+MAX_LABELLED = 10_000
+FOLDS = 4
+#: A word is telling from this chi-square on (one degree of freedom: by chance in fewer than one of 10^9 words), in this many labelled texts.
+LEAST_CHI2, LEAST_TEXTS = 40.0, 5
+STYLE = ("upper", "digit", "symbol", "newline", "beyond_ascii", "log_bytes", "word_bytes", "new_words", "repeated_lines", "top_byte")
 
 
 def style(text: str, words: list[bytes], distinct: int) -> list[float]:
@@ -31,7 +32,7 @@ def style(text: str, words: list[bytes], distinct: int) -> list[float]:
     n = np.bincount(raw, minlength=256) / len(raw)
     lines = [x for x in text.split("\n") if x.strip()]
     plain = n[48:58].sum() + n[65:91].sum() + n[97:123].sum() + n[128:].sum() + n[[9, 10, 13, 32, 39, 44, 45, 46, 63]].sum()
-    return [n[65:91].sum(), n[48:58].sum(), 1 - plain - n[124], n[124], n[10], n[128:].sum(), np.log1p(len(raw)), len(raw) / (len(words) + 1), distinct / (len(words) + 1), 1 - len(set(lines)) / max(1, len(lines)), n[33:].max()]
+    return [n[65:91].sum(), n[48:58].sum(), 1 - plain, n[10], n[128:].sum(), np.log1p(len(raw)), len(raw) / (len(words) + 1), distinct / (len(words) + 1), 1 - len(set(lines)) / max(1, len(lines)), n[33:].max()]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,32 +44,43 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(k).alias(k) for k in categories])
 
 
-def telling_words(rows: DataFrame, categories: list[str]) -> list[bytes]:
-    """At most WORDS words whose presence goes with a category, by chi-square."""
-    schema = pa.schema([("word", pa.binary()), ("texts", pa.int64()), *((k, pa.int64()) for k in categories)])
+def telling_words(rows: DataFrame, categories: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """Words whose presence goes with a category, by chi-square: the words, and a column for each fold left out and, last, for none: where each is telling.
+
+    rows: text, fold and the categories.
+    """
+    kept = ("texts", *categories)
+    schema = pa.schema([("word", pa.binary()), ("fold", pa.int32()), *((k, pa.int64()) for k in kept)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
-            seen: dict[bytes, np.ndarray] = {}
-            marks = np.array([[1, *m] for m in zip(*(batch.column(i).to_pylist() for i in range(1, len(categories) + 1)), strict=True)])
-            for text, mark in zip(texts_of(batch, "text"), marks, strict=True):
+            seen: dict[tuple[bytes, int], np.ndarray] = {}
+            marks = np.array([[1, *m] for m in zip(*(batch.column(i).to_pylist() for i in range(2, len(categories) + 2)), strict=True)])
+            for text, fold, mark in zip(texts_of(batch, "text"), batch.column(1).to_pylist(), marks, strict=True):
                 for w in set(words_of(text)):
-                    seen[w] = seen[w] + mark if w in seen else mark
-            yield record(schema, [list(seen), *(list(c) for c in zip(*(v.tolist() for v in seen.values()), strict=True))] if seen else [[]] * len(schema))
-
-    total = rows.agg(F.count("*").alias("texts"), *[F.sum(k).alias(k) for k in categories]).first()
-    if not total["texts"]:
-        return []
-    counts = rows.select("text", *categories).mapInArrow(count, "word binary, texts long, " + ", ".join(f"{k} long" for k in categories))
-    counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("texts", *categories)]).where(F.col("texts") >= LEAST_TEXTS)
-
-    def chi2(k: str) -> Column:
-        n, p = F.lit(float(total["texts"])), F.lit(float(total[k]))
-        t, a = F.col("texts").cast("double"), F.col(k).cast("double")
-        return F.coalesce(F.try_divide(n * F.pow(a * n - t * p, F.lit(2)), t * (n - t) * p * (n - p)), F.lit(0.0))
-
-    scored = counts.withColumn("chi2", F.greatest(F.lit(0.0), *[chi2(k) for k in categories]))
-    return [bytes(r["word"]) for r in scored.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(WORDS).select("word").collect()]
+                    seen[w, fold] = seen[w, fold] + mark if (w, fold) in seen else mark
+            columns = [[w for w, _ in seen], [f for _, f in seen], *(list(c) for c in zip(*(v.tolist() for v in seen.values()), strict=True))]
+            yield record(schema, columns if seen else [[]] * len(schema))
+
+    totals = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("texts"), *[F.sum(k).alias(k) for k in categories]).collect()}
+    if not totals:
+        return [], np.zeros((0, FOLDS + 1), bool)
+    counts = rows.select("text", "fold", *categories).mapInArrow(count, "word binary, fold int, " + ", ".join(f"{k} long" for k in kept))
+    without = [*range(FOLDS), None]
+    sums = [F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0) if f is not None else F.col(c)).cast("double").alias(f"{c}_{i}") for i, f in enumerate(without) for c in kept]
+    counts = counts.groupBy("word").agg(*sums).where(F.col(f"texts_{FOLDS}") >= LEAST_TEXTS)
+
+    def telling(i: int, f: int | None) -> Column:
+        whole = {c: float(sum(r[c] for g, r in totals.items() if g != f)) for c in kept}
+        n, t, chi2 = F.lit(whole["texts"]), F.col(f"texts_{i}"), []
+        for k in categories:
+            p, a = F.lit(whole[k]), F.col(f"{k}_{i}")
+            chi2.append(F.coalesce(F.try_divide(n * F.pow(a * n - t * p, F.lit(2)), t * (n - t) * p * (n - p)), F.lit(0.0)))
+        return (t >= LEAST_TEXTS) & (F.greatest(F.lit(0.0), *chi2) >= LEAST_CHI2)
+
+    marked = counts.select("word", *[telling(i, f).alias(f"in_{i}") for i, f in enumerate(without)])
+    found = marked.where(" or ".join(f"in_{i}" for i in range(FOLDS + 1))).orderBy("word").collect()  # words of a bounded sample
+    return [bytes(r["word"]) for r in found], np.array([[r[f"in_{i}"] for i in range(FOLDS + 1)] for r in found], dtype=bool).reshape(len(found), FOLDS + 1)
 
 
 @dataclass(frozen=True)
@@ -126,28 +138,59 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarr
     return w
 
 
-def training_set(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> tuple[Features, np.ndarray, np.ndarray, np.ndarray]:
-    """Features, their matrix, the labels (a column for each category) and a well spread number for each of the bounded sample's rows."""
+@dataclass(frozen=True)
+class Sample:
+    """The bounded sample: each row's fold, labels (a column for each category), style figures and telling words."""
+
+    fold: np.ndarray
+    marks: np.ndarray
+    style: np.ndarray
+    present: list[np.ndarray]
+    words: list[bytes]
+    told: np.ndarray
+
+    def design(self, without: int | None = None) -> tuple[Features, np.ndarray]:
+        """Words and standardisation from all folds but one (from all), and all rows in these terms."""
+        at = np.flatnonzero(self.told[:, FOLDS if without is None else without])
+        own = self.style[self.fold != without] if without is not None else self.style
+        mean, spread = (own.mean(axis=0), own.std(axis=0)) if len(own) else (np.zeros(len(STYLE)), np.ones(len(STYLE)))
+        spread = np.where(spread > 1e-9, spread, 1.0)
+        column = np.full(len(self.words), -1)
+        column[at] = np.arange(len(at))
+        x = np.zeros((len(self.style), len(STYLE) + len(at)))
+        x[:, : len(STYLE)] = (self.style - mean) / spread
+        for row, present in zip(x, self.present, strict=True):
+            here = column[present]
+            row[len(STYLE) + here[here >= 0]] = 1
+        return Features({self.words[i]: j for j, i in enumerate(at.tolist())}, mean, spread), x
+
+    def held_out(self, category: int, extra: np.ndarray) -> np.ndarray:
+        """Log-odds of a category by models that saw neither the row nor its fold; extra: further columns."""
+        out = np.zeros(len(self.fold))
+        for f in range(FOLDS):
+            x = np.hstack([self.design(f)[1], extra])
+            w = fit_logistic(x[self.fold != f], self.marks[self.fold != f, category])
+            out[self.fold == f] = x[self.fold == f] @ w[:-1] + w[-1]
+        return out
+
+
+def training_set(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> Sample:
+    """At most MAX_LABELLED labelled documents, in an order that their ids give."""
     names = list(categories)
-    rows = cut(labelled(docs, labels, categories, id_col, text_col))
-    words = {w: i for i, w in enumerate(telling_words(rows, names))}
-    raw = Features(words, np.zeros(len(STYLE)), np.ones(len(STYLE)))
-    schema = pa.schema([("spot", pa.int64()), ("marks", pa.list_(pa.int32())), ("style", pa.list_(pa.float64())), ("present", pa.list_(pa.int32()))])
+    rows = labelled(docs, labels, categories, id_col, text_col).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+    rows = cut(rows)
+    words, told = telling_words(rows, names)
+    raw = Features({w: i for i, w in enumerate(words)}, np.zeros(len(STYLE)), np.ones(len(STYLE)))
+    schema = pa.schema([("spot", pa.int64()), ("fold", pa.int32()), ("marks", pa.list_(pa.int32())), ("style", pa.list_(pa.float64())), ("present", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = raw.of(texts_of(batch, "text"))
-            marks = [list(m) for m in zip(*(batch.column(2 + i).to_pylist() for i in range(len(names))), strict=True)]
-            yield record(schema, [batch.column(0), marks, x[:, : len(STYLE)].tolist(), [np.flatnonzero(r[len(STYLE) :]).tolist() for r in x]])
-
-    made = rows.select(F.xxhash64("doc_id").alias("spot"), "text", *names).mapInArrow(run, "spot long, marks array<int>, style array<double>, present array<int>").toPandas().sort_values("spot")
-    x = np.zeros((len(made), len(STYLE) + len(words)))
-    if len(made):
-        x[:, : len(STYLE)] = np.array(made["style"].tolist())
-        for row, present in zip(x, made["present"], strict=True):
-            row[len(STYLE) + np.array(present, dtype=int)] = 1
-    mean = x[:, : len(STYLE)].mean(axis=0) if len(made) else np.zeros(len(STYLE))
-    spread = x[:, : len(STYLE)].std(axis=0) if len(made) else np.ones(len(STYLE))
-    features = Features(words, mean, np.where(spread > 1e-9, spread, 1.0))
-    x[:, : len(STYLE)] = (x[:, : len(STYLE)] - features.mean) / features.spread
-    return features, x, np.array(made["marks"].tolist(), dtype=float).reshape(len(made), len(names)), made["spot"].to_numpy(dtype=np.int64)
+            marks = [list(m) for m in zip(*(batch.column(3 + i).to_pylist() for i in range(len(names))), strict=True)]
+            yield record(schema, [batch.column(0), batch.column(1), marks, x[:, : len(STYLE)].tolist(), [np.flatnonzero(r[len(STYLE) :]).tolist() for r in x]])
+
+    made = rows.select(F.xxhash64("doc_id").alias("spot"), "fold", "text", *names).mapInArrow(run, "spot long, fold int, marks array<int>, style array<double>, present array<int>").toPandas().sort_values("spot")
+    return Sample(
+        made["fold"].to_numpy(dtype=np.int64), np.array(made["marks"].tolist(), dtype=float).reshape(len(made), len(names)), np.array(made["style"].tolist(), dtype=float).reshape(len(made), len(STYLE)),
+        [np.array(p, dtype=int) for p in made["present"]], words, told,
+    )

@@ -43,10 +43,12 @@ def quality(docs: DataFrame, labels: DataFrame, good: Column | None = None, host
     """doc_id, p_text (classifier), p_host, p_path (shrunk site shares), p_quality and keep (p_quality >= KEEP) of every row.
 
     Null texts count as empty; rows without a host or path form a site of their own; repeated rows each count. Without labelled documents the
-    classifier says one half for every text and all are kept. An empty table gives an empty result.
+    classifier says one half for every text and all are kept. Equal texts get equal evidence, texts of any length count whole, further columns play no part.
+    An empty table gives an empty result.
     """
     good = F.col("quality") == 1 if good is None else good
-    features, x, marks, _ = training_set(docs, labels, {"good": good}, id_col, text_col)
+    sample = training_set(docs, labels, {"good": good}, id_col, text_col)
+    (features, x), marks = sample.design(), sample.marks
     w = fit_logistic(x, marks[:, 0])
     share = float((marks.sum() + 0.5) / (len(marks) + 1))
     shared = docs.sparkSession.sparkContext.broadcast((features, w))

@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other; the model of a later category also sees the log-odds of each earlier one. It is trained with
-the earlier ones' out-of-fold predictions, so it learns how far to trust predictions, not labels. The labelled table's columns are
+the earlier ones' out-of-fold predictions (telling words and scales chosen without the fold, too), so it learns how far to trust predictions, not labels. The labelled table's columns are
 the categories; here `quality` 0 (low_quality) comes before `toxic`.
 """
 
@@ -19,7 +19,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from panelweave.llm.common import free_name, numbered, slices
 from panelweave.llm.linear import Features, fit_logistic, logit, sigmoid, training_set
 
-FOLDS = 4
 #: A toxic probability from which a document is rejected; held-out clean texts stay far below it.
 REJECT = 0.35
 
@@ -48,28 +47,27 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]
     """The chain in the order of `categories` (name: boolean column of `labels`), fitted on a bounded sample of labelled documents.
 
     Without any labelled document, or where a category has one class only, its probability is that class's smoothed share (one half without rows).
+    Labels or ids that are null, and documents without a text, take no part; of repeated rows of an id the least text and the highest label count;
+    ties in the sample's order fall to the smaller id. Texts of any length count whole; further columns play no part.
     """
     categories = categories or default_categories()
-    features, x, marks, spot = training_set(docs, labels, categories, id_col, text_col)
-    fold = np.mod(spot, FOLDS)
-    weights = []
+    sample = training_set(docs, labels, categories, id_col, text_col)
+    features, x = sample.design()
+    weights, earlier = [], np.zeros((len(x), 0))
     for k in range(len(categories)):
-        y = marks[:, k]
-        weights.append(fit_logistic(x, y))
-        if k + 1 == len(categories):
-            break
-        held_out = np.zeros(len(y))
-        for f in range(FOLDS):
-            w = fit_logistic(x[fold != f], y[fold != f])
-            held_out[fold == f] = x[fold == f] @ w[:-1] + w[-1]
-        x = np.hstack([x, logit(sigmoid(held_out))[:, None]])
+        weights.append(fit_logistic(np.hstack([x, earlier]), sample.marks[:, k]))
+        if k + 1 < len(categories):
+            earlier = np.hstack([earlier, logit(sigmoid(sample.held_out(k, earlier)))[:, None]])
     return Chain(tuple(categories), features, tuple(weights))
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "scores") -> DataFrame:
-    """docs with out_col: a struct of the categories' probabilities for the whole text (null as empty); rows and other columns stay."""
+    """docs with out_col: a struct of the categories' probabilities for the whole text (null as empty).
+
+    Rows, repeated ones too, and all columns stay; if one is named like the new one, that gets underscores. An empty table stays empty.
+    """
     name, at = free_name(docs, out_col), docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most WORDS words and a few hundred weights for each category
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # words of a bounded sample and a weight for each
     kind = pa.struct([(k, pa.float64()) for k in chain.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
