@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample a neighbour graph is built and cut into balanced parts; a softmax classifier learns to tell a vector's part. Every row of the
-table is then put into its most probable part, a query looks into its most probable ones, and all that it meets there is reranked by
-exact cosine. How many parts a query looks into is set on the sample, by the share of its own neighbours that are found.
+On a bounded sample a neighbour graph is built and cut into balanced parts; a softmax classifier learns to tell a vector's part. Parts and sample grow
+with the table up to MAX_PARTS and MAX_SAMPLE. Every row of the table is then put into its most probable part, a query looks into its most probable
+ones, and all that it meets there is reranked by exact cosine. How many parts a query looks into is set on sampled queries that the classifier was not
+fitted on, by the share of their neighbours in the sample that are found.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import cut, record
 
-#: Rows that the index is fitted on, at most, and those of them that set the number of probes.
-SAMPLE, TUNED_ON = 4096, 512
-PARTS = 32
+#: Rows that the index is fitted on: so many for each part, and at most; further rows set the number of probes.
+ROWS_A_PART, MAX_SAMPLE, TUNED_ON = 64, 16_384, 512
+#: Rows of the table for each part, and parts at most.
+PART_ROWS, MAX_PARTS = 256, 256
+#: Rows from which the neighbour graph is built at a time.
+_BLOCK = 1024
 GRAPH_DEGREE = 10
 #: The share of neighbours within the sample that the probes must find; above the 0.9 that is promised.
 AIM = 0.95
@@ -59,10 +63,13 @@ def _balanced(affinity: np.ndarray, room: int) -> np.ndarray:
 
 def partition_graph(unit: np.ndarray, parts: int, rounds: int = 8) -> np.ndarray:
     """Balanced parts of the sample's neighbour graph: rows move to the part of most of their neighbours, within a size limit."""
-    near = unit @ unit.T
-    np.fill_diagonal(near, -np.inf)
     degree = min(GRAPH_DEGREE, len(unit) - 1)
-    neighbours = np.argpartition(-near, degree - 1, axis=1)[:, :degree]
+    blocks = []
+    for i in range(0, len(unit), _BLOCK):
+        near = unit[i : i + _BLOCK] @ unit.T
+        near[np.arange(len(near)), i + np.arange(len(near))] = -np.inf
+        blocks.append(np.argpartition(-near, degree - 1, axis=1)[:, :degree])
+    neighbours = np.concatenate(blocks)
     centre = unit[np.random.default_rng(0).choice(len(unit), parts, replace=False)]
     affinity, label = unit @ centre.T, np.zeros(len(unit), int)
     for _ in range(rounds):
@@ -86,20 +93,23 @@ def _classifier(unit: np.ndarray, label: np.ndarray, parts: int, rounds: int = 2
     return w
 
 
-def fit_router(sample: np.ndarray, k: int) -> Router:
-    """sample: vectors, SAMPLE at most; k: neighbours asked for."""
+def parts_of(rows: int) -> int:
+    return max(1, min(MAX_PARTS, rows // PART_ROWS))
+
+
+def fit_router(sample: np.ndarray, k: int, parts: int) -> Router:
+    """sample: vectors, TUNED_ON of them last to set the probes if there are enough; k: neighbours asked for."""
     unit = _unit(sample)
-    parts = max(1, min(PARTS, len(unit) // 16))
-    if parts == 1:
+    parts = min(parts, len(unit) // 16)
+    if parts <= 1:
         return Router(np.zeros((sample.shape[1] + 1, 1)), 1)
-    router = Router(_classifier(unit, partition_graph(unit, parts), parts), parts)
-    logits = router.logits(unit)
-    own = logits.argmax(axis=1)
-    asked = min(TUNED_ON, len(unit))
-    near = unit[:asked] @ unit.T
-    near[np.arange(asked), np.arange(asked)] = -np.inf
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(unit) else np.tile(np.arange(len(unit)), (asked, 1))
-    place = np.argsort(np.argsort(-logits[:asked], axis=1), axis=1)
+    tuned = min(TUNED_ON, len(unit) // 4)
+    fitted, asked = unit[:-tuned], unit[-tuned:]
+    router = Router(_classifier(fitted, partition_graph(fitted, parts), parts), parts)
+    own = router.logits(fitted).argmax(axis=1)
+    near = asked @ fitted.T
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(fitted) else np.tile(np.arange(len(fitted)), (tuned, 1))
+    place = np.argsort(np.argsort(-router.logits(asked), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
     return Router(router.weights, int(needed[int(np.ceil(AIM * len(needed))) - 1]) + 1)
 
@@ -143,8 +153,9 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = common[0]["dim"] if common else 1
     rows = rows.where(F.col("dim") == dim).select("vec_id", "v")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-    router = fit_router(np.array(sample.tolist(), dtype=np.float64).reshape(-1, dim), k) if len(sample) else Router(np.zeros((dim + 1, 1)), 1)
+    parts = parts_of(common[0]["count"] if common else 0)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MAX_SAMPLE, ROWS_A_PART * parts) + TUNED_ON).select("v").toPandas()["v"]
+    router = fit_router(np.array(sample.tolist(), dtype=np.float64).reshape(-1, dim), k, parts) if len(sample) else Router(np.zeros((dim + 1, 1)), 1)
     schema = pa.schema([("vec_id", pa.int64()), ("parts", pa.list_(pa.int32())), ("v", pa.binary())])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Token counts by a two-tier lookup on the map side; no pre-token is ever shuffled.
 
 Tier 1 is a broadcast table of the corpus's frequent pre-tokens and their lengths in tokens; it has at most
-`TABLE_SIZE` entries of at most `KEY_CHARS` characters, whatever the corpus. It is found by one pass over all texts in which
+`TABLE_SIZE` entries of at most `KEY_CHARS` characters, whatever the corpus and its script. Texts of plain Latin letters are split by a pattern of our own,
+others by the tokenizer's normaliser and splitter, whose pre-tokens spell bytes as characters; where the two spellings differ, the key says so. It is found by one pass over all texts in which
 each task keeps a bounded count (lossy counting) and the summaries are merged in a tree. Tier 2 is a cache in each
 Python worker: what the table misses is encoded once and remembered. Both tiers only save time; a count is always
 the tokenizer's own.
@@ -24,6 +25,8 @@ from panelweave.llm.common import id_and_text, record, slices, texts_of
 TABLE_SIZE = 16_384
 KEY_CHARS = 64
 CACHE_SIZE = 400_000
+#: Marks a key that spells bytes; no plain key has a character as high.
+BYTES = "\u2400"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")  # fixed values: the vocabulary's added tokens
 
 #: Up to U+017F, without U+0130, lower-casing and NFC are plain and the classes below are those of the vocabulary's pattern.
@@ -39,8 +42,7 @@ _L, _N, _S = _class("L"), _class("N"), "\t-\r \x85\xa0"
 _PRE_TOKEN = re.compile(f"[{_L}]+|[{_N}]|'(?:[stmd]|re|ve|ll)|[^{_S}{_L}{_N}]+")
 
 _tokenizers: dict[str, object] = {}
-_plain_cache: dict[str, int] = {}
-_mapped_cache: dict[str, int] = {}
+_cache: dict[str, int] = {}
 
 
 def _tokenizer(path: str):
@@ -49,43 +51,38 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _tokenizers.clear()
-        _plain_cache.clear()
-        _mapped_cache.clear()
+        _cache.clear()
         _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
 
-def pre_tokens(text: str) -> list[str] | None:
-    """The text's pre-tokens in lower case, or None where the tokenizer's own normaliser has to find them."""
-    return None if _OTHER.search(text) else _PRE_TOKEN.findall(text.lower())
+def pre_tokens(text: str, tokenizer) -> list[str]:
+    """The keys of the text's pre-tokens: themselves in lower case, or BYTES and what the tokenizer's splitter spells where that is not plain ASCII."""
+    if not _OTHER.search(text):
+        return _PRE_TOKEN.findall(text.lower())
+    mapped = (p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text)))
+    return [p if p.isascii() else BYTES + p for p in mapped]
 
 
-def _remember(cache: dict[str, int], found: dict[str, int]) -> None:
-    if len(cache) > CACHE_SIZE:
-        cache.clear()
-    cache.update((k, v) for k, v in found.items() if len(k) <= KEY_CHARS)
+def encoded_lengths(keys: list[str], tokenizer) -> dict[str, int]:
+    """Tokens of each key, by the tokenizer."""
+    plain = [k for k in keys if k[:1] != BYTES]
+    found = {k: len(e.ids) for k, e in zip(plain, tokenizer.encode_batch(plain, add_special_tokens=False), strict=True)}
+    return found | {k: len(tokenizer.model.tokenize(k[1:])) for k in keys if k[:1] == BYTES}
 
 
 def count_tokens(text: str, frequent: dict[str, int], tokenizer) -> int:
     if any(s in text for s in SPECIAL):
         return len(tokenizer.encode(text, add_special_tokens=False).ids)
-    words = pre_tokens(text)
-    if words is None:
-        mapped = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
-        lengths = [_mapped_cache.get(p, -1) for p in mapped]
-        missed = {p for p, n in zip(mapped, lengths, strict=True) if n < 0}
-        found = {p: len(tokenizer.model.tokenize(p)) for p in missed}
-        total = sum(n if n >= 0 else found[p] for p, n in zip(mapped, lengths, strict=True))
-        _remember(_mapped_cache, found)
-        return total
-    first, second = frequent.get, _plain_cache.get
-    lengths = [first(w) or second(w) or 0 for w in words]
+    first, second = frequent.get, _cache.get
+    keys = pre_tokens(text, tokenizer)
+    lengths = [first(k) or second(k) or 0 for k in keys]
     if 0 in lengths:
-        missed = list({w for w, n in zip(words, lengths, strict=True) if not n})
-        found = {w: len(e.ids) for w, e in zip(missed, tokenizer.encode_batch(missed, add_special_tokens=False), strict=True)}
-        total = sum(n or found[w] for w, n in zip(words, lengths, strict=True))
-        _remember(_plain_cache, found)
-        return total
+        found = encoded_lengths(list({k for k, n in zip(keys, lengths, strict=True) if not n}), tokenizer)
+        if len(_cache) > CACHE_SIZE:
+            _cache.clear()
+        _cache.update((k, n) for k, n in found.items() if len(k) <= KEY_CHARS)
+        return sum(n or found[k] for k, n in zip(keys, lengths, strict=True))
     return sum(lengths)
 
 
@@ -93,14 +90,14 @@ def _trim(counts: Counter) -> Counter:
     return Counter(dict(counts.most_common(TABLE_SIZE)))
 
 
-def frequent_pre_tokens(texts: DataFrame) -> list[str]:
+def frequent_pre_tokens(texts: DataFrame, tokenizer_path: str) -> list[str]:
     """At most TABLE_SIZE frequent pre-tokens of all texts; one bounded summary leaves each task."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts, own = Counter(), _tokenizer(tokenizer_path)
         for batch in slices(batches, "text"):
             for text in texts_of(batch, "text"):
-                counts.update(pre_tokens(text) or ())
+                counts.update(pre_tokens(text, own))
                 if len(counts) > 8 * TABLE_SIZE:
                     counts = _trim(counts)
         top = [(w, n) for w, n in _trim(counts).items() if len(w) <= KEY_CHARS]
@@ -123,9 +120,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     """
     texts = id_and_text(docs, id_col, text_col)
     tokenizer = _tokenizer(tokenizer_path)
-    words = frequent_pre_tokens(texts)
-    lengths = [len(e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-    shared = texts.sparkSession.sparkContext.broadcast(dict(zip(words, lengths, strict=True)))
+    shared = texts.sparkSession.sparkContext.broadcast(encoded_lengths(frequent_pre_tokens(texts, tokenizer_path), tokenizer))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

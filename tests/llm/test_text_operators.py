@@ -44,6 +44,22 @@ def test_plain_characters_split_as_the_tokenizer_splits():
             assert token_counts.count_tokens(text, {}, own) == len(own.encode(text, add_special_tokens=False).ids), (hex(ord(c)), text)
 
 
+def test_texts_in_any_script_use_the_table(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(WORDS)
+    r = np.random.default_rng(7)
+    words = ["the", "cat\u2019s", "naïve", "тест", "中文", "なます", "ãģª", "\u201cquoted\u201d", "dash\u2014dash", "\U0001f600", "it's", "42", "ǅ", "é"]
+    rows = [(i, " ".join(r.choice(words if i % 2 else words[:3], 12))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = token_counts.frequent_pre_tokens(frame, WORDS)
+    table = token_counts.encoded_lengths(keys, own)
+    assert sum(k[:1] == token_counts.BYTES for k in keys) > 8 and all(table.values())
+    monkeypatch.setattr(token_counts, "encoded_lengths", None)  # nothing is missed
+    for _, t in rows:
+        assert token_counts.count_tokens(t, table, own) == len(own.encode(t, add_special_tokens=False).ids), t
+
+
 def test_sentencepiece_matches_the_library(spark, edge, none, texts):
     from sentencepiece import SentencePieceProcessor
 
