@@ -92,3 +92,27 @@ def test_the_smallest_id_of_each_family_stays(spark, documents):
     rows = [(x.doc_id, x.text) for x in documents.collect()]
     kept = cp.remove_near_duplicates(spark, documents, SF).collect()
     assert {(False, x.doc_id) for x in kept} == slow_kept(rows)
+
+
+def test_components_over_many_blocks(spark, monkeypatch):
+    from panelweave.llm import components as c
+
+    r = Random(3)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(500)] + [(r.randrange(3000, 6000), r.randrange(3000, 6000)) for _ in range(1200)] + [(7, 7), (5000, 1000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    expected = sorted((x, find(x)) for x in list(root))
+    frame = spark.createDataFrame([*links, (None, 3)], "a long, b long").repartition(5)
+    for block in (50, 1 << 18):
+        monkeypatch.setattr(c, "BLOCK", block)
+        assert sorted(map(tuple, c.components(frame).collect())) == expected
+    assert c.components(frame.where("false")).count() == 0
