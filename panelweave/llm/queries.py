@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import pii, secrets, toxicity
+from panelweave.llm import oracle, pii, secrets, toxicity
 from panelweave.llm.common import bounded_batches, table
 from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.neighbours import nearest
@@ -86,5 +86,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each needs a tokenizer's tables, XXH64 or code points of regular-expression matches; the tests hold them against brute force."""
-    return {}
+    """The others need a tokenizer's tables, XXH64, fitted models or the added spans; the tests hold them against brute force."""
+    return {"op5_decontamination": oracle.DECONTAMINATION, "op6_suffix_dedup": oracle.SUFFIX_DEDUP}

@@ -31,6 +31,21 @@ def test_whole_table(spark, texts):
     assert sorted((tuple(r) for r in queries.op6_suffix_dedup(spark, SF).collect()), key=repr) == slow(list(texts.items()))
 
 
+def test_sql_twins_agree_with_brute_force():
+    """Spark's rows are held against the same brute force above and in test_text_operators."""
+    import duckdb
+
+    from tests.llm.test_text_operators import slow_contamination
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    docs, items = c.sql("select doc_id, text from documents").fetchall(), c.sql("select item_id, text from benchmark").fetchall()
+    twins = queries.oracle_sql()
+    assert sorted(c.sql(twins["op6_suffix_dedup"]).fetchall(), key=repr) == slow(docs)
+    assert sorted(c.sql(twins["op5_decontamination"]).fetchall(), key=repr) == sorted(slow_contamination(docs, items), key=repr)
+
+
 @pytest.mark.parametrize("partitions", [1, 8, 97])
 def test_edges_and_shared_passages(spark, edge, none, partitions):
     kept = spark.conf.get("spark.sql.shuffle.partitions")
