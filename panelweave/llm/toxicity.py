@@ -55,7 +55,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]
     features, x = sample.design()
     weights, earlier = [], np.zeros((len(x), 0))
     for k in range(len(categories)):
-        weights.append(fit_logistic(np.hstack([x, earlier]), sample.marks[:, k]))
+        weights.append(fit_logistic(np.hstack([x, earlier.astype(np.float32)]), sample.marks[:, k]))
         if k + 1 < len(categories):
             earlier = np.hstack([earlier, logit(sigmoid(sample.held_out(k, earlier)))[:, None]])
     return Chain(tuple(categories), features, tuple(weights))
