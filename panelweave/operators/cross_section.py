@@ -50,8 +50,19 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     return out.select("year", "n", "mean", ratio(F.col("mean") * F.sqrt(F.col("n").cast("double")), F.col("sd")).alias("t"), "hit")
 
 
+def pooled_rank(rows: DataFrame, value: str, out: str, buckets: int = 64) -> DataFrame:
+    """rows with out: the average rank of value over the whole table. Values are dealt into stretches between quantiles, ranked within them and moved up by how many lie below."""
+    steps = sorted(set(rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))  # `buckets` numbers; any cut gives the same ranks
+    stretch = sum(((F.col(value) >= v).cast("int") for v in steps), F.lit(0))
+    x = rows.withColumn("_stretch", stretch)
+    sizes = x.groupBy("_stretch").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_stretch", (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_below"))  # one row per stretch
+    return x.withColumn(out, average_rank(value, "_stretch")).join(F.broadcast(sizes), "_stretch").withColumn(out, F.col(out) + F.col("_below")).drop("_stretch", "_below")
+
+
 def pooled_ic(scores: DataFrame) -> DataFrame:
-    ok = scores.where("score is not null and fwd is not null").withColumn("_one", F.lit(1)).withColumn("_a", average_rank("score", "_one")).withColumn("_b", average_rank("fwd", "_one"))
+    ok = scores.where("score is not null and fwd is not null")
+    ok = pooled_rank(pooled_rank(ok, "score", "_a"), "fwd", "_b")
     out = ok.agg(F.count("*").alias("n"), corr_from_sums(F.col("_a"), F.col("_b")).alias("ic"))
     return out.withColumn("t", F.when(F.col("n") >= 3, ratio(F.col("ic") * F.sqrt((F.col("n") - 2).cast("double")), F.sqrt(1 - F.col("ic") * F.col("ic")))))
 

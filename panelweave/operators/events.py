@@ -31,8 +31,8 @@ def reaction_session(events: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def car(events: DataFrame, panel: DataFrame, low: int, high: int) -> DataFrame:
     """Cumulative abnormal return (ret - m) around each event's session position; missing returns add nothing, unknown names give null."""
-    pos = panel.select("ticker", "date", F.dense_rank().over(Window.orderBy("date")).alias("pos"), (F.col("ret") - F.col("m")).alias("ar"))
-    days = pos.select("date", "pos").distinct()
+    days = panel.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))  # one row per date
+    pos = panel.select("ticker", "date", (F.col("ret") - F.col("m")).alias("ar")).join(days, "date")
     located = events.join(days.select(F.col("date").alias("session"), F.col("pos").alias("at")), "session").select(F.col("symbol").alias("ticker"), "period", "at")
     known = pos.select("ticker").distinct().withColumn("_known", F.lit(True))
     x = located.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("k")).withColumn("pos", F.col("at") + F.col("k"))

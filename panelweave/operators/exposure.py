@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
 from panelweave.functions.columns import by, ratio, rolling_std, trailing
 from panelweave.operators import inference as I
@@ -23,43 +24,41 @@ def breadth_ratio(panel: DataFrame, bench: DataFrame, n: int) -> DataFrame:
 def tolerance_band_joint(df: DataFrame, width: float, key: str = "ticker") -> DataFrame:
     """held of the risky leg and rest of the other: nothing while the gate is shut, the target at once when it opens, then only moves beyond width.
 
-    State: the risky leg, -1 while shut. One key's rows are one array, as in every fold.
+    State: the risky leg, -1 while shut.
     """
 
-    def step(s: Column, x: Column) -> Column:
-        known = x["target"].isNotNull()
-        return F.when(x["gate"] == 0, F.lit(-1.0)).when((x["gate"] == 1) & known & ((s < 0) | (F.abs(x["target"] - s) > width)), x["target"]).otherwise(s)
+    def step(s: float, target: float | None, gate: int | None) -> float:
+        if gate == 0:
+            return -1.0
+        return target if gate == 1 and target is not None and (s < 0 or abs(target - s) > width) else s
 
-    out = P.fold(df, [key], ["target", "gate"], F.lit(-1.0), step, "s")
+    out = P.fold(df, [key], ["target", "gate"], -1.0, step, "s", DoubleType())
     return out.select(key, "date", F.greatest("s", F.lit(0.0)).alias("held"), F.when(F.col("s") < 0, 0.0).otherwise(1 - F.col("s")).alias("rest"))
 
 
 def row_band(weights: DataFrame, dates: DataFrame, width: float) -> DataFrame:
     """(book, date, ticker, w): the whole row of targets is adopted when it is further than width (sum of absolute differences) from the one held.
 
-    A fold over (date, map of weights) per book: bounded by dates times names of one book.
+    A fold over a book's dates; the weights held are its state.
     """
-    grid = weights.select("book", "ticker").distinct().crossJoin(dates).join(weights, ["book", "date", "ticker"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    row = grid.groupBy("book", "date").agg(F.array_sort(F.collect_list(F.struct("ticker", "w"))).alias("row"))
-    books = row.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("date", "row"))).alias("h"))
-    zero = F.struct(F.transform(F.col("h")[0]["row"], lambda c: F.struct(c["ticker"].alias("ticker"), F.lit(0.0).alias("w"))).alias("row"), F.array().cast("array<struct<date:date,row:array<struct<ticker:string,w:double>>>>").alias("out"))
+    rows = weights.select("book").distinct().crossJoin(F.broadcast(dates)).join(weights, ["book", "date"], "left")  # a row without a ticker on dates without targets
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.aggregate(F.zip_with(acc["row"], x["row"], lambda a, b: F.abs(a["w"] - b["w"])), F.lit(0.0), lambda s, v: s + v)
-        row_ = F.when(gap > width, x["row"]).otherwise(acc["row"])
-        return F.struct(row_.alias("row"), F.concat(acc["out"], F.array(F.struct(x["date"].alias("date"), row_.alias("row")))).alias("out"))
+    def step(held: dict, key: tuple, date: object, rows: list[tuple]) -> tuple[dict, list[tuple]]:
+        want = {t: w for t, w in rows if t is not None and w}
+        if sum(abs(want.get(t, 0.0) - held.get(t, 0.0)) for t in sorted(want.keys() | held.keys())) > width:
+            held = want
+        return held, [(key[0], date, t, w) for t, w in held.items()]
 
-    held = books.select("book", F.explode(F.aggregate("h", zero, step, lambda a: a["out"])).alias("o"))
-    return held.select("book", F.col("o.date").alias("date"), F.inline("o.row")).where("w <> 0")
+    schema = StructType([StructField("book", StringType()), StructField("date", DateType()), StructField("ticker", StringType()), StructField("w", DoubleType())])
+    return P.fold_days(rows, ["book"], ["ticker", "w"], {}, step, schema)
 
 
 def overlay_cost(weights: DataFrame, betas: DataFrame, bps: float) -> DataFrame:
-    """(date, overlay, cost): the hedge sum of w times yesterday's beta, and twice the cost of its changes name by name."""
-    w = by("ticker")
-    b = betas.select("date", "ticker", F.lag("beta").over(w).alias("_b"))
+    """(book, date, overlay, cost): the hedge sum of w times yesterday's beta, and twice the cost of its changes name by name."""
+    b = betas.select("date", "ticker", F.lag("beta").over(by("ticker")).alias("_b"))
     x = weights.join(b, ["date", "ticker"], "left").withColumn("_o", F.col("w") * F.coalesce("_b", F.lit(0.0)))
-    x = x.withColumn("_d", F.abs(F.col("_o") - F.coalesce(F.lag("_o").over(w), F.lit(0.0))))
-    return x.groupBy("date").agg(F.sum("_o").alias("overlay"), (F.sum("_d") * (bps * 2 / 1e4)).alias("cost"))
+    x = x.withColumn("_d", F.abs(F.col("_o") - F.coalesce(F.lag("_o").over(by("book", "ticker")), F.lit(0.0))))
+    return x.groupBy("book", "date").agg(F.sum("_o").alias("overlay"), (F.sum("_d") * (bps * 2 / 1e4)).alias("cost"))
 
 
 def pair_pnl(positions: DataFrame, returns: DataFrame, bps: float) -> DataFrame:

@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from panelweave.functions.columns import ratio
+from panelweave.functions.columns import by, ratio
+from panelweave.operators import state as P
 
 
 def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,50 +94,63 @@ def clusters(edges: DataFrame, nodes: DataFrame, cut) -> DataFrame:  # noqa: ANN
 
 def drift_grid(weights: DataFrame, returns: DataFrame, bands: list[float], levels: list[float]) -> DataFrame:
     """(book, band, level, date, net, turnover): weights drift with returns; a name whose drifted weight is off its target by more than the
-    relative band is reset, all are scaled to the level. Sequential within a book, so a (book, cell) is a group; the grid is literals."""
+    relative band is reset, all are scaled to the level. A fold over the dates of a (book, cell) whose state is what is held; the grid is literals."""
     spark = weights.sparkSession
     grid = spark.createDataFrame([(float(b), float(v)) for b in bands for v in levels], "band double, level double")
-    x = weights.join(returns, ["date", "ticker"], "left").crossJoin(F.broadcast(grid))
+    names = weights.select("book", "ticker").distinct()
+    known = returns.join(weights.select("date").distinct(), "date", "left_semi").join(F.broadcast(names), "ticker").select("book", "date", "ticker", "ret")
+    rows = weights.join(known, ["book", "date", "ticker"], "full").crossJoin(F.broadcast(grid))  # a name that is held also earns on dates without a target
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(held: dict, key: tuple, date: object, rows: list[tuple]) -> tuple[dict, list[tuple]]:
         book, band, level = key
-        target = pdf.pivot(index="date", columns="ticker", values="w").sort_index().fillna(0.0)
-        ret = pdf.pivot(index="date", columns="ticker", values="ret").reindex_like(target).fillna(0.0).to_numpy()
-        held, net, moved = np.zeros(target.shape[1]), [], []
-        for want, r in zip(target.to_numpy() * level, ret, strict=True):
-            earned = float(held @ r)
-            drifted = held * (1 + r) / (1 + earned) if earned > -1 else held
-            off = np.abs(drifted - want) > band * np.abs(want)
-            after = np.where(off, want, drifted)
-            net.append(earned)
-            moved.append(float(np.abs(after - drifted).sum()))
-            held = after
-        return pd.DataFrame({"book": book, "band": band, "level": level, "date": target.index, "net": net, "turnover": moved})
-
-    return x.groupBy("book", "band", "level").applyInPandas(run, "book string, band double, level double, date date, net double, turnover double")
+        if all(w is None for _, w, _ in rows):
+            return held, []
+        ret = {t: r or 0.0 for t, _, r in rows}
+        earned = sum(h * ret.get(t, 0.0) for t, h in sorted(held.items()))
+        scale = 1 + earned if earned > -1 else 1.0
+        drifted = {t: h * ((1 + ret.get(t, 0.0)) / scale if earned > -1 else 1.0) for t, h in held.items()}
+        want = {t: w * level for t, w, _ in rows if w is not None}
+        after, moved = {}, 0.0
+        for t in sorted(drifted.keys() | want.keys()):
+            now, to = drifted.get(t, 0.0), want.get(t, 0.0)
+            own = to if abs(now - to) > band * abs(to) else now
+            moved += abs(own - now)
+            if own:
+                after[t] = own
+        return after, [(book, band, level, date, earned, moved)]
+
+    schema = StructType([StructField("book", StringType()), *(StructField(c, DoubleType()) for c in ("band", "level")), StructField("date", DateType()), *(StructField(c, DoubleType()) for c in ("net", "turnover"))])
+    return P.fold_days(rows, ["book", "band", "level"], ["ticker", "w", "ret"], {}, step, schema)
 
 
 def slot_grid(candidates: DataFrame, slots: list[int], holds: list[int]) -> DataFrame:
     """(slots, hold, date, ticker, age): the candidates of least depth (the most negative) take free slots first; a name leaves on its exit signal, at the longest hold, or
-    without a price. candidates: (date, ticker, depth or null, leave, priced), ranked and filtered beforehand; one cell of the grid is a group."""
-    grid = candidates.sparkSession.createDataFrame([(s, h) for s in slots for h in holds], "slots int, hold int")
-    x = candidates.crossJoin(F.broadcast(grid))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        most, longest = key
-        out, age = [], {}
-        for date, day in pdf.sort_values(["date", "depth", "ticker"]).groupby("date", sort=True):
-            leave, priced = set(day.loc[day["leave"], "ticker"]), set(day.loc[day["priced"], "ticker"])
-            age = {t: a + 1 for t, a in age.items() if t in priced and t not in leave and a < longest}
-            for t in day.loc[day["depth"].notna() & day["priced"] & ~day["leave"], "ticker"]:
-                if len(age) >= most:
-                    break
-                age.setdefault(t, 1)
-            out += [(date, t, a) for t, a in age.items()]
-        frame = pd.DataFrame(out, columns=["date", "ticker", "age"])
-        return frame.assign(slots=most, hold=longest)[["slots", "hold", "date", "ticker", "age"]]
+    without a price. candidates: (date, ticker, depth or null, leave, priced), a row for each date and ticker.
 
-    return x.groupBy("slots", "hold").applyInPandas(run, "slots int, hold int, date date, ticker string, age int")
+    Only what can matter reaches the fold over dates: of `slots` names held at most, the 2 * slots deepest candidates of a date fill all free ones, and a held name was
+    one of them within the longest hold.
+    """
+    grid = candidates.sparkSession.createDataFrame([(s, h) for s in slots for h in holds], "slots int, hold int")
+    most, longest = max(slots), max(holds)
+    open_ = F.col("depth").isNotNull() & F.col("priced") & ~F.col("leave")
+    place = F.when(open_, F.row_number().over(Window.partitionBy("date", open_).orderBy("depth", "ticker")))
+    x = candidates.withColumn("_top", F.coalesce(place <= 2 * most, F.lit(False)).cast("int"))
+    x = x.withColumn("_near", F.max("_top").over(by("ticker").rowsBetween(-longest, 0))).where("_near = 1").withColumn("_take", (F.col("_top") == 1))
+    days = candidates.select("date").distinct().crossJoin(F.broadcast(grid))  # a date without rows empties all slots
+    rows = days.join(x.select("date", "depth", "ticker", "leave", "priced", "_take"), "date", "left")
+
+    def step(age: dict, key: tuple, date: object, rows: list[tuple]) -> tuple[dict, list[tuple]]:
+        own_slots, own_hold = key
+        stay = {t for _, t, leave, priced, _ in rows if priced and not leave}
+        age = {t: a + 1 for t, a in age.items() if t in stay and a < own_hold}
+        for _, t in sorted((d, t) for d, t, _, _, take in rows if take):
+            if len(age) >= own_slots:
+                break
+            age.setdefault(t, 1)
+        return age, [(own_slots, own_hold, date, t, a) for t, a in age.items()]
+
+    schema = StructType([StructField("slots", IntegerType()), StructField("hold", IntegerType()), StructField("date", DateType()), StructField("ticker", StringType()), StructField("age", IntegerType())])
+    return P.fold_days(rows, ["slots", "hold"], ["depth", "ticker", "leave", "priced", "_take"], {}, step, schema)
 
 
 def meta_features(rows: DataFrame, numbers: list[str], category: str, values: list[str]) -> DataFrame:
@@ -157,7 +172,10 @@ def auc(scored: DataFrame, *keys: str) -> DataFrame:
 
 def gate_positions(runs: DataFrame, share: float, q: float) -> DataFrame:
     """runs: (ticker, start, p, pnl). The q-th percentile of p on the first `share` of the starts gates the others: kept, dropped and their pnl."""
-    ordered = runs.withColumn("_k", F.percent_rank().over(Window.orderBy("start", "ticker")))  # one row per trade
+    days = runs.groupBy("start").agg(F.count("*").alias("_n"))
+    days = days.withColumn("_before", F.sum("_n").over(Window.orderBy("start")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))  # one row per date
+    place = F.col("_before") + F.rank().over(Window.partitionBy("start").orderBy("ticker")) - 1
+    ordered = runs.join(days, "start").withColumn("_k", F.when(F.col("_all") > 1, place / (F.col("_all") - 1)).otherwise(0.0))
     bar = ordered.where(F.col("_k") < share).agg(F.percentile("p", F.lit(q)).alias("bar"))
     later = ordered.where(F.col("_k") >= share).crossJoin(F.broadcast(bar))
     ok = F.col("p") >= F.col("bar")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import by, ratio
@@ -48,7 +48,7 @@ def reconcile(fills: DataFrame) -> DataFrame:
         F.count("*").alias("orders"), F.count_if(F.col("status") == "filled").alias("filled"), F.count_if(F.col("status") == "partially_filled").alias("partial"), F.count_if(F.col("status") == "rejected").alias("rejected"),
         ratio(F.sum("filled_qty"), F.sum("qty")).alias("fill_rate"), F.avg(F.when(F.col("filled_qty") > 0, sign * (F.col("price") / F.col("close") - 1) * 1e4)).alias("slip_bps"),
     )
-    alarms = F.array_compact(F.array(F.when(F.col("fill_rate") < 0.6, "low_fill"), F.when(F.col("rejected") > 0, "rejects"), F.when(F.abs("slip_bps") > 15, "slippage")))
+    alarms = F.array_compact(F.array(F.when(F.col("fill_rate") < 0.6, "low_fill"), F.when(F.col("rejected") > 0, "rejects"), F.when(F.abs(F.round("slip_bps", 6)) > 15, "slippage")))
     return g.withColumn("signature", F.array_join(F.array_sort(alarms), "|"))
 
 
@@ -65,18 +65,33 @@ def positions(fills: DataFrame) -> DataFrame:
     return day.select("ticker", "session", F.sum("change").over(by("ticker", order="session").rowsBetween(Window.unboundedPreceding, 0)).alias("qty"))
 
 
-def average_entry(fills: DataFrame) -> DataFrame:
-    """(ticker, qty, avg_price) after all fills: adds are weighted in, reductions keep the price, a sign flip resets it. A fold per ticker."""
-    signed = F.when(F.col("side") == "buy", F.col("filled_qty")).otherwise(-F.col("filled_qty"))
-    rows = fills.where("filled_qty > 0").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("session", "client_order_id", signed.alias("q"), F.col("price").alias("p")))).alias("h"))
+def running_sum(rows: DataFrame, key: str, chunk: Column, order: list[str], value: str, out: str, following: bool = False) -> DataFrame:
+    """rows with out: the sum of value over the key's rows before (or after) each. Chunks that follow each other in order are summed first, so a key's rows are sorted chunk by chunk."""
+    x = rows.withColumn("_c", chunk)
+    ends = (1, Window.unboundedFollowing) if following else (Window.unboundedPreceding, -1)
+    total = x.groupBy(key, "_c").agg(F.sum(value).alias("_t"))
+    total = total.select(key, "_c", F.coalesce(F.sum("_t").over(Window.partitionBy(key).orderBy("_c").rowsBetween(*ends)), F.lit(0.0)).alias("_o"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(key, "_c").orderBy(*order).rowsBetween(*ends)), F.lit(0.0))
+    return x.join(total, [key, "_c"]).withColumn(out, F.col("_o") + own).drop("_c", "_o")
 
-    def step(s, x):  # noqa: ANN001, ANN202
-        q = s["q"] + x["q"]
-        price = F.when(q == 0, 0.0).when(s["q"] * x["q"] >= 0, F.try_divide(s["p"] * s["q"] + x["p"] * x["q"], q)).when(s["q"] * q < 0, x["p"]).otherwise(s["p"])
-        return F.struct(q.alias("q"), price.alias("p"))
 
-    end = F.aggregate("h", F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("p")), step)
-    return rows.select("ticker", end.alias("e")).select("ticker", F.col("e.q").alias("qty"), F.col("e.p").alias("avg_price"))
+def average_entry(fills: DataFrame) -> DataFrame:
+    """(ticker, qty, avg_price) after all fills: adds are weighted in, reductions keep the price, a sign flip or a start from nothing resets it, nothing held has price 0.
+
+    Only fills since the last reset count. The price is a sum of their prices, each weighted by its share when it was filled and diluted by every later add.
+    """
+    signed = F.when(F.col("side") == "buy", F.col("filled_qty")).otherwise(-F.col("filled_qty"))
+    month, order = F.date_trunc("month", "session"), ["session", "client_order_id"]
+    rows = fills.where("filled_qty > 0").select("ticker", *order, signed.cast("double").alias("q"), F.col("price").alias("p"))
+    rows = running_sum(rows, "ticker", month, order, "q", "before").withColumn("after", F.col("before") + F.col("q"))
+    end = rows.groupBy("ticker").agg(F.sum("q").alias("qty"), F.max(F.when((F.col("before") == 0) | (F.col("before") * F.col("after") < 0), F.struct(*order))).alias("_reset"))
+    rows = rows.join(end.select("ticker", "_reset"), "ticker").where(F.struct(*order) >= F.col("_reset"))
+    starts, adds = F.struct(*order) == F.col("_reset"), F.col("before") * F.col("q") > 0
+    rows = rows.withColumn("_share", F.when(starts, F.col("p")).when(adds, F.try_divide(F.col("p") * F.col("q"), F.col("after"))).otherwise(0.0))
+    rows = rows.withColumn("_keeps", F.when(adds & ~starts, F.log(F.col("before") / F.col("after"))).otherwise(0.0))
+    rows = running_sum(rows, "ticker", month, order, "_keeps", "_later", following=True)
+    price = rows.groupBy("ticker").agg(F.sum(F.col("_share") * F.exp("_later")).alias("_p"))
+    return end.join(price, "ticker").select("ticker", "qty", F.when(F.col("qty") == 0, 0.0).otherwise(F.col("_p")).alias("avg_price"))
 
 
 def trailing_slippage(fills: DataFrame, n: int) -> DataFrame:

@@ -2,28 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
 from panelweave.functions.columns import by
 
 PAST = (Window.unboundedPreceding, 0)
 
 
-def fold(df: DataFrame, keys: list[str], columns: list[str], start: Column, step: Callable[[Column, Column], Column], out: str, order: str = "date") -> DataFrame:
-    """(keys, order, out): a state carried over a key's rows in order. One key's rows are one array: bounded by the key's history."""
-    kind = "double" if out != "position" else "int"
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_h"))
-    zero = F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def one(acc: Column, x: Column) -> Column:
-        s = step(acc["s"], x)
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s.cast(kind))).alias("out"))
-
-    states = rows.select(*keys, "_h", F.aggregate("_h", zero, one, lambda a: a["out"]).alias("_s"))
-    return states.select(*keys, F.inline(F.arrays_zip(F.transform("_h", lambda h: h[order]).alias(order), F.col("_s").alias(out))))
+def fold(df: DataFrame, keys: list[str], columns: list[str], start: object, step: Callable, out: str, kind: DataType, order: str = "date") -> DataFrame:
+    """(keys, order, out): step(state, *columns) carried over a key's rows in order. Rows are sorted within partitions and streamed; one state is held at a time."""
+    rows = df.select(*keys, order, *columns).repartition(*keys).sortWithinPartitions(*keys, order)
+    width = len(keys) + 1
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), start
+        for batch in batches:
+            names = zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True)
+            values = zip(*(batch.column(width + i).to_pylist() for i in range(len(columns))), strict=True)
+            states = []
+            for name, row in zip(names, values, strict=True):
+                if name != last:
+                    last, state = name, start
+                state = step(state, *row)
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(states, arrow)], names=[*batch.schema.names[:width], out])
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in (*keys, order)), StructField(out, kind)]))
+
+
+def fold_days(rows: DataFrame, keys: list[str], columns: list[str], start: object, step: Callable, schema: StructType, order: str = "date") -> DataFrame:
+    """As fold, but a step takes all rows of a key and date at once: step(state, key, date, list of columns' tuples) gives the next state and rows of `schema`. One date of one key is held."""
+    rows = rows.select(*keys, order, *columns).repartition(*keys).sortWithinPartitions(*keys, order, *columns)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, day, held, state, out = None, None, [], start, []
+
+        def close() -> None:
+            nonlocal state
+            if last is not None:
+                state, made = step(state, last, day, held)
+                out.extend(made)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name, at = row[: len(keys)], row[len(keys)]
+                if name != last or at != day:
+                    close()
+                    if name != last:
+                        state = start
+                    last, day, held = name, at, []
+                held.append(row[len(keys) + 1 :])
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
+            out.clear()
+        close()
+        yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def band_positions(df: DataFrame, entry: float, leave: float, value: str = "s", key: str = "ticker") -> DataFrame:
@@ -42,11 +84,14 @@ def band_positions(df: DataFrame, entry: float, leave: float, value: str = "s",
 def band_positions_floor(df: DataFrame, entry: float, leave: float, floor: float, value: str = "s", key: str = "ticker") -> DataFrame:
     """As band_positions, and a long is also left at value <= floor (and not re-entered on that row): a fold."""
 
-    def step(s: Column, x: Column) -> Column:
-        v = x[value]
-        return F.when(v.isNull(), s).when(s == 0, F.when(v >= entry, -1).when((v <= -entry) & (v > floor), 1).otherwise(0)).when((F.abs(v) <= leave) | ((s == 1) & (v <= floor)), 0).otherwise(s)
+    def step(s: int, v: float | None) -> int:
+        if v is None:
+            return s
+        if s == 0:
+            return -1 if v >= entry else 1 if floor < v <= -entry else 0
+        return 0 if abs(v) <= leave or (s == 1 and v <= floor) else s
 
-    return fold(df, [key], [value], F.lit(0), step, "position")
+    return fold(df, [key], [value], 0, step, "position", IntegerType())
 
 
 def hysteresis(df: DataFrame, up: Column, down: Column, key: str = "ticker") -> DataFrame:
@@ -57,22 +102,23 @@ def hysteresis(df: DataFrame, up: Column, down: Column, key: str = "ticker") ->
 
 def tolerance_band(df: DataFrame, width: float, target: str = "target", key: str = "ticker") -> DataFrame:
     """held: the target of the last row on which it was further than width from what was held; a null target holds."""
-    return fold(df, [key], [target], F.lit(0.0), lambda s, x: F.when(x[target].isNotNull() & (F.abs(x[target] - s) > width), x[target]).otherwise(s), "held")
+    return fold(df, [key], [target], 0.0, lambda s, x: x if x is not None and abs(x - s) > width else s, "held", DoubleType())
 
 
 def partial_fill(df: DataFrame, share: float, target: str = "target", key: str = "ticker") -> DataFrame:
     """held moves by a share of the way to the target on each row."""
-    return fold(df, [key], [target], F.lit(0.0), lambda s, x: F.coalesce(s + share * (x[target] - s), s), "held")
+    return fold(df, [key], [target], 0.0, lambda s, x: s if x is None else s + share * (x - s), "held", DoubleType())
 
 
 def halving_gate(df: DataFrame, high: float, low: float, n: int, value: str = "v", key: str = "ticker") -> DataFrame:
     """exposure 0.5 from value >= high until n rows in a row below low, else 1. State: rows still to wait (0: full)."""
 
-    def step(s: Column, x: Column) -> Column:
-        v = x[value]
-        return F.when(v >= high, F.lit(float(n))).when((s > 0) & (v < low), s - 1).when((s > 0) & v.isNotNull(), F.lit(float(n))).otherwise(s)
+    def step(s: float, v: float | None) -> float:
+        if v is None:
+            return s
+        return float(n) if v >= high or (s > 0 and v >= low) else max(s - 1, 0.0)
 
-    waits = fold(df, [key], [value], F.lit(0.0), step, "wait")
+    waits = fold(df, [key], [value], 0.0, step, "wait", DoubleType())
     return waits.withColumn("exposure", F.when(F.col("wait") > 0, 0.5).otherwise(1.0))
 
 

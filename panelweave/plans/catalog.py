@@ -120,7 +120,10 @@ add("log_return_window", lambda x: B.log_returns(x.panel).select(*DT, "log_ret")
 # joins
 add("join_inner_align", lambda x: x.weights.join(x.returns.select(*DT, "ret"), list(DT)).where("ret is not null"), f"SELECT date, ticker, book, {r('w', 'w')}, {r('ret', 'ret')} FROM fx_weights JOIN fx_returns USING (date, ticker) WHERE ret IS NOT NULL")
 add("join_left_reactions", lambda x: x.earnings.select("symbol", "period", "actual").join(x.earnings.where("point_in_time").select("symbol", "period", F.lit(True).alias("seen")), ["symbol", "period"], "left"), f"SELECT symbol, period, {r('actual', 'actual')}, CASE WHEN point_in_time THEN true END AS seen FROM fx_earnings")
-add("join_outer_panels", lambda x: x.bars.where("ticker = 'N01'").select("date", F.col("close").alias("a")).join(x.bars.where("ticker = 'N02'").select("date", F.col("close").alias("b")), "date", "full"), f"SELECT date, {r('a', 'a')}, {r('b', 'b')} FROM (SELECT date, close AS a FROM fx_bars WHERE ticker = 'N01') FULL JOIN (SELECT date, close AS b FROM fx_bars WHERE ticker = 'N02') USING (date)")
+add(
+    "join_outer_panels", lambda x: x.bars.select(*DT, F.col("close").alias("a")).join(x.returns.where("member and ret is not null").select(*DT, F.col("ret").alias("b")), list(DT), "full"),
+    f"SELECT date, ticker, {r('a', 'a')}, {r('b', 'b')} FROM (SELECT date, ticker, close AS a FROM fx_bars) FULL JOIN (SELECT date, ticker, ret AS b FROM fx_returns WHERE member AND ret IS NOT NULL) USING (date, ticker)",
+)
 add("map_sector_factor", lambda x: x.factor.select(*DT, F.when(F.col("sector") == "ASIA", F.col("m")).otherwise(F.coalesce("f", "m")).alias("factor")), f"SELECT date, ticker, {r('CASE WHEN sector = ' + chr(39) + 'ASIA' + chr(39) + ' THEN m ELSE coalesce(f, m) END', 'factor')} FROM fx_factor")
 add(
     "asof_backward", lambda x: J.asof(x.earnings.select("symbol", "report_date"), x.bars.select(F.col("ticker").alias("symbol"), "date", "close"), ["symbol"], "report_date", "date", "close"),
@@ -143,14 +146,14 @@ add(
     "band_join_positions", lambda x: J.band(x.earnings.join(x.calendar.select(F.col("date").alias("d"), "pos"), F.col("d") >= F.col("report_date")).groupBy(F.col("symbol").alias("ticker"), "period").agg(F.min("pos").alias("at")), x.panel.join(x.calendar.select("date", "pos"), "date").select("ticker", "pos", "close"), "ticker", -1, 2).select("ticker", "period", "k", "close"),
     f"WITH e AS (SELECT symbol AS ticker, period, (SELECT min(pos) FROM fx_calendar c WHERE c.date >= report_date) AS loc FROM fx_earnings), b AS (SELECT p.ticker, c.pos, p.close FROM fx_panel p JOIN fx_calendar c USING (date)), g AS (SELECT e.*, CAST(unnest([-1, 0, 1, 2]) AS INTEGER) AS k FROM e WHERE loc IS NOT NULL) SELECT g.ticker, period, k, {r('close', 'close')} FROM g LEFT JOIN b ON b.ticker = g.ticker AND b.pos = g.loc + g.k",
 )
-add("self_join_pairs", lambda x: J.pairs(x.returns.where("ret is not null and date >= date'2001-01-01'"), "ticker", "sector", "date", value="ret"), f"SELECT x.date, x.ticker AS a, {r('x.ret', 'va')}, y.ticker AS b, {r('y.ret', 'vb')} FROM fx_returns x JOIN fx_returns y ON x.date = y.date AND x.sector = y.sector AND x.ticker < y.ticker WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL AND x.date >= DATE '2001-01-01'")
+add("self_join_pairs", lambda x: J.pairs(x.returns.where("ret is not null"), "ticker", "sector", "date", value="ret"), f"SELECT x.date, x.ticker AS a, {r('x.ret', 'va')}, y.ticker AS b, {r('y.ret', 'vb')} FROM fx_returns x JOIN fx_returns y ON x.date = y.date AND x.sector = y.sector AND x.ticker < y.ticker WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL")
 add("semi_isin", lambda x: x.bars.join(x.sectors.where("sector = 'EUROPE'"), "ticker", "left_semi").select(*DT), "SELECT date, ticker FROM fx_bars WHERE ticker IN (SELECT ticker FROM fx_sectors WHERE sector = 'EUROPE')")
 add("anti_missing", lambda x: x.panel.where("member").join(x.bars, list(DT), "left_anti").select(*DT), "SELECT date, ticker FROM fx_panel WHERE member AND close IS NULL")
 _POS = "SELECT ticker, CAST(sum(CASE WHEN side = 'buy' THEN filled_qty ELSE -filled_qty END) AS DOUBLE) AS qty FROM fx_fills WHERE session {} DATE '2000-01-01' GROUP BY ticker"
 _SIGNED = lambda: F.when(F.col("side") == "buy", F.col("filled_qty")).otherwise(-F.col("filled_qty"))
 add(
-    "full_outer_delta", lambda x: J.delta(x.fills.where("session >= date'2000-01-01' and ticker > 'N04'").groupBy("ticker").agg(F.sum(_SIGNED()).alias("qty")), x.fills.where("session < date'2000-01-01' and ticker < 'N20'").groupBy("ticker").agg(F.sum(_SIGNED()).alias("qty"))),
-    f"WITH t AS ({_POS.format('>=')}), h AS ({_POS.format('<')}), b AS (SELECT ticker, coalesce(t.qty, 0) AS target, coalesce(h.qty, 0) AS held FROM (SELECT * FROM t WHERE ticker > 'N04') t FULL JOIN (SELECT * FROM h WHERE ticker < 'N20') h USING (ticker)) SELECT ticker, target, held, target - held AS delta FROM b WHERE target <> held",
+    "full_outer_delta", lambda x: J.delta(x.fills.where("session >= date'2000-01-01'").groupBy("ticker").agg(F.sum(_SIGNED()).alias("qty")), x.fills.where("session < date'2000-01-01'").groupBy("ticker").agg(F.sum(_SIGNED()).alias("qty"))),
+    f"WITH t AS ({_POS.format('>=')}), h AS ({_POS.format('<')}), b AS (SELECT ticker, coalesce(t.qty, 0) AS target, coalesce(h.qty, 0) AS held FROM t FULL JOIN h USING (ticker)) SELECT ticker, target, held, target - held AS delta FROM b WHERE target <> held",
 )
 add(
     "nested_loop_gap", lambda x: J.gaps(x.bars, x.panel.select(*DT, F.when(F.col("ticker") == "N05", F.col("close") + 0.1).otherwise(F.col("close")).alias("close")), list(DT), "close", 1e-6),
@@ -378,20 +381,36 @@ add("panel_quality", lambda x: V.panel_quality(x.panel), f"WITH {_LIFE} SELECT t
 add("exchange_session", lambda x: O.exchange_session(x.fills).groupBy("local_date", "pre_open").agg(F.count("*").alias("n")), "SELECT CAST(submitted_at AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS DATE) AS local_date, strftime(submitted_at AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York', '%H:%M') < '09:30' AS pre_open, count(*) AS n FROM fx_fills GROUP BY 1, 2")
 _SLIP = "CASE WHEN side = 'buy' THEN 1.0 ELSE -1.0 END * (price / close - 1) * 10000"
 add("slippage_bps", lambda x: O.slippage_summary(x.fills), f"SELECT ticker, side, count(*) AS fills, {r(f'avg({_SLIP})', 'mean_bps')}, {r(f'sum({_SLIP} * filled_qty * price) / nullif(sum(filled_qty * price), 0)', 'weighted_bps')} FROM fx_fills WHERE filled_qty > 0 GROUP BY 1, 2")
-_REC = f"rc AS (SELECT session, count(*) AS orders, count(*) FILTER (status = 'filled') AS filled, count(*) FILTER (status = 'partially_filled') AS partial, count(*) FILTER (status = 'rejected') AS rejected, sum(filled_qty) / nullif(sum(qty), 0) AS fill_rate, avg({_SLIP}) FILTER (filled_qty > 0) AS slip_bps FROM fx_fills GROUP BY session), rd AS (SELECT *, concat_ws('|', CASE WHEN fill_rate < 0.6 THEN 'low_fill' END, CASE WHEN rejected > 0 THEN 'rejects' END, CASE WHEN abs(slip_bps) > 15 THEN 'slippage' END) AS signature FROM rc)"
+_REC = f"rc AS (SELECT session, count(*) AS orders, count(*) FILTER (status = 'filled') AS filled, count(*) FILTER (status = 'partially_filled') AS partial, count(*) FILTER (status = 'rejected') AS rejected, sum(filled_qty) / nullif(sum(qty), 0) AS fill_rate, avg({_SLIP}) FILTER (filled_qty > 0) AS slip_bps FROM fx_fills GROUP BY session), rd AS (SELECT *, concat_ws('|', CASE WHEN fill_rate < 0.6 THEN 'low_fill' END, CASE WHEN rejected > 0 THEN 'rejects' END, CASE WHEN abs(round(slip_bps, 6)) > 15 THEN 'slippage' END) AS signature FROM rc)"
 add("reconcile_date", lambda x: O.reconcile(x.fills), f"WITH {_REC} SELECT session, orders, filled, partial, rejected, {r('fill_rate', 'fill_rate')}, {r('slip_bps', 'slip_bps')}, signature FROM rd")
 add("condition_signature", lambda x: O.signature_changes(O.reconcile(x.fills)).select("session", "before", "signature"), f"WITH {_REC}, b AS (SELECT session, lag(signature) OVER (ORDER BY session) AS before, signature FROM rd) SELECT * FROM b WHERE before IS NULL OR before <> signature")
 add("fill_positions", lambda x: O.positions(x.fills), "SELECT ticker, session, sum(sum(CASE WHEN side = 'buy' THEN filled_qty ELSE -filled_qty END)) OVER (PARTITION BY ticker ORDER BY session) AS qty FROM fx_fills GROUP BY 1, 2")
-_ENT = "en AS (SELECT ticker, CASE WHEN side = 'buy' THEN filled_qty ELSE -filled_qty END AS q, price AS p, row_number() OVER (PARTITION BY ticker ORDER BY session, client_order_id) AS i FROM fx_fills WHERE filled_qty > 0)"
-_ENTZ = "z AS (SELECT ticker, i, q AS sq, p AS sp FROM en WHERE i = 1 UNION ALL SELECT z.ticker, en.i, z.sq + en.q, CASE WHEN z.sq + en.q = 0 THEN 0 WHEN z.sq * en.q >= 0 THEN (z.sp * z.sq + en.p * en.q) / nullif(z.sq + en.q, 0) WHEN z.sq * (z.sq + en.q) < 0 THEN en.p ELSE z.sp END FROM z JOIN en ON en.ticker = z.ticker AND en.i = z.i + 1)"
-add_fold("avg_entry_price", lambda x: O.average_entry(x.fills.where("session < date'1996-01-01'")), f"WITH {_ENT.replace('filled_qty > 0)', chr(102) + 'illed_qty > 0 AND session < DATE ' + chr(39) + '1996-01-01' + chr(39) + ')')}, {_ENTZ} SELECT ticker, last(sq ORDER BY i) AS qty, {r('last(sp ORDER BY i)', 'avg_price')} FROM z GROUP BY ticker")
+_RUNQ = "OVER (PARTITION BY ticker ORDER BY session, client_order_id"
+_ENT = f"""WITH e0 AS (SELECT ticker, session, client_order_id, price AS p, CAST(CASE WHEN side = 'buy' THEN filled_qty ELSE -filled_qty END AS DOUBLE) AS q FROM fx_fills WHERE filled_qty > 0),
+    e1 AS (SELECT *, sum(q) {_RUNQ} ROWS UNBOUNDED PRECEDING) AS after FROM e0), e2 AS (SELECT *, after - q AS before, sum(CAST(after - q = 0 OR (after - q) * after < 0 AS INTEGER)) {_RUNQ} ROWS UNBOUNDED PRECEDING) AS seg FROM e1),
+    e3 AS (SELECT *, row_number() OVER (PARTITION BY ticker, seg ORDER BY session, client_order_id) AS i FROM e2 QUALIFY seg = max(seg) OVER (PARTITION BY ticker)),
+    e4 AS (SELECT *, CASE WHEN i = 1 THEN p WHEN before * q > 0 THEN p * q / after ELSE 0 END AS share, CASE WHEN i > 1 AND before * q > 0 THEN ln(before / after) ELSE 0 END AS keeps FROM e3),
+    e5 AS (SELECT *, coalesce(sum(keeps) {_RUNQ} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM e4), z AS (SELECT ticker, arg_max(after, i) AS qty, sum(share * exp(later)) AS p FROM e5 GROUP BY ticker)"""
+add("avg_entry_price", lambda x: O.average_entry(x.fills), f"{_ENT} SELECT ticker, qty, {r('CASE WHEN qty = 0 THEN 0 ELSE p END', 'avg_price')} FROM z")
 add("trailing_means", lambda x: O.trailing_slippage(x.fills, 20), f"WITH s AS (SELECT ticker, session, {_SLIP} AS b, row_number() OVER (PARTITION BY ticker ORDER BY session DESC, client_order_id DESC) AS k FROM fx_fills WHERE filled_qty > 0) SELECT ticker, count(*) AS n, {r('avg(b)', 'mean_bps')}, max(session) AS last, max(session) >= (SELECT max(session) FROM fx_fills) - 30 AS fresh FROM s WHERE k <= 20 GROUP BY ticker")
 _STREAK = f"WITH d AS (SELECT ticker, session, avg({_SLIP}) AS b FROM fx_fills WHERE filled_qty > 0 GROUP BY 1, 2), e AS (SELECT *, CAST(abs(b) > 13.7 AS INTEGER) AS o FROM d), g AS (SELECT *, sum(1 - o) OVER (PARTITION BY ticker ORDER BY session) AS seg FROM e)"
 add("breach_streak", lambda x: O.breach_streak(x.fills, 13.7), f"{_STREAK} SELECT ticker, session, {r('b', 'slip_bps')}, CAST(sum(o) OVER (PARTITION BY ticker, seg ORDER BY session) AS BIGINT) AS streak FROM g")
 add("ledger_completeness", lambda x: O.completeness(x.calendar.select(F.col("date").alias("session")), x.fills.where("side = 'buy'"), x.fills.where("status = 'rejected'")), "WITH a AS (SELECT DISTINCT session FROM fx_fills WHERE side = 'buy'), b AS (SELECT DISTINCT session FROM fx_fills WHERE status = 'rejected') SELECT date AS session, CASE CAST(a.session IS NOT NULL AS INTEGER) + CAST(b.session IS NOT NULL AS INTEGER) WHEN 2 THEN 'HEALTHY' WHEN 1 THEN 'PARTIAL' ELSE 'MISSING' END AS state FROM fx_days LEFT JOIN a ON a.session = date LEFT JOIN b ON b.session = date")
 add("whole_shares", lambda x: O.whole_shares(x.weights.join(x.bars.select(*DT, F.col("close").alias("price")), list(DT)).withColumn("dollars", F.col("w") * 100000)).select("book", *DT, "shares", (F.col("effective") / 1000).alias("effective_thousands")), f"SELECT book, date, ticker, round_even(w * 100000 / close, 0) AS shares, {r('round_even(w * 100000 / close, 0) * close / 1000', 'effective_thousands')} FROM fx_weights JOIN fx_bars USING (date, ticker)")
-add("foreign_positions", lambda x: O.foreign(O.positions(x.fills).groupBy("ticker").agg(F.max_by("qty", "session").alias("qty")).join(x.bars.groupBy("ticker").agg(F.max_by("close", "date").alias("price")), "ticker"), x.weights.where("book = 'bk_rot' and date >= date'2001-06-01'")), f"WITH p AS (SELECT ticker, sum(CASE WHEN side = 'buy' THEN filled_qty ELSE -filled_qty END) AS qty FROM fx_fills GROUP BY 1), c AS (SELECT ticker, arg_max(close, date) AS price FROM fx_bars GROUP BY 1) SELECT ticker, qty, {r('qty * price', 'value')}, {r('abs(qty * price)', 'gross')} FROM p JOIN c USING (ticker) WHERE qty <> 0 AND ticker NOT IN (SELECT ticker FROM fx_weights WHERE book = 'bk_rot' AND date >= DATE '2001-06-01')")
-add("route_targets", lambda x: O.route(x.weights.where("date >= date'2001-06-01'").select(F.when(F.col("book") == "bk_mom", "margin").otherwise("cash").alias("account"), "ticker", (F.col("w") * 1000).alias("dollars"))), f"WITH g AS (SELECT CASE WHEN book = 'bk_mom' THEN 'margin' ELSE 'cash' END AS account, ticker, sum(w * 1000) AS dollars FROM fx_weights WHERE date >= DATE '2001-06-01' GROUP BY 1, 2) SELECT account, ticker, {r('dollars', 'dollars')}, count(*) OVER (PARTITION BY ticker) > 1 AS shared FROM g")
+def _newest(x):  # noqa: ANN001, ANN202
+    """Each book's targets of its newest date."""
+    return x.weights.join(x.weights.groupBy("book").agg(F.max("date").alias("date")), ["book", "date"], "left_semi")
+
+
+_NEW = "nw AS (SELECT w.* FROM fx_weights w JOIN (SELECT book, max(date) AS date FROM fx_weights GROUP BY book) USING (book, date))"
+add(
+    "foreign_positions", lambda x: O.foreign(O.positions(x.fills).groupBy("ticker").agg(F.max_by("qty", "session").alias("qty")).join(x.bars.groupBy("ticker").agg(F.max_by("close", "date").alias("price")), "ticker"), _newest(x).where("book <> 'bk_ew'")),
+    f"WITH {_NEW}, p AS (SELECT ticker, sum(CASE WHEN side = 'buy' THEN filled_qty ELSE -filled_qty END) AS qty FROM fx_fills GROUP BY 1), c AS (SELECT ticker, arg_max(close, date) AS price FROM fx_bars GROUP BY 1) SELECT ticker, qty, {r('qty * price', 'value')}, {r('abs(qty * price)', 'gross')} FROM p JOIN c USING (ticker) WHERE qty <> 0 AND ticker NOT IN (SELECT ticker FROM nw WHERE book <> 'bk_ew')",
+)
+add(
+    "route_targets", lambda x: O.route(_newest(x).select(F.when(F.col("book") == "bk_mom", "margin").otherwise("cash").alias("account"), "ticker", (F.col("w") * 1000).alias("dollars"))),
+    f"WITH {_NEW}, g AS (SELECT CASE WHEN book = 'bk_mom' THEN 'margin' ELSE 'cash' END AS account, ticker, sum(w * 1000) AS dollars FROM nw GROUP BY 1, 2) SELECT account, ticker, {r('dollars', 'dollars')}, count(*) OVER (PARTITION BY ticker) > 1 AS shared FROM g",
+)
 add("last_live_rows", lambda x: O.last_by_key(x.fills.select("ticker", "session", "client_order_id", "status"), ["ticker", "session"], "client_order_id"), "SELECT ticker, session, max(client_order_id) AS client_order_id, arg_max(status, client_order_id) AS status FROM fx_fills GROUP BY 1, 2")
 _RUN = lambda x: x.calendar.where("month_first").select(F.col("date").cast("timestamp_ntz").alias("run_at"), F.col("date").alias("run")).crossJoin(x.sectors.select("ticker"))  # noqa: E731  runs for each ticker, so that orders spread by ticker
 add("bucket_orders", lambda x: J.asof(x.fills.select("ticker", "client_order_id", "submitted_at"), _RUN(x), ["ticker"], "submitted_at", "run_at", "run").groupBy("run").agg(F.count("*").alias("n")), "SELECT run, count(*) AS n FROM fx_fills f ASOF LEFT JOIN (SELECT CAST(date AS TIMESTAMP) AS run_at, date AS run FROM fx_calendar WHERE month_first) r ON f.submitted_at >= r.run_at GROUP BY run")
@@ -467,8 +486,8 @@ _modes = lambda x: x.nets.select("book", "date", F.lit("dry").alias("mode"), F.c
 add("book_daily_returns", lambda x: O.prefer_live(_modes(x)), f"SELECT book, date, CASE WHEN month(date) < 7 AND month(date) <> 3 THEN 'live' ELSE 'dry' END AS mode, {r('CASE WHEN month(date) < 7 AND month(date) <> 3 THEN gross ELSE net END', 'ret')} FROM fx_nets")
 add("exec_side_split", lambda x: O.side_split(x.fills, x.market), f"SELECT side, CASE WHEN ret > 0 THEN 'up' ELSE 'down' END AS tape, count(*) AS fills, {r(f'avg({_SLIP})', 'mean_bps')} FROM fx_fills JOIN fx_market m ON m.date = week WHERE filled_qty > 0 AND ret IS NOT NULL GROUP BY 1, 2")
 # exact multiples of five basis points sit on the limit, so the alarm limit of 15 is compared after the same arithmetic on both sides
-_CHECKS = {"rate": "fill_rate >= 0.6", "rejects": "rejected = 0", "slippage": "abs(slip_bps) <= 15"}
-add("flatten_gate", lambda x: O.gate(O.reconcile(x.fills), _CHECKS).select("session", "binding", "verdict"), f"WITH {_REC} SELECT session, CASE WHEN fill_rate < 0.6 THEN 'rate' WHEN rejected > 0 THEN 'rejects' WHEN abs(slip_bps) > 15 THEN 'slippage' END AS binding, CASE WHEN fill_rate < 0.6 OR rejected > 0 OR abs(slip_bps) > 15 THEN 'FAIL' WHEN fill_rate IS NULL OR slip_bps IS NULL THEN 'INCONCLUSIVE' ELSE 'PASS' END AS verdict FROM rd")
+_CHECKS = {"rate": "fill_rate >= 0.6", "rejects": "rejected = 0", "slippage": "abs(round(slip_bps, 6)) <= 15"}
+add("flatten_gate", lambda x: O.gate(O.reconcile(x.fills), _CHECKS).select("session", "binding", "verdict"), f"WITH {_REC} SELECT session, CASE WHEN fill_rate < 0.6 THEN 'rate' WHEN rejected > 0 THEN 'rejects' WHEN abs(round(slip_bps, 6)) > 15 THEN 'slippage' END AS binding, CASE WHEN fill_rate < 0.6 OR rejected > 0 OR abs(round(slip_bps, 6)) > 15 THEN 'FAIL' WHEN fill_rate IS NULL OR slip_bps IS NULL THEN 'INCONCLUSIVE' ELSE 'PASS' END AS verdict FROM rd")
 add("weight_leakage", lambda x: V.truncation_audit(C.quantile_weights(_mom(x), 5, "mom"), C.quantile_weights(_mom_cut(x), 5, "mom"), list(DT), "w"), f"WITH {_BUCKET} SELECT count(*) AS cells, CAST(0 AS BIGINT) AS leaks, 'PASS' AS verdict FROM q1 WHERE n >= 5 AND bucket IN (0, 4) AND date < DATE '1999-01-01'")
 add("parity_check", lambda x: J.gaps(C.quantile_weights(_mom(x), 5, "mom").where("date < date'1999-01-01'"), C.quantile_weights(_mom_cut(x), 5, "mom"), list(DT), "w", 1e-9).agg(F.count("*").alias("gaps")), "SELECT CAST(0 AS BIGINT) AS gaps")
 add("st_last_mark", lambda x: T.settle(_events(x).groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")), "update", ["user_id", "event_type"]), f"SELECT user_id, event_type, {r('last(value ORDER BY ts, event_id)', 'value')} FROM events GROUP BY 1, 2")

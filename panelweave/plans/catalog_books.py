@@ -46,10 +46,10 @@ add_fold(
     "tolerance_band_joint", lambda x: E.tolerance_band_joint(_joint(x), 0.02),
     base._recursive(_JT, "jt", _JS.format(z="CAST(-1 AS DOUBLE)"), _JS.format(z="z.st"), f" SELECT ticker, date, {r('greatest(st, 0)', 'held')}, {r('CASE WHEN st < 0 THEN 0 ELSE 1 - st END', 'rest')} FROM z"),
 )
-add("l1_row_band", lambda x: E.row_band(x.weights.where("book = 'bk_mom'"), _dates(x), 0.5))
+add("l1_row_band", lambda x: E.row_band(x.weights, _dates(x), 0.5))
 add(
-    "overlay_cost", lambda x: E.overlay_cost(_held(x).where("book = 'bk_mom'").select(*DT, "w"), W.rolling_beta(x.factor, 13), 5.0),
-    f"WITH {base._BETA}, lb AS (SELECT date, ticker, {lag('beta')} AS b FROM b3), a AS (SELECT date, ticker, w * coalesce(b, 0) AS o FROM fx_held0 LEFT JOIN lb USING (date, ticker) WHERE book = 'bk_mom'), c AS (SELECT *, abs(o - coalesce({lag('o')}, 0)) AS d FROM a) SELECT date, {r('sum(o)', 'overlay')}, {r('sum(d) * 0.001', 'cost')} FROM c GROUP BY date",
+    "overlay_cost", lambda x: E.overlay_cost(_held(x).select("book", *DT, "w"), W.rolling_beta(x.factor, 13), 5.0),
+    f"WITH {base._BETA}, lb AS (SELECT date, ticker, {lag('beta')} AS b FROM b3), a AS (SELECT book, date, ticker, w * coalesce(b, 0) AS o FROM fx_held0 LEFT JOIN lb USING (date, ticker)), c AS (SELECT *, abs(o - coalesce({lag('o', key='book, ticker')}, 0)) AS d FROM a) SELECT book, date, {r('sum(o)', 'overlay')}, {r('sum(d) * 0.001', 'cost')} FROM c GROUP BY book, date",
 )
 
 
