@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import by, clip, ratio
+from panelweave.functions.columns import by, clip, ratio, rolling_median
 from panelweave.operators import cross_section as C
 from panelweave.operators import rolling as W
 from panelweave.operators import state as P
@@ -53,9 +53,21 @@ def dual_momentum(panel: DataFrame, long: int = 52, otherwise: str = "CASH") ->
     return C.argmax_pick(level, 0.0, otherwise).select("date", "ticker", F.lit(1.0).alias("w"))
 
 
-def momentum_concentrated(panel: DataFrame, k: int = 5, long: int = 13, skip: int = 1, vol: int = 8) -> DataFrame:
-    """The k best by momentum, weighted by inverse volatility."""
-    return C.topk_inverse_vol(W.realized_vol(W.momentum(panel, long, skip), vol, 52), k)
+def momentum_concentrated(panel: DataFrame, market: DataFrame, k: int = 5, long: int = 13, skip: int = 1, vol: int = 8, parts: int = 4, target: float = 0.02, low: float = 0.5, high: float = 2.0, sma: int = 40) -> DataFrame:
+    """The k best members by momentum, weighted by inverse volatility, spread over tranches that refresh in turn; scaled to a volatility target, not levered while the market is under its average."""
+    x = W.realized_vol(W.momentum(panel, long, skip), vol, 52).where("member")
+    top = C.topk_inverse_vol(x, k).withColumn("_n", F.count("*").over(Window.partitionBy("date"))).where(F.col("_n") == k)
+    days = panel.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date"))).join(top.select("date").distinct().withColumn("_picked", F.lit(0.0)), "date", "left")  # one row per date
+    grid = panel.select("date", "ticker", "ret").join(days, "date").join(top.select("date", "ticker", "w"), ["date", "ticker"], "left")
+    base = P.tranches(grid.withColumn("w", F.coalesce("w", "_picked")), parts)  # a date without enough names leaves its tranche as it was
+    earned = base.withColumn("_e", F.lag("w").over(by("ticker")) * F.col("ret")).groupBy("date").agg(F.sum("_e").alias("net"))
+    own = F.when(F.count("net").over(Window.orderBy("date").rowsBetween(-(vol - 1), 0)) == vol, F.stddev_samp("net").over(Window.orderBy("date").rowsBetween(-(vol - 1), 0))) * F.sqrt(F.lit(52.0))
+    lev = earned.withColumn("_v", F.round(own, 12)).withColumn("lev", F.coalesce(clip(ratio(F.lit(target), F.col("_v")), low, high), F.lit(1.0)))
+    bear = W.sma_ratio(market.withColumn("ticker", F.lit("MKT")), sma).select("date", F.coalesce(F.col("above") < 0, F.lit(False)).alias("_bear"))
+    out = base.select("date", "ticker", "w").join(lev.select("date", "lev"), "date").join(bear, "date")
+    out = out.withColumn("w", F.col("w") * F.when(F.col("_bear"), F.least("lev", F.lit(1.0))).otherwise(F.col("lev")))
+    gross = F.sum(F.abs("w")).over(Window.partitionBy("date"))
+    return out.withColumn("w", F.when(gross > high, F.col("w") * high / gross).otherwise(F.col("w"))).where("w <> 0").select("date", "ticker", "w")
 
 
 def trend_multi(panel: DataFrame, long: int = 26, vol: int = 13) -> DataFrame:
@@ -65,11 +77,21 @@ def trend_multi(panel: DataFrame, long: int = 26, vol: int = 13) -> DataFrame:
     return x.select("date", "ticker", ratio(raw, F.sum(F.abs(raw)).over(Window.partitionBy("date"))).alias("w"))
 
 
-def gap_drift(panel: DataFrame, n: int = 13, z: float = 1.5, hold: int = 4) -> DataFrame:
-    """Names held for some dates after an unusually large positive return, equally."""
-    x = panel.withColumn("_m", F.avg("ret").over(by("ticker").rowsBetween(-n, -1))).withColumn("_s", F.stddev_samp("ret").over(by("ticker").rowsBetween(-n, -1))).withColumn("_k", F.count("ret").over(by("ticker").rowsBetween(-n, -1)))
-    x = P.event_hold(x, F.coalesce((F.col("_k") == n) & (F.col("ret") - F.col("_m") > z * F.col("_s")), F.lit(False)), hold).where("active = 1")
-    return x.select("date", "ticker", (1 / F.count("*").over(Window.partitionBy("date"))).alias("w"))
+def gap_events(panel: DataFrame, n: int = 13, z: float = 1.5, calm: int = 8, busy: float = 1.0, hold: int = 4) -> DataFrame:
+    """panel with active: 1 on the dates 1..hold after a member's return of z trailing deviations on busy times its median volume, while there is a price."""
+    before = by("ticker").rowsBetween(-n, -1)
+    x = panel.withColumn("_s", F.when(F.count("ret").over(before) == n, F.stddev_samp("ret").over(before)))
+    x = x.withColumn("_v", F.lag(rolling_median("volume", calm, "ticker")).over(by("ticker")))
+    event = F.col("member") & (F.col("ret") > z * F.col("_s")) & (F.col("volume") >= busy * F.col("_v"))
+    return P.event_hold(x, F.coalesce(event, F.lit(False)), hold).withColumn("active", F.when(F.col("close").isNotNull(), F.col("active")).otherwise(0))
+
+
+def gap_drift(panel: DataFrame, cap: float = 0.2, gross: float = 1.5) -> DataFrame:
+    """Names held for some dates after a large positive return on large volume, equally up to a cap; what is idle is in the market."""
+    x = gap_events(panel).select("date", "ticker", "active").withColumn("_n", F.sum("active").over(Window.partitionBy("date")))
+    names = x.where("active = 1").select("date", "ticker", (F.least(1 / F.col("_n"), F.lit(cap)) * gross).alias("w"))
+    idle = x.groupBy("date").agg(F.first("_n").alias("_n")).select("date", F.lit("MKT").alias("ticker"), (gross - F.when(F.col("_n") > 0, F.least(F.lit(1.0), F.col("_n") * cap)).otherwise(0.0) * gross).alias("w"))
+    return names.unionByName(idle)
 
 
 for _name, _build in {

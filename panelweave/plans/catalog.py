@@ -462,12 +462,8 @@ _BND = "CASE WHEN o.target IS NOT NULL AND abs(o.target - {z}) > 0.1 THEN o.targ
 add_fold("book_vol_managed", _book("vol_managed"), _recursive(_TV, "tt", _BND.format(z="CAST(0 AS DOUBLE)"), _BND.format(z="z.st"), f" SELECT date, ticker, {r('st', 'w')} FROM z"))
 _DM = "dm AS (SELECT date, sector AS ticker, avg(ret) AS ret FROM fx_returns GROUP BY 1, 2), dn AS (SELECT date, ticker, CASE WHEN count(ret) OVER k = 52 THEN round(exp(sum(ln(1 + ret)) OVER k) - 1, 9) END AS mom FROM dm WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))"
 add("book_dual_momentum", _book("dual_momentum", "panel"), f"WITH {_DM} SELECT date, CASE WHEN max(mom) > 0 THEN first(ticker ORDER BY mom DESC, ticker) ELSE 'CASH' END AS ticker, CAST(1 AS DOUBLE) AS w FROM dn WHERE mom IS NOT NULL GROUP BY date")
-add("book_momentum_concentrated", _book("momentum_concentrated", "panel"))
-alias("book_momentum_concentrated", "topk_inverse_vol")
 _TS = f"ts AS (SELECT date, ticker, close / {lag('close', 26)} - 1 AS mom, {std('ret', 13)} AS sd FROM fx_returns), tr AS (SELECT date, ticker, sign(mom) / (sd * sqrt(52.0)) AS w0 FROM ts WHERE mom IS NOT NULL AND sd > 0)"
 add("book_tsmom_multi_asset", _book("tsmom_multi_asset", "panel"), f"WITH {_TS} SELECT date, ticker, {r('w0 / nullif(sum(abs(w0)) OVER (PARTITION BY date), 0)', 'w')} FROM tr")
-_GD = "gd AS (SELECT date, ticker, ret, avg(ret) OVER k AS mu, stddev_samp(ret) OVER k AS sd, count(ret) OVER k AS n FROM fx_returns WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING)), ge AS (SELECT date, ticker, max(CAST(coalesce(n = 13 AND ret - mu > 1.5 * sd, false) AS INTEGER)) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS active FROM gd)"
-add("book_gap_drift", _book("gap_drift", "panel"), f"WITH {_GD} SELECT date, ticker, {r('1.0 / count(*) OVER (PARTITION BY date)', 'w')} FROM ge WHERE active = 1")
 
 # stress, nulls, gates and further ledger rules
 _HELD = lambda n: f"SELECT book, date, ticker, coalesce(lag(w, {n}) OVER k, 0) AS held, abs(coalesce(lag(w, {n}) OVER k, 0) - coalesce(lag(w, {n + 1}) OVER k, 0)) AS traded FROM fx_held0 WINDOW k AS (PARTITION BY book, ticker ORDER BY date)"
@@ -493,4 +489,4 @@ add("parity_check", lambda x: J.gaps(C.quantile_weights(_mom(x), 5, "mom").where
 add("st_last_mark", lambda x: T.settle(_events(x).groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")), "update", ["user_id", "event_type"]), f"SELECT user_id, event_type, {r('last(value ORDER BY ts, event_id)', 'value')} FROM events GROUP BY 1, 2")
 
 # further queries, which register themselves
-from panelweave.plans import catalog_books, catalog_inference, catalog_jobs  # noqa: E402, F401
+from panelweave.plans import catalog_books, catalog_inference, catalog_jobs, catalog_macro, catalog_panel  # noqa: E402, F401

@@ -8,16 +8,26 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import by, clip
+from panelweave.functions.columns import by, clip, rolling_std
 from panelweave.operators import bars as B
 from panelweave.operators import universe as U
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where the session is local."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return folder
+    if not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -95,6 +105,19 @@ class Fixtures:
         m = self.returns.groupBy("date").agg(F.avg("ret").alias("ret"))
         return m.withColumn("close", 100 * F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))))
 
+    @property
+    def macro(self) -> DataFrame:
+        """(date, mkt, mkt_ret, volx, cash, cash_ret, r0..r4, r0_ret..r4_ret): a row per date of the market, its volatility index, cash, and the regions' levels in order of their names."""
+        level = lambda ret, *keys: 100 * F.exp(F.sum(F.log1p(F.coalesce(ret, F.lit(0.0)))).over(by(*keys).rowsBetween(Window.unboundedPreceding, 0)))
+        regions = self.returns.groupBy("date", "sector").agg(F.avg("ret").alias("ret"))
+        names = self.returns.select("sector").distinct().withColumn("k", F.row_number().over(Window.orderBy("sector")) - 1)  # a row per region
+        regions = regions.join(F.broadcast(names), "sector").withColumn("close", level(F.col("ret"), "sector"))
+        wide = regions.groupBy("date").agg(*[F.max(F.when(F.col("k") == i, F.col(c))).alias(f"r{i}{end}") for i in range(5) for c, end in (("close", ""), ("ret", "_ret"))])
+        days = self.calendar.select("date", "pos", "month_first", "month_end_confirmed")
+        m = self.market.select("date", F.col("close").alias("mkt"), F.col("ret").alias("mkt_ret")).join(days, "date").join(wide, "date")
+        volx = 100 * F.sqrt(F.lit(52.0)) * rolling_std("mkt_ret", 8)
+        return m.withColumns({"volx": volx, "cash": F.pow(F.lit(1.0005), F.col("pos")), "cash_ret": F.when(F.col("pos") > 1, F.lit(1.0005) - 1)})
+
     @property
     def weights(self) -> DataFrame:
         """(book, date, ticker, w): equal weight, 12-week momentum (five best against five worst), best region."""

@@ -82,6 +82,11 @@ VIEWS = {
     "fx_returns": "SELECT p.*, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret, sector FROM fx_panel p JOIN fx_sectors USING (ticker)",
     "fx_factor": "SELECT *, avg(ret) OVER (PARTITION BY date, sector) AS f, avg(ret) OVER (PARTITION BY date) AS m FROM fx_returns",
     "fx_market": "SELECT date, avg(ret) AS ret FROM fx_returns GROUP BY date",
+    "fx_levels5": "SELECT date, dense_rank() OVER (ORDER BY sector) - 1 AS k, ret, 100 * exp(sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY sector ORDER BY date ROWS UNBOUNDED PRECEDING)) AS close FROM (SELECT date, sector, avg(ret) AS ret FROM fx_returns GROUP BY 1, 2)",
+    "fx_wide5": "SELECT date, " + ", ".join(f"max(close) FILTER (k = {i}) AS r{i}, max(ret) FILTER (k = {i}) AS r{i}_ret" for i in range(5)) + " FROM fx_levels5 GROUP BY date",
+    "fx_macro": """SELECT c.date, pos, month_first, month_end_confirmed, m.ret AS mkt_ret, 100 * exp(sum(ln(1 + coalesce(m.ret, 0))) OVER d) AS mkt, CASE WHEN count(m.ret) OVER w = 8 THEN 100 * sqrt(52.0) * stddev_samp(m.ret) OVER w END AS volx,
+        pow(1.0005, pos) AS cash, CASE WHEN pos > 1 THEN 1.0005 - 1 END AS cash_ret, v.* EXCLUDE (date) FROM fx_calendar c JOIN fx_market m USING (date) JOIN fx_wide5 v USING (date)
+        WINDOW d AS (ORDER BY c.date ROWS UNBOUNDED PRECEDING), w AS (ORDER BY c.date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""",
     "fx_mom": "SELECT *, lag(close, 1) OVER (PARTITION BY ticker ORDER BY date) / lag(close, 13) OVER (PARTITION BY ticker ORDER BY date) - 1 AS mom FROM fx_returns",
     "fx_ranked": "SELECT *, row_number() OVER (PARTITION BY date ORDER BY mom DESC, ticker) AS u, row_number() OVER (PARTITION BY date ORDER BY mom, ticker) AS d FROM fx_mom WHERE mom IS NOT NULL",
     "fx_region": "SELECT date, sector FROM (SELECT date, sector, row_number() OVER (PARTITION BY date ORDER BY avg(mom) DESC, sector) AS k FROM fx_ranked GROUP BY date, sector) WHERE k = 1",

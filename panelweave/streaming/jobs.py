@@ -24,8 +24,11 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
 
 
 def settle(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelweave.functions.columns import average_rank
 from panelweave.operators import covariance, joins, ledger, state, universe
@@ -131,3 +132,52 @@ def test_books_register_once():
     with pytest.raises(ValueError):
         register_book("mine", lambda p: p)
     BOOKS.pop("mine")
+
+
+def test_folds_stream_a_long_key(spark):
+    """One key holds nearly all rows; the state is carried over Arrow batches."""
+    from panelweave.operators import state as P
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit("hot").alias("ticker"), F.col("id").alias("date"), F.when(F.col("id") % 7 == 0, None).otherwise((F.col("id") * 7919 % 1000) / 100).alias("target"))
+    rows = rows.unionByName(spark.createDataFrame([("cold", 0, 1.0), ("cold", 1, None)], "ticker string, date long, target double"))
+    got = {(r.ticker, r.date): r.held for r in P.tolerance_band(rows, 4.0).collect()}
+    held = 0.0
+    for i in range(n):
+        x = None if i % 7 == 0 else i * 7919 % 1000 / 100
+        held = x if x is not None and abs(x - held) > 4.0 else held
+        assert got["hot", i] == held
+    assert got["cold", 0] == 0.0 and got["cold", 1] == 0.0 and len(got) == n + 2
+
+
+def test_average_entry_follows_a_loop(spark):
+    from random import Random
+
+    from panelweave.operators import ledger as O
+
+    r, rows = Random(4), []
+    for t in ("A", "B", "C"):
+        for i in range(400):
+            rows.append((t, f"2001-{1 + i // 40:02d}-{1 + i % 28:02d}", f"{i:05d}", r.choice(["buy", "sell"]), float(r.randrange(0, 5)), 10 + r.random()))
+    rows += [("D", "2001-01-01", "1", "buy", 5.0, 3.0), ("D", "2001-02-01", "2", "sell", 5.0, 4.0), ("E", "2001-01-01", "1", "buy", 2.0, 3.0), ("E", "2001-03-01", "2", "sell", 6.0, 4.0)]
+    frame = spark.createDataFrame(rows, "ticker string, session string, client_order_id string, side string, filled_qty double, price double").withColumn("session", F.to_date("session"))
+    got = {x.ticker: (x.qty, x.avg_price) for x in O.average_entry(frame).collect()}
+    for t in "ABCDE":
+        q = p = 0.0
+        for _, _, _, side, n, price in sorted((x for x in rows if x[0] == t and x[4] > 0), key=lambda x: (x[1], x[2])):
+            move = n if side == "buy" else -n
+            after = q + move
+            p = 0.0 if after == 0 else price if q == 0 or q * after < 0 else (p * q + price * move) / after if q * move > 0 else p
+            q = after
+        assert got[t][0] == q and abs(got[t][1] - p) < 1e-9, t
+
+
+def test_pooled_rank_is_the_rank_over_all_rows(spark):
+    from panelweave.operators import cross_section as C
+
+    rows = spark.range(3000).select((F.col("id") * 7919 % 97).cast("double").alias("v"), "id")
+    got = {r.id: r.k for r in C.pooled_rank(rows, "v", "k").collect()}
+    values = sorted(i * 7919 % 97 for i in range(3000))
+    first = {v: values.index(v) for v in set(values)}
+    count = {v: values.count(v) for v in set(values)}
+    assert all(got[i] == first[i * 7919 % 97] + (count[i * 7919 % 97] + 1) / 2 for i in range(3000))
