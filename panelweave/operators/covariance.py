@@ -101,15 +101,18 @@ def signal_features(signals: DataFrame, n: int = 12) -> DataFrame:
     return signals.select("signalname", "date", F.when(full, F.sum("ret").over(w.rowsBetween(-(n - 1), 0))).alias("mom"), F.when(full, F.stddev_samp("ret").over(w.rowsBetween(-(n - 1), 0))).alias("vol"), F.lead("ret").over(w).alias("y"))
 
 
-def expanding_ols(features: DataFrame, least: int, every: int) -> DataFrame:
-    """Prediction of y by mom, fitted on all earlier months by running sums; refitted every `every` months, none before `least` months."""
+def expanding_ols(features: DataFrame, least: int, every: int, ridge: float = 0.0) -> DataFrame:
+    """Prediction of y by mom, fitted on all earlier months by running sums; refitted every `every` months, none before `least` months.
+
+    ridge: the penalty on the slope, in units of the centred sum of squares of mom."""
     ok = features.where("mom is not null and y is not null")
     m = ok.groupBy("date").agg(F.count("*").alias("n"), F.sum("mom").alias("x"), F.sum("y").alias("v"), F.sum(F.col("mom") * F.col("y")).alias("xv"), F.sum(F.col("mom") * F.col("mom")).alias("xx"))
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     sums = m.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("i"), *[F.sum(c).over(w).alias(c) for c in ("n", "x", "v", "xv", "xx")])
-    slope = ratio(F.col("xv") * F.col("n") - F.col("x") * F.col("v"), F.col("xx") * F.col("n") - F.col("x") * F.col("x"))
+    slope = ratio(F.col("xv") * F.col("n") - F.col("x") * F.col("v"), (F.col("xx") * F.col("n") - F.col("x") * F.col("x")) * (1 + ridge))
     fit = sums.withColumn("b", slope).withColumn("a", (F.col("v") - F.col("b") * F.col("x")) / F.col("n"))
     refit = (F.col("i") >= least) & ((F.col("i") - least) % every == 0)
     keep = lambda c: F.last(F.when(refit, F.col(c)), ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     fit = fit.select("date", keep("a").alias("a"), keep("b").alias("b"))
     return features.where("mom is not null").join(fit, "date").select("signalname", "date", (F.col("a") + F.col("b") * F.col("mom")).alias("prediction"))
+

@@ -113,11 +113,37 @@ def ic_report(cars: DataFrame, scores: DataFrame, horizons: list[int], least: in
     return g.withColumn("verdict", F.when(F.col("n") < least, "ACCUMULATING").when(F.col("t") > 2, "PASS").when(F.col("t") < 0, "KILL").otherwise("INDETERMINATE"))
 
 
-def checkpoint(events: DataFrame, cars: DataFrame, k: int, least: int, top: float, missing: float) -> DataFrame:
-    """One row: events, matured ones, share of missing estimates, largest name's share, and whether every arming condition holds."""
-    total = events.agg(F.count("*").alias("events"), F.avg(F.col("estimate").isNull().cast("double")).alias("missing"))
+def checkpoint(events: DataFrame, cars: DataFrame, k: int, least: int, top: float, missing: float, names: int = 5) -> DataFrame:
+    """One row of six arming conditions and whether all hold: matured events, share of missing estimates, largest name's share, keys that are null or double, names, and
+    matured events that have an estimate."""
+    total = events.agg(F.count("*").alias("events"), F.avg(F.col("estimate").isNull().cast("double")).alias("missing"), F.count_distinct("symbol").alias("names"), F.count_if(F.col("symbol").isNull() | F.col("period").isNull()).alias("_null"))
     largest = events.groupBy("symbol").agg(F.count("*").alias("_n")).agg((F.max("_n") / F.sum("_n")).alias("largest"))
-    ripe = cars.where((F.col("k") == k) & F.col("car").isNotNull()).agg(F.count("*").alias("matured"))
-    out = total.crossJoin(F.broadcast(largest)).crossJoin(F.broadcast(ripe))  # one row each
-    armed = (F.col("matured") >= least) & (F.col("missing") <= missing) & (F.col("largest") <= top)
+    double = events.groupBy("symbol", "period").agg((F.count("*") - 1).alias("_d")).agg(F.sum("_d").alias("_double"))
+    ripe = cars.where((F.col("k") == k) & F.col("car").isNotNull()).join(events.select(F.col("symbol").alias("ticker"), "period", "estimate"), ["ticker", "period"], "left")
+    ripe = ripe.agg(F.count("*").alias("matured"), F.avg(F.col("estimate").isNotNull().cast("double")).alias("usable"))
+    out = total.crossJoin(F.broadcast(largest)).crossJoin(F.broadcast(double)).crossJoin(F.broadcast(ripe))  # one row each
+    out = out.withColumn("bad_keys", F.col("_null") + F.coalesce("_double", F.lit(0))).drop("_null", "_double")
+    armed = (F.col("matured") >= least) & (F.col("missing") <= missing) & (F.col("largest") <= top) & (F.col("bad_keys") == 0) & (F.col("names") >= names) & (F.col("usable") >= 1 - missing)
     return out.withColumn("armed", F.coalesce(armed, F.lit(False)))
+
+
+def leakage_audits(series: DataFrame, lags: dict[str, int], today: Column, stale: int, alike: float) -> DataFrame:
+    """(audit, cells, leaks, verdict) of the point-in-time layer: availability (no value before its lag), calendar (no value on a weekend), poison (a value that is known before `today` doesn't
+    change when all later observations do), staleness (gaps beyond `stale` days) and cross_source (pairs of series whose changes correlate beyond `alike`)."""
+    known = available(series, lags)
+    shift = F.coalesce(F.create_map(*[x for k, v in lags.items() for x in (F.lit(k), F.lit(v))])[F.col("series")], F.lit(0))
+    gap = F.datediff("obs_date", F.lag("obs_date").over(by("series", order="obs_date")))
+    poisoned = available(series.withColumn("value", F.when(F.col("obs_date") >= today, F.lit(-1e9)).otherwise(F.col("value"))), lags).select("series", "avail_date", F.col("value").alias("_p"))
+    both = known.where(F.col("avail_date") < today).join(poisoned, ["series", "avail_date"], "left")
+    change = series.withColumn("_c", F.col("value") - F.lag("value").over(by("series", order="obs_date")))
+    pairs = change.select("obs_date", F.col("series").alias("a"), F.col("_c").alias("x")).join(change.select("obs_date", F.col("series").alias("b"), F.col("_c").alias("y")), "obs_date").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(corr_from_sums(F.col("x"), F.col("y")).alias("c"))
+    rows = [
+        ("availability", known, F.datediff("avail_date", "obs_date") < shift), ("calendar", known, F.weekday("avail_date") > 4), ("poison", both, ~F.col("value").eqNullSafe(F.col("_p"))),
+        ("staleness", series.withColumn("_gap", gap), F.coalesce(F.col("_gap") > stale, F.lit(False))), ("cross_source", pairs, F.coalesce(F.abs("c") > alike, F.lit(False))),
+    ]
+    out = [x.agg(F.lit(name).alias("audit"), F.count("*").alias("cells"), F.count_if(leak).alias("leaks")) for name, x, leak in rows]
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole.withColumn("verdict", F.when(F.col("leaks") == 0, "PASS").otherwise("BLOCK"))

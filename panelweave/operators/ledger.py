@@ -191,3 +191,20 @@ def drift_exec_split(fills: DataFrame, opens: DataFrame, bound: float) -> DataFr
     x = x.withColumn("_d", sign * (F.col("open") / F.col("close") - 1) * 1e4).withColumn("_e", sign * (F.col("price") - F.col("open")) / F.col("close") * 1e4)
     ok = F.col("open").isNotNull() & (F.abs("_d") <= bound)
     return x.groupBy("ticker").agg(F.count("*").alias("fills"), F.count_if(ok).alias("split"), F.avg(F.when(ok, F.col("_d"))).alias("drift_bps"), F.avg(F.when(ok, F.col("_e"))).alias("exec_bps"))
+
+
+def reconcile_detail(fills: DataFrame, classes: DataFrame, silent: int = 3) -> DataFrame:
+    """Per session: share of the ordered quantity that was cancelled, fill rates of two classes of names, orders left open by position, drag of the fills in the money traded, sessions in
+    a row whose fills cancel out, and the alarms. classes: (ticker, core)."""
+    sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
+    x = fills.join(F.broadcast(classes), "ticker")  # a row per name
+    rate = lambda c: ratio(F.sum(F.when(c, F.col("filled_qty"))), F.sum(F.when(c, F.col("qty"))))
+    g = x.groupBy("session").agg(
+        ratio(F.sum(F.when(F.col("status") != "rejected", F.col("qty") - F.col("filled_qty"))), F.sum("qty")).alias("cancelled"), rate(F.col("core")).alias("core_rate"), rate(~F.col("core")).alias("other_rate"),
+        F.sum(F.abs(F.col("qty") - F.col("filled_qty"))).alias("open_qty"), ratio(F.sum(sign * (F.col("price") - F.col("close")) * F.col("filled_qty")), F.sum(F.col("filled_qty") * F.col("close"))).alias("drag"), F.sum(sign * F.col("filled_qty")).alias("net_qty"),
+    )
+    days = Window.orderBy("session")  # one row per session
+    g = g.withColumn("_flat", (F.abs("net_qty") < 30).cast("int")).withColumn("_seg", F.sum(1 - F.col("_flat")).over(days))
+    g = g.withColumn("flat_streak", F.sum("_flat").over(Window.partitionBy("_seg").orderBy("session")))
+    alarms = F.array_compact(F.array(F.when(F.col("cancelled") > 0.3, "cancels"), F.when(F.round(F.abs(F.col("core_rate") - F.col("other_rate")), 9) > 0.5, "classes"), F.when(F.col("flat_streak") >= silent, "silent")))
+    return g.withColumn("alarms", F.array_join(alarms, "|")).drop("_flat", "_seg")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from panelweave.functions.columns import by, corr_from_sums, ratio
+from panelweave.functions.columns import by, clip, corr_from_sums, norm_cdf, norm_ppf, ratio, rolling_mean, rolling_std
+from panelweave.operators import state as P
 from panelweave.operators.rolling import drawdown
 
 
@@ -42,6 +46,27 @@ def deflated_z(nets: DataFrame, luck: float) -> DataFrame:
     return m.select("book", "n", "sr", "skew", "kurt", ratio((F.col("sr") - luck) * F.sqrt((F.col("n") - 1).cast("double")), F.sqrt(var)).alias("z"))
 
 
+def luck(n_trials: int) -> float:
+    """The expected best of so many sharpes without skill, in units of their dispersion."""
+    if n_trials <= 1:
+        return 0.0
+    gamma = 0.5772156649015329  # Euler's constant
+    return (1 - gamma) * norm_ppf(1 - 1 / n_trials) + gamma * norm_ppf(1 - 1 / (n_trials * math.e))
+
+
+def deflated_sharpe(nets: DataFrame, n_trials: int, least: int = 10) -> DataFrame:
+    """(book, n, sr, bar, p, bar_trials, p_trials): the probability that the true sharpe beats luck over n_trials tries, whose dispersion is 1 / sqrt(n - 1), and, in the
+    second form, that of the books' own sharpes. Zero with fewer than `least` values."""
+    m = moments(nets).withColumn("sr", ratio(F.col("mean"), F.col("sd")))
+    spread = m.agg(F.stddev_samp("sr").alias("_spread"))
+    m = m.crossJoin(F.broadcast(spread))  # one row
+    root = F.sqrt((F.col("n") - 1).cast("double"))
+    bars = {"bar": F.lit(luck(n_trials)) / root, "bar_trials": F.lit(luck(n_trials)) * F.coalesce("_spread", F.lit(0.0))}
+    below = F.sqrt(F.greatest(1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr"), F.lit(1e-12)))
+    p = lambda bar: F.when(F.col("n") >= least, F.coalesce(norm_cdf((F.col("sr") - bar) * root / below), F.lit(0.0))).otherwise(0.0)
+    return m.select("book", "n", "sr", bars["bar"].alias("bar"), p(bars["bar"]).alias("p"), bars["bar_trials"].alias("bar_trials"), p(bars["bar_trials"]).alias("p_trials"))
+
+
 def autocorr_inflation(nets: DataFrame, lags: int) -> DataFrame:
     """1 + 2 * sum of (1 - k / n) rho_k per book."""
     m = Window.partitionBy("book")
@@ -137,3 +162,61 @@ def vol_clustering(rows: DataFrame, key: str = "ticker") -> DataFrame:
     w = by(key)
     x = rows.withColumn("_s", F.col("ret") * F.col("ret")).withColumn("_p", F.lag("_s").over(w)).withColumn("_d", F.lead("_s").over(w) - F.col("_s"))
     return x.groupBy(key).agg(corr_from_sums(F.col("_s"), F.col("_p")).alias("clustering"), corr_from_sums(F.col("ret"), F.col("_d")).alias("leverage"))
+
+
+def regime_sets(market: DataFrame, index: str = "volx", level: str = "mkt", ret: str = "mkt_ret") -> DataFrame:
+    """(date, set, label, market): six ways to label a date by what was known the date before, and the market's return."""
+    days = Window.orderBy("date")  # one row per date
+    past = days.rowsBetween(Window.unboundedPreceding, 0)
+    peak = F.max(level).over(past)
+    labels = {
+        "index": F.when(F.col(index) > F.avg(index).over(past), "high").otherwise("low"),
+        "trend": F.when(F.col(level) > F.avg(level).over(days.rowsBetween(-39, 0)), "above").otherwise("below"),
+        "drawdown": F.when(F.col(level) < 0.98 * peak, "deep").when(F.col(level) < peak, "shallow").otherwise("peak"),
+        "week": F.when(F.col(ret) > 0, "up").otherwise("down"),
+        "quarter": F.concat(F.lit("q"), F.quarter("date").cast("string")),
+        "half": F.when(F.col(level) > F.lag(level, 26).over(days), "rising").otherwise("falling"),
+    }
+    m = market.withColumns({f"_{k}": F.lag(v).over(days) for k, v in labels.items()})
+    each = F.array(*[F.struct(F.lit(k).alias("set"), F.col(f"_{k}").alias("label")) for k in labels])
+    return m.select("date", F.col(ret).alias("market"), F.explode(each).alias("x")).select("date", "x.*", "market").where("label is not null")
+
+
+def regime_report(nets: DataFrame, regimes: DataFrame, per_year: int = 52) -> DataFrame:
+    """Of each book in each regime of each set: days, log return, that less the market's, sharpe, and its share of the days below the book's peak."""
+    d = drawdown(nets, "net", "book").select("book", "date", "net", (F.col("dd") < 0).cast("int").alias("_under"))
+    x = d.join(regimes, "date").withColumn("_l", F.log1p("net"))
+    g = x.groupBy("book", "set", "label").agg(F.count("*").alias("days"), F.sum("_l").alias("log_net"), F.sum(F.col("_l") - F.log1p(F.coalesce("market", F.lit(0.0)))).alias("relative"), sharpe("net", per_year).alias("sharpe"), F.sum("_under").alias("_u"))
+    return g.withColumn("under_share", ratio(F.col("_u").cast("double"), F.sum("_u").over(Window.partitionBy("book", "set")).cast("double"))).drop("_u")
+
+
+def asset_study(panel: DataFrame, grid: list[tuple[float, int, int]], per_year: int = 52, band: float = 0.01, width: float = 0.1, cap: float = 2.0) -> DataFrame:
+    """(ticker, sigma, lookback, sma, variant, n, cagr, sharpe, worst): each asset held, volatility-managed, gated by its average, and both, for each cell of the grid, from the date on which all are known.
+
+    The volatility target moves only beyond the width, a fold over (asset, cell); weights earn on the next date.
+    """
+    sizes = {n for _, n, _ in grid}
+    x = panel.withColumns({f"_v{n}": rolling_std("ret", n, "ticker") * F.sqrt(F.lit(float(per_year))) for n in sizes} | {f"_m{m}": F.col("close") / rolling_mean("close", m, "ticker") - 1 for m in {m for *_, m in grid}})
+    cells = F.array(*[F.struct(F.lit(s).alias("sigma"), F.lit(n).alias("lookback"), F.lit(m).alias("sma"), clip(ratio(F.lit(s), F.col(f"_v{n}")), 0.0, cap).alias("target"), F.col(f"_m{m}").alias("above")) for s, n, m in grid])
+    x = x.select("ticker", "date", "ret", F.explode(cells).alias("c")).select("ticker", "date", "ret", "c.*")
+    keys = ["ticker", "sigma", "lookback", "sma"]
+
+    def step(state: tuple, key: tuple, date: object, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        held, gate = state
+        target, above, ret = rows[0]
+        if target is not None and abs(target - held) > width:
+            held = target
+        if above is not None:
+            gate = 1.0 if above > band else 0.0 if above < -band else gate if gate is not None else float(above > 0)
+        known = target is not None and gate is not None
+        return (held, gate), [(*key, date, ret, held if known else None, gate if known else None)]
+
+    schema = StructType([StructField("ticker", StringType()), StructField("sigma", DoubleType()), StructField("lookback", IntegerType()), StructField("sma", IntegerType()), StructField("date", DateType()), *(StructField(c, DoubleType()) for c in ("ret", "held", "gate"))])
+    s = P.fold_days(x, keys, ["target", "above", "ret"], (0.0, None), step, schema)
+    w = by(*keys)
+    s = s.withColumn("_h", F.lag("held").over(w)).withColumn("_g", F.lag("gate").over(w)).where("_h is not null and _g is not null and ret is not null")
+    each = F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("net")) for k, v in {"hold": F.col("ret"), "managed": F.col("_h") * F.col("ret"), "gate": F.col("_g") * F.col("ret"), "both": F.col("_h") * F.col("_g") * F.col("ret")}.items()])
+    s = s.select(*keys, "date", F.explode(each).alias("v")).select(*keys, "date", "v.*")
+    year = by(*keys, "variant").rowsBetween(-(per_year - 1), 0)
+    s = s.withColumn("_y", F.when(F.count("net").over(year) == per_year, F.exp(F.sum(F.log1p("net")).over(year)) - 1))
+    return s.groupBy(*keys, "variant").agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p("net")) * per_year / F.count("*")) - 1).alias("cagr"), sharpe("net", per_year).alias("sharpe"), F.min("_y").alias("worst"))

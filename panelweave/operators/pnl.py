@@ -122,3 +122,25 @@ def replication(nets: DataFrame, factors: DataFrame, betas: dict[str, dict[str,
     table = F.broadcast(nets.sparkSession.createDataFrame(rows, "book string, factor string, beta double"))  # books x factors, literals
     explained = factors.join(table, "factor").groupBy("book", "date").agg(F.sum(F.col("beta") * F.col("value")).alias("explained"))
     return nets.join(explained, ["book", "date"]).select("book", "date", "explained", (F.col("net") - F.col("explained")).alias("residual"))
+
+
+def stress_variants(weights: DataFrame, returns: DataFrame, calendar: DataFrame, index: DataFrame, bps: float, high: float) -> DataFrame:
+    """(book, variant, total, worst, cost): the books under dearer and cheaper trading, more basis points, costs that triple while the index (date, v) is high, a later fill, half
+    fills (the rest a date later) and missed trades. calendar: (date, pos)."""
+    grid = weights.select("book", "ticker").distinct().crossJoin(calendar).join(weights, ["book", "date", "ticker"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    t = by("book", "ticker")
+    kept = F.last(F.when((F.col("pos") * 48271) % 2147483647 % 10 != 0, F.col("w")), ignorenulls=True).over(t.rowsBetween(Window.unboundedPreceding, 0))  # a fixed tenth of the dates is missed
+    arms = {"as_is": F.lag("w").over(t), "late": F.lag("w", 2).over(t), "half_fill": (F.col("w1") + F.col("w2")) / 2, "missed": F.lag("_kept").over(t)}
+    grid = grid.withColumn("_kept", F.coalesce(kept, F.lit(0.0))).withColumn("w1", F.coalesce(F.lag("w").over(t), F.lit(0.0))).withColumn("w2", F.coalesce(F.lag("w", 2).over(t), F.lit(0.0)))
+    each = grid.withColumns({f"_h_{k}": F.coalesce(v, F.lit(0.0)) for k, v in arms.items()})
+    each = each.select("book", "date", "ticker", F.explode(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(f"_h_{k}").alias("held")) for k in arms])).alias("x")).select("book", "date", "ticker", "x.*")
+    each = each.withColumn("traded", F.abs(F.col("held") - F.coalesce(F.lag("held").over(by("book", "ticker", "arm")), F.lit(0.0))))
+    day = each.join(returns, ["date", "ticker"], "left").groupBy("book", "arm", "date").agg(F.coalesce(F.sum(F.col("held") * F.col("ret")), F.lit(0.0)).alias("gross"), F.sum("traded").alias("traded"))
+    day = day.join(index.select("date", F.coalesce(F.lag("v").over(Window.orderBy("date")) > high, F.lit(False)).alias("_high")), "date", "left")  # one row per date
+    costs = {("as_is", "base"): 1.0, ("as_is", "half"): 0.5, ("as_is", "double"): 2.0, ("as_is", "fourfold"): 4.0, ("late", "late"): 1.0, ("half_fill", "half_fill"): 1.0, ("missed", "missed"): 1.0}
+    turns = [F.struct(F.lit(arm).alias("arm"), F.lit(name).alias("variant"), F.lit(m * bps).alias("_bps"), F.lit(m * bps).alias("_high_bps")) for (arm, name), m in costs.items()]
+    turns += [F.struct(F.lit("as_is").alias("arm"), F.lit(name).alias("variant"), F.lit(a).alias("_bps"), F.lit(b).alias("_high_bps")) for name, a, b in (("dearer", bps + 5, bps + 5), ("stressed", bps, 3 * bps))]
+    day = day.withColumn("_v", F.explode(F.filter(F.array(*turns), lambda v: v["arm"] == F.col("arm"))))
+    cost = F.col("traded") * F.when(F.col("_high"), F.col("_v._high_bps")).otherwise(F.col("_v._bps")) / 1e4
+    day = day.select("book", F.col("_v.variant").alias("variant"), "gross", cost.alias("cost"))
+    return day.groupBy("book", "variant").agg(F.sum(F.col("gross") - F.col("cost")).alias("total"), F.min(F.col("gross") - F.col("cost")).alias("worst"), F.sum("cost").alias("cost"))

@@ -422,13 +422,20 @@ _events = lambda x: T.source(x.spark, x.dir, "events").withColumn("ts", F.col("t
 add("st_dedupe_events", lambda x: T.settle(T.first_arrivals(_events(x), "user_id", "event_type")), "SELECT DISTINCT user_id, event_type FROM events")
 _TUM = "SELECT event_type, date_trunc('day', ts) AS start, first(value ORDER BY ts, event_id) AS o, last(value ORDER BY ts, event_id) AS c, min(value) AS l, max(value) AS h, sum(CAST(round(value * 10000) AS BIGINT)) AS v, count(*) AS n FROM events GROUP BY 1, 2"
 add("st_bars_tumbling", lambda x: T.settle(T.tumbling(_events(x), "event_type", "value", "1 day"), "update", ["event_type", "start"]).withColumn("start", F.to_date("start")), f"SELECT event_type, CAST(start AS DATE) AS start, {r('o', 'open')}, {r('c', 'close')}, {r('l', 'low')}, {r('h', 'high')}, CAST(v AS BIGINT) AS volume, n FROM ({_TUM})")
-add("st_adv_sliding", lambda x: T.settle(T.sliding(_events(x), "event_type", "3 days", "1 day"), "update", ["event_type", "start"]).withColumn("start", F.to_date("start")), "SELECT event_type, CAST(date_trunc('day', ts) AS DATE) - k AS start, count(*) AS n FROM events CROSS JOIN (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS k) GROUP BY 1, 2")
+add("st_adv_sliding", lambda x: T.settle(T.sliding(_events(x), "event_type", "3 days", "1 day"), "update", ["event_type", "start"]).withColumn("start", F.to_date("start")), "SELECT event_type, CAST(date_trunc('day', ts) AS DATE) - k AS start, count(*) AS n, CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS BIGINT) AS volume FROM events CROSS JOIN (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS k) GROUP BY 1, 2")
 add("st_episode_sessions", lambda x: T.settle(T.sessions(_events(x), "user_id", "12 hours"), "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")), "WITH a AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS new FROM events) SELECT user_id, count(*) FILTER (new) AS sessions, count(*) AS events FROM a GROUP BY user_id")
 add("st_static_enrich", lambda x: T.settle(T.enrich(T.source(x.spark, x.dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"), "l_quantity"), x.table("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")).groupBy("s_nationkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n")), "SELECT s_nationkey, sum(l_quantity) AS qty, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
 _SIGN = lambda: F.when(F.col("event_type") == "purchase", 1).otherwise(-1) * (F.col("event_id") % 5)
-add(
-    "st_positions", lambda x: T.settle(T.running_positions(_events(x).withColumn("q", _SIGN()).select("user_id", "ts", "event_id", "q"), "user_id", "q"), "update", ["user_id"]),
-    "WITH q AS (SELECT user_id, ts, event_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END * (event_id % 5)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS qty FROM events) SELECT user_id, count(*) AS n, CAST(last(qty ORDER BY ts, event_id) AS BIGINT) AS qty, CAST(max(abs(qty)) AS BIGINT) AS peak FROM q GROUP BY user_id",
+_UO = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
+add(
+    "st_positions", lambda x: T.settle(T.running_positions(_events(x).withColumn("q", _SIGN()).select("user_id", "ts", "event_id", "q", "value"), "user_id", "q", "value"), "update", ["user_id"]),
+    f"""WITH u0 AS (SELECT user_id, ts, event_id, value AS p, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END * (event_id % 5) AS q FROM events), u1 AS (SELECT *, sum(q) {_UO} ROWS UNBOUNDED PRECEDING) AS after FROM u0),
+    u2 AS (SELECT *, after - q AS before, sum(CAST(q <> 0 AND (after - q = 0 OR (after - q) * after < 0) AS INTEGER)) {_UO} ROWS UNBOUNDED PRECEDING) AS seg FROM u1),
+    u3 AS (SELECT *, row_number() OVER (PARTITION BY user_id, seg ORDER BY ts, event_id) AS i FROM u2 QUALIFY seg = max(seg) OVER (PARTITION BY user_id)),
+    u4 AS (SELECT *, CASE WHEN i = 1 AND q <> 0 THEN p WHEN before * q > 0 THEN p * q / after ELSE 0 END AS share, CASE WHEN i > 1 AND before * q > 0 THEN ln(CAST(before AS DOUBLE) / after) ELSE 0 END AS keeps FROM u3),
+    u5 AS (SELECT *, coalesce(sum(keeps) {_UO} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM u4), u6 AS (SELECT user_id, sum(share * exp(later)) AS mean FROM u5 GROUP BY user_id),
+    u7 AS (SELECT user_id, count(*) AS n, CAST(last(after ORDER BY ts, event_id) AS BIGINT) AS qty, CAST(max(abs(after)) AS BIGINT) AS peak FROM u1 GROUP BY user_id)
+    SELECT user_id, n, qty, peak, {r('CASE WHEN qty = 0 THEN 0 ELSE mean END', 'avg_price')} FROM u7 JOIN u6 USING (user_id)""",
 )
 
 # covariance windows and learning
@@ -489,4 +496,4 @@ add("parity_check", lambda x: J.gaps(C.quantile_weights(_mom(x), 5, "mom").where
 add("st_last_mark", lambda x: T.settle(_events(x).groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")), "update", ["user_id", "event_type"]), f"SELECT user_id, event_type, {r('last(value ORDER BY ts, event_id)', 'value')} FROM events GROUP BY 1, 2")
 
 # further queries, which register themselves
-from panelweave.plans import catalog_books, catalog_inference, catalog_jobs, catalog_macro, catalog_panel  # noqa: E402, F401
+from panelweave.plans import catalog_books, catalog_inference, catalog_jobs, catalog_macro, catalog_more, catalog_panel  # noqa: E402, F401

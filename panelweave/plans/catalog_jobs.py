@@ -72,7 +72,10 @@ _ICR = f"WITH {base._CAR}, {base._SUE}, j AS (SELECT k, sue AS a, car AS b FROM
 add("earnings_ic_report", lambda x: V.ic_report(base._cars(x), V.trailing_sue(x.earnings), [1, 3, 6], 60), f"{_ICR} SELECT k, n, {r('ic', 'ic')}, {r('t', 't')}, CASE WHEN n < 60 THEN 'ACCUMULATING' WHEN t > 2 THEN 'PASS' WHEN t < 0 THEN 'KILL' ELSE 'INDETERMINATE' END AS verdict FROM h")
 add(
     "checkpoint_gate", lambda x: V.checkpoint(x.earnings, base._cars(x), 3, 40, 0.2, 0.1),
-    f"WITH {base._CAR}, s AS (SELECT symbol, count(*) AS n FROM fx_earnings GROUP BY 1), o AS (SELECT count(*) AS events, avg(CAST(estimate IS NULL AS DOUBLE)) AS missing, (SELECT max(n) / sum(n) FROM s) AS largest, (SELECT count(*) FROM ca WHERE k = 3 AND car IS NOT NULL) AS matured FROM fx_earnings) SELECT events, {r('missing', 'missing')}, {r('largest', 'largest')}, matured, coalesce(matured >= 40 AND missing <= 0.1 AND largest <= 0.2, false) AS armed FROM o",
+    f"""WITH {base._CAR}, s AS (SELECT symbol, count(*) AS n FROM fx_earnings GROUP BY 1), rp AS (SELECT e.estimate FROM ca LEFT JOIN fx_earnings e ON e.symbol = ca.ticker AND e.period = ca.period WHERE k = 3 AND car IS NOT NULL),
+    o AS (SELECT count(*) AS events, avg(CAST(estimate IS NULL AS DOUBLE)) AS missing, count(DISTINCT symbol) AS names, (SELECT max(n) / sum(n) FROM s) AS largest, (SELECT count(*) FROM rp) AS matured, (SELECT avg(CAST(estimate IS NOT NULL AS DOUBLE)) FROM rp) AS usable,
+        CAST(count(*) FILTER (symbol IS NULL OR period IS NULL) + count(*) - (SELECT count(*) FROM (SELECT DISTINCT symbol, period FROM fx_earnings)) AS BIGINT) AS bad_keys FROM fx_earnings)
+    SELECT events, {r('missing', 'missing')}, names, {r('largest', 'largest')}, matured, {r('usable', 'usable')}, bad_keys, coalesce(matured >= 40 AND missing <= 0.1 AND largest <= 0.2 AND bad_keys = 0 AND names >= 5 AND usable >= 0.9, false) AS armed FROM o""",
 )
 
 # streams

@@ -18,9 +18,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A file stream over one table of a folder."""
+    """A file stream over one table of a folder, a file in each batch; rows that come in a later batch are later rows, whatever their stamp."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
 def folder(spark: SparkSession) -> str:
@@ -64,8 +64,9 @@ def tumbling(events: DataFrame, key: str, value: str, width: str, late: str = "2
 
 
 def sliding(events: DataFrame, key: str, width: str, step: str, late: str = "2 days") -> DataFrame:
-    out = events.withWatermark("ts", late).groupBy(key, F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"))
-    return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    """Count and volume (ten-thousandths of value) of each sliding window."""
+    out = events.withWatermark("ts", late).groupBy(key, F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 10000).cast("long")).alias("volume"))
+    return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "volume")
 
 
 def sessions(events: DataFrame, key: str, gap: str, late: str = "2 days") -> DataFrame:
@@ -78,17 +79,24 @@ def enrich(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return events.join(dimension, key)
 
 
-def running_positions(events: DataFrame, key: str, quantity: str) -> DataFrame:
-    """(key, n, qty, peak): running sum of a quantity and its highest absolute value, one state per key, rows in time order within a batch."""
+def running_positions(events: DataFrame, key: str, quantity: str, price: str) -> DataFrame:
+    """(key, n, qty, peak, avg_price): running sum of a quantity, its highest absolute value and the average price of what is held: adds are weighted in, reductions keep it,
+    a sign flip or a start from nothing resets it. One state per key; rows in time order within a batch, later batches after earlier ones."""
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, qty, peak = state.get if state.exists else (0, 0, 0)
+        n, qty, peak, mean = state.get if state.exists else (0, 0, 0, 0.0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for q in rows[quantity]:
-            n, qty = n + 1, qty + int(q)
-            peak = max(peak, abs(qty))
-        state.update((n, qty, peak))
-        yield pd.DataFrame({key: [name[0]], "n": [n], "qty": [qty], "peak": [peak]})
+        for q, p in zip(rows[quantity].astype(int), rows[price], strict=True):
+            after = qty + q
+            if after == 0:
+                mean = 0.0
+            elif qty == 0 or qty * after < 0:
+                mean = float(p)
+            elif qty * q > 0:
+                mean = (mean * qty + p * q) / after
+            n, qty, peak = n + 1, after, max(peak, abs(after))
+        state.update((n, int(qty), int(peak), mean))
+        yield pd.DataFrame({key: [name[0]], "n": [n], "qty": [qty], "peak": [peak], "avg_price": [mean]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, qty long, peak long", "n long, qty long, peak long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, qty long, peak long, avg_price double", "n long, qty long, peak long, avg_price double", "update", GroupStateTimeout.NoTimeout)
