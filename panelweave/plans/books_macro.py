@@ -5,7 +5,7 @@ Windows here order one row per date. Weekly data: 40 rows for 200 days, 52 for a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -13,12 +13,18 @@ from panelweave.functions.columns import clip, ratio, rolling_mean, rolling_medi
 from panelweave.operators import state as P
 from panelweave.plans.books import register_book
 
-PAST = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-DAYS = Window.orderBy("date")
 YEAR = 52.0
 REGIONS = tuple(f"r{i}" for i in range(5))
 
 
+def days() -> WindowSpec:
+    return Window.orderBy("date")
+
+
+def past() -> WindowSpec:
+    return days().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def legs(m: DataFrame, weights: dict[str, Column]) -> DataFrame:
     """A row for each date and leg with a weight; null weighs nothing."""
     m = m.select("date", *[F.coalesce(w.cast("double"), F.lit(0.0)).alias(t) for t, w in weights.items()])
@@ -30,24 +36,24 @@ def vol(ret: str, n: int) -> Column:
 
 
 def mom(c: str, n: int) -> Column:
-    return ratio(F.col(c), F.lag(c, n).over(DAYS)) - 1
+    return ratio(F.col(c), F.lag(c, n).over(days())) - 1
 
 
 def held(up: Column, down: Column, first: Column | None = None) -> Column:
     """1 after up, 0 after down, held in between; before either: what `first` was when it was first known."""
-    mark = F.last(F.when(up, 1).when(down, 0), ignorenulls=True).over(PAST)
-    return mark if first is None else F.coalesce(mark, F.first(first.cast("int"), ignorenulls=True).over(PAST))
+    mark = F.last(F.when(up, 1).when(down, 0), ignorenulls=True).over(past())
+    return mark if first is None else F.coalesce(mark, F.first(first.cast("int"), ignorenulls=True).over(past()))
 
 
 def on_dates(w: Column, when: Column) -> Column:
     """The value of the last row on which `when` holds."""
-    return F.last(F.when(when, w), ignorenulls=True).over(PAST)
+    return F.last(F.when(when, w), ignorenulls=True).over(past())
 
 
 def breadth_gated(m: DataFrame, n: int = 13, on: float = 2.0, target: float = 0.01) -> DataFrame:
     """Full leverage while region 0 gains on the market, else a volatility target; nothing before both are known."""
     q = F.col("r0") / F.col("mkt")
-    m = m.withColumn("_b", q / F.lag(q, n).over(DAYS) - 1).withColumn("_v", vol("mkt_ret", n))
+    m = m.withColumn("_b", q / F.lag(q, n).over(days()) - 1).withColumn("_v", vol("mkt_ret", n))
     off = clip(ratio(F.lit(target), F.col("_v")), None, on)
     return legs(m, {"mkt": F.when(F.col("_b").isNull() | F.col("_v").isNull(), 0.0).when(F.col("_b") > 0, on).otherwise(off)})
 
@@ -93,7 +99,7 @@ def vol_core(m: DataFrame, target: float = 0.01, n: int = 13, calm: int = 26, sl
 def term_gate(m: DataFrame, slow: int = 26) -> DataFrame:
     """(date, ticker, w, bench): the volatility seller while the index is below its slow form, else cash, a day late; bench: the same mean exposure held throughout."""
     on = (F.col("volx") < 100 * vol("mkt_ret", slow)).cast("double")
-    m = m.withColumn("_s", on).withColumn("_s", F.coalesce(F.lag("_s").over(DAYS), F.lit(0.0)))
+    m = m.withColumn("_s", on).withColumn("_s", F.coalesce(F.lag("_s").over(days()), F.lit(0.0)))
     out = legs(m, {"r4": F.col("_s"), "cash": 1 - F.col("_s")})
     return out.withColumn("bench", F.avg("w").over(Window.partitionBy("ticker")))
 
@@ -101,7 +107,7 @@ def term_gate(m: DataFrame, slow: int = 26) -> DataFrame:
 def dual(m: DataFrame, risky: tuple[str, ...], safe: tuple[str, ...], n: int = 52, leverage: float = 1.5, skip: int = 0) -> DataFrame:
     """At confirmed month ends the best of the risky menu with leverage if it beats cash, else the best of the safe one; held until the next. One ticker a date."""
     menu = dict.fromkeys((*risky, *safe, "cash"))
-    m = m.withColumns({f"_m_{c}": F.round(ratio(F.lag(c, skip).over(DAYS) if skip else F.col(c), F.lag(c, n).over(DAYS)) - 1, 9) for c in menu})
+    m = m.withColumns({f"_m_{c}": F.round(ratio(F.lag(c, skip).over(days()) if skip else F.col(c), F.lag(c, n).over(days())) - 1, 9) for c in menu})
 
     def best(names: tuple[str, ...]) -> Column:
         top = F.greatest(*[F.col(f"_m_{c}") for c in names]) if len(names) > 1 else F.col(f"_m_{names[0]}")
@@ -140,7 +146,7 @@ def trend_multi(m: DataFrame, n: int = 26, look: int = 13, floor: float = 1e-6,
 
     def fixed(c: str) -> Column:
         w = F.col(f"_w_{c}")
-        return F.transform(F.collect_list(f"{c}_ret").over(DAYS.rowsBetween(-(look - 1), 0)), lambda x: x * w)
+        return F.transform(F.collect_list(f"{c}_ret").over(days().rowsBetween(-(look - 1), 0)), lambda x: x * w)
 
     book = fixed(REGIONS[0])
     for c in REGIONS[1:]:
@@ -172,7 +178,7 @@ def defensive_ensemble(m: DataFrame, n: int = 52, look: int = 13, target: float
     first = lambda menu, best: F.coalesce(*[F.when(F.col(f"_m_{c}") == best, F.lit(c)) for c in menu])
     m = m.withColumn("_pick", on_dates(F.when(~known, "none").when(top > F.col("_m_cash"), first(risky, top)).otherwise(first(safe, low)), F.col("month_first")))
     m = m.withColumns({f"_c_{c}": F.coalesce((F.col("_pick") == c).cast("double"), F.lit(0.0)) for c in names})
-    earned = lambda k: sum((F.coalesce(F.lag(f"_{k}_{c}").over(DAYS) * F.col(f"{c}_ret"), F.lit(0.0)) for c in names), F.lit(0.0))
+    earned = lambda k: sum((F.coalesce(F.lag(f"_{k}_{c}").over(days()) * F.col(f"{c}_ret"), F.lit(0.0)) for c in names), F.lit(0.0))
     m = m.withColumns({f"_ret_{k}": F.when(F.col("pos") > 1, earned(k)) for k in "abc"})
     m = m.withColumns({f"_inv_{k}": ratio(F.lit(1.0), F.round(rolling_std(f"_ret_{k}", look), 12)) for k in "abc"})
     total = sum((F.coalesce(F.col(f"_inv_{k}"), F.lit(0.0)) for k in "abc"), F.lit(0.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Fixtures:
-    """Each property is a DataFrame over the tables in sf_dir. The panel with returns, from which most queries start several times, is
-    materialised once; nothing else is computed before an action."""
+    """Each property is a DataFrame over the tables in sf_dir. The bars and the panel with returns, from which most queries start several times, are
+    materialised once for each application; nothing else is computed before an action."""
+
+    _made: ClassVar[dict[tuple[str, str], Fixtures]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Fixtures:
+        """The application's fixtures over a folder: queries share what is materialised."""
+        return cls._made.setdefault((spark.sparkContext.applicationId, sf_dir), cls(spark, sf_dir))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -53,9 +61,7 @@ class Fixtures:
             F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus", "l_tax",
         )
 
-    @property
-    def bars(self) -> DataFrame:
-        """(date, ticker, open, close, volume, n): weekly bars; missing cells stay missing."""
+    def _build_bars(self) -> DataFrame:
         order = F.struct("ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
         week = F.to_date(F.date_trunc("week", "ts")).alias("date")
         cells = self.prints.groupBy("ticker", week).agg(F.sum("cents").alias("ext"), F.sum(F.col("qty").cast("long")).alias("vol"), F.count("*").alias("n"), F.min_by("price", order).alias("p0"))
@@ -89,6 +95,15 @@ class Fixtures:
         grid = B.densify(self.bars, self.calendar.select("date"))
         return U.membership_mask(self.changes, grid)
 
+    @cached_property
+    def _bars(self) -> DataFrame:
+        return cut(self._build_bars())
+
+    @property
+    def bars(self) -> DataFrame:
+        """(date, ticker, open, close, volume, n): weekly bars; missing cells stay missing."""
+        return self._bars
+
     @cached_property
     def returns(self) -> DataFrame:
         return cut(B.daily_returns(self.panel).join(self.sectors.select("ticker", "sector"), "ticker"))

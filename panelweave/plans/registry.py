@@ -15,7 +15,7 @@ _ORACLE: dict[str, str] = {}
 
 
 def add(name: str, build: Callable[[Fixtures], DataFrame], sql: str | None = None) -> None:
-    _QUERIES[name] = lambda spark, sf_dir: rounded(build(Fixtures(spark, sf_dir)))
+    _QUERIES[name] = lambda spark, sf_dir: rounded(build(Fixtures.of(spark, sf_dir)))
     if sql:
         _ORACLE[name] = wrap(sql)
 

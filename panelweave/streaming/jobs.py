@@ -50,9 +50,9 @@ def settle(stream: DataFrame, mode: str = "append", keys: list[str] | None = Non
     return newest.select("r.*")
 
 
-def first_arrivals(events: DataFrame, *keys: str) -> DataFrame:
-    """The keys seen so far, each once."""
-    return events.select(*keys).dropDuplicates(list(keys))
+def first_arrivals(events: DataFrame, *keys: str, late: str = "30 days") -> DataFrame:
+    """Keys, each once: a repeat within `late` of the first is dropped; a key is forgotten when the newest event lies further ahead, so state is bounded."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
 
 
 def tumbling(events: DataFrame, key: str, value: str, width: str, late: str = "2 days") -> DataFrame:

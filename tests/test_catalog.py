@@ -55,3 +55,12 @@ def test_matches_sql(answers, duck, name):
 
 def test_every_twin_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 120
+
+
+def test_the_entry_can_be_read_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 250 and len(e.oracle_sql()) > 200"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=False).returncode == 0
