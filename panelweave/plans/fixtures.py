@@ -187,3 +187,29 @@ class Fixtures:
             (F.col("close") * (1 + (F.col("l_tax") - 0.04) / 20)).alias("price"), "close", F.col("ts").cast("date").alias("session"), "week",
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("client_order_id"), F.expr("cast(ts as timestamp_ntz) - interval 1 day + make_interval(0, 0, 0, 0, cast(l_orderkey % 24 as int))").alias("submitted_at"),
         )
+
+
+class SupplierFixtures(Fixtures):
+    """The same panels with a name for each supplier instead of each nation: as many names as the supplier table has rows."""
+
+    _made: ClassVar[dict[tuple[str, str], Fixtures]] = {}
+
+    @staticmethod
+    def ticker(key: str):  # noqa: ANN205
+        return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 9, "0"))
+
+    @property
+    def prints(self) -> DataFrame:
+        return super().prints.withColumn("ticker", self.ticker("l_suppkey"))
+
+    @property
+    def sectors(self) -> DataFrame:
+        s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return s.select(self.ticker("s_suppkey").alias("ticker"), F.col("r_name").alias("sector"), F.col("s_name").alias("company"))
+
+    @property
+    def changes(self) -> DataFrame:
+        """(date, members): per quarter the suppliers whose lines reach that quarter's 30th percentile."""
+        totals = self.prints.groupBy(F.to_date(F.date_trunc("quarter", "ts")).alias("date"), "ticker").agg(F.sum("cents").cast("double").alias("total"))
+        floor = totals.groupBy("date").agg(F.percentile("total", F.lit(0.3)).alias("floor"))
+        return totals.join(floor, "date").where("total >= floor").groupBy("date").agg(F.array_sort(F.collect_list("ticker")).alias("members"))

@@ -11,10 +11,12 @@ from panelweave.plans.fixtures import Fixtures
 from panelweave.plans.oracle import wrap
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_BUILDS: dict[str, Callable[[Fixtures], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
 
 
 def add(name: str, build: Callable[[Fixtures], DataFrame], sql: str | None = None) -> None:
+    _BUILDS[name] = build
     _QUERIES[name] = lambda spark, sf_dir: rounded(build(Fixtures.of(spark, sf_dir)))
     if sql:
         _ORACLE[name] = wrap(sql)
@@ -31,6 +33,11 @@ def alias(name: str, other: str) -> None:
     _ORACLE[name] = _ORACLE[other]
 
 
+def over(name: str, fixtures: Fixtures) -> DataFrame:
+    """A registered query over other fixtures than the tables' nations."""
+    return rounded(_BUILDS[name](fixtures))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
