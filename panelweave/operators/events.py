@@ -147,3 +147,25 @@ def leakage_audits(series: DataFrame, lags: dict[str, int], today: Column, stale
     for x in out[1:]:
         whole = whole.unionByName(x)
     return whole.withColumn("verdict", F.when(F.col("leaks") == 0, "PASS").otherwise("BLOCK"))
+
+
+def panel_gaps(panel: DataFrame, step: int = 7, few: float = 0.5) -> DataFrame:
+    """(kind, ticker, date): calendar gaps (a date more than `step` days after the one before), phantom dates (fewer than a share of the usual number of names priced) and early ends (a
+    name's last price before the panel's last date)."""
+    days = panel.groupBy("date").agg(F.count("close").alias("_n"))
+    usual = days.agg(F.percentile("_n", F.lit(0.5)).alias("_usual"), F.max("date").alias("_end"))
+    days = days.withColumn("_gap", F.datediff("date", F.lag("date").over(Window.orderBy("date")))).crossJoin(F.broadcast(usual))  # one row per date, and one of all
+    none = F.lit(None).cast("string").alias("ticker")
+    last = panel.where("close is not null").groupBy("ticker").agg(F.max("date").alias("date")).crossJoin(F.broadcast(usual))
+    gaps = days.where(F.col("_gap") > step).select(F.lit("gap").alias("kind"), none, "date")
+    phantoms = days.where(F.col("_n") < few * F.col("_usual")).select(F.lit("phantom").alias("kind"), none, "date")
+    return gaps.unionByName(phantoms).unionByName(last.where("date < _end").select(F.lit("early_end").alias("kind"), "ticker", "date"))
+
+
+def bond_carry(wide: DataFrame, buckets: dict[str, tuple[str, str, str, float]]) -> DataFrame:
+    """(date, bucket, carry, z): a bucket's yield less funding plus its slope to the next shorter yield over the years between, and its distance from the date's buckets. buckets: name:
+    (yield, funding, shorter yield, years)."""
+    each = F.array(*[F.struct(F.lit(k).alias("bucket"), ((F.col(y) - F.col(f)) + (F.col(y) - F.col(s)) / years).alias("carry")) for k, (y, f, s, years) in buckets.items()])
+    x = wide.select("date", F.explode(each).alias("b")).select("date", "b.*").where("carry is not null")
+    w = Window.partitionBy("date")
+    return x.withColumn("z", ratio(F.col("carry") - F.avg("carry").over(w), F.stddev_pop("carry").over(w)))

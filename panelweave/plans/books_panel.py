@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
-from panelweave.functions.columns import by
+from panelweave.functions.columns import by, ratio
 from panelweave.operators import bars as B
 from panelweave.operators import exposure as E
 from panelweave.operators import factors as N
@@ -116,3 +116,27 @@ def composite(panel: DataFrame, index: DataFrame, core: float = 1.0, drift: floa
 def monthly_min_variance(weights: DataFrame, dates: DataFrame) -> DataFrame:
     """weights: (month, ticker, w). The weights of a month's window are held on all dates of the month."""
     return dates.select("date", F.to_date(F.date_trunc("month", "date")).alias("month")).join(weights, "month").select("date", "ticker", "w")
+
+
+def walk_forward_pairs(panel: DataFrame, calendar: DataFrame, formation: int = 26, trading: int = 13, n: int = 5, entry: float = 1.25, leave: float = 0.5, bps: float = 10.0) -> DataFrame:
+    """(date, pairs, net): per window the n same-sector pairs of closest normalised paths over its formation dates, traded in the following dates by a band on the spread's distance from its
+    formation mean in formation deviations; positions start flat in each window. calendar: (date, pos)."""
+    at = F.col("pos") - 1
+    last = calendar.agg(F.max("pos").alias("_last"))
+    spans = last.where(F.col("_last") > formation).select(F.explode(F.sequence(F.lit(0), F.floor((F.col("_last") - 1 - formation) / trading).cast("int"))).alias("k"))  # one row per window
+    days = calendar.join(F.broadcast(spans), (at >= F.col("k") * trading) & (at < F.col("k") * trading + formation + trading))
+    days = days.select("k", "date", (at < F.col("k") * trading + formation).alias("forming"))
+    x = panel.where("close is not null").select("date", "ticker", "sector", "close", "ret").join(F.broadcast(days), "date")
+    first = F.first("close").over(Window.partitionBy("k", "ticker").orderBy("date"))
+    form = x.where("forming").withColumn("_p", F.col("close") / first)
+    legs = lambda d, value: d.select("k", "date", "sector", F.col("ticker").alias("a"), F.col(value).alias("x")).join(d.select("k", "date", "sector", F.col("ticker").alias("b"), F.col(value).alias("y")), ["k", "date", "sector"]).where("a < b")
+    near = legs(form, "_p").groupBy("k", "a", "b").agg(F.round(F.avg(F.pow(F.col("x") - F.col("y"), F.lit(2))), 9).alias("ssd"))
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("ssd", "a", "b"))).where(F.col("_r") <= n).select("k", "a", "b")
+    side = lambda d, c: d.select("k", "date", F.col("ticker").alias(c), F.log("close").alias(f"l{c}"), F.col("ret").alias(f"r{c}"), "forming")
+    both = near.join(side(x, "a"), ["k", "a"]).join(side(x, "b").drop("forming"), ["k", "date", "b"]).withColumn("spread", F.col("la") - F.col("lb"))
+    fit = both.where("forming").groupBy("k", "a", "b").agg(F.avg("spread").alias("_m"), F.stddev_samp("spread").alias("_s"))
+    z = both.where("not forming").join(fit, ["k", "a", "b"]).withColumn("z", ratio(F.col("spread") - F.col("_m"), F.col("_s"))).withColumn("pair", F.concat_ws("/", F.col("k").cast("string"), "a", "b"))
+    p = P.band_positions(z, entry, leave, value="z", key="pair").withColumn("_h", F.coalesce(F.lag("position").over(by("pair")), F.lit(0)))
+    p = p.withColumn("_t", F.coalesce(F.abs(F.col("position") - F.col("_h")), F.lit(0))).withColumn("_t", F.when(F.lag("date").over(by("pair")).isNull(), 0).otherwise(F.col("_t")))
+    net = F.coalesce(F.col("_h") * (F.col("ra") - F.col("rb")), F.lit(0.0)) - F.col("_t") * (2 * bps / 1e4)
+    return p.groupBy("date").agg(F.count("*").alias("pairs"), F.avg(net).alias("net"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.operators import covariance as K
+from panelweave.operators import cross_section as C
 from panelweave.operators import events as V
 from panelweave.operators import ledger as O
 from panelweave.operators import metrics as M
 from panelweave.operators import pnl as L
+from panelweave.operators import rolling as W
 from panelweave.operators import state as P
 from panelweave.plans import catalog as base
 from panelweave.plans.oracle import mean, r
@@ -108,6 +110,34 @@ add(
     f"WITH {base._TRADES} SELECT t3.ticker, t3.start AS opened, side, d.date FROM t3 JOIN fx_days d ON d.date BETWEEN t3.start AND t3.\"end\"",
 )
 
+add(
+    "panel_gaps",
+    lambda x: V.panel_gaps(x.panel, few=0.98),
+    """WITH d AS (SELECT date, count(close) AS n FROM fx_panel GROUP BY date), u AS (SELECT median(n) AS usual, max(date) AS last FROM d), g AS (SELECT *, date - lag(date) OVER (ORDER BY date) AS gap FROM d)
+    SELECT 'gap' AS kind, CAST(NULL AS VARCHAR) AS ticker, date FROM g WHERE gap > 7 UNION ALL SELECT 'phantom', NULL, date FROM d CROSS JOIN u WHERE n < 0.98 * usual
+    UNION ALL SELECT 'early_end', ticker, l FROM (SELECT ticker, max(date) AS l FROM fx_panel WHERE close IS NOT NULL GROUP BY ticker) CROSS JOIN u WHERE l < last""",
+)
+_CUT = "1999-01-01"
+
+
+def _poisoned(x):  # noqa: ANN001, ANN202
+    """Quantile weights of the panel and of one whose closes from the cut on are nonsense."""
+    weigh = lambda p: C.quantile_weights(W.momentum(p, 13, 1), 5, "mom")
+    bad = x.returns.withColumn("close", F.when(F.col("date") >= F.lit(_CUT).cast("date"), F.lit(1.0) + F.pmod(F.hash("ticker", "date"), F.lit(97))).otherwise(F.col("close")))
+    return V.truncation_audit(weigh(x.returns), weigh(bad).where(F.col("date") < F.lit(_CUT).cast("date")), ["date", "ticker"], "w")
+
+
+add("weight_poison", _poisoned, f"WITH {base._BUCKET} SELECT count(*) AS cells, CAST(0 AS BIGINT) AS leaks, 'PASS' AS verdict FROM q1 WHERE n >= 5 AND bucket IN (0, 4) AND date < DATE '{_CUT}'")
+_BUCKETS = {"short": ("click", "view", "signup", 1.75), "middle": ("purchase", "view", "click", 5.0), "long": ("error", "view", "purchase", 20.0)}
+_KINDS = ("click", "view", "signup", "purchase", "error")
+add(
+    "sig_bond_carry",
+    lambda x: V.bond_carry(x.series.groupBy(F.col("obs_date").alias("date")).agg(*[F.max(F.when(F.col("series") == k, F.col("value"))).alias(k) for k in _KINDS]), _BUCKETS),
+    f"""WITH w AS (SELECT obs_date AS date, {", ".join(f"max(value) FILTER (series = '{k}') AS {k}" for k in _KINDS)} FROM fx_series GROUP BY 1),
+    b AS ({" UNION ALL ".join(f"SELECT date, '{k}' AS bucket, ({y} - {f}) + ({y} - {s}) / {n} AS carry FROM w" for k, (y, f, s, n) in _BUCKETS.items())})
+    SELECT date, bucket, {r("carry", "carry")}, {r("(carry - avg(carry) OVER (PARTITION BY date)) / nullif(stddev_pop(carry) OVER (PARTITION BY date), 0)", "z")} FROM b WHERE carry IS NOT NULL""",
+)
+
 # parameter maps and per-asset studies: a cell of the grid is a key
 _GRID = [(s, n, m) for s in (0.005, 0.01) for n in (8, 13) for m in (26, 40)]
 

@@ -50,3 +50,17 @@ add("book_deep_dip", lambda x: B.deep_dip(x.factor))
 add("book_composite", lambda x: B.composite(x.returns, _index(x)))
 for _how in ("identity", "sample"):
     add(f"book_minvar_{_how}", lambda x, how=_how: B.monthly_min_variance(K.min_variance(K.window_rows(x.returns, 26), how), x.calendar))
+_PAIR = "PARTITION BY k, a, b ORDER BY date"
+add(
+    "run_pairs_walk_forward",
+    lambda x: B.walk_forward_pairs(x.returns, x.calendar.select("date", "pos")),
+    f"""WITH v AS (SELECT unnest(range(0, (SELECT CAST(floor((max(pos) - 1 - 26) / 13) AS BIGINT) FROM fx_calendar) + 1)) AS k), d AS (SELECT k, date, pos - 1 < k * 13 + 26 AS forming FROM fx_calendar JOIN v ON pos - 1 >= k * 13 AND pos - 1 < k * 13 + 39),
+    x AS (SELECT k, date, forming, ticker, sector, close, ret FROM fx_returns JOIN d USING (date) WHERE close IS NOT NULL), f AS (SELECT *, close / first_value(close) OVER (PARTITION BY k, ticker ORDER BY date) AS p FROM x WHERE forming),
+    s AS (SELECT a.k, a.ticker AS a, b.ticker AS b, round(avg(pow(a.p - b.p, 2)), 9) AS ssd FROM f a JOIN f b ON a.k = b.k AND a.date = b.date AND a.sector = b.sector AND a.ticker < b.ticker GROUP BY 1, 2, 3),
+    c AS (SELECT k, a, b FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY ssd, a, b) <= 5), y AS (SELECT c.k, c.a, c.b, l.date, l.forming, ln(l.close) - ln(m.close) AS spread, l.ret AS ra, m.ret AS rb FROM c JOIN x l ON l.k = c.k AND l.ticker = c.a JOIN x m ON m.k = c.k AND m.ticker = c.b AND m.date = l.date),
+    g AS (SELECT k, a, b, avg(spread) AS m, stddev_samp(spread) AS s FROM y WHERE forming GROUP BY 1, 2, 3), z AS (SELECT y.*, (spread - m) / nullif(s, 0) AS z FROM y JOIN g USING (k, a, b) WHERE NOT forming),
+    p1 AS (SELECT *, coalesce(abs(z) <= 0.5, false) AS flat FROM z), p2 AS (SELECT *, sum(CAST(flat AS INTEGER)) OVER ({_PAIR} ROWS UNBOUNDED PRECEDING) AS seg, CASE WHEN flat THEN NULL WHEN z >= 1.25 THEN -1 WHEN z <= -1.25 THEN 1 END AS e FROM p1),
+    p3 AS (SELECT *, CASE WHEN flat THEN 0 ELSE coalesce(first_value(e IGNORE NULLS) OVER (PARTITION BY k, a, b, seg ORDER BY date ROWS UNBOUNDED PRECEDING), 0) END AS position FROM p2),
+    p4 AS (SELECT *, coalesce(lag(position) OVER ({_PAIR}), 0) AS h, lag(date) OVER ({_PAIR}) AS before FROM p3)
+    SELECT date, count(*) AS pairs, {r("avg(coalesce(h * (ra - rb), 0) - CASE WHEN before IS NULL THEN 0 ELSE abs(position - h) END * 0.002)", "net")} FROM p4 GROUP BY date""",
+)
