@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -202,3 +202,19 @@ def walk_forward_logit(features: DataFrame, least: int, folds: int) -> DataFrame
         model = LogisticRegression(labelCol="y", regParam=0.01, maxIter=30).fit(train)
         out = out.unionByName(model.transform(x.where(F.col("fold") == fold["fold"])).select("fold", "date", "ticker", "y", vector_to_array("probability")[1].alias("p")))
     return out
+
+
+def sign_p(k: Column, n: Column) -> Column:
+    """Two-sided probability of k or fewer (or as many from the other end) of n fair signs."""
+    low = F.least(k, n - k).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda s, i: F.struct((s["term"] * (n - i) / (i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0), low), start, step, lambda s: s["sum"])
+    return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n))
+
+
+def cluster_signs(clusters: DataFrame, returns: DataFrame) -> DataFrame:
+    """(cluster, names, up, median, p): of each group of series the number with a positive mean return, the median of the means, and a sign test on cluster level."""
+    means = returns.where("ret is not null").groupBy("ticker").agg(F.avg("ret").alias("_m"))
+    g = means.join(clusters, "ticker").groupBy("cluster").agg(F.count("*").alias("names"), F.count_if(F.col("_m") > 0).alias("up"), F.percentile("_m", F.lit(0.5)).alias("median"))
+    return g.withColumn("p", sign_p(F.col("up"), F.col("names")))

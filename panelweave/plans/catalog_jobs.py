@@ -119,10 +119,17 @@ add("factor1_hedge", lambda x: W.residual(x.returns.select(*DT, "ret").join(N.pr
 for _how in ("constant_correlation", "clip"):
     add(f"minvar_weights_{_how}", lambda x, how=_how: K.min_variance(_window(x), how))
 _EDGE = f"ed AS (SELECT a0, b0 FROM ({base._PC}) GROUP BY a0, b0 HAVING {base._CORR} > 0.35)"
+_clusters = lambda x: N.clusters(J.pairs(x.returns.where("ret is not null"), "ticker", None, "date", value="ret").groupBy("a", "b").agg(corr_from_sums(F.col("va"), F.col("vb")).alias("c")).where("c > 0.35"), x.returns.select("ticker"), cut)
 add_fold(
-    "corr_clusters", lambda x: N.clusters(J.pairs(x.returns.where("ret is not null"), "ticker", None, "date", value="ret").groupBy("a", "b").agg(corr_from_sums(F.col("va"), F.col("vb")).alias("c")).where("c > 0.35"), x.returns.select("ticker"), cut),
+    "corr_clusters", _clusters,
     f"WITH {_EDGE}, bo AS (SELECT a0 AS a, b0 AS b FROM ed UNION SELECT b0, a0 FROM ed), re AS (SELECT DISTINCT ticker, ticker AS seen FROM fx_returns UNION SELECT re.ticker, bo.b FROM re JOIN bo ON bo.a = re.seen) SELECT ticker, min(seen) AS cluster FROM re GROUP BY ticker",
 )
+add_fold(
+    "cluster_signs", lambda x: N.cluster_signs(_clusters(x), x.returns),
+    f"""WITH {_EDGE}, bo AS (SELECT a0 AS a, b0 AS b FROM ed UNION SELECT b0, a0 FROM ed), re AS (SELECT DISTINCT ticker, ticker AS seen FROM fx_returns UNION SELECT re.ticker, bo.b FROM re JOIN bo ON bo.a = re.seen), cl AS (SELECT ticker, min(seen) AS cluster FROM re GROUP BY ticker),
+    me AS (SELECT ticker, avg(ret) AS m FROM fx_returns WHERE ret IS NOT NULL GROUP BY ticker), g AS (SELECT cluster, count(*) AS names, count(*) FILTER (m > 0) AS up, median(m) AS median FROM me JOIN cl USING (ticker) GROUP BY cluster)
+    SELECT cluster, names, up, {r('median', 'median')}, {r('least(1, 2 * list_sum(list_transform(range(0, least(up, names - up) + 1), lambda i: exp(lgamma(names + 1) - lgamma(i + 1) - lgamma(names - i + 1)))) / pow(2, names))', 'p')} FROM g""",
+)
 
 # grids and learning
 add("drift_rebalance_grid", lambda x: N.drift_grid(x.weights, x.returns.select(*DT, "ret"), [0.1, 0.5], [1.0, 1.5]))
