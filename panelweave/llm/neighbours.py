@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import cut, record
 
 #: Rows that the index is fitted on: so many for each part, and at most; further rows set the number of probes.
-ROWS_A_PART, MAX_SAMPLE, TUNED_ON = 64, 16_384, 512
+ROWS_A_PART, MAX_SAMPLE, TUNED_ON = 64, 8192, 512
 #: Rows of the table for each part, and parts at most.
-PART_ROWS, MAX_PARTS = 256, 256
+PART_ROWS, MAX_PARTS = 256, 128
 #: Rows from which the neighbour graph is built at a time.
-_BLOCK = 1024
+_BLOCK = 256
 GRAPH_DEGREE = 10
 #: The share of neighbours within the sample that the probes must find; above the 0.9 that is promised.
 AIM = 0.95
@@ -68,21 +68,21 @@ def partition_graph(unit: np.ndarray, parts: int, rounds: int = 8) -> np.ndarray
     for i in range(0, len(unit), _BLOCK):
         near = unit[i : i + _BLOCK] @ unit.T
         near[np.arange(len(near)), i + np.arange(len(near))] = -np.inf
-        blocks.append(np.argpartition(-near, degree - 1, axis=1)[:, :degree])
+        blocks.append(np.argpartition(-near, degree - 1, axis=1)[:, :degree].astype(np.int32))
     neighbours = np.concatenate(blocks)
     centre = unit[np.random.default_rng(0).choice(len(unit), parts, replace=False)]
     affinity, label = unit @ centre.T, np.zeros(len(unit), int)
     for _ in range(rounds):
         label = _balanced(affinity, -(-len(unit) * 11 // (10 * parts)))
-        member = np.eye(parts)[label]
+        member = np.eye(parts, dtype=unit.dtype)[label]
         centre = (member.T @ unit) / np.maximum(member.sum(axis=0), 1)[:, None]
-        affinity = member[neighbours].mean(axis=1) + 0.5 * unit @ centre.T
+        affinity = sum(member[neighbours[:, j]] for j in range(degree)) / degree + 0.5 * unit @ centre.T
     return label
 
 
 def _classifier(unit: np.ndarray, label: np.ndarray, parts: int, rounds: int = 200) -> np.ndarray:
-    x = np.hstack([unit, np.ones((len(unit), 1))])
-    goal, w = np.eye(parts)[label], np.zeros((x.shape[1], parts))
+    x = np.hstack([unit, np.ones((len(unit), 1), unit.dtype)])
+    goal, w = np.eye(parts, dtype=unit.dtype)[label], np.zeros((x.shape[1], parts), unit.dtype)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         z = x @ w
@@ -99,7 +99,7 @@ def parts_of(rows: int) -> int:
 
 def fit_router(sample: np.ndarray, k: int, parts: int) -> Router:
     """sample: vectors, TUNED_ON of them last to set the probes if there are enough; k: neighbours asked for."""
-    unit = _unit(sample)
+    unit = _unit(sample).astype(np.float32)
     parts = min(parts, len(unit) // 16)
     if parts <= 1:
         return Router(np.zeros((sample.shape[1] + 1, 1)), 1)
