@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import cut, id_and_text, record, slices, texts_of
 from panelweave.llm.decontaminate import words_of
 
-MAX_LABELLED = 5_000
+MAX_LABELLED = 8_000
 FOLDS = 4
 #: A word is telling from this chi-square on (one degree of freedom: by chance in fewer than one of 10^6 words), in this many labelled texts.
 LEAST_CHI2, LEAST_TEXTS = 25.0, 5
@@ -111,17 +111,13 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-#: Rows that are widened to doubles at a time.
-_BLOCK = 1024
-
-
 def log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x: rows of features (single precision will do); w: weights, the intercept last."""
-    return np.concatenate([x[i : i + _BLOCK].astype(np.float64) @ w[:-1] for i in range(0, len(x), _BLOCK)] or [np.zeros(0)]) + w[-1]
+    """x: rows of features, in single precision too; w: weights, the intercept last."""
+    return (x @ w[:-1].astype(x.dtype)).astype(np.float64) + w[-1]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Weights, the intercept last, by Newton steps with an L2 penalty on all but the intercept."""
+    """Weights, the intercept last, with an L2 penalty on all but the intercept: Newton steps, each solved by conjugate gradients."""
     w = np.zeros(x.shape[1] + 1)
     w[-1] = logit(np.array((y.sum() + 0.5) / (len(y) + 1)))
     if len(set(y.tolist())) < 2:
@@ -129,23 +125,39 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarr
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-9
 
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.append((v.astype(x.dtype) @ x).astype(np.float64), v.sum())
+
     def loss(w: np.ndarray) -> float:
         z = log_odds(x, w)
         return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * w * w).sum())
 
+    def squared(v: np.ndarray) -> np.ndarray:
+        return np.append(sum((v[i : i + 512].astype(x.dtype) @ (x[i : i + 512] * x[i : i + 512]) for i in range(0, len(x), 512)), np.zeros(x.shape[1])), v.sum())
+
     now = loss(w)
-    for _ in range(30):
+    for _ in range(40):
         p = sigmoid(log_odds(x, w))
-        grad, curve = ridge * w, np.diag(ridge + 1e-9)
-        for i in range(0, len(x), _BLOCK):
-            rows = np.hstack([x[i : i + _BLOCK].astype(np.float64), np.ones((len(x[i : i + _BLOCK]), 1))])
-            own = p[i : i + _BLOCK]
-            grad += rows.T @ (own - y[i : i + _BLOCK])
-            curve += rows.T @ (rows * (own * (1 - own))[:, None])
-        step = np.linalg.solve(curve, grad)
+        grad, curve = back(p - y) + ridge * w, p * (1 - p)
+        scale = squared(curve) + ridge + 1e-9
+        step, rest = np.zeros(len(w)), grad.copy()
+        way = rest / scale
+        left = rest @ way
+        goal = 1e-6 * left
+        for _ in range(60):
+            if left <= goal:
+                break
+            bent = back(curve * log_odds(x, way)) + ridge * way
+            size = left / (way @ bent)
+            step += size * way
+            rest -= size * bent
+            before, left = left, rest @ (rest / scale)
+            way = rest / scale + left / before * way
         size = 1.0
         while size > 1e-4 and (after := loss(w - size * step)) > now:
             size /= 2
+        if size <= 1e-4:
+            break
         w, now = w - size * step, after
         if np.abs(size * step).max() < 1e-4:
             break
@@ -163,26 +175,29 @@ class Sample:
     words: list[bytes]
     told: np.ndarray
 
-    def design(self, without: int | None = None) -> tuple[Features, np.ndarray]:
-        """Words and standardisation from all folds but one (from all), and all rows in these terms."""
+    def design(self, without: int | None = None, extra: np.ndarray | None = None) -> tuple[Features, np.ndarray]:
+        """Words and standardisation from all folds but one (from all), and all rows in these terms; extra: further columns, the last ones."""
         at = np.flatnonzero(self.told[:, FOLDS if without is None else without])
         own = self.style[self.fold != without] if without is not None else self.style
         mean, spread = (own.mean(axis=0), own.std(axis=0)) if len(own) else (np.zeros(len(STYLE)), np.ones(len(STYLE)))
         spread = np.where(spread > 1e-9, spread, 1.0)
         column = np.full(len(self.words), -1)
         column[at] = np.arange(len(at))
-        x = np.zeros((len(self.style), len(STYLE) + len(at)), np.float32)
+        more = 0 if extra is None else extra.shape[1]
+        x = np.zeros((len(self.style), len(STYLE) + len(at) + more), np.float32)
         x[:, : len(STYLE)] = (self.style - mean) / spread
         for row, present in zip(x, self.present, strict=True):
             here = column[present]
             row[len(STYLE) + here[here >= 0]] = 1
+        if more:
+            x[:, -more:] = extra
         return Features({self.words[i]: j for j, i in enumerate(at.tolist())}, mean, spread), x
 
     def held_out(self, category: int, extra: np.ndarray) -> np.ndarray:
         """Log-odds of a category by models that saw neither the row nor its fold; extra: further columns."""
         out = np.zeros(len(self.fold))
         for f in range(FOLDS):
-            x = np.hstack([self.design(f)[1], extra.astype(np.float32)])
+            x = self.design(f, extra)[1]
             w = fit_logistic(x[self.fold != f], self.marks[self.fold != f, category])
             out[self.fold == f] = log_odds(x[self.fold == f], w)
         return out

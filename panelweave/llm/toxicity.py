@@ -52,10 +52,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]
     """
     categories = categories or default_categories()
     sample = training_set(docs, labels, categories, id_col, text_col)
-    features, x = sample.design()
-    weights, earlier = [], np.zeros((len(x), 0))
+    weights, earlier = [], np.zeros((len(sample.fold), 0))
     for k in range(len(categories)):
-        weights.append(fit_logistic(np.hstack([x, earlier.astype(np.float32)]), sample.marks[:, k]))
+        features, x = sample.design(extra=earlier)
+        weights.append(fit_logistic(x, sample.marks[:, k]))
         if k + 1 < len(categories):
             earlier = np.hstack([earlier, logit(sigmoid(sample.held_out(k, earlier)))[:, None]])
     return Chain(tuple(categories), features, tuple(weights))
