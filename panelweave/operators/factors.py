@@ -26,14 +26,16 @@ def residualize_window(rows: DataFrame, market: DataFrame) -> DataFrame:
 
 
 def loadings(rows: DataFrame, k: int) -> DataFrame:
-    """(month, factor, ticker, load, share): unit loadings of the k strongest components, signed so that they sum to no less than zero."""
+    """(month, factor, ticker, load, share): unit loadings of the k strongest components, signed so that the largest in size is positive."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = _wide(pdf)
         x = wide.to_numpy() - wide.to_numpy().mean(axis=0)
         _, s, v = np.linalg.svd(x, full_matrices=False)
         take = min(k, len(s))
-        v = v[:take] * np.where(v[:take].sum(axis=1) < 0, -1.0, 1.0)[:, None]
+        v = v[:take]
+        anchor = np.abs(v).argmax(axis=1)
+        v = v * np.sign(v[np.arange(take), anchor])[:, None]
         share = s[:take] ** 2 / max((s**2).sum(), 1e-300)
         return pd.DataFrame({"month": pdf["month"].iloc[0], "factor": np.repeat(np.arange(1, take + 1), len(wide.columns)), "ticker": np.tile(wide.columns, take), "load": v.ravel(), "share": np.repeat(share, len(wide.columns))})
 
