@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelweave.llm import oracle, pii, secrets, toxicity
 from panelweave.llm.common import bounded_batches, table
 from panelweave.llm.decontaminate import decontaminate
+from panelweave.llm.divergence import divergences
 from panelweave.llm.neighbours import nearest
 from panelweave.llm.quality import quality
 from panelweave.llm.sentencepiece_codec import encode_decode
@@ -72,6 +73,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 def _bounded(query):  # noqa: ANN001, ANN202
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +86,10 @@ def _bounded(query):  # noqa: ANN001, ANN202
 
 
 def queries() -> dict:
-    made = (op1_token_counts, op2_simhash, op3_quality, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op8_toxicity, op9_neighbours, op10_sentencepiece)
+    made = (op1_token_counts, op2_simhash, op3_quality, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op8_toxicity, op9_neighbours, op10_sentencepiece, op11_divergence)
     return {f.__name__: _bounded(f) for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need a tokenizer's tables, XXH64, fitted models or the added spans; the tests hold them against brute force."""
-    return {"op5_decontamination": oracle.DECONTAMINATION, "op6_suffix_dedup": oracle.SUFFIX_DEDUP}
+    return {"op5_decontamination": oracle.DECONTAMINATION, "op6_suffix_dedup": oracle.SUFFIX_DEDUP, "op11_divergence": oracle.DIVERGENCES}
