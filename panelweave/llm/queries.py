@@ -14,11 +14,13 @@ from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.divergence import divergences
 from panelweave.llm.neighbours import nearest
 from panelweave.llm.quality import quality
+from panelweave.llm.rules import quality_rules
 from panelweave.llm.sentencepiece_codec import encode_decode
 from panelweave.llm.simhash import near_duplicates
 from panelweave.llm.spans import counted, listed
 from panelweave.llm.suffix_dedup import remove_repeats
 from panelweave.llm.token_counts import token_counts
+from panelweave.llm.whitening import whiten
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,14 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def _bounded(query):  # noqa: ANN001, ANN202
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +96,10 @@ def _bounded(query):  # noqa: ANN001, ANN202
 
 
 def queries() -> dict:
-    made = (op1_token_counts, op2_simhash, op3_quality, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op8_toxicity, op9_neighbours, op10_sentencepiece, op11_divergence)
+    made = (op1_token_counts, op2_simhash, op3_quality, op4_secrets, op5_decontamination, op6_suffix_dedup, op7_pii, op8_toxicity, op9_neighbours, op10_sentencepiece, op11_divergence, op12_whitening, op13_quality_rules)
     return {f.__name__: _bounded(f) for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need a tokenizer's tables, XXH64, fitted models or the added spans; the tests hold them against brute force."""
-    return {"op5_decontamination": oracle.DECONTAMINATION, "op6_suffix_dedup": oracle.SUFFIX_DEDUP, "op11_divergence": oracle.DIVERGENCES}
+    return {"op5_decontamination": oracle.DECONTAMINATION, "op6_suffix_dedup": oracle.SUFFIX_DEDUP, "op11_divergence": oracle.DIVERGENCES, "op13_quality_rules": oracle.QUALITY_RULES}
