@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ MIN_DOCUMENTS = 3
 #: Ranks of the terms of a source.
 TOP_TERMS = 200
 #: (term, source) entries of a task's stripes, and pairs of its sums, that are held before they spill into the shuffle.
-MAX_ENTRIES, MAX_PAIRS = 200_000, 200_000
+MAX_ENTRIES, MAX_PAIRS = 400_000, 200_000
 #: Pairs of a stripe's sources that are computed at once.
 PAIRS_AT_ONCE = 500_000
 #: Rows of one language that meet all its sources are dealt out over so many keys.
@@ -46,35 +47,50 @@ def terms_of(text: bytes) -> list[bytes]:
     return TERM.findall(text.lower())  # of bytes: nothing but A-Z changes
 
 
+_DF = -1
+
+
 class Stripes:
-    """(lang, term) -> [document frequency, {source: occurrences}]."""
+    """lang -> term -> {_DF: document frequency, source's number: occurrences}."""
 
     def __init__(self) -> None:
-        self.held: dict[tuple[str, bytes], list] = {}
+        self.held: dict[str, dict[bytes, dict[int, int]]] = {}
+        self.sources: dict[str, int] = {}
         self.entries = 0
 
     def fold(self, lang: str, source: str, text: bytes) -> None:
+        held = self.held.setdefault(lang, {})
+        own = self.sources.setdefault(source, len(self.sources))
+        new = 0
         for term, n in Counter(terms_of(text)).items():
-            self.add(lang, term, 1, ((source, n),))
-
-    def add(self, lang: str, term: bytes | str, df: int, counts) -> None:  # noqa: ANN001
-        stripe = self.held.get((lang, term))
-        if stripe is None:
-            stripe = self.held[lang, term] = [0, {}]
-        stripe[0] += df
-        by_source, before = stripe[1], len(stripe[1])
-        for source, n in counts:
-            by_source[source] = by_source.get(source, 0) + n
-        self.entries += len(by_source) - before
-
-    def spill(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        """All stripes of at least so many documents; none are held afterwards."""
-        items = [(k, v) for k, v in self.held.items() if v[0] >= least]
-        self.held, self.entries = {}, 0
-        for i in range(0, len(items), _ROWS_OUT):
-            some = items[i : i + _ROWS_OUT]
-            name = lambda t: t if isinstance(t, str) else t.decode()
-            yield record(_PARTIAL, [[k[0] for k, _ in some], [name(k[1]) for k, _ in some], [v[0] for _, v in some], [list(v[1]) for _, v in some], [list(v[1].values()) for _, v in some]])
+            stripe = held.get(term)
+            if stripe is None:
+                held[term] = {_DF: 1, own: n}
+                new += 1
+            else:
+                stripe[_DF] += 1
+                if own in stripe:
+                    stripe[own] += n
+                else:
+                    stripe[own] = n
+                    new += 1
+        self.entries += new
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        """All stripes; none are held afterwards."""
+        names = pa.array(list(self.sources), pa.string())
+        for lang, held in self.held.items():
+            terms = list(held)
+            for i in range(0, len(terms), _ROWS_OUT):
+                some = terms[i : i + _ROWS_OUT]
+                stripes = [held[t] for t in some]
+                df = [x.pop(_DF) for x in stripes]
+                ends = pa.array(np.cumsum([0, *map(len, stripes)]), pa.int32())
+                sources = names.take(pa.array([k for x in stripes for k in x], pa.int64()))
+                counts = pa.array([n for x in stripes for n in x.values()], pa.int64())
+                lists = [pa.ListArray.from_arrays(ends, v) for v in (sources, counts)]
+                yield record(_PARTIAL, [[lang] * len(some), pa.array(some, pa.binary()), df, *lists])
+        self.held, self.sources, self.entries = {}, {}, 0
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,17 +103,55 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from stripes.spill()
 
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where a new key begins."""
+    lang, term = (rows.column(i) for i in (0, 1))
+    same = pc.and_(*(pc.equal(c.slice(1), c.slice(0, len(c) - 1)) for c in (lang, term)))
+    return np.flatnonzero(np.r_[True, ~same.to_numpy()])
+
+
+def _one_each(rows: pa.Table, least: int) -> pa.Table:
+    """Partial stripes, in order of their key, merged into one for each key of at least so many documents."""
+    if not rows.num_rows:
+        return rows
+    starts = _starts(rows)
+    df = np.add.reduceat(rows.column(2).to_numpy(), starts)
+    kept = np.flatnonzero(df >= least)
+    if not len(kept):
+        return rows.slice(0, 0)
+    sizes = np.diff(np.r_[starts, rows.num_rows])
+    rank = np.repeat(np.cumsum(df >= least) - 1, sizes)
+    some = rows.filter(pa.array(np.repeat(df >= least, sizes)))
+    sources, counts = (some.column(i).combine_chunks() for i in (3, 4))
+    width = sources.value_lengths().to_numpy()
+    named = sources.flatten().dictionary_encode()
+    code = np.repeat(rank[np.repeat(df >= least, sizes)], width) * len(named.dictionary) + named.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    total = np.add.reduceat(counts.flatten().to_numpy()[order], first)
+    code = code[first]
+    ends = pa.array(np.searchsorted(code, np.arange(len(kept) + 1) * len(named.dictionary)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, v) for v in (named.dictionary.take(pa.array(code % len(named.dictionary))), pa.array(total))]
+    at = pa.array(starts[kept])
+    return pa.table([rows.column(0).take(at), rows.column(1).take(at), pa.array(df[kept]), *lists], schema=_PARTIAL)
+
+
 def _merged(least: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partial stripes come in order of their key, so all but the last key's are whole."""
-        stripes, last = Stripes(), None
+        """Partial stripes come in order of their key, so all but the last key's are whole; the last key's are merged and wait."""
+        held, rows = [], 0
         for batch in batches:
-            for lang, term, df, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, term) != last and stripes.entries >= MAX_ENTRIES:
-                    yield from stripes.spill(least)
-                last = (lang, term)
-                stripes.add(lang, term, df, zip(sources, counts, strict=True))
-        yield from stripes.spill(least)
+            held.append(pa.RecordBatch.from_arrays(batch.columns, schema=_PARTIAL))
+            rows += batch.num_rows
+            if rows >= _ROWS_OUT:
+                table = pa.Table.from_batches(held)
+                last = int(_starts(table)[-1])
+                yield from _one_each(table.slice(0, last), least).to_batches()
+                held = _one_each(table.slice(last), 0).combine_chunks().to_batches()
+                rows = 1
+        if held:
+            yield from _one_each(pa.Table.from_batches(held), least).to_batches()
 
     return run
 
@@ -105,7 +159,8 @@ def _merged(least: int):  # noqa: ANN202
 def kept_stripes(docs: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
     """(lang, term, df, sources, counts): a row for each term that at least `least` of the language's documents have."""
     partial = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_folded, _MERGED)
-    return partial.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merged(least), _MERGED)
+    # ordered by term first: languages are few, so their names would not tell rows apart
+    return partial.repartition("lang", "term").sortWithinPartitions("term", "lang").mapInArrow(_merged(least), _MERGED)
 
 
 def _p(count: Column, total: Column, terms: Column) -> Column:
