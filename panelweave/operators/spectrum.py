@@ -53,13 +53,13 @@ def windows(returns: DataFrame, lengths: list[int], *keys: str) -> DataFrame:
     return each.join(returns.where("ret is not null").select(*keys, "date", "ticker", "ret"), "date").select("n", "month", *keys, "date", "ticker", "ret")
 
 
-def vectors(rows: DataFrame, keys: list[str], length: str | None = None) -> DataFrame:
-    """(keys, ticker, n, x): each name's returns in order of the dates, less their mean; of windows with a column of their length only complete ones."""
+def vectors(rows: DataFrame, keys: list[str], length: str | None = None, centred: bool = True) -> DataFrame:
+    """(keys, ticker, n, x): each name's returns in order of the dates, less their mean unless not centred; of windows with a column of their length only complete ones."""
     x = rows.groupBy(*keys, "ticker").agg(F.sort_array(F.collect_list(F.struct("date", "ret"))).alias("_x"))
     x = x.withColumn("_x", F.transform("_x", lambda e: e["ret"])).withColumn("_n", F.size("_x"))
     x = x.where(F.col("_n") == F.col(length)) if length else x
     mean = F.aggregate("_x", F.lit(0.0), lambda s, e: s + e) / F.col("_n")
-    return x.select(*keys, "ticker", F.col("_n").alias("_dates"), F.transform("_x", lambda e: e - mean).alias("x"))
+    return x.select(*keys, "ticker", F.col("_n").alias("_dates"), (F.transform("_x", lambda e: e - mean) if centred else F.col("_x")).alias("x"))
 
 
 def _fields(df: DataFrame, keys: list[str]) -> str:

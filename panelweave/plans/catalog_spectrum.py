@@ -1,6 +1,6 @@
 """Registered queries over the dual spectra of return windows: corrected loadings, least-variance and index-tracking weights, maps of where a correction pays.
 
-SQL has no eigenvectors, so these have no twins; `tests/test_spectrum.py` holds them against dense covariances.
+SQL has no eigenvectors, so these have no twins; `tests/test_spectrum.py` and `tests/test_residual_factors.py` hold them against numpy.
 """
 
 from __future__ import annotations
@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.operators import covariance as K
+from panelweave.operators import expanding_pca as X
+from panelweave.operators import residual_factors as R
 from panelweave.operators import spectrum as S
+from panelweave.operators import universe as U
 from panelweave.operators.spectrum import Estimator
 from panelweave.plans import books_panel as B
 from panelweave.plans.fixtures import Fixtures, cut
@@ -114,3 +118,47 @@ add("window_noise", _noise)
 add("window_scores", _scores)
 for _name, _rotate in (("jse", "all"), ("raw", "none")):
     add(f"book_minvar_{_name}", lambda x, how=_rotate: _book(x, how))
+
+# factors in what known factors leave; components of signals on an expanding history
+KNOWN, N_BETA, N_AN = ["mkt_ret", "r0_ret"], 52, 26
+_SECTORS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def _analysed(x: Fixtures) -> tuple[DataFrame, DataFrame]:
+    rows = cut(R.analysis_windows(x.returns.select("date", "ticker", "ret"), x.macro, KNOWN, N_BETA, N_AN))
+    return rows, cut(R.betas(rows, KNOWN))
+
+
+def _residual(x: Fixtures, with_sectors: bool) -> DataFrame:
+    rows, beta = _analysed(x)
+    return R.residuals(rows, beta, len(KNOWN), *((x.sectors, _SECTORS) if with_sectors else ()))[0]
+
+
+def _vetted(x: Fixtures) -> tuple[DataFrame, DataFrame]:
+    return R.residual_factors(cut(_residual(x, False)), x.macro.select("date", *KNOWN), KNOWN, k=3, least=5)
+
+
+def _components(x: Fixtures) -> tuple[DataFrame, DataFrame]:
+    scores, load = X.component_returns(U.long_short(x.signals, "1900-01-01"), 5, 24, 12)
+    return cut(scores), cut(load)
+
+
+def _timing(x: Fixtures, timed: bool) -> DataFrame:
+    """Signal weights by the components' predicted returns, and by all components alike."""
+    scores, load = _components(x)
+    dates = U.long_short(x.signals, "1900-01-01").select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))
+    if not timed:
+        return X.signal_weights(load, dates)
+    panel = scores.select(F.col("factor").cast("string").alias("signalname"), "date", "ret")
+    predicted = K.expanding_ols(K.signal_features(panel, 6), 12, 6)
+    return X.signal_weights(load, dates, predicted.select("date", F.col("signalname").cast("int").alias("factor"), F.col("prediction").alias("tilt")))
+
+
+add("window_residuals", lambda x: _residual(x, False))
+add("window_residuals_sectors", lambda x: _residual(x, True))
+add("window_angles", lambda x: R.angles(_analysed(x)[1], len(KNOWN)))
+add("residual_factor_table", lambda x: _vetted(x)[0])
+add("residual_factor_series", lambda x: _vetted(x)[1])
+add("expanding_pca", lambda x: _components(x)[0])
+add("expanding_pca_timed", lambda x: _timing(x, True))
+add("expanding_pca_equal", lambda x: _timing(x, False))
