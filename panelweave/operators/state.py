@@ -157,6 +157,36 @@ def halt_counter(df: DataFrame, limit: int, key: str = "ticker") -> DataFrame:
     return df.withColumn("days", days).withColumn("state", F.when(F.col("days") == 0, "tradable").when(F.col("days") < limit, "halted").otherwise("quarantined")).drop("_priced")
 
 
+#: Reasons that close a position, and those of them that are a name's death.
+CLOSING = ["delisted", "corporate_action", "corporate_action_follow", "gap_stop"]
+DEATHS = ["delisted", "corporate_action", "gap_stop"]
+#: Corporate actions that pay a holder out.
+PAID_OUT = ["merger_cash", "acquisition_cash"]
+
+
+def terminal_events(df: DataFrame, limit: int = 5, key: str = "ticker") -> DataFrame:
+    """days, reason, keep and dead for each row of a held name: what happened to it, by rules in order of their certainty.
+
+    df: (key, date, status, in_index, successor, event, open, floor, side). A corporate action decides first; then a tradable name is open still, unless a long has gapped under its floor; a halt is one for `limit` rows, then doubtful, as
+    it is at once outside the index; a delisting counts outside the index without a successor only. All else is put in quarantine, which never closes a position.
+    days: halted rows since the name last was tradable, paid out or gone; doubtful rows between neither count nor reset. Missing in_index means inside, a missing price no gap.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    inside, moved = F.coalesce("in_index", F.lit(True)), F.col("successor").isNotNull()
+    follow, paid = yes(F.col("event") == "symbol_change") & moved, yes(F.col("event").isin(PAID_OUT))
+    rung = lambda status: ~follow & ~paid & yes(F.col("status") == status)
+    gone = rung("delisted") & ~inside & ~moved
+    w = by(key).rowsBetween(*PAST)
+    df = df.withColumn("_halted", rung("halted")).withColumn("_seg", F.count_if(follow | paid | rung("tradable") | gone).over(w))
+    days = F.count_if(F.col("_halted")).over(Window.partitionBy(key, "_seg").orderBy("date").rowsBetween(*PAST))
+    df = df.withColumn("days", F.when(F.col("_halted"), days).otherwise(0).cast("int"))
+    gap = yes((F.col("side") == "long") & (F.col("open") < F.col("floor")))
+    reason = F.when(follow, "corporate_action_follow").when(paid, "corporate_action").when(rung("tradable") & gap, "gap_stop").when(rung("tradable"), "still_open")
+    reason = reason.when(F.col("_halted") & inside & (F.col("days") <= limit), "halt").when(gone, "delisted").otherwise("quarantine")
+    df = df.withColumn("reason", reason).drop("_halted", "_seg")
+    return df.withColumn("keep", ~F.col("reason").isin(CLOSING)).withColumn("dead", F.col("reason").isin(DEATHS))
+
+
 def trades(df: DataFrame, key: str = "ticker") -> DataFrame:
     """Contiguous nonzero runs of a position: start, end, side, n and the sum of lagged-position P&L within."""
     w = by(key)

@@ -31,6 +31,15 @@ def folder(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
 
 
+def arriving(rows: DataFrame, batch: str, batches: int) -> DataFrame:
+    """A stream that brings the rows in as many batches, by a column that numbers them from 0; a batch without rows brings an empty file. The files stay in the shared folder."""
+    spark, at = rows.sparkSession, folder(rows.sparkSession)
+    columns = [c for c in rows.columns if c != batch]
+    for i in range(batches):  # one after the other: a file stream takes files in order of their age
+        rows.where(F.col(batch) == i).select(*columns).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def settle(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run to the end of what is there. append: the rows written; update: each key's last row; complete: the last table."""
     spark, at = stream.sparkSession, folder(stream.sparkSession)
@@ -50,9 +59,14 @@ def settle(stream: DataFrame, mode: str = "append", keys: list[str] | None = Non
     return newest.select("r.*")
 
 
-def first_arrivals(events: DataFrame, *keys: str, late: str = "30 days") -> DataFrame:
-    """Keys, each once: a repeat within `late` of the first is dropped; a key is forgotten when the newest event lies further ahead, so state is bounded."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
+def first_arrivals(events: DataFrame, *keys: str, horizon: str | None = None) -> DataFrame:
+    """Keys, each once, when they first arrive. State holds every key seen, as long as the stream runs: it grows with the distinct keys, not with the rows.
+
+    horizon bounds the state instead: a key is forgotten, and written again if it returns, when the newest event lies further ahead of its first.
+    """
+    if horizon is None:
+        return events.dropDuplicates(list(keys)).select(*keys)
+    return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
 
 
 def tumbling(events: DataFrame, key: str, value: str, width: str, late: str = "2 days") -> DataFrame:
@@ -74,6 +88,39 @@ def sessions(events: DataFrame, key: str, gap: str, late: str = "2 days") -> Dat
     return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def embargoed_ledger(events: DataFrame, key: str, value: str, embargo: str) -> tuple[DataFrame, DataFrame]:
+    """Finished days (key, day, n, total), each written once, and late restatements (key, day, late_n, late_total) of days that were finished before they came.
+
+    A day is finished when the newest event of a batch is `embargo` past its end. What comes for it in later batches changes nothing that is written; it is put aside, so that it can be looked at.
+    Every batch writes only into folders of its own number and reads those up to it, so a batch that runs again after a loss replaces what it wrote. total is in ten-thousandths.
+    """
+    spark, at = events.sparkSession, folder(events.sparkSession)
+    kind = f"{key} {events.schema[key].dataType.simpleString()}, day timestamp, n long, total long"
+    over = lambda newest: F.col("day") + F.expr("interval 1 day") <= newest - F.expr(f"interval {embargo}")
+
+    def up_to(name: str, schema: str, batch: int) -> DataFrame:
+        return spark.read.schema(f"{schema}, batch int").parquet(f"{at}/{name}").where(F.col("batch") <= batch)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        write = lambda df, name: df.write.mode("overwrite").parquet(f"{at}/{name}/batch={batch}")
+        before = up_to("newest", "newest timestamp", batch - 1).agg(F.max("newest")).first()[0] if batch else None  # one value a batch
+        now = max((t for t in (before, rows.agg(F.max("ts")).first()[0]) if t is not None), default=None)
+        sums = rows.groupBy(key, F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.sum(F.round(F.col(value) * 10000).cast("long")).alias("total"))
+        shut = over(F.lit(before)) if before is not None else F.lit(False)
+        write(sums.where(shut), "late")
+        write(sums.where(~shut), "parts")
+        write(spark.createDataFrame([(now,)], "newest timestamp"), "newest")
+        done = up_to("parts", kind, batch).where(~shut & (over(F.lit(now)) if now is not None else F.lit(False)))
+        write(done.groupBy(key, "day").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "done")
+
+    for name in ("parts", "late", "done"):  # so that there is a table even if nothing comes
+        spark.createDataFrame([], kind).write.parquet(f"{at}/{name}/batch=-1")
+    events.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    written = lambda name: spark.read.schema(kind).parquet(f"{at}/{name}")
+    late = written("late").groupBy(key, "day").agg(F.sum("n").alias("late_n"), F.sum("total").alias("late_total"))
+    return written("done"), late
+
+
 def enrich(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """A stream joined with a static table."""
     return events.join(dimension, key)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from panelweave.operators.state import PAID_OUT
+
 Step = Callable[[tuple, object], tuple[tuple, int | None]]
 
 
@@ -65,6 +67,46 @@ def on_change(s: tuple, v: object) -> tuple[tuple, int | None]:
     return s if v is None else (int(v),), None if v is None or s[0] == int(v) else int(v)
 
 
+def ladder(limit: int) -> Callable[[int, tuple], tuple[int, str]]:
+    """`state.terminal_events` for one row: the halted rows so far and (status, in_index, successor, event, open, floor, side) give the next count and the reason."""
+
+    def step(days: int, row: tuple) -> tuple[int, str]:
+        status, inside, successor, event, price, floor, side = row
+        inside = inside is None or inside
+        if event == "symbol_change" and successor is not None:
+            return 0, "corporate_action_follow"
+        if event in PAID_OUT:
+            return 0, "corporate_action"
+        if status == "tradable":
+            return 0, "gap_stop" if side == "long" and price is not None and floor is not None and price < floor else "still_open"
+        if status == "halted":
+            return days + 1, "halt" if inside and days < limit else "quarantine"
+        if status == "delisted" and not inside and successor is None:
+            return 0, "delisted"
+        return days, "quarantine"
+
+    return step
+
+
+def terminal_events(rows: DataFrame, limit: int = 5, key: str = "ticker") -> DataFrame:
+    """(key, date, reason): the stream's form of `state.terminal_events`; the state of a name is its halted rows. Rows of a batch go in order of their date, later batches after earlier ones."""
+    columns = ["status", "in_index", "successor", "event", "open", "floor", "side"]
+    step = ladder(limit)
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        days = state.get[0] if state.exists else 0
+        own = pd.concat(list(frames)).sort_values("date")
+        reasons = []
+        for row in own[columns].itertuples(index=False):
+            days, reason = step(days, tuple(None if pd.isna(v) else v for v in row))
+            reasons.append(reason)
+        state.update((days,))
+        yield pd.DataFrame({key: name[0], "date": own["date"].to_numpy(), "reason": reasons})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "date", *columns).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, date date, reason string", "days int", "append", GroupStateTimeout.NoTimeout)
+
+
 def finished_days(events: DataFrame, key: str, value: str, embargo: str) -> DataFrame:
     """(key, day, n, total in ten-thousandths): a day is written once, when the newest event is `embargo` past its end; later arrivals don't rewrite it."""
     out = events.withWatermark("ts", embargo).groupBy(key, F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum(F.round(F.col(value) * 10000).cast("long")).alias("total"))
