@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import by, corr_from_sums, ratio
 from panelweave.operators.cross_section import quantile_bucket
-from panelweave.operators.joins import asof
 
 
 def surprise(events: DataFrame, floor: float = 0.01) -> DataFrame:
@@ -25,8 +24,10 @@ def trailing_sue(events: DataFrame, n: int = 4, least: int = 2) -> DataFrame:
 def reaction_session(events: DataFrame, calendar: DataFrame) -> DataFrame:
     """The first date of the calendar on or after the report ('bmo') or the day after it."""
     e = events.withColumn("_from", F.when(F.col("hour") == "bmo", F.col("report_date")).otherwise(F.date_add("report_date", 1)))
-    marks = events.select("symbol").distinct().crossJoin(calendar.select(F.col("date").alias("session"), F.col("date").alias("_at")))
-    return asof(e, marks, ["symbol"], "_from", "_at", "session", "forward").drop("_from")
+    ahead = calendar.select(F.col("date").alias("_from"), F.col("date").alias("session")).unionByName(e.select("_from", F.lit(None).cast("date").alias("session")))
+    ahead = ahead.where("_from is not null").groupBy("_from").agg(F.max("session").alias("session"))  # one row per date
+    ahead = ahead.select("_from", F.min("session").over(Window.orderBy("_from").rowsBetween(0, Window.unboundedFollowing)).alias("session"))
+    return e.join(ahead, "_from", "left").drop("_from")
 
 
 def car(events: DataFrame, panel: DataFrame, low: int, high: int) -> DataFrame:

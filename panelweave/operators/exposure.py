@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from panelweave.functions.columns import by, ratio, rolling_std, trailing
 from panelweave.operators import inference as I
@@ -39,18 +40,18 @@ def tolerance_band_joint(df: DataFrame, width: float, key: str = "ticker") -> Da
 def row_band(weights: DataFrame, dates: DataFrame, width: float) -> DataFrame:
     """(book, date, ticker, w): the whole row of targets is adopted when it is further than width (sum of absolute differences) from the one held.
 
-    A fold over a book's dates; the weights held are its state.
+    A fold over a book's dates, in vectors over its names.
     """
     rows = weights.select("book").distinct().crossJoin(F.broadcast(dates)).join(weights, ["book", "date"], "left")  # a row without a ticker on dates without targets
 
-    def step(held: dict, key: tuple, date: object, rows: list[tuple]) -> tuple[dict, list[tuple]]:
-        want = {t: w for t, w in rows if t is not None and w}
-        if sum(abs(want.get(t, 0.0) - held.get(t, 0.0)) for t in sorted(want.keys() | held.keys())) > width:
-            held = want
-        return held, [(key[0], date, t, w) for t, w in held.items()]
+    def step(held: np.ndarray, key: str, date: object, ids: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, tuple]:
+        want = np.zeros_like(held)
+        want[ids] = np.nan_to_num(values[0])
+        held = want if np.abs(want - held).sum() > width else held
+        at = np.flatnonzero(held)
+        return held, (at, held[at])
 
-    schema = StructType([StructField("book", StringType()), StructField("date", DateType()), StructField("ticker", StringType()), StructField("w", DoubleType())])
-    return P.fold_days(rows, ["book"], ["ticker", "w"], {}, step, schema)
+    return P.named(P.fold_vectors(rows, "book", ["w"], np.zeros, step, P.HELD), rows).select("book", "date", "ticker", "w")
 
 
 def overlay_cost(weights: DataFrame, betas: DataFrame, bps: float) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DateType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from panelweave.functions.columns import by, ratio
 from panelweave.operators import state as P
@@ -96,33 +96,31 @@ def clusters(edges: DataFrame, nodes: DataFrame, cut) -> DataFrame:  # noqa: ANN
 
 def drift_grid(weights: DataFrame, returns: DataFrame, bands: list[float], levels: list[float]) -> DataFrame:
     """(book, band, level, date, net, turnover): weights drift with returns; a name whose drifted weight is off its target by more than the
-    relative band is reset, all are scaled to the level. A fold over the dates of a (book, cell) whose state is what is held; the grid is literals."""
-    spark = weights.sparkSession
-    grid = spark.createDataFrame([(float(b), float(v)) for b in bands for v in levels], "band double, level double")
+    relative band is reset, all are scaled to the level. A fold over a book's dates whose state is what each cell of the grid holds, a matrix of cells by names."""
+    cells = [(float(b), float(v)) for b in bands for v in levels]
+    band, level = (np.array(c)[:, None] for c in zip(*cells, strict=True))
     names = weights.select("book", "ticker").distinct()
-    known = returns.join(weights.select("date").distinct(), "date", "left_semi").join(F.broadcast(names), "ticker").select("book", "date", "ticker", "ret")
-    rows = weights.join(known, ["book", "date", "ticker"], "full").crossJoin(F.broadcast(grid))  # a name that is held also earns on dates without a target
-
-    def step(held: dict, key: tuple, date: object, rows: list[tuple]) -> tuple[dict, list[tuple]]:
-        book, band, level = key
-        if all(w is None for _, w, _ in rows):
-            return held, []
-        ret = {t: r or 0.0 for t, _, r in rows}
-        earned = sum(h * ret.get(t, 0.0) for t, h in sorted(held.items()))
-        scale = 1 + earned if earned > -1 else 1.0
-        drifted = {t: h * ((1 + ret.get(t, 0.0)) / scale if earned > -1 else 1.0) for t, h in held.items()}
-        want = {t: w * level for t, w, _ in rows if w is not None}
-        after, moved = {}, 0.0
-        for t in sorted(drifted.keys() | want.keys()):
-            now, to = drifted.get(t, 0.0), want.get(t, 0.0)
-            own = to if abs(now - to) > band * abs(to) else now
-            moved += abs(own - now)
-            if own:
-                after[t] = own
-        return after, [(book, band, level, date, earned, moved)]
-
-    schema = StructType([StructField("book", StringType()), *(StructField(c, DoubleType()) for c in ("band", "level")), StructField("date", DateType()), *(StructField(c, DoubleType()) for c in ("net", "turnover"))])
-    return P.fold_days(rows, ["book", "band", "level"], ["ticker", "w", "ret"], {}, step, schema)
+    known = returns.join(weights.select("date").distinct(), "date", "left_semi").join(names, "ticker").select("book", "date", "ticker", "ret")
+    rows = weights.join(known, ["book", "date", "ticker"], "full")  # a name that is held also earns on dates without a target
+
+    def step(held: np.ndarray, key: str, date: object, ids: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, tuple | None]:
+        w, r = values
+        if np.isnan(w).all():
+            return held, None
+        ret, want = np.zeros(held.shape[1]), np.zeros(held.shape[1])
+        ret[ids], want[ids] = np.nan_to_num(r), np.nan_to_num(w)
+        earned = held @ ret
+        solvent = earned > -1
+        drifted = np.where(solvent[:, None], held * (1 + ret) / np.where(solvent, 1 + earned, 1.0)[:, None], held)
+        target = want * level
+        own = np.where(np.abs(drifted - target) > band * np.abs(target), target, drifted)
+        return own, (earned, np.abs(own - drifted).sum(axis=1))
+
+    out = [StructField("net", ArrayType(DoubleType())), StructField("turnover", ArrayType(DoubleType()))]
+    made = P.fold_vectors(rows, "book", ["w", "ret"], lambda n: np.zeros((len(cells), n)), step, out)
+    grid = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(v).alias("level")) for b, v in cells])
+    each = made.select("book", "date", F.explode(F.arrays_zip(grid.alias("cell"), "net", "turnover")).alias("_c"))
+    return each.select("book", "_c.cell.band", "_c.cell.level", "date", "_c.net", "_c.turnover")
 
 
 def slot_grid(candidates: DataFrame, slots: list[int], holds: list[int]) -> DataFrame:

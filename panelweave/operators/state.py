@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
-from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StructField, StructType
 
 from panelweave.functions.columns import by
 
@@ -68,6 +69,54 @@ def fold_days(rows: DataFrame, keys: list[str], columns: list[str], start: objec
     return rows.mapInArrow(run, schema)
 
 
+def fold_vectors(rows: DataFrame, key: str, columns: list[str], start: Callable[[int], object], step: Callable, out: list[StructField], order: str = "date") -> DataFrame:
+    """A fold over a key's dates whose state is vectors over all names: step(state, key, date, ids, values) gives the next state and a row of `out`, or None.
+
+    rows: (key, order, ticker, columns). Names are numbered from 0, in their order; start gets their number. ids are the names with a row on the date, values one array of doubles for each column, NaN for null. A date's rows come
+    together as one row of arrays before the fold, so what one key's task reads in turn is a row for each date, and its arithmetic is numpy's. An output of (ids, w) arrays is unfolded by `named`.
+    """
+    names = numbered_names(rows)
+    size = names.count()
+    cells = F.sort_array(F.collect_list(F.struct(F.coalesce("_id", F.lit(-1)).alias("_id"), *[F.col(c).cast("double").alias(c) for c in columns])))
+    days = rows.join(names, "ticker", "left").groupBy(key, order).agg(cells.alias("_c")).select(key, order, F.col("_c._id").alias("_id"), *[F.col(f"_c.{c}").alias(c) for c in columns])
+    kinds = [f for f in days.schema.fields if f.name in (key, order)]
+    schema = StructType([*kinds, *out])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            made = []
+            lists = [batch.column(i + 2) for i in range(len(columns) + 1)]
+            for i, (name, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if last is None or name != last:
+                    last, state = name, start(size)
+                ids = lists[0][i].values.to_numpy(zero_copy_only=False)
+                real = ids >= 0
+                values = [pc.fill_null(c[i].values, float("nan")).to_numpy(zero_copy_only=False)[real] for c in lists[1:]]
+                state, row = step(state, name, at, ids[real], values)
+                if row is not None:
+                    made.append((name, at, *row))
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in made], schema=arrow)
+
+    return days.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+#: What a fold over vectors gives for a book: the names held and their weights.
+HELD = [StructField("ids", ArrayType(IntegerType())), StructField("w", ArrayType(DoubleType()))]
+
+
+def numbered_names(rows: DataFrame) -> DataFrame:
+    """(ticker, _id): names in their order, from 0."""
+    return rows.select("ticker").where("ticker is not null").distinct().withColumn("_id", (F.row_number().over(Window.orderBy("ticker")) - 1).cast("int"))  # one row per name
+
+
+def named(folded: DataFrame, rows: DataFrame) -> DataFrame:
+    """The folded rows with ids and w as (ticker, w), a row for each name."""
+    each = folded.withColumn("_p", F.explode(F.arrays_zip("ids", "w"))).drop("ids", "w").withColumn("_id", F.col("_p.ids")).withColumn("w", F.col("_p.w")).drop("_p")
+    return each.join(numbered_names(rows), "_id").drop("_id")
+
+
 def band_positions(df: DataFrame, entry: float, leave: float, value: str = "s", key: str = "ticker") -> DataFrame:
     """position -1/0/1: short from value >= entry, long from value <= -entry, flat once |value| <= leave; null holds; never flips directly.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
 from panelweave.functions.columns import by, ratio
 from panelweave.operators import bars as B
@@ -16,8 +16,6 @@ from panelweave.operators import state as P
 from panelweave.operators import universe as U
 from panelweave.plans.books import gap_events
 
-_WEIGHTS = StructType([StructField("date", DateType()), StructField("ticker", StringType()), StructField("w", DoubleType())])
-
 
 def residual_positions(factor: DataFrame, n: int = 13, entry: float = 1.25, leave: float = 0.5, floor: float = 20_000.0, blackout: Column | None = None) -> DataFrame:
     """Banded reversion positions of the members, without thin names and without entries inside a blackout."""
@@ -38,35 +36,50 @@ def run_residual(factor: DataFrame, skip: int = 1, bps: float = 5.0, name: float
     return day.withColumn("_l", live).where("_l > 0").select("date", "gross", "cost", "net")
 
 
-def _reset(held: dict, target: float, names: list[str], band: float) -> dict:
-    """Names off the target by more than the band, or new, are set to it."""
-    return {t: target if held.get(t, 0.0) <= 0 or abs(held[t] / target - 1) > band else held[t] for t in names}
+def _reset(held: np.ndarray, target: float, ids: np.ndarray, band: float) -> np.ndarray:
+    """Only the names of ids are held; those off the target by more than the band, or new, are set to it."""
+    own = held[ids]
+    out = np.zeros_like(held)
+    out[ids] = np.where((own <= 0) | (np.abs(own / target - 1) > band), target, own)
+    return out
+
+
+def _drifted(held: np.ndarray, ids: np.ndarray, ret: np.ndarray) -> np.ndarray:
+    """What is held after the date's returns; a null one moves nothing, a name without a row is gone."""
+    out = np.zeros_like(held)
+    out[ids] = held[ids] * (1 + np.nan_to_num(ret))
+    return out
+
+
+def _members(panel: DataFrame) -> DataFrame:
+    return panel.select(F.lit("book").alias("key"), "date", "ticker", "ret", (F.col("member") & F.col("close").isNotNull()).cast("double").alias("ok"))
 
 
 def equal_weight_band(panel: DataFrame, band: float = 0.2) -> DataFrame:
-    """Members with a price, equally weighted; weights drift with returns, those beyond the band are reset, the sum stays one. A fold over dates."""
+    """Members with a price, equally weighted; weights drift with returns, those beyond the band are reset, the sum stays one. A fold over dates, in vectors over the names."""
 
-    def step(held: dict, key: tuple, date: object, rows: list[tuple]) -> tuple[dict, list[tuple]]:
-        held = {t: held[t] * (1 + (r or 0.0)) for t, r, _ in rows if t in held}
-        names = [t for t, _, ok in rows if ok]
-        held = _reset(held, 1 / len(names), names, band) if names else {}
-        total = sum(held.values())
-        held = {t: w / total for t, w in held.items()}
-        return held, [(date, t, w) for t, w in held.items()]
+    def step(held: np.ndarray, key: str, date: object, ids: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, tuple]:
+        ret, ok = values
+        names = ids[ok > 0]
+        held = _reset(_drifted(held, ids, ret), 1 / max(len(names), 1), names, band)
+        held = held / (held.sum() or 1.0)
+        at = np.flatnonzero(held)
+        return held, (at, held[at])
 
-    rows = panel.select(F.lit("book").alias("key"), "date", "ticker", "ret", (F.col("member") & F.col("close").isNotNull()).alias("ok"))
-    return P.fold_days(rows, ["key"], ["ticker", "ret", "ok"], {}, step, _WEIGHTS)
+    rows = _members(panel)
+    return P.named(P.fold_vectors(rows, "key", ["ret", "ok"], np.zeros, step, P.HELD), rows).select("date", "ticker", "w")
 
 
 def levered_gate(panel: DataFrame, index: DataFrame, high: float, back: int = 3, band: float = 0.2, cap: float = 2.0) -> DataFrame:
-    """Equal weights at twice the money, once while the index (date, v) has not been below `high` for `back` dates; a flip of the gate or the band resets names. A fold over dates."""
+    """Equal weights at twice the money, once while the index (date, v) has not been below `high` for `back` dates; a flip of the gate or the band resets names. A fold over dates, in vectors over the names."""
 
-    def step(state: tuple, key: tuple, date: object, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+    def step(state: tuple, key: str, date: object, ids: np.ndarray, values: list[np.ndarray]) -> tuple[tuple, tuple | None]:
         held, level, below, known = state
-        v = rows[0][3]
-        earned = 1 + sum(held.get(t, 0.0) * (r or 0.0) for t, r, _, _ in rows)
+        ret, ok, gauge = values
+        v = gauge[0] if len(gauge) and not np.isnan(gauge[0]) else None
+        earned = 1 + float(held[ids] @ np.nan_to_num(ret))
         if earned > 0.05:
-            held = {t: held[t] * (1 + (r or 0.0)) / earned for t, r, _, _ in rows if t in held}
+            held = _drifted(held, ids, ret) / earned
         if level is None:
             level = 1.0 if v is not None and v >= high else cap
         new = level
@@ -75,17 +88,24 @@ def levered_gate(panel: DataFrame, index: DataFrame, high: float, back: int = 3,
         elif v is not None and level < cap:
             below += 1
             new = cap if below >= back else level
-        names = [t for t, _, ok, _ in rows if ok]
-        if not names:
-            return ({}, level, below, set()), []
+        names = ids[ok > 0]
+        if not len(names):
+            return (np.zeros_like(held), level, below, np.zeros(len(held), bool)), None
         target = new / len(names)
-        held = dict.fromkeys(names, target) if new != level else _reset({t: w for t, w in held.items() if t in known}, target, names, band)
-        gross = sum(map(abs, held.values()))
-        held = {t: w * min(1.0, cap / gross) for t, w in held.items()}
-        return (held, new, below, set(names)), [(date, t, w) for t, w in held.items()]
-
-    rows = panel.join(index, "date", "left").select(F.lit("book").alias("key"), "date", "ticker", "ret", (F.col("member") & F.col("close").isNotNull()).alias("ok"), "v")
-    return P.fold_days(rows, ["key"], ["ticker", "ret", "ok", "v"], ({}, None, 0, set()), step, _WEIGHTS)
+        if new != level:
+            held = np.zeros_like(held)
+            held[names] = target
+        else:
+            held = _reset(np.where(known, held, 0.0), target, names, band)
+        held = held * min(1.0, cap / np.abs(held).sum())
+        known = np.zeros(len(held), bool)
+        known[names] = True
+        at = np.flatnonzero(held)
+        return (held, new, below, known), (at, held[at])
+
+    rows = _members(panel).join(index, "date", "left")
+    start = lambda n: (np.zeros(n), None, 0, np.zeros(n, bool))
+    return P.named(P.fold_vectors(rows, "key", ["ret", "ok", "v"], start, step, P.HELD), rows).select("date", "ticker", "w")
 
 
 def deep_dip(factor: DataFrame, slots: int = 5, hold: int = 13, n: int = 13, entry: float = -1.25, leave: float = 0.0, gross: float = 1.5) -> DataFrame:

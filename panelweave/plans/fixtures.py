@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from functools import cached_property
+from threading import RLock
 from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,19 +33,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def files_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the files in a folder and in those within it, through Spark's file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = [x for x in system.listStatus(path)]
+    inner = [x for d in top if d.isDirectory() for x in system.listStatus(d.getPath())]
+    return tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in (*top, *inner)))
+
+
 class Fixtures:
     """Each property is a DataFrame over the tables in sf_dir. The bars and the panel with returns, from which most queries start several times, are
     materialised once for each application; nothing else is computed before an action."""
 
-    _made: ClassVar[dict[tuple[str, str], Fixtures]] = {}
+    _made: ClassVar[dict[tuple[str, str], tuple[tuple, Fixtures]]] = {}
+    _lock: ClassVar[RLock] = RLock()
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self._own = RLock()
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Fixtures:
-        """The application's fixtures over a folder: queries share what is materialised."""
-        return cls._made.setdefault((spark.sparkContext.applicationId, sf_dir), cls(spark, sf_dir))
+        """The application's fixtures over a folder: queries share what is materialised, as long as the folder's files stay as they are."""
+        key, now = (spark.sparkContext.applicationId, sf_dir), files_of(spark, sf_dir)
+        with cls._lock:
+            if key not in cls._made or cls._made[key][0] != now:
+                cls._made[key] = now, cls(spark, sf_dir)
+            return cls._made[key][1]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -102,12 +118,19 @@ class Fixtures:
     @property
     def bars(self) -> DataFrame:
         """(date, ticker, open, close, volume, n): weekly bars; missing cells stay missing."""
-        return self._bars
+        with self._own:  # queries may run side by side
+            return self._bars
 
     @cached_property
-    def returns(self) -> DataFrame:
+    def _returns(self) -> DataFrame:
         return cut(B.daily_returns(self.panel).join(self.sectors.select("ticker", "sector"), "ticker"))
 
+    @property
+    def returns(self) -> DataFrame:
+        """(date, ticker, open, close, volume, member, ret, sector): every week and ticker, with the return on the week before."""
+        with self._own:
+            return self._returns
+
     @property
     def factor(self) -> DataFrame:
         """(date, ticker, ret, close, open, volume, member, sector, f, m): with the sector's and the market's mean return."""
@@ -192,7 +215,7 @@ class Fixtures:
 class SupplierFixtures(Fixtures):
     """The same panels with a name for each supplier instead of each nation: as many names as the supplier table has rows."""
 
-    _made: ClassVar[dict[tuple[str, str], Fixtures]] = {}
+    _made: ClassVar[dict[tuple[str, str], tuple[tuple, Fixtures]]] = {}
 
     @staticmethod
     def ticker(key: str):  # noqa: ANN205
