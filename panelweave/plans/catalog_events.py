@@ -40,8 +40,8 @@ add(
     "terminal_events", lambda x: P.terminal_events(_held(x), LIMIT).select("date", "ticker", "days", "reason", "keep", "dead"),
     f"{_RUNGS} SELECT date, ticker, days, reason, reason NOT IN ('delisted', 'corporate_action', 'corporate_action_follow', 'gap_stop') AS keep, reason IN ('delisted', 'corporate_action', 'gap_stop') AS dead FROM f",
 )
-_BATCH = F.when(F.col("date") < "1996-01-01", 0).when(F.col("date") < "1998-07-01", 1).otherwise(2)
-add("st_terminal_events", lambda x: T.settle(Z.terminal_events(T.arriving(_held(x).withColumn("_b", _BATCH), "_b", 3), LIMIT)), f"{_RUNGS} SELECT date, ticker, reason FROM f")
+_batch = lambda: F.when(F.col("date") < "1996-01-01", 0).when(F.col("date") < "1998-07-01", 1).otherwise(2)
+add("st_terminal_events", lambda x: T.settle(Z.terminal_events(T.arriving(_held(x).withColumn("_b", _batch()), "_b", 3), LIMIT)), f"{_RUNGS} SELECT date, ticker, reason FROM f")
 
 
 def _restated(x: Fixtures) -> DataFrame:
