@@ -2,7 +2,7 @@
 
 A document classifier gives each text its evidence (log-odds against the labelled share). Sites are shrunk by grouped aggregation: a host's
 share of good documents toward the global one, a path's toward its host's, with strengths estimated from how much sites differ
-(method of moments). The site's share, without the document's own part in it, is the prior; the text's evidence is added.
+(method of moments). The site's share, with the document left out at every level, is the prior; the text's evidence is added.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ def _logit(p: Column) -> Column:
 
 
 def quality(docs: DataFrame, labels: DataFrame, good: Column | None = None, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, p_text (classifier), p_host, p_path (shrunk site shares), p_quality and keep (p_quality >= KEEP) of every row.
+    """doc_id, p_text (classifier), p_host, p_path (shrunk site shares of the other documents), p_quality and keep (p_quality >= KEEP) of every row.
 
-    Null texts count as empty; rows without a host or path form a site of their own; repeated rows each count. Without labelled documents the
+    A document alone at its path has its host's share as its prior, alone at its host the global one, alone in the table the labelled one. Null texts count as empty; rows without a host or path form a site of their own; repeated rows each count. Without labelled documents the
     classifier says one half for every text and all are kept. Equal texts get equal evidence, texts of any length count whole, further columns play no part.
     An empty table gives an empty result.
     """
@@ -68,12 +68,14 @@ def quality(docs: DataFrame, labels: DataFrame, good: Column | None = None, host
     overall = total["s"] / total["n"] if total["n"] else share
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("m", F.lit(overall))
     k = _strength(hosts, "m")
-    hosts = hosts.select("host", ((F.col("s") + k * F.col("m")) / (F.col("n") + k)).alias("p_host"))
-    paths = paths.join(hosts, "host")
-    k = _strength(paths, "p_host")
+    hosts = hosts.withColumn("p", (F.col("s") + k * F.col("m")) / (F.col("n") + k))
+    paths = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), "p"), "host")
+    k_path = _strength(paths, "p")
     out = skewed_join(scored, cut(paths), ["host", "path"], "n", total["n"] or 0)
-    prior = (F.col("s") - F.col("p_text") + k * F.col("p_host")) / (F.col("n") - 1 + k)
-    out = out.withColumn("p_path", F.least(F.greatest(prior, F.lit(0.0)), F.lit(1.0)))
+    within = lambda p: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    others = within((F.lit(total["s"]) - F.col("p_text")) / (total["n"] - 1)) if (total["n"] or 0) > 1 else F.lit(share)
+    out = out.withColumn("p_host", within((F.col("host_s") - F.col("p_text") + k * others) / (F.col("host_n") - 1 + k)))
+    out = out.withColumn("p_path", within((F.col("s") - F.col("p_text") + k_path * F.col("p_host")) / (F.col("n") - 1 + k_path)))
     p = 1 / (1 + F.exp(-(_logit(F.col("p_path")) + _logit(F.col("p_text")) - F.lit(float(logit(np.array(share)))))))
     out = out.withColumn("p_quality", p)
     return out.select("doc_id", "p_text", "p_host", "p_path", "p_quality", (F.col("p_quality") >= KEEP).alias("keep"))

@@ -146,20 +146,37 @@ def slow_quality(rows, share):
         between = (spread - (len(n) - 1) * within) / below if below > 0 else 0.0
         return float(np.clip(within / between - 1 if between > 0 else quality.STRENGTH[1], *quality.STRENGTH))
 
+    share_of = lambda own, prior, k: (sum(own) + k * prior) / (len(own) + k)
     hosts, paths = grouped([h for h, _, _ in rows]), grouped([(h, p) for h, p, _ in rows])
     overall = sum(p for *_, p in rows) / len(rows)
-    k = strength(hosts, dict.fromkeys(hosts, overall))
-    p_host = {h: (s + k * overall) / (n + k) for h, (n, s) in hosts.items()}
-    k = strength(paths, {x: p_host[x[0]] for x in paths})
-    out = []
-    for h, path, p in rows:
-        n, s = paths[h, path]
-        prior = min(max((s - p + k * p_host[h]) / (n - 1 + k), 0.0), 1.0)
-        z = logit(prior) + logit(p) - np.log(share / (1 - share))
-        out.append((p_host[h], prior, 1 / (1 + np.exp(-z))))
+    k_host = strength(hosts, dict.fromkeys(hosts, overall))
+    k_path = strength(paths, {x: (hosts[x[0]][1] + k_host * overall) / (hosts[x[0]][0] + k_host) for x in paths})
+    at_host, at_path, made, out = {}, {}, {}, []
+    for i, (h, path, _) in enumerate(rows):
+        at_host.setdefault(h, []).append(i)
+        at_path.setdefault((h, path), []).append(i)
+    for i, (h, path, p) in enumerate(rows):
+        if (h, path, p) not in made:  # from the rows that are left when this one is taken out
+            left = lambda own, i=i: [rows[j][2] for j in own if j != i]
+            p_host = share_of(left(at_host[h]), np.mean(left(range(len(rows)))), k_host)
+            prior = share_of(left(at_path[h, path]), p_host, k_path)
+            made[h, path, p] = p_host, prior, 1 / (1 + np.exp(-(logit(prior) + logit(p) - np.log(share / (1 - share)))))
+        out.append(made[h, path, p])
     return out
 
 
+def test_a_document_alone_at_its_site_does_not_meet_itself(spark, tables):
+    docs, labels, *_ = tables
+    some = docs.where("doc_id < 400").select("doc_id", "text", F.lit("all").alias("source"), F.lit("x").alias("lang"))
+    alone = docs.where("doc_id between 400 and 405").select("doc_id", "text", F.concat(F.lit("own"), "doc_id").alias("source"), F.lit("x").alias("lang"))
+    got = {r.doc_id: r for r in quality.quality(some.unionByName(alone), labels).collect()}
+    every = [r.p_text for r in got.values()]
+    for i in range(400, 406):
+        if i in got:
+            others = (sum(every) - got[i].p_text) / (len(every) - 1)
+            assert got[i].p_host == pytest.approx(others) and got[i].p_path == pytest.approx(others)
+
+
 def test_site_shares_match_brute_force_and_ties(spark, tables):
     docs, labels, *_ = tables
     some = docs.where("doc_id < 3000").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "hot").otherwise(F.concat(F.lit("h"), F.pmod("doc_id", F.lit(40)))).alias("source"), "lang")
