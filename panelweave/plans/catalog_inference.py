@@ -36,9 +36,6 @@ add(
     f"""{_NET}, b1 AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY book) AS c FROM b0 WHERE x IS NOT NULL),
     b2 AS (SELECT book, CAST(k * 13 AS INTEGER) AS start, date, y, x FROM b1, range(1000) q(k) WHERE i BETWEEN k * 13 AND k * 13 + 51 AND k * 13 + 52 <= c), {nw_line('b2', 'book, start', 4, 'm')} SELECT book, start, {_OUT}""",
 )
-add("attribution_table", lambda x: I.attribution(_menu(x), "net", {"M0": [], "M1": ["m"], "M2": ["m", "tilt"]}, 6))
-add("timing_gate", lambda x: I.timing_gate(_market(x), "net", "m", 5))
-add("fitted_alpha_menu", lambda x: I.nw_ols(_menu(x), ["book"], "net", ["m", "tilt"], 6).where("term = 'const'").select("book", "n", "r2", F.col("coef").alias("alpha"), "t"))
 add(
     "one_sample_t", lambda x: I.one_sample(x.nets),
     f"SELECT book, count(net) AS n, {r('avg(net)', 'mean')}, {r('avg(net) * sqrt(count(net)) / nullif(stddev_samp(net), 0)', 't')}, {r('avg(CAST(net > 0 AS DOUBLE))', 'share')}, {r('(2.0 * count(*) FILTER (net > 0) - count(*) FILTER (net <> 0)) / sqrt(nullif(count(*) FILTER (net <> 0), 0))', 'sign_z')} FROM fx_nets GROUP BY book",

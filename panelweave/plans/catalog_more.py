@@ -144,8 +144,3 @@ _GRID = [(s, n, m) for s in (0.005, 0.01) for n in (8, 13) for m in (26, 40)]
 
 def _study(x):  # noqa: ANN001, ANN202
     return M.asset_study(x.returns.select("ticker", "date", "ret", "close").where("close is not null"), _GRID)
-
-
-add("param_map", lambda x: _study(x).groupBy("sigma", "lookback", "sma").agg(F.percentile("worst", F.lit(0.5)).alias("median_worst"), F.avg("sharpe").alias("sharpe"), F.count("*").alias("assets")))
-add("xmarket_study", lambda x: _study(x).where("lookback = 13 and sma = 40"))
-add("vol_managed_benefit", lambda x: _study(x).where("lookback = 13 and sma = 40 and sigma = 0.01").groupBy("ticker").agg((F.max(F.when(F.col("variant") == "managed", F.col("cagr"))) - F.max(F.when(F.col("variant") == "hold", F.col("cagr")))).alias("benefit")))
