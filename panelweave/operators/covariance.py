@@ -28,7 +28,7 @@ def cov_pairs(rows: DataFrame) -> DataFrame:
 
 def shrunk(r: np.ndarray, how: str) -> np.ndarray:
     """sample; identity: linear shrinkage to a scaled identity with the estimated best intensity; factor: first component plus diagonal;
-    constant_correlation: half way to equal correlations; clip: correlation eigenvalues under the noise edge replaced by their mean."""
+    constant_correlation: toward equal correlations with the estimated best intensity; clip: correlation eigenvalues under the noise edge replaced by their mean."""
     x = r - r.mean(axis=0)
     t, p = x.shape
     s = x.T @ x / t
@@ -47,7 +47,8 @@ def shrunk(r: np.ndarray, how: str) -> np.ndarray:
         c = s / np.outer(sd, sd)
         if how == "constant_correlation":
             mean = (c.sum() - p) / max(p * (p - 1), 1)
-            c = 0.5 * c + 0.5 * (mean + (1 - mean) * np.eye(p))
+            a = equal_correlation_intensity(x, s, sd, mean)
+            c = (1 - a) * c + a * (mean + (1 - mean) * np.eye(p))
         else:
             value, vector = np.linalg.eigh(c)
             noise = value < (1 + np.sqrt(p / t)) ** 2
@@ -58,6 +59,21 @@ def shrunk(r: np.ndarray, how: str) -> np.ndarray:
     return s * t / (t - 1)
 
 
+def equal_correlation_intensity(x: np.ndarray, s: np.ndarray, sd: np.ndarray, mean: float) -> float:
+    """The share of the equal-correlation target, within [0, 1], that makes the expected squared error least: what the sample's entries vary, less what they vary together with the target's, over how far the two lie apart and the
+    number of dates. x: centred returns, s: their covariance, mean: the mean correlation."""
+    t, p = x.shape
+    target = mean * np.outer(sd, sd)
+    np.fill_diagonal(target, np.diag(s))
+    apart = ((s - target) ** 2).sum()
+    if apart <= 0:
+        return 1.0
+    vary = (x**2).T @ (x**2) / t - s**2
+    with_own = (x**3).T @ x / t - np.diag(s)[:, None] * s  # of an entry with its row's variance
+    together = np.trace(vary) + mean * ((with_own * np.outer(1 / sd, sd)).sum() - np.trace(with_own))
+    return float(np.clip((vary.sum() - together) / apart / t, 0.0, 1.0))
+
+
 def min_variance(rows: DataFrame, how: str, cap: float = 0.2) -> DataFrame:
     """(month, ticker, w): minimum-variance weights, negative ones cut, capped, brought to one. One window is one group."""
 

@@ -58,6 +58,104 @@ def test_shrunk_keeps_variances(how):
     assert np.diag(c) == pytest.approx(x.var(axis=0, ddof=1)) and np.linalg.eigvalsh(c).min() > 0
 
 
+def test_equal_correlation_intensity_by_loops():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 5)) @ rng.normal(0.4, 0.5, size=(5, 5)) + rng.normal(size=(30, 5))
+    x = x - x.mean(axis=0)
+    t, p = x.shape
+    s = x.T @ x / t
+    sd = np.sqrt(np.diag(s))
+    mean = np.mean([s[i, j] / (sd[i] * sd[j]) for i in range(p) for j in range(p) if i != j])
+    pi = rho = gamma = 0.0
+    for i in range(p):
+        for j in range(p):
+            own = np.mean([(x[k, i] * x[k, j] - s[i, j]) ** 2 for k in range(t)])
+            pi += own
+            if i == j:
+                rho += own
+            else:
+                theta = lambda a, b: np.mean([(x[k, a] ** 2 - s[a, a]) * (x[k, a] * x[k, b] - s[a, b]) for k in range(t)])
+                rho += mean / 2 * (sd[j] / sd[i] * theta(i, j) + sd[i] / sd[j] * theta(j, i))
+                gamma += (s[i, j] - mean * sd[i] * sd[j]) ** 2
+    want = min(max((pi - rho) / gamma / t, 0.0), 1.0)
+    assert covariance.equal_correlation_intensity(x, s, sd, mean) == pytest.approx(want) and 0 < want < 1
+
+
+def _window(seed=1, p=6, months=3, n=20):
+    rng = np.random.default_rng(seed)
+    f, b = rng.normal(0, 0.02, (months, n)), rng.normal(1, 0.4, p)
+    return [(dt.date(2020, m + 2, 1), dt.date(2020, m + 1, 1) + dt.timedelta(days=i), f"T{j}", float(f[m, i] * b[j] + rng.normal(0, 0.01))) for m in range(months) for i in range(n) for j in range(p)]
+
+
+def _by_month(rows):
+    out = {}
+    for m in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == m]
+        names, dates = sorted({r[2] for r in own}), sorted({r[1] for r in own})
+        at = {(r[1], r[2]): r[3] for r in own}
+        out[m] = names, np.array([[at[d, t] for t in names] for d in dates])
+    return out
+
+
+@pytest.mark.parametrize("how", ["sample", "identity", "factor", "constant_correlation", "clip"])
+def test_min_variance_and_its_scoreboard(spark, how):
+    rows = _window()
+    frame = spark.createDataFrame(rows, "month date, date date, ticker string, ret double")
+    weights = covariance.min_variance(frame, how, 0.3)
+    got = {(r.month, r.ticker): r.w for r in weights.collect()}
+    held = {}
+    for m, (names, x) in _by_month(rows).items():
+        c = np.cov(x, rowvar=False) if how == "sample" else covariance.shrunk(x, how)
+        w = np.linalg.solve(c, np.ones(len(c)))
+        w = np.clip(w / w.sum(), 0, 0.3)
+        held[m] = dict(zip(names, w / w.sum(), strict=True))
+        assert [got[m, t] for t in names] == pytest.approx(list(held[m].values()), abs=1e-6)
+    after = spark.createDataFrame([(dt.date(2020, 2, 3) + dt.timedelta(days=i * 9), f"T{j}", 0.01 * ((i * 7 + j) % 5 - 2)) for i in range(9) for j in range(6)], "date date, ticker string, ret double")
+    done = covariance.scoreboard(weights, after, 52).first()
+    net = []
+    for i in range(9):
+        d = dt.date(2020, 2, 3) + dt.timedelta(days=i * 9)
+        if d.replace(day=1) in held:
+            net.append(sum(w * 0.01 * ((i * 7 + int(t[1])) % 5 - 2) for t, w in held[d.replace(day=1)].items()))
+    months = sorted(held)
+    assert done.n == len(net) and done.vol == pytest.approx(np.std(net, ddof=1) * 52**0.5, abs=1e-6)
+    moved = [sum(abs(held[m][t] - (held[months[k - 1]][t] if k else 0)) for t in held[m]) for k, m in enumerate(months)]
+    assert done.turnover == pytest.approx(np.mean(moved), abs=1e-5)
+
+
+def test_components_projected_and_mapped_to_weights(spark):
+    rows = _window(4)
+    frame = spark.createDataFrame(rows, "month date, date date, ticker string, ret double")
+    pca = {(r.month, r.factor): r for r in covariance.window_pca(frame, 2).collect()}
+    load = factors.loadings(frame, 2)
+    v = {}
+    for r in load.collect():
+        v.setdefault((r.month, r.factor), {})[r.ticker] = r.load
+    for m, (_, x) in _by_month(rows).items():
+        s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)
+        for k in (1, 2):
+            assert pca[m, k].strength == pytest.approx(s[k - 1] ** 2 / 6) and pca[m, k].share == pytest.approx(s[k - 1] ** 2 / (s**2).sum())
+    own = {(d, t): r for _, d, t, r in rows}
+    scores = {(r.month, r.date, r.factor): r.score for r in factors.project(load, frame.select("date", "ticker", "ret")).collect()}
+    assert scores and all(score == pytest.approx(sum(w * own[d, t] for t, w in v[m, k].items())) for (m, d, k), score in scores.items())
+    tilts = spark.createDataFrame([(m, k, float(k * k)) for m, k in v], "month date, factor int, tilt double")
+    for r in factors.signal_weights(load, tilts).collect():
+        raw = {t: -1.5 * v[r.month, 1][t] + 1.5 * v[r.month, 2][t] for t in v[r.month, 1]}
+        assert r.w == pytest.approx(raw[r.ticker] / sum(map(abs, raw.values())))
+
+
+def test_gates_and_meta_features(spark):
+    runs = [(f"t{i % 3}", days[i // 3], 0.1 * (i % 10), float(i % 4) - 1) for i in range(30)]
+    got = factors.gate_positions(spark.createDataFrame(runs, "ticker string, start date, p double, pnl double"), 0.6, 0.7).first()
+    order = sorted(runs, key=lambda r: (r[1], r[0]))
+    early, late = [r for k, r in enumerate(order) if k / 29 < 0.6], [r for k, r in enumerate(order) if k / 29 >= 0.6]
+    bar = np.percentile([r[2] for r in early], 70)
+    assert got.bar == pytest.approx(bar) and got.kept == sum(r[2] >= bar for r in late) and got.dropped == len(late) - got.kept
+    assert got.pnl_kept == pytest.approx(sum(r[3] for r in late if r[2] >= bar)) and got.pnl_all == pytest.approx(sum(r[3] for r in late))
+    rows = spark.createDataFrame([(1, 1.0, "A"), (2, None, "B B"), (3, 4.0, None), (4, 2.0, "Z")], "id int, x double, c string")
+    assert sorted(map(tuple, factors.meta_features(rows, ["x"], "c", ["A", "B B"]).collect())) == [(1, 1.0, 1.0, 0.0), (2, 2.0, 0.0, 1.0), (3, 4.0, 0.0, 0.0), (4, 2.0, 0.0, 0.0)]
+
+
 def test_auc_and_clusters(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.4), (0, 0.4), (0, 0.1)], "y int, p double")
     assert factors.auc(df).first().auc == pytest.approx(0.875)
