@@ -208,3 +208,14 @@ def reconcile_detail(fills: DataFrame, classes: DataFrame, silent: int = 3) -> D
     g = g.withColumn("flat_streak", F.sum("_flat").over(Window.partitionBy("_seg").orderBy("session")))
     alarms = F.array_compact(F.array(F.when(F.col("cancelled") > 0.3, "cancels"), F.when(F.round(F.abs(F.col("core_rate") - F.col("other_rate")), 9) > 0.5, "classes"), F.when(F.col("flat_streak") >= silent, "silent")))
     return g.withColumn("alarms", F.array_join(alarms, "|")).drop("_flat", "_seg")
+
+
+def order_outcomes(fills: DataFrame, most_rejects: float = 0.1) -> DataFrame:
+    """(session, n_orders, n_fills, n_partial, n_rejects, n_canceled, reject_rate, fill_rate, alarm): one's own cancels are neither orders nor rejects, but counted; a session of cancels only has no rates and no alarm."""
+    gone = F.col("status") == "canceled"
+    g = fills.groupBy("session").agg(
+        F.count_if(~gone).alias("n_orders"), F.count_if(~gone & (F.col("filled_qty") > 0)).alias("n_fills"), F.count_if(F.col("status") == "partially_filled").alias("n_partial"), F.count_if(F.col("status") == "rejected").alias("n_rejects"),
+        F.count_if(gone).alias("n_canceled"), ratio(F.sum(F.when(~gone, F.col("filled_qty"))), F.sum(F.when(~gone, F.col("qty")))).alias("fill_rate"),
+    )
+    rate = ratio(F.col("n_rejects").cast("double"), F.col("n_orders").cast("double"))
+    return g.withColumn("reject_rate", rate).withColumn("alarm", F.coalesce(F.col("reject_rate") > most_rejects, F.lit(False)))

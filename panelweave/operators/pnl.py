@@ -144,3 +144,24 @@ def stress_variants(weights: DataFrame, returns: DataFrame, calendar: DataFrame,
     cost = F.col("traded") * F.when(F.col("_high"), F.col("_v._high_bps")).otherwise(F.col("_v._bps")) / 1e4
     day = day.select("book", F.col("_v.variant").alias("variant"), "gross", cost.alias("cost"))
     return day.groupBy("book", "variant").agg(F.sum(F.col("gross") - F.col("cost")).alias("total"), F.min(F.col("gross") - F.col("cost")).alias("worst"), F.sum("cost").alias("cost"))
+
+
+def execution_arms(weights: DataFrame, panel: DataFrame, dates: DataFrame, bps: float, notional: float, gross: float = 2.0) -> DataFrame:
+    """(book, arm, total, worst, cost): the books as they are, held from open to open, from open to close only, a date later, and in whole shares of a book of `notional`.
+
+    panel: (date, ticker, open, close, ret). Weights are first scaled to the gross cap. Whole shares are rounded half to even at the close; without a price nothing is held, and what is held after rounding trades and earns.
+    """
+    size = F.sum(F.abs("w")).over(Window.partitionBy("book", "date"))
+    capped = weights.withColumn("w", F.when(size > gross, F.col("w") * gross / size).otherwise(F.col("w")))
+    grid = weights.select("book", "ticker").distinct().crossJoin(F.broadcast(dates.select("date")))  # a row per date
+    x = grid.join(capped, ["book", "date", "ticker"], "left").join(panel.select("date", "ticker", "open", "close", "ret"), ["date", "ticker"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    t = by("book", "ticker")
+    shares = F.coalesce(F.bround(ratio(F.col("w") * notional, F.col("close"))) * F.col("close") / notional, F.lit(0.0))
+    x = x.withColumn("_s", shares).withColumn("_oo", ratio(F.lead("open").over(t), F.col("open")) - 1).withColumn("_oc", ratio(F.col("close"), F.col("open")) - 1)
+    was = lambda c, n=1: F.coalesce(F.lag(c, n).over(t), F.lit(0.0))
+    turn, share_turn = F.abs(F.col("w") - was("w")), F.abs(F.col("_s") - was("_s"))
+    arms = {"close": (was("w"), "ret", turn), "open_to_open": (was("w"), "_oo", turn), "intraday": (was("w"), "_oc", turn), "late": (was("w", 2), "ret", turn), "whole_shares": (was("_s"), "ret", share_turn)}
+    x = x.withColumns({f"_e_{k}": h * F.col(r) for k, (h, r, _) in arms.items()} | {f"_c_{k}": c * bps / 1e4 for k, (*_, c) in arms.items()})
+    each = x.select("book", "date", F.explode(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(f"_e_{k}").alias("e"), F.col(f"_c_{k}").alias("c")) for k in arms])).alias("v")).select("book", "date", "v.*")
+    day = each.groupBy("book", "arm", "date").agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("e"), F.sum("c").alias("c")).withColumn("net", F.col("e") - F.col("c"))
+    return day.groupBy("book", "arm").agg((F.exp(F.sum(F.log1p("net"))) - 1).alias("total"), F.min("net").alias("worst"), F.sum("c").alias("cost"))

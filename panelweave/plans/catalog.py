@@ -496,4 +496,4 @@ add("parity_check", lambda x: J.gaps(C.quantile_weights(_mom(x), 5, "mom").where
 add("st_last_mark", lambda x: T.settle(_events(x).groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")), "update", ["user_id", "event_type"]), f"SELECT user_id, event_type, {r('last(value ORDER BY ts, event_id)', 'value')} FROM events GROUP BY 1, 2")
 
 # further queries, which register themselves
-from panelweave.plans import catalog_alphas, catalog_books, catalog_clusters, catalog_events, catalog_inference, catalog_jobs, catalog_ladder, catalog_macro, catalog_more, catalog_panel, catalog_spectrum, catalog_timing  # noqa: E402, F401
+from panelweave.plans import catalog_alphas, catalog_books, catalog_clusters, catalog_events, catalog_execution, catalog_inference, catalog_jobs, catalog_ladder, catalog_macro, catalog_more, catalog_panel, catalog_spectrum, catalog_timing  # noqa: E402, F401
