@@ -5,6 +5,8 @@ Windows here order one row per date. Weekly data: 40 rows for 200 days, 52 for a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -130,6 +132,11 @@ def dual_momentum_gold(m: DataFrame) -> DataFrame:
     return dual(m, ("r0", "r1", "r4"), ("r3", "cash"))
 
 
+def dual_momentum_swapped(m: DataFrame, thirds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(third, date, ticker, w): the gold rule with other assets, or none, in the place of its third one."""
+    return reduce(DataFrame.unionByName, [dual(m, ("r0", "r1", *third), ("r3", "cash")).withColumn("third", F.lit(name)) for name, third in thirds.items()])
+
+
 def _inverse_vol_signs(m: DataFrame, n: int, look: int, floor: float) -> dict[str, Column]:
     """Sign of momentum times inverse volatility over the regions, gross one; null unless all are known."""
     inverse = {c: 1 / F.greatest(vol(f"{c}_ret", look), F.lit(floor)) for c in REGIONS}

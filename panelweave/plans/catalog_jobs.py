@@ -47,6 +47,16 @@ def _registered(x: Fixtures) -> DataFrame:
     return x.spark.read.json(at).select("name", "source", F.col("rows").cast("long").alias("rows"), F.col("n_trials").cast("int").alias("n_trials"))
 
 
+def _parts(x: Fixtures) -> DataFrame:
+    """The panel written as a training and a holdout part, and both read back under the panel's schema."""
+    at = T.folder(x.spark)
+    p = x.panel.select("date", "ticker", "open", "close", "volume", "member")
+    for name, rows in (("train", p.where("date < '1998-01-01'")), ("holdout", p.where("date >= '1998-01-01'"))):
+        rows.write.parquet(f"{at}/{name}")
+    return S.read_panel(x.spark, f"{at}/train", f"{at}/holdout")
+
+
+add("src_panel_parts", _parts, f"SELECT date, ticker, {r('open', 'open')}, {r('close', 'close')}, {r('volume', 'volume')}, member FROM fx_panel")
 add("sink_parquet", _written, f"SELECT book, date, {r('net', 'net')}, {r('turnover', 'turnover')}, CAST(year(date) AS INTEGER) AS year FROM fx_nets")
 add("sink_ledger_append", _appended, f"SELECT book, date, {r('net', 'net')} FROM fx_nets")
 add("lineage_manifest", _registered, "SELECT 'lineitem' AS name, 'tables' AS source, count(*) AS rows, CAST(2 AS INTEGER) AS n_trials FROM lineitem UNION ALL SELECT 'orders', 'tables', count(*), CAST(2 AS INTEGER) FROM orders")

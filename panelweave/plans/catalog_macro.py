@@ -90,6 +90,10 @@ add("book_dual_momentum_hold", lambda x: B.dual_momentum(x.macro), _dual(("r0",
 add("book_dual_momentum_gold", lambda x: B.dual_momentum_gold(x.macro), _dual(("r0", "r1", "r4"), ("r3", "cash")))
 
 
+_THIRDS = {"r4": ("r4",), "r2": ("r2",), "none": ()}
+add("book_dual_momentum_swapped", lambda x: B.dual_momentum_swapped(x.macro, _THIRDS), " UNION ALL ".join(f"SELECT '{k}' AS third, * FROM ({_dual(('r0', 'r1', *v), ('r3', 'cash'))})" for k, v in _THIRDS.items()))
+
+
 def _signs(n: int, look: int) -> str:
     """Columns w_r0.. from fx_macro: sign of momentum times inverse volatility, gross one."""
     inverse = {c: f"(1 / greatest({vol(f'{c}_ret', look)}, 1e-6))" for c in B.REGIONS}
