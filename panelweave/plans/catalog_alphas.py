@@ -96,6 +96,15 @@ add(
     SELECT book, {r("rho", "rho")}, halves, CASE WHEN coalesce(t1 < 1, true) THEN 'little' WHEN abs(rho) >= 0.5 THEN 'premium' WHEN s1 AND NOT s2 THEN 'layer 2' WHEN s2 AND NOT s3 THEN 'layer 3' WHEN s3 AND halves THEN 'alpha' ELSE 'mixed' END AS label FROM su JOIN ro USING (book) JOIN ha USING (book)""",
 )
 
+add(
+    "layered_alpha", lambda x: I.sign_flip(I.nw_ols(I.windows(inference._menu(x).dropna(), ["book"], SIZE, SIZE), ["book", "start"], "net", XS, 2).where("term = 'const' and coef is not null").select("book", "start", F.col("coef").alias("alpha")), 500),
+    f"""WITH {_MENU}, l0 AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY book) AS c FROM mn WHERE net IS NOT NULL AND m IS NOT NULL AND tilt IS NOT NULL), l1 AS (SELECT *, i // {SIZE} AS w FROM l0 WHERE (i // {SIZE}) * {SIZE} + {SIZE} <= c),
+    l2 AS (SELECT book, w, avg(net) AS my, avg(m) AS ma, avg(tilt) AS mb, var_pop(m) AS aa, var_pop(tilt) AS bb, covar_pop(m, tilt) AS ab, covar_pop(net, m) AS ya, covar_pop(net, tilt) AS yb FROM l1 GROUP BY book, w),
+    al AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY w) - 1 AS pos, my - (bb * ya - ab * yb) / (aa * bb - ab * ab) * ma - (aa * yb - ab * ya) / (aa * bb - ab * ab) * mb AS alpha FROM l2),
+    fl AS (SELECT book, sim, avg(alpha * CASE WHEN {scramble("sim", "pos")} // 1024 % 2 = 0 THEN 1.0 ELSE -1.0 END) AS m FROM al, range(1, 501) q(sim) GROUP BY book, sim), re AS (SELECT book, count(*) AS windows, avg(alpha) AS mean, avg(CAST(alpha > 0 AS DOUBLE)) AS share_up FROM al GROUP BY book)
+    SELECT book, first(windows) AS windows, {r("first(mean)", "mean")}, {r("first(share_up)", "share_up")}, {r("avg(CAST(abs(m) >= abs(mean) - 1e-15 AS DOUBLE))", "p")} FROM fl JOIN re USING (book) GROUP BY book""",
+)
+
 # audits of an input that knows the future: both sides are computed, and the verdict must be BLOCK
 _CUT = "1999-01-01"
 _MID = "avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"

@@ -11,7 +11,7 @@ from panelweave.operators import rolling as W
 from panelweave.operators import state as P
 from panelweave.plans import catalog as base
 from panelweave.plans.fixtures import Fixtures
-from panelweave.plans.oracle import lag, mean, r, scramble, sharpe, std
+from panelweave.plans.oracle import lag, mean, nw_line, r, scramble, sharpe, std
 from panelweave.plans.registry import add, add_fold
 
 DT = ("date", "ticker")
@@ -121,4 +121,11 @@ _INC = """i0 AS (SELECT a.book, date, a.net AS x, c.net AS c FROM fx_nets a JOIN
     i2 AS (SELECT book, how, date, c, CASE how WHEN 'equal' THEN 0.5 ELSE h END * x + (1 - CASE how WHEN 'equal' THEN 0.5 ELSE h END) * c AS net FROM i1 CROSS JOIN (SELECT unnest(['equal', 'inverse_vol']) AS how)), i3 AS (SELECT *, sum(net) OVER (PARTITION BY book, how ORDER BY date ROWS UNBOUNDED PRECEDING) AS n FROM i2),
     i4 AS (SELECT *, max(n) OVER (PARTITION BY book, how ORDER BY date ROWS UNBOUNDED PRECEDING) AS t FROM i3)"""
 add("incremental_value", lambda x: E.incremental_value(x.nets, "bk_ew", 52), f"WITH {_INC} SELECT book, how, {r(sharpe('net'), 'sharpe')}, {r('stddev_samp(net) * sqrt(52.0)', 'vol')}, {r('min(n - greatest(t, 0))', 'dd')}, {r('(avg(net) - avg(c) * stddev_samp(net) / nullif(stddev_samp(c), 0)) * 52', 'gain')} FROM i4 GROUP BY 1, 2")
-add("orthogonality_score", lambda x: E.orthogonality(x.nets, "bk_ew", {"corr": 0.5, "corr_down": 0.6, "corr_worst": 0.6, "r2": 0.4}, 6))
+_LIMITS = {"corr": 0.5, "corr_down": 0.6, "corr_worst": 0.6, "r2": 0.4}
+_BINDING = "CASE " + " ".join(f"WHEN abs({k}) > {v} THEN '{k}'" for k, v in _LIMITS.items()) + " END"
+add(
+    "orthogonality_score", lambda x: E.orthogonality(x.nets, "bk_ew", _LIMITS, 6),
+    f"""WITH ct AS (SELECT date, net AS c FROM fx_nets WHERE book = 'bk_ew'), ob AS (SELECT book, date, net AS y, c AS x, percent_rank() OVER (PARTITION BY book ORDER BY c, date) AS q FROM fx_nets JOIN ct USING (date) WHERE book <> 'bk_ew'), {nw_line("ob", "book", 6, "c")},
+    og AS (SELECT book, count(*) AS n, corr(y, x) AS corr, corr(y, x) FILTER (x < 0) AS corr_down, corr(y, x) FILTER (q < 0.1) AS corr_worst FROM ob GROUP BY book), oh AS (SELECT og.*, nw.r2, nw.t AS alpha_t FROM og JOIN nw ON nw.book = og.book AND term = 'const'), oi AS (SELECT *, {_BINDING} AS binding FROM oh)
+    SELECT book, n, {r("corr", "corr")}, {r("corr_down", "corr_down")}, {r("corr_worst", "corr_worst")}, {r("r2", "r2")}, {r("alpha_t", "alpha_t")}, binding, CASE WHEN binding IS NOT NULL AND alpha_t > 2 THEN 'dependent_alpha' WHEN binding IS NOT NULL THEN 'redundant' WHEN alpha_t > 2 THEN 'independent_alpha' ELSE 'independent' END AS outcome FROM oi""",
+)

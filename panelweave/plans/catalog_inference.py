@@ -87,7 +87,6 @@ add(
     d AS (SELECT ticker, sim, row_number() OVER (PARTITION BY ticker, sim ORDER BY {scramble('sim', 'pos')}, pos) - 1 AS pos, y AS v FROM s, range(1, 41) q(sim)), e AS (SELECT ticker, sim, {_C('x', 'v')} AS c FROM d JOIN s USING (ticker, pos) GROUP BY 1, 2),
     a AS (SELECT ticker, count(*) AS n, {_C('x', 'y')} AS corr FROM s GROUP BY ticker) SELECT ticker, first(n) AS n, {r('first(corr)', 'corr')}, {r('avg(CAST(abs(c) >= abs(corr) - 1e-9 AS DOUBLE))', 'p')} FROM e JOIN a USING (ticker) GROUP BY ticker""",
 )
-add("layered_alpha", lambda x: I.sign_flip(I.nw_ols(I.windows(_menu(x).dropna(), ["book"], 26, 26), ["book", "start"], "net", ["m", "tilt"], 2).where("term = 'const' and coef is not null").select("book", "start", F.col("coef").alias("alpha")), 500))
 add(
     "cluster_robust_ols", lambda x: I.cluster_ols(x.factor.withColumn("year", F.year("date")), "ticker", "year", "ret", "m"),
     f"""WITH p AS (SELECT ticker, year(date) AS g, ret AS y, m AS x FROM fx_factor WHERE ret IS NOT NULL AND m IS NOT NULL), f AS (SELECT ticker, count(*) AS n, avg(x) AS mx, covar_pop(y, x) / nullif(var_pop(x), 0) AS b, avg(y) - covar_pop(y, x) / nullif(var_pop(x), 0) * avg(x) AS a, var_pop(x) * count(*) AS d FROM p GROUP BY ticker),

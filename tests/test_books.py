@@ -4,11 +4,14 @@ import datetime as dt
 from random import Random
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import norm_cdf
 from panelweave.operators import factors, metrics
+from panelweave.operators import rolling as W
 from panelweave.plans import books_panel as B
+from panelweave.plans.books import gap_events
 
 DAY0 = dt.date(2001, 1, 1)
 
@@ -134,3 +137,58 @@ def test_normal_distribution(spark):
     zs = [-9.0, -3.3, -1.0, 0.0, 0.4, 1.96, 5.0, 30.0]
     got = [r.p for r in spark.createDataFrame([(i, z) for i, z in enumerate(zs)], "i int, z double").select("i", norm_cdf(F.col("z")).alias("p")).orderBy("i").collect()]
     assert np.allclose(got, [NormalDist().cdf(z) for z in zs], atol=1e-9) and metrics.luck(1) == 0 and 1.8 < metrics.luck(20) < 1.95
+
+
+def test_composite_is_its_parts_under_the_gate(spark):
+    rows, frame = panel(spark, 3)
+    frame = frame.withColumn("volume", F.lit(100.0) + F.pmod(F.hash("ticker", "date"), F.lit(50)))
+    r = Random(2)
+    dates = sorted({x[0] for x in rows})
+    index = [(d, r.uniform(0.6, 1.4)) for d in dates]
+    gauge = spark.createDataFrame(index, "date date, v double")
+    got = {(x.date, x.ticker): x.w for x in B.composite(frame, gauge, drift=0.9, cap=0.2, gross=1.6).collect()}
+    held = {}
+    for x in B.equal_weight_band(frame).collect():
+        held[x.date, x.ticker] = x.w
+    active = {}
+    for x in gap_events(frame).where("active = 1").collect():
+        active.setdefault(x.date, []).append(x.ticker)
+    wait, want = 0.0, {}
+    for d, v in index:
+        wait = 3.0 if v >= 1.2 or (wait > 0 and v >= 1.0) else max(wait - 1, 0.0)
+        day = {t: w for (e, t), w in held.items() if e == d}
+        used = 0.0
+        for t in active.get(d, []):
+            own = min(0.2, 1 / len(active[d])) * 0.9
+            day[t] = day.get(t, 0.0) + own
+            used += own
+        day["MKT"] = max(0.9 - used, 0.0) + 0.3
+        day = {t: w * (0.5 if wait > 0 else 1.0) for t, w in day.items()}
+        size = sum(map(abs, day.values()))
+        want |= {(d, t): w * min(1.0, 1.6 / size) for t, w in day.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert len({round(sum(w for (e, _), w in want.items() if e == d), 9) for d in dates}) > 1
+
+
+def test_deep_dips_take_slots_a_date_later(spark):
+    rows, frame = panel(spark, 7)
+    frame = frame.withColumn("f", F.avg("ret").over(Window.partitionBy("date"))).withColumn("m", F.col("f"))
+    got = {}
+    for x in B.deep_dip(frame, slots=2, hold=3, n=4, entry=-0.5).collect():
+        got.setdefault(x.date, {})[x.ticker] = x.w
+    s = W.s_score(W.residual(frame, 4), 4).collect()
+    close = {(x[0], x[1]): x[3] for x in rows}
+    age, before, some = {}, set(), 0
+    for d in sorted({x[0] for x in rows}):
+        day = {x.ticker: x for x in s if x.date == d}
+        names = {t for t in before if close.get((d, t)) is not None}
+        want = dict.fromkeys(names, 0.75) | {"MKT": 1.5 - 0.75 * len(names)}
+        assert got[d].keys() == want.keys() and all(abs(got[d][t] - w) < 1e-12 for t, w in want.items())
+        some += len(names)
+        stay = {t for t, x in day.items() if x.close is not None and not (x.s is not None and x.s >= 0)}
+        age = {t: a + 1 for t, a in age.items() if t in stay and a < 3}
+        for _, t in sorted((x.s, t) for t, x in day.items() if x.member and x.s is not None and x.s <= -0.5 and t in stay):
+            if len(age) < 2:
+                age.setdefault(t, 1)
+        before = set(age)
+    assert some > 3
