@@ -134,7 +134,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, text_key, n_words, hits (sorted disjoint word spans that windows cover), n_hit and items (ids whose windows occur) of every row.
 
     Null and wordless texts have no words and no hits; wordless items are never found; an item without an id is found (hits) but not listed.
-    Repeated rows each give a row; empty tables give no rows or no hits. text_key is XXH64 of the text: with doc_id it names a row.
+    Repeated rows each give a row; empty tables give no rows or no hits. Texts count whole, however long; further columns of either table, whatever their names, aren't read. text_key is XXH64 of the text: with doc_id it names a row.
     """
     windows = cut(benchmark_windows(benchmark, item_col, item_text_col))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # ten values at most

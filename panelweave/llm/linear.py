@@ -36,7 +36,10 @@ def style(text: str, words: list[bytes], distinct: int) -> list[float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and a 0/1 column for each category: at most MAX_LABELLED documents with all labels; one row for each id."""
+    """doc_id, text and a 0/1 column for each category: at most MAX_LABELLED documents with all labels; one row for each id.
+
+    A null label or text leaves the document out; of repeated rows of an id the smallest text and the largest marks count; an empty table gives none. Texts stay whole; further columns aren't read.
+    """
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[c.cast("int").alias(k) for k, c in categories.items()])
     marks = marks.dropna().groupBy("doc_id").agg(*[F.max(k).alias(k) for k in categories])
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
@@ -204,7 +207,7 @@ class Sample:
 
 
 def training_set(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> Sample:
-    """At most MAX_LABELLED labelled documents, in an order that their ids give."""
+    """At most MAX_LABELLED labelled documents, in an order that their ids give; rows as in `labelled`. Without any the sample is empty, and fits of it say one half."""
     names = list(categories)
     rows = labelled(docs, labels, categories, id_col, text_col).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
     rows = cut(rows)

@@ -146,8 +146,8 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """query_id, rank, vec_id and score (cosine) of the k nearest rows found for each row whose id is divisible by `every`.
 
     Vectors that are null, zero or hold null or non-finite numbers take no part, nor do those without an id or not of the most common length.
-    Repeated rows count once; a query never meets its own id. Fewer candidates than k: all that are found. An
-    empty table gives an empty result.
+    Repeated rows count once; a query never meets its own id. Fewer candidates than k: all that are found. Ties go to the smaller id. An
+    empty table gives an empty result; vectors may have any length that all share, and further columns, whatever their names, aren't read.
     """
     rows = usable(table, id_col, vector_col).withColumn("dim", F.size("v"))
     common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()

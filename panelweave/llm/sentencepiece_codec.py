@@ -140,7 +140,8 @@ def codec(model_path: str) -> Codec:
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and decoded (string) of every whole text, however long.
 
-    A null text counts as empty: no ids, empty string. A null id stays null; repeated rows each give a row; an empty table an empty result.
+    A null text counts as empty: no ids, empty string. A null id stays null; repeated rows each give a row; an empty table an empty result; further
+    columns, whatever their names, aren't read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 

@@ -210,7 +210,10 @@ def _neighbouring_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """(t1, t2, ranges): of each text (distinct, with its number of copies) with repeats, the runs of window starts (at, n) that occur elsewhere."""
+    """(t1, t2, ranges): of each text (distinct, with its number of copies) with repeats, the runs of window starts (at, n) that occur elsewhere.
+
+    texts are distinct and not null; one shorter than a window, or without a repeat, has no row, and neither has an empty table. Texts count whole, however long; where equal windows tie, all are given.
+    """
     shared = _phrase_rows(texts).groupBy("core").agg(F.sum("copies").alias("total"), (F.min("full") == F.max("full")).alias("alike")).where("total > 1").select("core", "alike")
     shared = cut(shared)
     rows = cut(_phrase_rows(texts, bitmap(shared, F.col("core"))).join(shared, "core"))
