@@ -38,13 +38,15 @@ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coales
 terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 200"""
 QUALITY_RULES = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-g AS (SELECT k, s, list_slice(w, s, s + 4) AS win FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) > 5)),
+u AS (SELECT k, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+e AS (SELECT k, p AS s, x, lag(x) OVER q AS x0, lead(x) OVER q AS x1, lead(x, 2) OVER q AS x2, lead(x, 3) OVER q AS x3, lead(x, 4) OVER q AS x4 FROM u WINDOW q AS (PARTITION BY k ORDER BY p)),
+g AS (SELECT k, s, concat_ws(' ', x, x1, x2, x3, x4) AS win FROM e WHERE x4 IS NOT NULL),
+m AS (SELECT k, count(*) FILTER (x = x0) AS n_echoes, count(*) FILTER (regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')) AS n_lettered FROM e GROUP BY k),
 again AS (SELECT k, win FROM g GROUP BY ALL HAVING count(*) > 1),
 r AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest(range(s, s + 5)) AS p FROM g SEMI JOIN again USING (k, win)) GROUP BY k),
 l AS (SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
-c AS (SELECT k, doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[A-Z]')) AS n_upper,
-len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echoes, len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS n_lettered FROM d),
+c AS (SELECT k, doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[A-Z]')) AS n_upper FROM d),
 a AS (SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-coalesce(n_lines, 0) AS n_lines, n_upper, n_echoes, n_lettered FROM c LEFT JOIN r USING (k) LEFT JOIN l USING (k))
+coalesce(n_lines, 0) AS n_lines, n_upper, coalesce(n_echoes, 0) AS n_echoes, coalesce(n_lettered, 0) AS n_lettered FROM c LEFT JOIN r USING (k) LEFT JOIN l USING (k) LEFT JOIN m USING (k))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 2 * n_upper > word_chars OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 2 * n_dup_lines > n_lines OR 100 * n_echoes > 40 * n_words OR 100 * n_lettered < 40 * n_words) AS kept FROM a"""
