@@ -172,6 +172,22 @@ def test_average_entry_follows_a_loop(spark):
         assert got[t][0] == q and abs(got[t][1] - p) < 1e-9, t
 
 
+def test_average_entry_of_one_crowded_day(spark):
+    from panelweave.operators import ledger as O
+
+    n = 3000
+    rows = [("A", DAY, f"{i:05d}", "buy" if i % 3 else "sell", 1.0 + i % 4, 10.0 + i % 11) for i in range(n)] + [("A", DAY + dt.timedelta(days=1), "0", "buy", 2.0, 7.0)]
+    q = p = 0.0
+    for _, _, _, side, size, price in rows:
+        move = size if side == "buy" else -size
+        p = price if q == 0 or q * (q + move) < 0 else (p * q + price * move) / (q + move) if q * move > 0 else p
+        q += move
+    out = O.average_entry(spark.createDataFrame(rows, "ticker string, session date, client_order_id string, side string, filled_qty double, price double"))
+    (got,) = out.collect()
+    assert got.qty == q and got.avg_price == pytest.approx(p, abs=1e-9)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()  # such a frame costs the square of its rows
+
+
 def test_pooled_rank_is_the_rank_over_all_rows(spark):
     from panelweave.operators import cross_section as C
 
