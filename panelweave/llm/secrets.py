@@ -38,10 +38,8 @@ _RUN = re.compile(f"{_VISIBLE}*")
 #: Costs from here on aren't told apart. What costs less is made of segments that begin at places that cost less, so a value without such a place within
 #: reach, and without a repeat that goes on, is given up.
 MOST_BITS = 64.0
-#: A walk of more characters costs more than MOST_BITS; of values over LONG characters, units of repeats up to half of it are tried, of others all.
-_WALK, LONG = int(MOST_BITS / 1.5) + 2, 4096
-#: Of a run (a repeat, walk, sequence, one character) all parts are tried up to this length; of longer ones those that begin as close to its start or to where they end.
-_NEAR_END = 64
+#: A walk of more characters costs more than MOST_BITS.
+_WALK = int(MOST_BITS / 1.5) + 2
 _NEAR = {(a, b) for row in _ROWS for a, b in zip(row, row[1:], strict=False)} | {(row[i], below[j]) for row, below in zip(_ROWS, _ROWS[1:], strict=False) for i in range(len(row)) for j in (i - 1, i) if 0 <= j < len(below)}
 _NEAR |= {(b, a) for a, b in _NEAR}
 class Ranks(dict):
@@ -76,13 +74,16 @@ def _upper_bits(own: str) -> float:
     return 1.0 if own.isupper() or own[0].isupper() and own[1:] == own[1:].lower() else float(len(own))
 
 
-def _parts(begin: int, end: int, least: int, step: int = 1) -> Iterator[int]:
-    """Starts, `step` apart counted from `end`, of the parts of a run that end where it does and have `least` characters or more."""
-    last = end - least
-    first = last - (last - begin) // step * step
-    near = max(first, last - _NEAR_END * step)
-    yield from range(first, min(near, first + _NEAR_END * step), step)
-    yield from range(near, last + 1, step)
+def _kept(starts: list[tuple[int, float]], end: int, unit: int = 1) -> tuple[list[tuple[int, float]], float]:
+    """Of (start, cost before it), by start, those that may still be the cheapest for a run that goes on, and the least cost at `end`: a later start that isn't cheaper than
+    an earlier one never will be, as the difference of their counts' logarithms only falls."""
+    kept, least = [], float("inf")
+    for start, before in starts:
+        cost = before + log2((end - start) // unit)
+        if cost < least:
+            kept.append((start, before))
+            least = cost
+    return kept, least
 
 
 def guess_bits(value: str, rank: Ranks) -> float:
@@ -102,7 +103,10 @@ def _least(value: str, rank: Ranks, known: dict[str, float]) -> float:
     same = walk = step = alive = 0  # where the current run of one character, keyboard walk, sequence began; the last place that costs less than MOST_BITS
     reach = max(rank.longest, _WALK)
     codes = np.frombuffer(low.encode("utf-32-le"), np.uint32)
-    half = n // 2 if n <= LONG else LONG // 2
+    half = n // 2
+    sames: list[tuple[int, float]] = []  # where parts of the current run of one character may begin
+    steps: list[tuple[int, float]] = []  # and of the current sequence
+    repeats: dict[int, tuple[int, dict[int, tuple[int, list[tuple[int, float]]]]]] = {}  # by unit: where its run began, and by phase the next start and those kept
     units = np.arange(1, half + 1)
     again = np.zeros(half, np.int64)  # by unit: characters in a row that equal the one a unit before
     for end in range(1, n + 1):
@@ -120,28 +124,36 @@ def _least(value: str, rank: Ranks, known: dict[str, float]) -> float:
         if end > 1:
             before = low[end - 2]
             if c != before:
-                same = end - 1
+                same, sames = end - 1, []
             if (before, c) not in _NEAR and c != before:
                 walk = end - 1
             if ord(c) - ord(before) != 1:
-                step = end - 1
-            for start in _parts(same, end, 3):
-                cost = min(cost, best[start] + 1 + brute[end - 1] + log2(end - start))
+                step, steps = end - 1, []
+            if end - 3 >= same:
+                sames, least = _kept([*sames, (end - 3, best[end - 3])], end)
+                cost = min(cost, least + 1 + brute[end - 1])
             for start in range(max(walk, end - _WALK), end - 3):
                 cost = min(cost, best[start] + 1 + log2(47) + 1.5 * (end - start - 1))
-            for start in _parts(step, end, 3):
-                cost = min(cost, best[start] + 1 + log2(36) + log2(end - start))
+            if end - 3 >= step:
+                steps, least = _kept([*steps, (end - 3, best[end - 3])], end)
+                cost = min(cost, least + 1 + log2(36))
             m = min(half, end - 1)
             now = again[:m]
             now += 1
             now[codes[end - 1 - m : end - 1][::-1] != codes[end - 1]] = 0
             for unit in _squares(now, units[:m], reach):  # two or more of what stands before
-                starts = [s for s in _parts(end - unit - int(now[unit - 1]), end, 2 * unit, unit) if best[s] < MOST_BITS]
+                begin, last = end - unit - int(now[unit - 1]), end - 2 * unit
+                if unit not in repeats or repeats[unit][0] != begin:
+                    repeats[unit] = begin, {}
+                phases = repeats[unit][1]
+                at, starts = phases.get(end % unit, (last - (last - begin) // unit * unit, []))
+                starts, least = _kept(starts + [(s, best[s]) for s in range(at, last + 1, unit) if best[s] < MOST_BITS], end, unit)
+                phases[end % unit] = last + unit, starts
                 if starts:
                     own = low[end - unit : end]
                     if own not in known:
                         known[own] = _least(own, rank, known)
-                    cost = min(cost, min(best[s] + log2((end - s) // unit) for s in starts) + 1 + known[own])
+                    cost = min(cost, least + 1 + known[own])
             if cost >= MOST_BITS and end - alive > reach and min(same, step) > alive and now.max() < end - alive:
                 return MOST_BITS
         best[end] = cost

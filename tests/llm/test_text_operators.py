@@ -351,6 +351,15 @@ def test_guess_cost_is_the_least_of_all_segmentations():
         assert all(secrets.guess_bits(unit * k, rank) <= secrets.guess_bits(unit * 2, rank) + 8 for k in (5, 6, 16, 40))
 
 
+def test_long_runs_and_long_units_cost_their_least():
+    rank = secrets.Ranks(["summer"])
+    unit = "c" + "a" * 100
+    bits = secrets.guess_bits(unit, rank) + 2 + 1 + np.log2(26) + np.log2(100)  # twice, then a run that begins amid a longer one
+    assert secrets.guess_bits(unit * 2 + "a" * 100, rank) <= bits + 1e-9
+    unit = "a" * 1500 + "b" * 1500
+    assert secrets.guess_bits(unit * 2, rank) <= secrets.guess_bits(unit, rank) + 2 + 1e-9 < secrets.GUESS_BITS
+
+
 def test_values_stand_after_any_spaces_and_in_long_texts():
     rank = secrets.ranks(WORDS)
     for gap in ("", " ", "     ", "\t \t", " " * 500):
