@@ -77,7 +77,7 @@ add(
     f"WITH d AS (SELECT ticker, session, sum({_SG} * (qty - filled_qty)) AS g, sum(CASE WHEN filled_qty > 0 THEN {_SG} * (price - close) * filled_qty ELSE 0 END) AS c FROM fx_fills GROUP BY 1, 2), e AS (SELECT ticker, session, sum(g) OVER (PARTITION BY ticker ORDER BY session) AS gap, sum(c) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS drag FROM d) SELECT ticker, session, {r('gap', 'gap')}, {r('drag', 'drag')}, abs(gap) <= 60 AS settled FROM e",
 )
 _DX = f"x AS (SELECT f.ticker, {_SG} * (b.open / f.close - 1) * 1e4 AS d, {_SG} * (price - b.open) / f.close * 1e4 AS e FROM fx_fills f LEFT JOIN fx_bars b ON b.ticker = f.ticker AND b.date = f.week WHERE filled_qty > 0), y AS (SELECT *, d IS NOT NULL AND abs(d) <= 150 AS ok FROM x)"
-add("drift_exec_split", lambda x: O.drift_exec_split(x.fills, x.bars.select("ticker", F.col("date").alias("week"), "open"), 150.0), f"WITH {_DX} SELECT ticker, count(*) AS fills, count(*) FILTER (ok) AS split, {r('avg(d) FILTER (ok)', 'drift_bps')}, {r('avg(e) FILTER (ok)', 'exec_bps')} FROM y GROUP BY ticker")
+add("drift_exec_split", lambda x: O.drift_exec_split(x.fills, x.few(x.bars.select("ticker", F.col("date").alias("week"), "open")), 150.0), f"WITH {_DX} SELECT ticker, count(*) AS fills, count(*) FILTER (ok) AS split, {r('avg(d) FILTER (ok)', 'drift_bps')}, {r('avg(e) FILTER (ok)', 'exec_bps')} FROM y GROUP BY ticker")
 _ICR = f"WITH {base._CAR}, {base._SUE}, j AS (SELECT k, sue AS a, car AS b FROM ca JOIN su ON su.symbol = ca.ticker AND su.period = ca.period WHERE k IN (1, 3, 6) AND sue IS NOT NULL AND car IS NOT NULL), g AS (SELECT k, count(*) AS n, {base._CORR} AS ic FROM j GROUP BY k), h AS (SELECT *, CASE WHEN n >= 3 THEN ic * sqrt(n - 2) / nullif(sqrt(1 - ic * ic), 0) END AS t FROM g)"
 add("earnings_ic_report", lambda x: V.ic_report(base._cars(x), V.trailing_sue(x.earnings), [1, 3, 6], 60), f"{_ICR} SELECT k, n, {r('ic', 'ic')}, {r('t', 't')}, CASE WHEN n < 60 THEN 'ACCUMULATING' WHEN t > 2 THEN 'PASS' WHEN t < 0 THEN 'KILL' ELSE 'INDETERMINATE' END AS verdict FROM h")
 add(
