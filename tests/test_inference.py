@@ -78,3 +78,23 @@ def test_cluster_ols_leaves_one_out(spark, data):
     r = inference.cluster_ols(df, "key", "g").first()
     slopes = [np.polyfit(np.delete(m, range(30 * g, 30 * g + 30)), np.delete(y, range(30 * g, 30 * g + 30)), 1)[0] for g in range(5)]
     assert (r.clusters, r.n) == (5, 150) and (r.least, r.most) == pytest.approx((min(slopes), max(slopes)), rel=1e-8)
+
+
+def test_attribution_has_periods_cash_and_financing(spark, data):
+    y, m, h = data["a"]
+    cash = np.linspace(0.0002, 0.0004, 150)
+    rows = [("a", DAY + dt.timedelta(days=i), float(y[i]), float(m[i]), None if i == 3 else float(h[i]), float(cash[i])) for i in range(150)]
+    df = spark.createDataFrame(rows, "book string, date date, net double, m double, h double, cash double")
+    periods = {"early": (str(DAY), str(DAY + dt.timedelta(days=59))), "short": (str(DAY), str(DAY + dt.timedelta(days=20)))}
+    gross = spark.createDataFrame([("a", 1.8)], "book string, gross double")
+    got = {(r.model, r.part, r.term): r for r in inference.attribution(df, "net", {"M0": [], "M1": ["m"], "M2": ["m", "h"]}, 5, gross, "cash", periods, 252).collect()}
+    keep = np.array([i for i in range(150) if i != 3])
+    parts = {"all": keep, "first": keep[:74], "second": keep[74:], "early": keep[keep < 60]}
+    assert {p for _, p, _ in got} == set(parts)
+    for part, i in parts.items():
+        for model, xs in {"M0": [], "M1": [m[i]], "M2": [m[i], h[i]]}.items():
+            b, t = newey_west(y[i] - cash[i], xs, 5)
+            r = got[model, part, "const"]
+            stressed = b[0] * 252 - 0.8 * (cash[i].mean() * 252 + 0.005)
+            assert (r.n, r.coef, r.t, r.alpha, r.stressed) == (len(i), *(pytest.approx(v, rel=1e-8) for v in (b[0], t[0], b[0] * 252, stressed)))
+            assert all(got[model, part, k].stressed is None for k in ["m", "h"][: len(xs)])
