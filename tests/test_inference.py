@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from panelweave.operators import exposure, inference
+from panelweave.operators import alphas, exposure, inference
 
 DAY = dt.date(2020, 1, 1)
 
@@ -98,3 +98,43 @@ def test_attribution_has_periods_cash_and_financing(spark, data):
             stressed = b[0] * 252 - 0.8 * (cash[i].mean() * 252 + 0.005)
             assert (r.n, r.coef, r.t, r.alpha, r.stressed) == (len(i), *(pytest.approx(v, rel=1e-8) for v in (b[0], t[0], b[0] * 252, stressed)))
             assert all(got[model, part, k].stressed is None for k in ["m", "h"][: len(xs)])
+
+
+def bit(sim, pos):
+    h = ((sim * 1009 + pos * 9176 + 12345) * 48271) % 2147483647
+    return 1.0 if (h * h + 31 * h) % 2147483647 * 69621 % 2147483647 // 1024 % 2 == 0 else -1.0
+
+
+def test_layered_alpha_climbs_the_whole_ladder(spark):
+    rng = np.random.default_rng(11)
+    n, size, sims = 165, 20, 400
+    m, h, v = (0.004 + rng.normal(0, 0.01, n), rng.normal(0, 0.01, n), rng.normal(0, 0.01, n))
+    cash, prem = np.full(n, 0.0003), rng.normal(0, 0.02, n)
+    noise = rng.normal(0, 0.002, (4, n))
+    books = {"sure": 0.004 + 0.3 * m + noise[0], "lent": 0.004 + 0.3 * m + noise[1], "beta": m + noise[2], "vol": 0.004 + prem + noise[3], "idle": noise[2] - noise[2].mean()}
+    gross = {b: 200.0 if b == "lent" else 1.0 for b in books}
+    rows = [(b, DAY + dt.timedelta(days=i), float(y[i]), float(m[i]), float(h[i]), float(v[i]), float(prem[i]), float(cash[i])) for b, y in books.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "book string, date date, net double, m double, h double, v double, premium double, cash double")
+    layers = [[], ["m"], ["m", "h"], ["m", "h", "v"]]
+    held = spark.createDataFrame(list(gross.items()), "book string, gross double")
+    luck = spark.createDataFrame([(b, 0.9, 0.9) for b in books], "book string, sharpe_p double, trials_p double")
+    got = {(r.book, r.layer): r for r in alphas.layered_alpha(df, layers, "premium", "cash", held, luck, size, sims, 252).collect()}
+    count = n // size
+    signs = np.array([[bit(s, w) for w in range(count)] for s in range(1, sims + 1)])
+    for b, y in books.items():
+        for k, xs in enumerate([[], [m], [m, h], [m, h, v]], 1):
+            a = np.array([np.linalg.lstsq(np.column_stack([np.ones(size), *[x[i : i + size] for x in xs]]), y[i : i + size], rcond=None)[0][0] for i in range(0, count * size, size)])
+            p = (np.abs((signs * a).mean(axis=1)) >= abs(a.mean()) - 1e-15).mean()
+            r = got[b, k]
+            assert (r.windows, r.mean, r.share, r.p) == (count, pytest.approx(a.mean(), rel=1e-6), max((a > 0).mean(), (a < 0).mean()), pytest.approx(p))
+        assert (r.half1, r.half2) == pytest.approx((a[: count // 2].mean(), a[count // 2 :].mean()), rel=1e-6)
+        assert r.stressed == pytest.approx(a.mean() * 252 - (gross[b] - 1) * (0.0003 * 252 + 0.005), rel=1e-6)
+    assert {b: got[b, 1].label for b in books} == {"sure": "alpha", "lent": "mixed", "beta": "layer 2", "vol": "premium", "idle": "little"}
+
+
+def test_sign_patterns_belong_to_a_window_not_to_its_place(spark):
+    a = np.array([0.3, -0.1, 0.2, 0.5])
+    df = spark.createDataFrame([("a", i, float(a[i])) for i in (0, 2, 3)], "book string, pos long, alpha double")
+    r = inference.sign_flip(df, ["book"], 60).first()
+    draws = np.array([[bit(s, i) * a[i] for i in (0, 2, 3)] for s in range(1, 61)]).mean(axis=1)
+    assert r.p == pytest.approx((np.abs(draws) >= a[[0, 2, 3]].mean() - 1e-15).mean())
