@@ -138,3 +138,16 @@ def test_sign_patterns_belong_to_a_window_not_to_its_place(spark):
     r = inference.sign_flip(df, ["book"], 60).first()
     draws = np.array([[bit(s, i) * a[i] for i in (0, 2, 3)] for s in range(1, 61)]).mean(axis=1)
     assert r.p == pytest.approx((np.abs(draws) >= a[[0, 2, 3]].mean() - 1e-15).mean())
+
+
+def test_an_exact_fit_has_no_t(spark, data):
+    y, m, h = data["a"]
+    books = {"market": m, "same": np.array([sum([x / 7] * 7) for x in m]), "level": np.full(150, 0.01), "other": y}
+    rows = [(b, DAY + dt.timedelta(days=i), float(v[i]), float(m[i]), float(h[i])) for b, v in books.items() for i in range(150)]
+    df = spark.createDataFrame(rows, "book string, date date, net double, m double, h double")
+    got = {(r.book, r.term): r for r in inference.nw_ols(df, ["book"], "net", ["m", "h"], 5).collect()}
+    assert [got[b, k].t for b in ("market", "same", "level") for k in ("const", "m", "h")] == [None] * 9
+    assert got["same", "m"].coef == pytest.approx(1) and got["same", "m"].r2 == pytest.approx(1) and got["other", "m"].t == pytest.approx(newey_west(y, [m, h], 5)[1][1], rel=1e-8)
+    parts = inference.windows(df.where("book <> 'level'"), ["book"], 52, 13)
+    rolled = inference.nw_ols(parts, ["book", "start"], "net", ["m"], 4).groupBy("book").agg({"t": "count", "coef": "count"}).collect()
+    assert {r.book: (r["count(t)"], r["count(coef)"]) for r in rolled} == {"market": (0, 16), "same": (0, 16), "other": (16, 16)}
