@@ -151,3 +151,13 @@ def test_an_exact_fit_has_no_t(spark, data):
     parts = inference.windows(df.where("book <> 'level'"), ["book"], 52, 13)
     rolled = inference.nw_ols(parts, ["book", "start"], "net", ["m"], 4).groupBy("book").agg({"t": "count", "coef": "count"}).collect()
     assert {r.book: (r["count(t)"], r["count(coef)"]) for r in rolled} == {"market": (0, 16), "same": (0, 16), "other": (16, 16)}
+
+
+def test_a_book_that_is_its_benchmark_has_no_t(spark, data):
+    _, m, h = data["a"]
+    books = {"same": np.array([sum([x / 7] * 7) for x in m]), "other": m + h}
+    rows = [(b, DAY + dt.timedelta(days=i), float(v[i]), float(m[i])) for b, v in books.items() for i in range(150)]
+    df = spark.createDataFrame(rows, "book string, date date, net double, bench double")
+    got = {r.book: r for r in inference.forward_descriptive(df, 4, 40, 252).collect()}
+    assert got["same"].t is None and got["same"].mean_gap == pytest.approx(0, abs=1e-12)
+    assert got["other"].t == pytest.approx(newey_west(books["other"] - m, [], 4)[1][0], rel=1e-6)
