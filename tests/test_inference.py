@@ -161,3 +161,25 @@ def test_a_book_that_is_its_benchmark_has_no_t(spark, data):
     got = {r.book: r for r in inference.forward_descriptive(df, 4, 40, 252).collect()}
     assert got["same"].t is None and got["same"].mean_gap == pytest.approx(0, abs=1e-12)
     assert got["other"].t == pytest.approx(newey_west(books["other"] - m, [], 4)[1][0], rel=1e-6)
+
+
+def in_parts(m, k):
+    """m, as a book of k equal shares of it would add it up."""
+    return np.array([sum([x / k] * k) for x in m])
+
+
+@pytest.fixture(scope="module")
+def copies(spark, data):
+    """Books that are the market up to rounding, and one that isn't."""
+    _, m, h = data["a"]
+    prem = np.random.default_rng(2).normal(0, 0.02, 150)
+    books = {f"same{k}": in_parts(m, k) for k in (3, 5, 6, 7, 9, 11, 12, 13)} | {"other": 0.004 + 0.5 * m + prem * 0.1}
+    rows = [(b, DAY + dt.timedelta(days=i), float(v[i]), float(m[i]), float(h[i]), float(prem[i])) for b, v in books.items() for i in range(150)]
+    return spark.createDataFrame(rows, "book string, date date, net double, m double, h double, premium double")
+
+
+def test_the_ladder_takes_no_side_where_nothing_is_left(copies):
+    table, _ = alphas.alpha_ladder(copies, [[], ["m"], ["m", "h"]], "premium", 15, 40)
+    got = {(r.book, r.layer): r for r in table.collect()}
+    assert all((r.t, r.share, r.p) == (None, 0.0, 1.0) for (b, k), r in got.items() if b != "other" and k > 1)
+    assert all(r.t is not None and r.share >= 0.5 for (b, k), r in got.items() if b == "other" or k == 1)
