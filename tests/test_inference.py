@@ -183,3 +183,8 @@ def test_the_ladder_takes_no_side_where_nothing_is_left(copies):
     got = {(r.book, r.layer): r for r in table.collect()}
     assert all((r.t, r.share, r.p) == (None, 0.0, 1.0) for (b, k), r in got.items() if b != "other" and k > 1)
     assert all(r.t is not None and r.share >= 0.5 for (b, k), r in got.items() if b == "other" or k == 1)
+
+
+def test_labels_see_one_sign_in_halves_where_nothing_is_left(copies):
+    _, labels = alphas.alpha_ladder(copies, [[], ["m"], ["m", "h"]], "premium", 15, 40)
+    assert {r.halves for r in labels.where("book <> 'other'").collect()} == {True}
