@@ -23,12 +23,14 @@ def _convexity(rows: DataFrame, y: str, lags: int, name: str) -> DataFrame:
 
 
 def _resampled(rows: DataFrame, sims: int, mean_block: int) -> DataFrame:
-    """(book, boot_p): share of stationary resamples in which gamma isn't positive."""
+    """(book, boot_p): share of stationary resamples in which gamma isn't positive; a gamma that is only rounding is zero."""
     s = positions(rows, ["book"])
     x = stationary_draws(s.select("book", "n").distinct(), ["book"], sims, mean_block).join(s.select("book", "pos", "net", "m", "m_sq"), ["book", "pos"])
     top = F.covar_pop("net", "m_sq") * F.var_pop("m") - F.covar_pop("net", "m") * F.covar_pop("m", "m_sq")
     below = F.var_pop("m") * F.var_pop("m_sq") - F.covar_pop("m", "m_sq") * F.covar_pop("m", "m_sq")
-    return x.groupBy("book", "sim").agg(ratio(top, below).alias("_g")).groupBy("book").agg(F.avg((F.col("_g") <= 0).cast("double")).alias("boot_p"))
+    size = F.sqrt(F.var_pop("net") * F.var_pop("m_sq")) * F.var_pop("m")  # top comes to as much at most, up to a factor
+    gamma = F.when(F.abs(top) <= TIE * size, ratio(F.lit(0.0), below)).otherwise(ratio(top, below))
+    return x.groupBy("book", "sim").agg(gamma.alias("_g")).groupBy("book").agg(F.avg((F.col("_g") <= 0).cast("double")).alias("boot_p"))
 
 
 def timing_verdicts(rows: DataFrame, gross: DataFrame, parents: DataFrame, lags: int, per_year: int, sims: int = 200, mean_block: int = 21, weak: float = 2.0, strong: float = 2.4, rf: float = 0.0) -> DataFrame:

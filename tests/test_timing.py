@@ -83,3 +83,12 @@ def test_a_useful_gate_beats_its_placebos(spark, gate):
     assert all(r["share_below"] == 1.0 and r["actual"] > r["level"] for r in got.values())
     want = np.mean([0.0 if g else -np.log1p(-0.02) for g in np.repeat([1, 0, 1, 0, 1, 0], [20, 4, 31, 9, 12, 14])]) * 252
     assert np.isclose(got["runs"]["actual"], want)
+
+
+def test_a_book_that_is_the_market_has_no_gamma_in_any_resample(spark):
+    m = np.random.default_rng(4).normal(0.0005, 0.01, 200)
+    rows = [(f"same{k}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(sum([x / k] * k)), float(x)) for k in (3, 7, 11) for i, x in enumerate(m)]
+    df = spark.createDataFrame(rows, "book string, date date, net double, m double")
+    gross = df.select("book").distinct().selectExpr("book", "1.0d as gross")
+    got = Q.timing_verdicts(df, gross, spark.createDataFrame([], "book string, parent string"), 3, 252, sims=40, mean_block=5).collect()
+    assert [r["boot_p"] for r in got] == [1.0] * 3
