@@ -188,3 +188,8 @@ def test_the_ladder_takes_no_side_where_nothing_is_left(copies):
 def test_labels_see_one_sign_in_halves_where_nothing_is_left(copies):
     _, labels = alphas.alpha_ladder(copies, [[], ["m"], ["m", "h"]], "premium", 15, 40)
     assert {r.halves for r in labels.where("book <> 'other'").collect()} == {True}
+
+
+def test_no_alpha_of_rounding_counts_as_up(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate((3e-19, -2e-18, 1e-17, 0.0))] + [("b", i, v) for i, v in enumerate((0.1, -0.1, 0.2, 0.3))], "book string, pos long, alpha double")
+    assert {r.book: r.share_up for r in inference.sign_flip(df, ["book"], 20).collect()} == {"a": 0.0, "b": 0.75}
