@@ -197,3 +197,10 @@ def test_pooled_rank_is_the_rank_over_all_rows(spark):
     first = {v: values.index(v) for v in set(values)}
     count = {v: values.count(v) for v in set(values)}
     assert all(got[i] == first[i * 7919 % 97] + (count[i * 7919 % 97] + 1) / 2 for i in range(3000))
+
+
+def test_a_mean_at_the_limit_is_no_breach(spark):
+    means = [("A", 20, 3.0000000000001146, True), ("B", 20, -3.0000000000001137, True), ("C", 20, 2.9999999999998375, True), ("D", 20, -3.25, True), ("E", 7, 3.0000000000000036, True), ("F", 7, 3.25, True), ("G", 3, 9.0, True), ("H", 20, 9.0, False)]
+    frame = spark.createDataFrame(means, "ticker string, n long, mean_bps double, fresh boolean")
+    got = {r.ticker: r.alarm for r in ledger.slippage_alarms(frame, 3.0, 5, 20).collect()}
+    assert got == {"A": "ok", "B": "ok", "C": "ok", "D": "breach", "E": "provisional", "F": "provisional_breach", "G": "untested", "H": "stale"}
